@@ -1,0 +1,155 @@
+"""Find, for keys drawn from documents, the smallest document that has each: shared by the two substring operators.
+
+Each document's keys are dealt to buckets by hash and travel as packed 12-byte records, one row per
+document and bucket. Keys that a smaller document of the same run already has are settled before the
+shuffle, so a hot key sends one record per run, not one per document. Answers are bit maps over the
+keys in the order in which the document gave them, so whoever can derive the keys anew can read them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mnemoloom.llm.common import arrays, runs
+
+KEY = np.dtype([("a", "<u4"), ("b", "<u8")])
+VOTES = [("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("items", pa.int32()), ("settled", pa.binary()), ("keys", pa.binary())]
+VOTES_DDL = "bucket int, doc_id long, text_hash long, items int, settled binary, keys binary"
+ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary()), ("open", pa.binary())]
+ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary, open binary"
+RUN = 2 << 20
+
+#: From the texts of a run: (text number, bucket hash, a, b) of every key, in order of text and place.
+Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, text): what the substring operators work on. Null text is empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def bucket_count(docs: DataFrame) -> int:
+    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
+
+
+def cast_votes(docs: DataFrame, keys: Keys, buckets: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, "text", RUN):
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            owner, where, a, b = keys(texts)
+            if not len(owner):
+                continue
+            bucket = (where % buckets).astype(np.int32)
+            own = ids[owner]
+            order = np.lexsort((own, b, a, bucket))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+            least = own[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            settled = np.zeros(len(order), bool)
+            settled[order] = own[order] > least
+            order = np.lexsort((np.arange(len(owner)), bucket, owner))
+            owner, bucket, settled = owner[order], bucket[order], settled[order]
+            packed = np.empty(len(order), KEY)
+            packed["a"], packed["b"] = a[order], b[order]
+            cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(bucket) != 0)) + 1
+            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]])
+            yield arrays(VOTES, [
+                bucket[starts], ids[owner[starts]], batch.column("text_hash").to_numpy()[owner[starts]], (stops - starts).astype(np.int32),
+                [np.packbits(settled[i:j]).tobytes() for i, j in zip(starts, stops, strict=True)],
+                [packed[i:j][~settled[i:j]].tobytes() for i, j in zip(starts, stops, strict=True)],
+            ])
+
+    return docs.mapInArrow(run, VOTES_DDL)
+
+
+def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
+    """For each (document, bucket): bits of keys that a smaller document has; and of keys left open.
+
+    With ``group_by_a``, keys that agree in bucket and ``a`` but not in ``b`` form a mixed group, and in
+    it the keys that no smaller document has are open; rows without any bit set are left out.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        ids, hashes, bucket = (table.column(n).to_numpy() for n in ("doc_id", "text_hash", "bucket"))
+        raw, settled, items = table.column("keys").to_pylist(), table.column("settled").to_pylist(), table.column("items").to_numpy()
+        del table
+        sizes = np.array([len(x) // KEY.itemsize for x in raw])
+        keys = np.frombuffer(b"".join(raw), KEY)
+        del raw
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        group = bucket[owner].astype(np.uint64) << np.uint64(32) | keys["a"]
+        own = ids[owner]
+        order = np.lexsort((own, keys["b"], group))
+        g, b, d = group[order], keys["b"][order], own[order]
+        first_g = np.concatenate([[True], g[1:] != g[:-1]])
+        first = first_g | np.concatenate([[True], b[1:] != b[:-1]])
+        spot = np.arange(len(order))
+        least = d[np.maximum.accumulate(np.where(first, spot, 0))]
+        copied = np.zeros(len(order), bool)
+        copied[order] = d > least
+        opened = np.zeros(len(order), bool)
+        if group_by_a:
+            starts = np.flatnonzero(first_g)
+            lengths = np.diff(np.append(starts, len(order)))
+            mixed = (np.add.reduceat(first, starts) > 1) & (np.minimum.reduceat(least, starts) != np.maximum.reduceat(least, starts))
+            opened[order] = np.repeat(mixed, lengths) & (d == least)
+        ends = np.cumsum(sizes)
+        out: list[list] = [[] for _ in ANSWERS]
+        for i, (end, size, n, bits) in enumerate(zip(ends, sizes, items, settled, strict=True)):
+            known = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+            asked = np.flatnonzero(~known)
+            known[asked] = copied[end - size : end]
+            left = np.zeros(n, bool)
+            left[asked] = opened[end - size : end]
+            if known.any() or left.any():
+                for column, v in zip(out, (ids[i], hashes[i], bucket[i], np.packbits(known).tobytes(), np.packbits(left).tobytes()), strict=True):
+                    column.append(v)
+        yield arrays(ANSWERS, out)
+
+    return votes.repartition(buckets, "bucket").mapInArrow(run, ANSWERS_DDL)
+
+
+def gathered(answers: DataFrame) -> DataFrame:
+    """One row per document that got an answer; repeated rows of one document give it once."""
+    once = answers.groupBy("doc_id", "text_hash", "bucket").agg(F.first("copied").alias("copied"), F.first("open").alias("open"))
+    return once.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "copied", "open")).alias("answers"))
+
+
+def read_answers(bucket: np.ndarray, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Per key of one document, in its order: copied, open."""
+    copied, opened = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
+    for x in answers or ():
+        at = np.flatnonzero(bucket == x["bucket"])
+        copied[at] = np.unpackbits(np.frombuffer(x["copied"], np.uint8), count=len(at))
+        opened[at] = np.unpackbits(np.frombuffer(x["open"], np.uint8), count=len(at))
+    return copied, opened
+
+
+def merged_spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
+    """Union of [start, stop) spans as maximal runs; touching spans are one run."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    s, e = np.asarray(starts)[order], np.maximum.accumulate(np.asarray(stops)[order])
+    new = np.concatenate([[True], s[1:] > e[:-1]])
+    return list(zip(s[new].tolist(), e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)].tolist(), strict=True))
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    kept.append(text[at:])
+    return b"".join(kept)

@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mnemoloom.llm import votes as V
 from mnemoloom.llm.common import arrays, runs
@@ -63,7 +62,7 @@ def copied_spans(ends: list[int], copied: np.ndarray, min_run: int) -> list[tupl
     return [(a, b) for a, b in V.merged_spans(starts, stops) if b - a >= min_run]
 
 
-def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, carried: list[str] | None = None) -> DataFrame:
     """Remove from each text the passages that a document with a smaller id has too: one row per document.
 
     Columns: doc_id, text_hash, n_bytes, n_chunks, n_copied (chunks that a smaller document has),
@@ -74,13 +73,13 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
 
     Defined cases: null text is empty; a null doc_id neither removes nor loses anything; rows that
     repeat a doc_id with the same text get equal results and do not remove each other's text; extra
-    columns are ignored.
+    columns are ignored, but those named in ``carried`` come back in a struct column ``carried``.
 
     Scale: see ``votes``; texts are shuffled once, by document, to meet the answers.
     """
-    rows = V.prepared(docs, id_col, text_col)
+    rows = V.prepared(docs, id_col, text_col, carried)
     n = buckets or V.bucket_count(docs)
-    answers = V.gathered(V.count_votes(V.cast_votes(rows, _keys, n), n, False))
+    answers = V.gathered(V.count_votes(V.cast_votes(rows.select("doc_id", "text_hash", "text"), _keys, n), n, False))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, "text"):
@@ -95,6 +94,9 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
                 kept = V.without(text, spans)
                 for column, v in zip(out, (len(text), len(ends), int(copied.sum()), len(text) - len(kept), len(spans), [{"start": a, "stop": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
                     column.append(v)
-            yield arrays(RESULT, [batch.column("doc_id"), batch.column("text_hash"), *out])
+            made = arrays(RESULT, [batch.column("doc_id"), batch.column("text_hash"), *out])
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("carried")], names=[*made.schema.names, "carried"]) if carried else made
 
-    return rows.join(answers, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "answers").mapInArrow(run, RESULT_DDL)
+    along = ["carried"] if carried else []
+    ddl = RESULT_DDL + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carried else "")
+    return rows.join(answers, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "answers", *along).mapInArrow(run, ddl)

@@ -22,20 +22,21 @@ VOTES = [("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64(
 VOTES_DDL = "bucket int, doc_id long, text_hash long, items int, settled binary, keys binary"
 ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary()), ("open", pa.binary())]
 ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary, open binary"
-RUN = 2 << 20
+RUN = 1 << 20
 
 #: From the texts of a run: (text number, bucket hash, a, b) of every key, in order of text and place.
 Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, text): what the substring operators work on. Null text is empty."""
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """(doc_id, text_hash, text): what the substring operators work on. Null text is empty. ``carried`` columns come along in a struct."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    along = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("carried")] if carried else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *along)
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3)
+    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
 
 
 def cast_votes(docs: DataFrame, keys: Keys, buckets: int) -> DataFrame:
@@ -78,24 +79,28 @@ def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        small, sizes, raw, settled = [], [], [], []
+        for batch in batches:
+            small.append(batch.select(["doc_id", "text_hash", "bucket", "items"]))
+            packed = batch.column("keys").to_pylist()
+            sizes.append(np.array([len(x) // KEY.itemsize for x in packed], np.int32))
+            raw.append(b"".join(packed))
+            settled += batch.column("settled").to_pylist()
+        if not settled:
             return
-        ids, hashes, bucket = (table.column(n).to_numpy() for n in ("doc_id", "text_hash", "bucket"))
-        raw, settled, items = table.column("keys").to_pylist(), table.column("settled").to_pylist(), table.column("items").to_numpy()
-        del table
-        sizes = np.array([len(x) // KEY.itemsize for x in raw])
-        keys = np.frombuffer(b"".join(raw), KEY)
-        del raw
+        table = pa.Table.from_batches(small)
+        ids, hashes, bucket, items = (table.column(n).to_numpy() for n in ("doc_id", "text_hash", "bucket", "items"))
+        sizes, keys = np.concatenate(sizes), np.frombuffer(b"".join(raw), KEY)
+        del raw, small, table
         owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        group = bucket[owner].astype(np.uint64) << np.uint64(32) | keys["a"]
-        own = ids[owner]
-        order = np.lexsort((own, keys["b"], group))
-        g, b, d = group[order], keys["b"][order], own[order]
+        group, b, d = bucket[owner].astype(np.uint64) << np.uint64(32) | keys["a"], keys["b"], ids[owner]
+        order = np.lexsort((d, b, group)).astype(np.int32)
+        g, b, d = group[order], b[order], d[order]
+        del group, keys, owner
         first_g = np.concatenate([[True], g[1:] != g[:-1]])
         first = first_g | np.concatenate([[True], b[1:] != b[:-1]])
-        spot = np.arange(len(order))
-        least = d[np.maximum.accumulate(np.where(first, spot, 0))]
+        del g, b
+        least = d[np.maximum.accumulate(np.where(first, np.arange(len(order), dtype=np.int32), 0))]
         copied = np.zeros(len(order), bool)
         copied[order] = d > least
         opened = np.zeros(len(order), bool)

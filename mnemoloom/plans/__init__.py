@@ -1 +1,6 @@
+"""Registered queries: one module for each part of the library."""
 
+from mnemoloom.plans import chunking  # noqa: F401
+from mnemoloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -218,7 +218,8 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
                     for i in np.flatnonzero(opened):
                         group = int((bucket[i] << np.uint64(32) | gram[i] & np.uint64(0xFFFFFFFF)).astype(np.int64))
                         pending.append({"group": group, "left": int(anchor[i] - first[i]), "first": int(first[i]), "bytes": text[first[i] : last[i] + length]})
-                ending = (None, None, None, text) if pending else (*_ending(text, starts, stops), None)
+                asks = any(x["asks"] for x in found or ())
+                ending = (None, None, None, pa.compress(text, "zstd", asbytes=True)) if asks else (*_ending(text, starts, stops), None)
                 for column, v in zip(out, (len(text), starts.tobytes(), stops.tobytes(), *ending, pending or None), strict=True):
                     column.append(v)
             yield arrays(HALF, [batch.column("doc_id"), batch.column("text_hash"), *out])
@@ -248,7 +249,7 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         parts = np.split(place, cuts) if len(who) else []
         yield arrays(FOUND, [ids[who[heads]], hashes[who[heads]], [x.tobytes() for x in parts]])
 
-    open_rows = half.where("pending is not null").select("doc_id", "text_hash", F.explode("open").alias("o")).select("doc_id", "text_hash", "o.*").dropDuplicates(["doc_id", "text_hash", "first"])
+    open_rows = half.select("doc_id", "text_hash", F.explode("open").alias("o")).select("doc_id", "text_hash", "o.*").dropDuplicates(["doc_id", "text_hash", "first"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = open_rows.repartition(parts, "group").mapInArrow(sort, "doc_id long, text_hash long, starts binary")
     more = found.groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("more"))
@@ -260,10 +261,11 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
                 place = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in r["more"] or ())])
                 starts = np.concatenate([np.frombuffer(r["starts"], np.int64), place])
                 stops = np.concatenate([np.frombuffer(r["stops"], np.int64), place + length])
-                for column, v in zip(out, (len(r["pending"]), *_ending(r["pending"], starts, stops)), strict=True):
+                text = pa.decompress(r["pending"], r["n_bytes"], "zstd", asbytes=True)
+                for column, v in zip(out, (len(text), *_ending(text, starts, stops)), strict=True):
                     column.append(v)
             yield arrays([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())], [batch.column("doc_id"), *out])
 
     done = half.where("pending is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    rest = half.where("pending is not null").select("doc_id", "text_hash", "starts", "stops", "pending").join(more, ["doc_id", "text_hash"], "left")
-    return done.unionByName(rest.select("doc_id", "starts", "stops", "pending", "more").mapInArrow(finish, RESULT))
+    rest = half.where("pending is not null").select("doc_id", "text_hash", "n_bytes", "starts", "stops", "pending").join(more, ["doc_id", "text_hash"], "left")
+    return done.unionByName(rest.select("doc_id", "n_bytes", "starts", "stops", "pending", "more").mapInArrow(finish, RESULT))

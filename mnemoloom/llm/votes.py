@@ -20,8 +20,8 @@ from mnemoloom.llm.common import arrays, runs
 KEY = np.dtype([("a", "<u4"), ("b", "<u8")])
 VOTES = [("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("items", pa.int32()), ("settled", pa.binary()), ("keys", pa.binary())]
 VOTES_DDL = "bucket int, doc_id long, text_hash long, items int, settled binary, keys binary"
-ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary()), ("open", pa.binary())]
-ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary, open binary"
+ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary()), ("open", pa.binary()), ("asks", pa.bool_())]
+ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary, open binary, asks boolean"
 RUN = 1 << 20
 
 #: From the texts of a run: (text number, bucket hash, a, b) of every key, in order of text and place.
@@ -75,7 +75,8 @@ def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
     """For each (document, bucket): bits of keys that a smaller document has; and of keys left open.
 
     With ``group_by_a``, keys that agree in bucket and ``a`` but not in ``b`` form a mixed group, and in
-    it the keys that no smaller document has are open; rows without any bit set are left out.
+    it the keys that no smaller document has are open; ``asks`` tells whether a smaller document is in
+    the group of one of them. Rows without any bit set are left out.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +104,14 @@ def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
         least = d[np.maximum.accumulate(np.where(first, np.arange(len(order), dtype=np.int32), 0))]
         copied = np.zeros(len(order), bool)
         copied[order] = d > least
-        opened = np.zeros(len(order), bool)
+        opened, asking = np.zeros(len(order), bool), np.zeros(len(order), bool)
         if group_by_a:
             starts = np.flatnonzero(first_g)
             lengths = np.diff(np.append(starts, len(order)))
-            mixed = (np.add.reduceat(first, starts) > 1) & (np.minimum.reduceat(least, starts) != np.maximum.reduceat(least, starts))
-            opened[order] = np.repeat(mixed, lengths) & (d == least)
+            lowest = np.minimum.reduceat(least, starts)
+            mixed = (np.add.reduceat(first, starts) > 1) & (lowest != np.maximum.reduceat(least, starts))
+            here = np.repeat(mixed, lengths) & (d == least)
+            opened[order], asking[order] = here, here & (d > np.repeat(lowest, lengths))
         ends = np.cumsum(sizes)
         out: list[list] = [[] for _ in ANSWERS]
         for i, (end, size, n, bits) in enumerate(zip(ends, sizes, items, settled, strict=True)):
@@ -118,7 +121,7 @@ def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
             left = np.zeros(n, bool)
             left[asked] = opened[end - size : end]
             if known.any() or left.any():
-                for column, v in zip(out, (ids[i], hashes[i], bucket[i], np.packbits(known).tobytes(), np.packbits(left).tobytes()), strict=True):
+                for column, v in zip(out, (ids[i], hashes[i], bucket[i], np.packbits(known).tobytes(), np.packbits(left).tobytes(), bool(asking[end - size : end].any())), strict=True):
                     column.append(v)
         yield arrays(ANSWERS, out)
 
@@ -127,8 +130,8 @@ def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
 
 def gathered(answers: DataFrame) -> DataFrame:
     """One row per document that got an answer; repeated rows of one document give it once."""
-    once = answers.groupBy("doc_id", "text_hash", "bucket").agg(F.first("copied").alias("copied"), F.first("open").alias("open"))
-    return once.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "copied", "open")).alias("answers"))
+    once = answers.groupBy("doc_id", "text_hash", "bucket").agg(F.first("copied").alias("copied"), F.first("open").alias("open"), F.first("asks").alias("asks"))
+    return once.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "copied", "open", "asks")).alias("answers"))
 
 
 def read_answers(bucket: np.ndarray, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:

@@ -61,7 +61,11 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 SETS = [("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())]
 COUNTS = "doc_id long, n int, digest binary, cell int, count long"
-PREFIXES = [("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("map", pa.list_(pa.int64()))]
+PREFIXES = [("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("rare", pa.int32()), ("key", pa.int64()), ("map", pa.list_(pa.int64()))]
+PREFIXES_DDL = "doc_id long, n int, prefix array<long>, rare int, key long, map array<long>"
+PACKED = [("bucket", pa.int32()), ("gid", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("places", pa.binary())]
+POSTED = [("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
+POSTED_DDL = "token long, gid long, n int, pos int"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,12 +129,61 @@ def _prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
                 s = shingles(text, words)
                 if doc is None or not len(s):
                     continue
-                rank = np.argsort(order[(s & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")[: prefix_length(len(s), percent)]
-                for column, v in zip(out, (doc, len(s), s[rank].view(np.int64), parity(s)), strict=True):
+                level = order[(s & np.uint64(CELLS - 1)).astype(np.int64)]
+                rank = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]
+                prefix = s[rank]
+                key = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - (1 << 63)
+                for column, v in zip(out, (doc, len(s), prefix.view(np.int64), int((level[rank] == 0).sum()), key, parity(s)), strict=True):
                     column.append(v)
             yield arrays(PREFIXES, out)
 
-    return texts.mapInArrow(run, "doc_id long, n int, prefix array<long>, map array<long>")
+    return texts.mapInArrow(run, PREFIXES_DDL)
+
+
+def _shared_postings(groups: DataFrame, buckets: int) -> DataFrame:
+    """(token, gid, n, pos) of the prefix shingles that two groups may share.
+
+    Shingles that are frequent in some task are posted as they are. The others, most of which no other
+    group has, travel packed to buckets by hash, where those seen once are left out; as none of them is
+    frequent anywhere, no bucket can hold a hot one.
+    """
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in PACKED]
+            for gid, n, prefix, rare in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix"), batch.column("rare").to_pylist(), strict=True):
+                tokens = prefix.values.to_numpy()[:rare]
+                bucket = (tokens.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                for part in np.split(order.astype(np.int32), cuts) if rare else ():
+                    for column, v in zip(out, (int(bucket[part[0]]), gid, n, tokens[part].tobytes(), part.tobytes()), strict=True):
+                        column.append(v)
+            yield arrays(PACKED, out)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gids, sizes, counts, tokens, places = [], [], [], [], []
+        for batch in batches:
+            raw = batch.column("tokens").to_pylist()
+            gids.append(batch.column("gid").to_numpy())
+            sizes.append(batch.column("n").to_numpy())
+            counts.append(np.array([len(x) // 8 for x in raw], np.int32))
+            tokens.append(b"".join(raw))
+            places.append(b"".join(batch.column("places").to_pylist()))
+        if not gids:
+            return
+        token, place = np.frombuffer(b"".join(tokens), np.int64), np.frombuffer(b"".join(places), np.int32)
+        del tokens, places
+        row = np.repeat(np.arange(sum(map(len, gids)), dtype=np.int32), np.concatenate(counts))
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        twice = order[np.append(same, False) | np.insert(same, 0, False)]
+        yield arrays(POSTED, [token[twice], np.concatenate(gids)[row[twice]], np.concatenate(sizes)[row[twice]], place[twice]])
+
+    packed = groups.select("gid", "n", "prefix", "rare").mapInArrow(pack, "bucket int, gid long, n int, tokens binary, places binary")
+    seldom = packed.repartition(buckets, "bucket").mapInArrow(keep, POSTED_DDL)
+    often = groups.select("gid", "n", "rare", F.posexplode("prefix").alias("pos", "token")).where("pos >= rare").select("token", "gid", "n", "pos")
+    return seldom.unionByName(often)
 
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -145,7 +198,9 @@ def _maps_agree(x: str, y: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (a, b) pairs those whose sets link. Each set is made from its text once and travels once per pair of its row."""
+    """Of (a, b) pairs those whose sets link. Sets are made for the documents of pairs only, and travel once per pair of their row."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = texts.join(asked, "doc_id", "left_semi")
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, "text"):
@@ -188,23 +243,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     each = survey.where("cell is null").select("doc_id", "n", "digest")
     classes = each.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     reps = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    made = _prefixes(texts, words, percent, _levels(survey)).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    made = made.withColumn("key", F.xxhash64("n", "prefix"))
+    prefixes = stage(_prefixes(texts, words, percent, _levels(survey)), "jaccard-prefixes")
+    made = prefixes.select("doc_id", "n", "key").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     groups = made.groupBy("n", "key").agg(F.min("doc_id").alias("gid"))
-    members = stage(made.join(groups, ["n", "key"]).select("gid", "doc_id", "n", "prefix", "map"), "jaccard-members")
-
-    # Postings of groups: one row per prefix shingle; those of one group alone are left out.
-    posted = members.where("gid = doc_id").select("gid", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    centres = posted.groupBy("token", "band").agg(F.min(F.struct("pos", "gid")).alias("c"), F.count("*").alias("k"))
-    tokens = posted.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    shared = stage(posted.join(tokens, "token", "left_semi"), "jaccard-postings")
+    assigned = made.join(groups, ["n", "key"]).select("gid", "doc_id")
+    members = stage(prefixes.join(assigned, "doc_id").dropDuplicates(["doc_id"]), "jaccard-members")
+
+    # Postings of groups: one row per prefix shingle that two groups may share.
+    buckets = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    shared = stage(_shared_postings(members.where("gid = doc_id"), buckets), "jaccard-postings")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    shared = shared.withColumn("band", band)
+    centres = shared.groupBy("token", "band").agg(F.min(F.struct("pos", "gid")).alias("c"), F.count("*").alias("k"))
     stars = shared.join(centres.where("k > 1").select("token", "band", F.col("c.gid").alias("centre")), ["token", "band"]).where("gid <> centre").select("gid", "centre").distinct()
     m, c = members.alias("m"), members.select("doc_id", "n", "map").alias("c")
     star_pairs = stars.alias("s").join(m, F.col("s.gid") == F.col("m.gid")).join(c, (F.col("s.centre") == F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"))
     own = m.join(c, (F.col("m.gid") == F.col("c.doc_id")) & (F.col("m.doc_id") != F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"))
     in_reach = shared.select("gid").distinct().unionByName(members.where("gid <> doc_id").select("gid").distinct()).distinct()
     near = stage(texts.join(members.join(in_reach, "gid", "left_semi").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
-    links = stage(_verified(star_pairs.unionByName(own).distinct(), near, words, percent), "jaccard-stars")
+    links = stage(_verified(stage(star_pairs.unionByName(own).distinct(), "jaccard-candidates"), near, words, percent), "jaccard-stars")
     labels = connected_components(links)
 
     # What the stars left apart: pairs of groups not yet in one component, then of their members.
@@ -221,7 +278,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     p, q = known.alias("p"), known.alias("q")
     differ = (F.col("p.component") != F.col("q.component")) & _maps_agree("p", "q", percent)
     rest = pairs.unionByName(inner).alias("r").join(p, F.col("r.g") == F.col("p.gid")).join(q, (F.col("r.h") == F.col("q.gid")) & differ).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
-    links = links.unionByName(stage(_verified(rest, near, words, percent), "jaccard-rest"))
+    links = links.unionByName(stage(_verified(stage(rest, "jaccard-candidates"), near, words, percent), "jaccard-rest"))
     labels = connected_components(links)
 
     named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))

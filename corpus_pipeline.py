@@ -26,9 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 on five-word shingles connect, that with the smallest id. Rows without an id stay."""
     groups = jaccard.jaccard_components(docs, words=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    dropped = stage(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def text_vectors(texts: list[str | None], dims: int, seed: int) -> Iterator[tupl
     place = np.zeros(1 << 18, np.int64)
     place[present] = np.arange(len(present))
     width, vectors = max(1, len(present)), trigram_vectors(present, dims, seed)
-    step = max(1, (4 << 20) // width)
+    step = max(1, (2 << 20) // width)
     for start in range(0, len(joined), step):
         stop = min(start + step, len(joined))
         a, b = np.searchsorted(owner, (start, stop))
@@ -72,7 +72,7 @@ def text_vectors(texts: list[str | None], dims: int, seed: int) -> Iterator[tupl
         yield start, counts[:, : len(present)] @ vectors, counts.sum(axis=1)
 
 
-def train(labelled: DataFrame, dims: int = 1024, seed: int = 7, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_texts: int = MAX_TRAINING_TEXTS) -> dict[str, np.ndarray]:
+def train(labelled: DataFrame, dims: int = 512, seed: int = 7, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_texts: int = MAX_TRAINING_TEXTS) -> dict[str, np.ndarray]:
     """Prototypes by label, from rows whose text and label are given. Texts without letters teach nothing.
 
     At most about ``max_texts`` rows are used: those whose hashed id falls below a fraction set by the
@@ -86,7 +86,7 @@ def train(labelled: DataFrame, dims: int = 1024, seed: int = 7, text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in runs(batches, "text", 2 << 20):
+        for batch in runs(batches, "text", 1 << 20):
             labels, texts = batch.column("label").to_pylist(), batch.column("text").to_pylist()
             for start, vectors, counts in text_vectors(texts, dims, seed):
                 norms = np.linalg.norm(vectors, axis=1)
@@ -116,7 +116,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 7, t
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, 1), np.float32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, text_col, 2 << 20):
+        for batch in runs(batches, text_col, 1 << 20):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             labels, scores, letters = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for start, vectors, counts in text_vectors(texts, dims, seed):

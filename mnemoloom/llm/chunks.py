@@ -82,9 +82,10 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
     answers = V.gathered(V.count_votes(V.cast_votes(rows.select("doc_id", "text_hash", "text"), _keys, n), n, False))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "text"):
+        for batch in runs(batches, "z"):
             out: list[list] = [[] for _ in RESULT[2:]]
-            for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("answers").to_pylist(), strict=True):
+            for z, size, found in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("answers").to_pylist(), strict=True):
+                text = V.plain(z, size)
                 ends = boundaries(text)
                 copied, spans = np.zeros(len(ends), bool), []
                 if found:
@@ -99,4 +100,4 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
 
     along = ["carried"] if carried else []
     ddl = RESULT_DDL + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carried else "")
-    return rows.join(answers, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "answers", *along).mapInArrow(run, ddl)
+    return V.compressed(rows).join(answers, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "n_bytes", "z", "answers", *along).mapInArrow(run, ddl)

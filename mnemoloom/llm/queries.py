@@ -92,7 +92,8 @@ ORACLES: dict[str, str] = {
         FROM n JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) m ON m.node = n.doc_id""",
     "op6_suffix_dedup": """
         WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-        p AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 100)) AS s FROM h, unnest(range(0, length(x) // 2 - 49)) u(i)),
+        c AS (SELECT doc_id, 500 * j AS base, substr(x, 1000 * j + 1, 1098) AS y FROM h, unnest(range(0, (length(x) // 2 + 450) // 500)) v(j)),
+        p AS (SELECT doc_id, base + k AS i, hash(substr(y, 2 * k + 1, 100)) AS s FROM c, unnest(range(0, least(500, length(y) // 2 - 49))) u(k)),
         m AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS first_id FROM p),
         b AS (SELECT doc_id, i, i + 50 AS e FROM m WHERE doc_id > first_id),
         g AS (SELECT *, CASE WHEN i <= max(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM b),

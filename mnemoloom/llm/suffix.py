@@ -169,6 +169,8 @@ class SuffixSort:
 
 HALF = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("pending", pa.binary()), ("open", pa.list_(pa.struct([("group", pa.int64()), ("left", pa.int32()), ("first", pa.int64()), ("bytes", pa.binary())])))]
 HALF_DDL = "doc_id long, text_hash long, n_bytes long, starts binary, stops binary, n_removed long, n_spans long, kept_sha256 string, pending binary, open array<struct<group:long,left:int,first:long,bytes:binary>>"
+META = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("group", "<i8"), ("left", "<i4"), ("first", "<i8"), ("size", "<i4")])
+PACKED = [("bucket", pa.int32()), ("items", pa.int64()), ("size", pa.int64()), ("z", pa.binary())]
 FOUND = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -205,9 +207,10 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     answers = V.gathered(V.count_votes(V.cast_votes(rows, keys, n), n, True))
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "text", V.RUN):
+        for batch in runs(batches, "z", V.RUN):
             out: list[list] = [[] for _ in HALF[2:]]
-            for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("answers").to_pylist(), strict=True):
+            for z, size, found in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("answers").to_pylist(), strict=True):
+                text = V.plain(z, size)
                 starts = stops = np.zeros(0, np.int64)
                 pending = []
                 if found:
@@ -219,27 +222,47 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
                         group = int((bucket[i] << np.uint64(32) | gram[i] & np.uint64(0xFFFFFFFF)).astype(np.int64))
                         pending.append({"group": group, "left": int(anchor[i] - first[i]), "first": int(first[i]), "bytes": text[first[i] : last[i] + length]})
                 asks = any(x["asks"] for x in found or ())
-                ending = (None, None, None, pa.compress(text, "zstd", asbytes=True)) if asks else (*_ending(text, starts, stops), None)
+                ending = (None, None, None, z) if asks else (*_ending(text, starts, stops), None)
                 for column, v in zip(out, (len(text), starts.tobytes(), stops.tobytes(), *ending, pending or None), strict=True):
                     column.append(v)
             yield arrays(HALF, [batch.column("doc_id"), batch.column("text_hash"), *out])
 
-    half = stage(rows.join(answers, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "answers").mapInArrow(settle, HALF_DDL), "suffix-half")
+    half = stage(V.compressed(rows).join(answers, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "n_bytes", "z", "answers").mapInArrow(settle, HALF_DDL), "suffix-half")
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            meta, texts = [], []
+            for doc, text_hash, found in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("open").to_pylist(), strict=True):
+                meta += [(doc, text_hash, o["group"], o["left"], o["first"], len(o["bytes"])) for o in found]
+                texts += [o["bytes"] for o in found]
+            meta = np.array(meta, META)
+            where = mixed(meta["group"].astype(np.uint64)) % np.uint64(parts)
+            out: list[list] = [[] for _ in PACKED]
+            for k in np.unique(where):
+                at = np.flatnonzero(where == k)
+                blob = meta[at].tobytes() + b"".join([texts[i] for i in at])
+                for column, v in zip(out, (int(k), len(at), len(blob), pa.compress(blob, "zstd", asbytes=True)), strict=True):
+                    column.append(v)
+            yield arrays(PACKED, out)
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
+        metas, texts = [], []
+        for batch in batches:
+            for n, size, z in zip(batch.column("items").to_pylist(), batch.column("size").to_pylist(), batch.column("z").to_pylist(), strict=True):
+                blob = V.plain(z, size)
+                metas.append(np.frombuffer(blob, META, n))
+                texts.append(blob[n * META.itemsize :])
+        if not metas:
             return
-        t = pa.Table.from_batches(batches)
-        del batches
-        ids, hashes, group, left, first = (t.column(c).to_numpy() for c in ("doc_id", "text_hash", "group", "left", "first"))
-        raw = t.column("bytes").to_pylist()
-        sizes = np.array([len(x) for x in raw], np.int64)
+        meta, raw = np.concatenate(metas), b"".join(texts)
+        ids, hashes, group, left, first, sizes = (meta[c].astype(np.int64) for c in META.names)
         windows, begin = sizes - length + 1, np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(raw)), windows)
+        owner = np.repeat(np.arange(len(meta)), windows)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         key = group[owner] * 128 + left[owner] - step
-        cls = SuffixSort(np.frombuffer(b"".join(raw), np.uint8), length).classes(begin[owner] + step, key)
+        cls = SuffixSort(np.frombuffer(raw, np.uint8), length).classes(begin[owner] + step, key)
         least = np.full(cls.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, cls, ids[owner])
         hit = np.flatnonzero(ids[owner] > least[cls])
@@ -249,9 +272,8 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         parts = np.split(place, cuts) if len(who) else []
         yield arrays(FOUND, [ids[who[heads]], hashes[who[heads]], [x.tobytes() for x in parts]])
 
-    open_rows = half.select("doc_id", "text_hash", F.explode("open").alias("o")).select("doc_id", "text_hash", "o.*").dropDuplicates(["doc_id", "text_hash", "first"])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = open_rows.repartition(parts, "group").mapInArrow(sort, "doc_id long, text_hash long, starts binary")
+    packed = half.where("size(open) > 0").select("doc_id", "text_hash", "open").mapInArrow(pack, "bucket int, items long, size long, z binary")
+    found = packed.repartition(parts, "bucket").mapInArrow(sort, "doc_id long, text_hash long, starts binary")
     more = found.groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("more"))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +283,7 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
                 place = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in r["more"] or ())])
                 starts = np.concatenate([np.frombuffer(r["starts"], np.int64), place])
                 stops = np.concatenate([np.frombuffer(r["stops"], np.int64), place + length])
-                text = pa.decompress(r["pending"], r["n_bytes"], "zstd", asbytes=True)
+                text = V.plain(r["pending"], r["n_bytes"])
                 for column, v in zip(out, (len(text), *_ending(text, starts, stops)), strict=True):
                     column.append(v)
             yield arrays([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())], [batch.column("doc_id"), *out])

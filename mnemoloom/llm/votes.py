@@ -1,7 +1,7 @@
 """Find, for keys drawn from documents, the smallest document that has each: shared by the two substring operators.
 
 Each document's keys are dealt to buckets by hash and travel as packed 12-byte records, one row per
-document and bucket. Keys that a smaller document of the same run already has are settled before the
+run of documents and bucket. Keys that a smaller document of the same run already has are settled before the
 shuffle, so a hot key sends one record per run, not one per document. Answers are bit maps over the
 keys in the order in which the document gave them, so whoever can derive the keys anew can read them.
 """
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from mnemoloom.llm.common import arrays, runs
 
 KEY = np.dtype([("a", "<u4"), ("b", "<u8")])
-VOTES = [("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("items", pa.int32()), ("settled", pa.binary()), ("keys", pa.binary())]
-VOTES_DDL = "bucket int, doc_id long, text_hash long, items int, settled binary, keys binary"
+DOC = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("items", "<i4")])
+VOTES = [("bucket", pa.int32()), ("docs", pa.binary()), ("settled", pa.binary()), ("keys", pa.binary())]
+VOTES_DDL = "bucket int, docs binary, settled binary, keys binary"
 ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary()), ("open", pa.binary()), ("asks", pa.bool_())]
 ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary, open binary, asks boolean"
 RUN = 1 << 20
@@ -35,6 +36,27 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *along)
 
 
+TEXTS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("z", pa.binary())]
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """Texts of ``prepared`` rows in UTF-8 and zstd, for the one shuffle in which they meet their answers."""
+    carried = "carried" in rows.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, "text"):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            made = arrays(TEXTS, [batch.column("doc_id"), batch.column("text_hash"), [len(t) for t in texts], [pa.compress(t, "zstd", asbytes=True) for t in texts]])
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column("carried")], names=[*made.schema.names, "carried"]) if carried else made
+
+    ddl = "doc_id long, text_hash long, n_bytes long, z binary" + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carried else "")
+    return rows.mapInArrow(run, ddl)
+
+
+def plain(z: bytes, n_bytes: int) -> bytes:
+    return pa.decompress(z, n_bytes, "zstd", asbytes=True) if n_bytes else b""
+
+
 def bucket_count(docs: DataFrame) -> int:
     return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
 
@@ -56,17 +78,21 @@ def cast_votes(docs: DataFrame, keys: Keys, buckets: int) -> DataFrame:
             least = own[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             settled = np.zeros(len(order), bool)
             settled[order] = own[order] > least
-            order = np.lexsort((np.arange(len(owner)), bucket, owner))
+            order = np.lexsort((np.arange(len(owner)), owner, bucket))
             owner, bucket, settled = owner[order], bucket[order], settled[order]
             packed = np.empty(len(order), KEY)
             packed["a"], packed["b"] = a[order], b[order]
-            cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(bucket) != 0)) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]])
-            yield arrays(VOTES, [
-                bucket[starts], ids[owner[starts]], batch.column("text_hash").to_numpy()[owner[starts]], (stops - starts).astype(np.int32),
-                [np.packbits(settled[i:j]).tobytes() for i, j in zip(starts, stops, strict=True)],
-                [packed[i:j][~settled[i:j]].tobytes() for i, j in zip(starts, stops, strict=True)],
-            ])
+            heads = np.concatenate([[0], np.flatnonzero((np.diff(owner) != 0) | (np.diff(bucket) != 0)) + 1])
+            each = np.empty(len(heads), DOC)
+            each["doc_id"], each["text_hash"] = ids[owner[heads]], batch.column("text_hash").to_numpy()[owner[heads]]
+            each["items"] = np.diff(np.append(heads, len(order)))
+            out: list[list] = [[] for _ in VOTES]
+            for k in np.unique(bucket):
+                i, j = np.searchsorted(bucket, (k, k + 1))
+                u, v = np.searchsorted(heads, (i, j))
+                for column, x in zip(out, (int(k), each[u:v].tobytes(), np.packbits(settled[i:j]).tobytes(), packed[i:j][~settled[i:j]].tobytes()), strict=True):
+                    column.append(x)
+            yield arrays(VOTES, out)
 
     return docs.mapInArrow(run, VOTES_DDL)
 
@@ -80,21 +106,20 @@ def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small, sizes, raw, settled = [], [], [], []
+        docs, keys, known, buckets_ = [], [], [], []
         for batch in batches:
-            small.append(batch.select(["doc_id", "text_hash", "bucket", "items"]))
-            packed = batch.column("keys").to_pylist()
-            sizes.append(np.array([len(x) // KEY.itemsize for x in packed], np.int32))
-            raw.append(b"".join(packed))
-            settled += batch.column("settled").to_pylist()
-        if not settled:
+            for bucket, each, bits, raw in zip(*(batch.column(n).to_pylist() for n, _ in VOTES), strict=True):
+                each = np.frombuffer(each, DOC)
+                docs.append(each)
+                buckets_.append(np.full(len(each), bucket, np.int32))
+                known.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(each["items"].sum())).astype(bool))
+                keys.append(raw)
+        if not docs:
             return
-        table = pa.Table.from_batches(small)
-        ids, hashes, bucket, items = (table.column(n).to_numpy() for n in ("doc_id", "text_hash", "bucket", "items"))
-        sizes, keys = np.concatenate(sizes), np.frombuffer(b"".join(raw), KEY)
-        del raw, small, table
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        group, b, d = bucket[owner].astype(np.uint64) << np.uint64(32) | keys["a"], keys["b"], ids[owner]
+        docs, bucket, known, keys = np.concatenate(docs), np.concatenate(buckets_), np.concatenate(known), np.frombuffer(b"".join(keys), KEY)
+        asked = np.flatnonzero(~known)
+        owner = np.repeat(np.arange(len(docs), dtype=np.int32), docs["items"])[asked]
+        group, b, d = bucket[owner].astype(np.uint64) << np.uint64(32) | keys["a"], keys["b"], docs["doc_id"][owner]
         order = np.lexsort((d, b, group)).astype(np.int32)
         g, b, d = group[order], b[order], d[order]
         del group, keys, owner
@@ -112,17 +137,15 @@ def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
             mixed = (np.add.reduceat(first, starts) > 1) & (lowest != np.maximum.reduceat(least, starts))
             here = np.repeat(mixed, lengths) & (d == least)
             opened[order], asking[order] = here, here & (d > np.repeat(lowest, lengths))
-        ends = np.cumsum(sizes)
+        left, asks = np.zeros(len(known), bool), np.zeros(len(known), bool)
+        known[asked], left[asked], asks[asked] = copied, opened, asking
+        stops = np.cumsum(docs["items"])
+        starts = stops - docs["items"]
         out: list[list] = [[] for _ in ANSWERS]
-        for i, (end, size, n, bits) in enumerate(zip(ends, sizes, items, settled, strict=True)):
-            known = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-            asked = np.flatnonzero(~known)
-            known[asked] = copied[end - size : end]
-            left = np.zeros(n, bool)
-            left[asked] = opened[end - size : end]
-            if known.any() or left.any():
-                for column, v in zip(out, (ids[i], hashes[i], bucket[i], np.packbits(known).tobytes(), np.packbits(left).tobytes(), bool(asking[end - size : end].any())), strict=True):
-                    column.append(v)
+        for i in np.flatnonzero(np.logical_or.reduceat(known | left, starts)):
+            i0, i1 = starts[i], stops[i]
+            for column, v in zip(out, (docs["doc_id"][i], docs["text_hash"][i], bucket[i], np.packbits(known[i0:i1]).tobytes(), np.packbits(left[i0:i1]).tobytes(), bool(asks[i0:i1].any())), strict=True):
+                column.append(v)
         yield arrays(ANSWERS, out)
 
     return votes.repartition(buckets, "bucket").mapInArrow(run, ANSWERS_DDL)

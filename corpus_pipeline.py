@@ -32,11 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id has; documents of which nothing is left go."""
-    found = chunks.dedup_substrings(docs, carried=docs.columns)
-    kept = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("carried.text"))
-    new = {"text": kept, "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("carried.n_chars"))}
+    found = chunks.dedup_substrings(docs, carried=[c for c in docs.columns if c != "text"])
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("carried.n_chars"))}
     left = found.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.select(*(new.get(c, F.col(f"carried.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return left.select(*((new[c] if c in new else F.col(f"carried.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

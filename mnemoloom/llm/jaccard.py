@@ -1,8 +1,8 @@
 """Jaccard self-join on word shingles by a grouped prefix join, and its connected components.
 
 Equal shingle sets are one class. A class's shingles are ordered rare first; classes with one size and
-one prefix form a group, and groups that share a prefix shingle are candidates. Candidates of a shingle
-are first tried against one centre (a star: as many pairs as rows); only members that are still in
+one prefix form a group, and groups that share a prefix shingle are candidates. Each class is first tried
+against the most similar centre of its shingles (a star: a pair per class at most); only members that are still in
 different components are then paired, so that a large set of near copies does not yield all its pairs.
 """
 
@@ -59,7 +59,6 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-SETS = [("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())]
 COUNTS = "doc_id long, n int, digest binary, cell int, count long"
 PREFIXES = [("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("rare", pa.int32()), ("key", pa.int64()), ("map", pa.list_(pa.int64()))]
 PREFIXES_DDL = "doc_id long, n int, prefix array<long>, rare int, key long, map array<long>"
@@ -190,37 +189,51 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b).cast("long") / F.lit(100 + percent) - F.lit(1e-9))
 
 
+def _differing(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{x}.map")[i].bitwiseXOR(F.col(f"{y}.map")[i])) for i in range(MAPS)), F.lit(0))
+
+
 def _maps_agree(x: str, y: str, percent: int) -> Column:
     """False only for pairs whose parity maps differ in more bits than the sets of a linked pair can."""
-    bits = sum((F.bit_count(F.col(f"{x}.map")[i].bitwiseXOR(F.col(f"{y}.map")[i])) for i in range(MAPS)), F.lit(0))
     n = F.col(f"{x}.n") + F.col(f"{y}.n")
-    return bits <= n - 2 * _least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+    return _differing(x, y) <= n - 2 * _least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (a, b) pairs those whose sets link. Sets are made for the documents of pairs only, and travel once per pair of their row."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = texts.join(asked, "doc_id", "left_semi")
+ZIPPED = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("z", pa.binary())]
+
+
+def _zipped(texts: DataFrame) -> DataFrame:
+    """Texts in UTF-8 and zstd: a third of the bytes of their shingle hashes."""
 
-    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, "text"):
-            yield arrays([("doc_id", pa.int64()), ("s", pa.binary())], [batch.column("doc_id"), [shingles(t, words).tobytes() for t in blobs(batch.column("text"))]])
+            raw = blobs(batch.column("text"))
+            yield arrays(ZIPPED, [batch.column("doc_id"), [len(t) for t in raw], [pa.compress(t, "zstd", asbytes=True) for t in raw]])
+
+    return texts.mapInArrow(run, "doc_id long, n_bytes long, z binary")
+
 
-    sets = texts.mapInArrow(make, "doc_id long, s binary")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of (a, b) pairs those whose sets link. The text of b travels once per pair, in zstd, to that of a."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = texts.join(asked, "doc_id", "left_semi")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "sb"):
+        last, x = None, None
+        for batch in runs(batches, "zb"):
             keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, na, za, nb, zb in zip(*(batch.column(c).to_pylist() for c in ("a", "na", "za", "nb", "zb")), strict=True):
+                if a != last:
+                    last, x = a, shingles(pa.decompress(za, na, "zstd", asbytes=True), words)
+                y = shingles(pa.decompress(zb, nb, "zstd", asbytes=True), words)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return first.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("n_bytes").alias(f"n{x}"), F.col("z").alias(f"z{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "za", "nb", "zb").mapInArrow(check, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,11 +270,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     centres = shared.groupBy("token", "band").agg(F.min(F.struct("pos", "gid")).alias("c"), F.count("*").alias("k"))
     stars = shared.join(centres.where("k > 1").select("token", "band", F.col("c.gid").alias("centre")), ["token", "band"]).where("gid <> centre").select("gid", "centre").distinct()
     m, c = members.alias("m"), members.select("doc_id", "n", "map").alias("c")
-    star_pairs = stars.alias("s").join(m, F.col("s.gid") == F.col("m.gid")).join(c, (F.col("s.centre") == F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"))
-    own = m.join(c, (F.col("m.gid") == F.col("c.doc_id")) & (F.col("m.doc_id") != F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"))
+    star_pairs = stars.alias("s").join(m, F.col("s.gid") == F.col("m.gid")).join(c, (F.col("s.centre") == F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _differing("m", "c").alias("bits"))
+    own = m.join(c, (F.col("m.gid") == F.col("c.doc_id")) & (F.col("m.doc_id") != F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _differing("m", "c").alias("bits"))
+    nearest = star_pairs.unionByName(own).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
     in_reach = shared.select("gid").distinct().unionByName(members.where("gid <> doc_id").select("gid").distinct()).distinct()
-    near = stage(texts.join(members.join(in_reach, "gid", "left_semi").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
-    links = stage(_verified(stage(star_pairs.unionByName(own).distinct(), "jaccard-candidates"), near, words, percent), "jaccard-stars")
+    near = stage(_zipped(texts).join(members.join(in_reach, "gid", "left_semi").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
+    links = stage(_verified(stage(nearest, "jaccard-candidates"), near, words, percent), "jaccard-stars")
     labels = connected_components(links)
 
     # What the stars left apart: pairs of groups not yet in one component, then of their members.

@@ -91,7 +91,7 @@ def stems():
 
     @F.pandas_udf("array<string>")
     def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: [porter_stem(w) for w in ws])
+        return words.map(lambda ws: None if ws is None else [porter_stem(w) for w in ws])
 
     return run
 
@@ -101,6 +101,6 @@ def lcs():
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+        return pd.Series([0 if x is None or y is None else lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
     return run

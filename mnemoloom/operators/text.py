@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,7 +180,29 @@ def best_bands(threshold: float, permutations: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def near_dedup(df: DataFrame, ident: str, text: str, threshold: float = 0.7, permutations: int = 64, n: int = 5) -> DataFrame:
+def band_keys(bands: int, rows: int, seed: int = 1):
+    """Pandas UDF: an array of shingle hashes to one key per band of its min-hash signature (odd multipliers modulo 2**64)."""
+    rng = np.random.default_rng(seed)
+    a, b = (rng.integers(0, 1 << 63, bands * rows, np.uint64) for _ in range(2))
+    a = a * np.uint64(2) + np.uint64(1)
+
+    @F.pandas_udf("array<long>")
+    def run(shingles: pd.Series) -> pd.Series:
+        def keys(s: np.ndarray) -> np.ndarray:
+            x = s.astype(np.int64).view(np.uint64)[:, None] * a + b
+            low = (x ^ x >> np.uint64(29)).min(axis=0).reshape(bands, rows)
+            key = np.zeros(bands, np.uint64)
+            for j in range(rows):
+                key = (key ^ low[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(32)
+            return key.view(np.int64)
+
+        return shingles.map(keys)
+
+    return run
+
+
+def near_dedup(df: DataFrame, ident: str, text: str, threshold: float = 0.7, permutations: int = 256, n: int = 5) -> DataFrame:
     """MinHash-LSH classes on n-word shingles: (id, class_id), the class being its smallest id.
 
     Rows of one band value are joined to its smallest id, so a band of any size gives as many edges as
@@ -189,8 +213,7 @@ def near_dedup(df: DataFrame, ident: str, text: str, threshold: float = 0.7, per
     rows = df.select(F.col(ident).alias("id"), tokens.alias("t")).where(F.size("t") >= n)
     shingles = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " ")))
     hashed = rows.select("id", F.array_distinct(shingles).alias("s"))
-    bands = [F.xxhash64(F.lit(band), *(F.array_min(F.transform("s", lambda x, k=band * r + j: F.xxhash64(F.lit(k), x))) for j in range(r))) for band in range(b)]
-    keys = hashed.select("id", F.posexplode(F.array(*bands)).alias("band", "key"))
+    keys = hashed.select("id", F.posexplode(band_keys(b, r)("s")).alias("band", "key"))
     heads = keys.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1")
     edges = keys.join(heads, ["band", "key"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     labels = connected_components(edges)

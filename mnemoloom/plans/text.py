@@ -100,7 +100,7 @@ def t9_extract_choice(spark, d):
 
 @query()
 def t10_near_dedup(spark, d):
-    return T.near_dedup(docs(spark, d), "doc_id", "text", 0.7, 64)
+    return T.near_dedup(docs(spark, d), "doc_id", "text", 0.7)
 
 
 @query("SELECT sha256(text) AS digest, list_sort(list_distinct(list(source))) AS sources, count(*) AS n FROM documents GROUP BY text")

@@ -53,16 +53,23 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """MAPS words in which each shingle flips one bit: the bits in which two sets differ are at most their symmetric difference."""
-    bits = np.bincount((hashes >> np.uint64(17) & np.uint64(64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
+def parity(hashes: np.ndarray, words: int = MAPS) -> np.ndarray:
+    """``words`` (a power of two) 64-bit words in which each shingle flips one bit: the bits in which two sets differ are
+    at most their symmetric difference. Halves of a map, combined by exclusive or, are the map of half the size."""
+    bits = np.bincount((hashes >> np.uint64(17) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def map_words(n: int) -> int:
+    """Words of the map of a set of ``n``: half a bit to a bit per shingle, MAPS at least."""
+    return max(MAPS, 1 << max(0, (n - 1).bit_length() - 7))
+
+
 COUNTS = "doc_id long, n int, digest binary, cell int, count long"
-PREFIXES = [("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("rare", pa.int32()), ("key", pa.int64()), ("map", pa.list_(pa.int64()))]
-PREFIXES_DDL = "doc_id long, n int, prefix array<long>, rare int, key long, map array<long>"
-PACKED = [("bucket", pa.int32()), ("gid", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("places", pa.binary())]
+PREFIXES = [("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("rare", pa.int32()), ("key", pa.int64()), ("map", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))]
+PREFIXES_DDL = "doc_id long, n int, prefix array<long>, rare int, key long, map array<long>, wide array<long>"
+GROUP = np.dtype([("gid", "<i8"), ("n", "<i4"), ("items", "<i4")])
+PACKED = [("bucket", pa.int32()), ("groups", pa.binary()), ("tokens", pa.binary()), ("places", pa.binary())]
 POSTED = [("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
 POSTED_DDL = "token long, gid long, n int, pos int"
 
@@ -132,7 +139,7 @@ def _prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
                 rank = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]
                 prefix = s[rank]
                 key = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - (1 << 63)
-                for column, v in zip(out, (doc, len(s), prefix.view(np.int64), int((level[rank] == 0).sum()), key, parity(s)), strict=True):
+                for column, v in zip(out, (doc, len(s), prefix.view(np.int64), int((level[rank] == 0).sum()), key, parity(s), parity(s, map_words(len(s)))), strict=True):
                     column.append(v)
             yield arrays(PREFIXES, out)
 
@@ -149,37 +156,44 @@ def _shared_postings(groups: DataFrame, buckets: int) -> DataFrame:
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rare = batch.column("rare").to_numpy()
+            tokens = np.concatenate([p.values.to_numpy()[:k] for p, k in zip(batch.column("prefix"), rare, strict=True)] or [np.zeros(0, np.int64)])
+            if not len(tokens):
+                continue
+            owner = np.repeat(np.arange(len(rare), dtype=np.int32), rare)
+            place = np.arange(len(tokens), dtype=np.int32) - np.repeat(np.cumsum(rare) - rare, rare).astype(np.int32)
+            bucket = (tokens.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            tokens, owner, place, bucket = tokens[order], owner[order], place[order], bucket[order]
+            heads = np.concatenate([[0], np.flatnonzero((np.diff(owner) != 0) | (np.diff(bucket) != 0)) + 1])
+            each = np.empty(len(heads), GROUP)
+            each["gid"], each["n"] = batch.column("gid").to_numpy()[owner[heads]], batch.column("n").to_numpy()[owner[heads]]
+            each["items"] = np.diff(np.append(heads, len(order)))
             out: list[list] = [[] for _ in PACKED]
-            for gid, n, prefix, rare in zip(batch.column("gid").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix"), batch.column("rare").to_pylist(), strict=True):
-                tokens = prefix.values.to_numpy()[:rare]
-                bucket = (tokens.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for part in np.split(order.astype(np.int32), cuts) if rare else ():
-                    for column, v in zip(out, (int(bucket[part[0]]), gid, n, tokens[part].tobytes(), part.tobytes()), strict=True):
-                        column.append(v)
+            for k in np.unique(bucket):
+                i, j = np.searchsorted(bucket, (k, k + 1))
+                u, v = np.searchsorted(heads, (i, j))
+                for column, x in zip(out, (int(k), each[u:v].tobytes(), tokens[i:j].tobytes(), place[i:j].tobytes()), strict=True):
+                    column.append(x)
             yield arrays(PACKED, out)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gids, sizes, counts, tokens, places = [], [], [], [], []
+        groups, tokens, places = [], [], []
         for batch in batches:
-            raw = batch.column("tokens").to_pylist()
-            gids.append(batch.column("gid").to_numpy())
-            sizes.append(batch.column("n").to_numpy())
-            counts.append(np.array([len(x) // 8 for x in raw], np.int32))
-            tokens.append(b"".join(raw))
-            places.append(b"".join(batch.column("places").to_pylist()))
-        if not gids:
+            for into, name in ((groups, "groups"), (tokens, "tokens"), (places, "places")):
+                into += batch.column(name).to_pylist()
+        if not groups:
             return
+        group = np.frombuffer(b"".join(groups), GROUP)
         token, place = np.frombuffer(b"".join(tokens), np.int64), np.frombuffer(b"".join(places), np.int32)
-        del tokens, places
-        row = np.repeat(np.arange(sum(map(len, gids)), dtype=np.int32), np.concatenate(counts))
+        del groups, tokens, places
+        row = np.repeat(np.arange(len(group), dtype=np.int32), group["items"])
         order = np.argsort(token, kind="stable")
         same = token[order][1:] == token[order][:-1]
         twice = order[np.append(same, False) | np.insert(same, 0, False)]
-        yield arrays(POSTED, [token[twice], np.concatenate(gids)[row[twice]], np.concatenate(sizes)[row[twice]], place[twice]])
+        yield arrays(POSTED, [token[twice], group["gid"][row[twice]], group["n"][row[twice]], place[twice]])
 
-    packed = groups.select("gid", "n", "prefix", "rare").mapInArrow(pack, "bucket int, gid long, n int, tokens binary, places binary")
+    packed = groups.select("gid", "n", "prefix", "rare").mapInArrow(pack, "bucket int, groups binary, tokens binary, places binary")
     seldom = packed.repartition(buckets, "bucket").mapInArrow(keep, POSTED_DDL)
     often = groups.select("gid", "n", "rare", F.posexplode("prefix").alias("pos", "token")).where("pos >= rare").select("token", "gid", "n", "pos")
     return seldom.unionByName(often)
@@ -193,10 +207,21 @@ def _differing(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(f"{x}.map")[i].bitwiseXOR(F.col(f"{y}.map")[i])) for i in range(MAPS)), F.lit(0))
 
 
-def _maps_agree(x: str, y: str, percent: int) -> Column:
+def _differing_wide(x: str, y: str) -> Column:
+    """Bits in which the wide maps differ, the longer folded to the length of the shorter."""
+    a, b = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+    length = F.least(F.size(a), F.size(b))
+
+    def word(m: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), (F.size(m) / length).cast("int") - 1), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.element_at(m, (i + k * length + 1).cast("int"))))
+
+    return F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0), lambda acc, i: acc + F.bit_count(word(a, i).bitwiseXOR(word(b, i))))
+
+
+def _maps_agree(x: str, y: str, percent: int, wide: bool = True) -> Column:
     """False only for pairs whose parity maps differ in more bits than the sets of a linked pair can."""
     n = F.col(f"{x}.n") + F.col(f"{y}.n")
-    return _differing(x, y) <= n - 2 * _least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+    return (_differing_wide(x, y) if wide else _differing(x, y)) <= n - 2 * _least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
 ZIPPED = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("z", pa.binary())]
@@ -269,9 +294,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     shared = shared.withColumn("band", band)
     centres = shared.groupBy("token", "band").agg(F.min(F.struct("pos", "gid")).alias("c"), F.count("*").alias("k"))
     stars = shared.join(centres.where("k > 1").select("token", "band", F.col("c.gid").alias("centre")), ["token", "band"]).where("gid <> centre").select("gid", "centre").distinct()
-    m, c = members.alias("m"), members.select("doc_id", "n", "map").alias("c")
-    star_pairs = stars.alias("s").join(m, F.col("s.gid") == F.col("m.gid")).join(c, (F.col("s.centre") == F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _differing("m", "c").alias("bits"))
-    own = m.join(c, (F.col("m.gid") == F.col("c.doc_id")) & (F.col("m.doc_id") != F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _differing("m", "c").alias("bits"))
+    m, c = members.alias("m"), members.select("doc_id", "n", "wide").alias("c")
+    star_pairs = stars.alias("s").join(m, F.col("s.gid") == F.col("m.gid")).join(c, (F.col("s.centre") == F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _differing_wide("m", "c").alias("bits"))
+    own = m.join(c, (F.col("m.gid") == F.col("c.doc_id")) & (F.col("m.doc_id") != F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _differing_wide("m", "c").alias("bits"))
     nearest = star_pairs.unionByName(own).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
     in_reach = shared.select("gid").distinct().unionByName(members.where("gid <> doc_id").select("gid").distinct()).distinct()
     near = stage(_zipped(texts).join(members.join(in_reach, "gid", "left_semi").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
@@ -279,14 +304,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     labels = connected_components(links)
 
     # What the stars left apart: pairs of groups not yet in one component, then of their members.
-    known = stage(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(in_reach, "gid", "left_semi").select("gid", "doc_id", "n", "map", "component"), "jaccard-known")
+    known = stage(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(in_reach, "gid", "left_semi").select("gid", "doc_id", "n", "map", "wide", "component"), "jaccard-known")
     whole = known.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.first("map").alias("map"))
     side = shared.join(whole, "gid")
     x, y = side.alias("x"), side.alias("y")
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     reach = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1 >= _least_overlap(F.col("x.n"), F.col("y.n"), percent)
-    alike = (F.col("x.size") > 1) | (F.col("y.size") > 1) | _maps_agree("x", "y", percent)
+    alike = (F.col("x.size") > 1) | (F.col("y.size") > 1) | _maps_agree("x", "y", percent, wide=False)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & sizes & reach & alike).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
     inner = whole.where("size > 1 and low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     p, q = known.alias("p"), known.alias("q")

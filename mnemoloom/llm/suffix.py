@@ -23,6 +23,8 @@ from mnemoloom.llm.common import arrays, runs
 from mnemoloom.session import stage
 
 GRAM = 16
+#: Suffixes that are sorted at once, but for whole groups.
+WINDOWS = 300_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -259,18 +261,29 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         meta, raw = np.concatenate(metas), b"".join(texts)
         ids, hashes, group, left, first, sizes = (meta[c].astype(np.int64) for c in META.names)
         windows, begin = sizes - length + 1, np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(meta)), windows)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        key = group[owner] * 128 + left[owner] - step
-        cls = SuffixSort(np.frombuffer(raw, np.uint8), length).classes(begin[owner] + step, key)
-        least = np.full(cls.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, cls, ids[owner])
-        hit = np.flatnonzero(ids[owner] > least[cls])
-        who, place = owner[hit], first[owner[hit]] + step[hit]
-        cuts = np.flatnonzero(np.diff(who)) + 1
-        heads = np.concatenate([[0], cuts]) if len(who) else np.zeros(0, np.int64)
-        parts = np.split(place, cuts) if len(who) else []
-        yield arrays(FOUND, [ids[who[heads]], hashes[who[heads]], [x.tobytes() for x in parts]])
+        by_group = np.argsort(group, kind="stable")
+        total, ends = np.cumsum(windows[by_group]), np.flatnonzero(np.append(np.diff(group[by_group]) != 0, True)) + 1
+        at = 0
+        while at < len(by_group):  # whole groups, about WINDOWS suffixes at a time
+            base = total[at - 1] if at else 0
+            stop = int(ends[min(len(ends) - 1, max(np.searchsorted(ends, at, side="right"), np.searchsorted(total[ends - 1], base + WINDOWS, side="right") - 1))])
+            mine = by_group[at:stop]
+            at = stop
+            buffer = np.frombuffer(b"".join([raw[begin[i] : begin[i] + sizes[i]] for i in mine]), np.uint8)
+            starts = np.cumsum(sizes[mine]) - sizes[mine]
+            owner = np.repeat(np.arange(len(mine)), windows[mine])
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(windows[mine]) - windows[mine], windows[mine])
+            key = group[mine][owner] * 128 + left[mine][owner] - step
+            cls = SuffixSort(buffer, length).classes(starts[owner] + step, key)
+            own = ids[mine][owner]
+            least = np.full(cls.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, cls, own)
+            hit = np.flatnonzero(own > least[cls])
+            who, place = owner[hit], first[mine][owner[hit]] + step[hit]
+            cuts = np.flatnonzero(np.diff(who)) + 1
+            heads = np.concatenate([[0], cuts]) if len(who) else np.zeros(0, np.int64)
+            parts_ = np.split(place, cuts) if len(who) else []
+            yield arrays(FOUND, [ids[mine][who[heads]], hashes[mine][who[heads]], [x.tobytes() for x in parts_]])
 
     packed = half.where("size(open) > 0").select("doc_id", "text_hash", "open").mapInArrow(pack, "bucket int, items long, size long, z binary")
     found = packed.repartition(parts, "bucket").mapInArrow(sort, "doc_id long, text_hash long, starts binary")

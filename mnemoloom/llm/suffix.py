@@ -24,7 +24,7 @@ from mnemoloom.session import stage
 
 GRAM = 16
 #: Suffixes that are sorted at once, but for whole groups.
-WINDOWS = 300_000
+WINDOWS = 150_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,8 +169,8 @@ class SuffixSort:
         return out
 
 
-HALF = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("pending", pa.binary()), ("open", pa.list_(pa.struct([("group", pa.int64()), ("left", pa.int32()), ("first", pa.int64()), ("bytes", pa.binary())])))]
-HALF_DDL = "doc_id long, text_hash long, n_bytes long, starts binary, stops binary, n_removed long, n_spans long, kept_sha256 string, pending binary, open array<struct<group:long,left:int,first:long,bytes:binary>>"
+HALF = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("pending", pa.binary()), ("open", pa.binary()), ("strings", pa.binary())]
+HALF_DDL = "doc_id long, text_hash long, n_bytes long, starts binary, stops binary, n_removed long, n_spans long, kept_sha256 string, pending binary, open binary, strings binary"
 META = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("group", "<i8"), ("left", "<i4"), ("first", "<i8"), ("size", "<i4")])
 PACKED = [("bucket", pa.int32()), ("items", pa.int64()), ("size", pa.int64()), ("z", pa.binary())]
 FOUND = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())]
@@ -209,23 +209,25 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     answers = V.gathered(V.count_votes(V.cast_votes(rows, keys, n), n, True))
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "z", V.RUN):
+        for batch in runs(batches, "z", V.RUN // 2):
             out: list[list] = [[] for _ in HALF[2:]]
             for z, size, found in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("answers").to_pylist(), strict=True):
                 text = V.plain(z, size)
                 starts = stops = np.zeros(0, np.int64)
-                pending = []
+                pending, strings = np.zeros(0, META), b""
                 if found:
                     _, first, last, anchor, gram, _ = contexts([text], length)
                     bucket = (gram >> np.uint64(32)) % np.uint64(n)
                     copied, opened = V.read_answers(bucket.astype(np.int32), found)
                     starts, stops = first[copied], last[copied] + length
-                    for i in np.flatnonzero(opened):
-                        group = int((bucket[i] << np.uint64(32) | gram[i] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-                        pending.append({"group": group, "left": int(anchor[i] - first[i]), "first": int(first[i]), "bytes": text[first[i] : last[i] + length]})
+                    at = np.flatnonzero(opened)
+                    pending = np.zeros(len(at), META)
+                    pending["group"] = (bucket[at] << np.uint64(32) | gram[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    pending["left"], pending["first"], pending["size"] = anchor[at] - first[at], first[at], last[at] + length - first[at]
+                    strings = b"".join([text[i : i + k] for i, k in zip(first[at].tolist(), pending["size"].tolist(), strict=True)])
                 asks = any(x["asks"] for x in found or ())
                 ending = (None, None, None, z) if asks else (*_ending(text, starts, stops), None)
-                for column, v in zip(out, (len(text), starts.tobytes(), stops.tobytes(), *ending, pending or None), strict=True):
+                for column, v in zip(out, (len(text), starts.tobytes(), stops.tobytes(), *ending, pending.tobytes() or None, strings or None), strict=True):
                     column.append(v)
             yield arrays(HALF, [batch.column("doc_id"), batch.column("text_hash"), *out])
 
@@ -234,17 +236,19 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            meta, texts = [], []
-            for doc, text_hash, found in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("open").to_pylist(), strict=True):
-                meta += [(doc, text_hash, o["group"], o["left"], o["first"], len(o["bytes"])) for o in found]
-                texts += [o["bytes"] for o in found]
-            meta = np.array(meta, META)
+        for batch in runs(batches, "strings"):
+            meta = np.concatenate([np.frombuffer(x, META) for x in batch.column("open").to_pylist()])
+            counts = [len(x) // META.itemsize for x in batch.column("open").to_pylist()]
+            meta["doc_id"] = np.repeat(batch.column("doc_id").to_numpy(), counts)
+            meta["text_hash"] = np.repeat(batch.column("text_hash").to_numpy(), counts)
+            strings = b"".join(batch.column("strings").to_pylist())
+            stops = np.cumsum(meta["size"].astype(np.int64))
+            starts = stops - meta["size"]
             where = mixed(meta["group"].astype(np.uint64)) % np.uint64(parts)
             out: list[list] = [[] for _ in PACKED]
             for k in np.unique(where):
                 at = np.flatnonzero(where == k)
-                blob = meta[at].tobytes() + b"".join([texts[i] for i in at])
+                blob = meta[at].tobytes() + b"".join([strings[i:j] for i, j in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
                 for column, v in zip(out, (int(k), len(at), len(blob), pa.compress(blob, "zstd", asbytes=True)), strict=True):
                     column.append(v)
             yield arrays(PACKED, out)
@@ -285,7 +289,7 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
             parts_ = np.split(place, cuts) if len(who) else []
             yield arrays(FOUND, [ids[mine][who[heads]], hashes[mine][who[heads]], [x.tobytes() for x in parts_]])
 
-    packed = half.where("size(open) > 0").select("doc_id", "text_hash", "open").mapInArrow(pack, "bucket int, items long, size long, z binary")
+    packed = half.where("open is not null").select("doc_id", "text_hash", "open", "strings").mapInArrow(pack, "bucket int, items long, size long, z binary")
     found = packed.repartition(parts, "bucket").mapInArrow(sort, "doc_id long, text_hash long, starts binary")
     more = found.groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("more"))
 

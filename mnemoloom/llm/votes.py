@@ -23,7 +23,7 @@ VOTES = [("bucket", pa.int32()), ("docs", pa.binary()), ("settled", pa.binary())
 VOTES_DDL = "bucket int, docs binary, settled binary, keys binary"
 ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary()), ("open", pa.binary()), ("asks", pa.bool_())]
 ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary, open binary, asks boolean"
-RUN = 1 << 20
+RUN = 1 << 19
 
 #: From the texts of a run: (text number, bucket hash, a, b) of every key, in order of text and place.
 Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -58,7 +58,7 @@ def plain(z: bytes, n_bytes: int) -> bytes:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cast_votes(docs: DataFrame, keys: Keys, buckets: int) -> DataFrame:

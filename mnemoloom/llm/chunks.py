@@ -15,16 +15,25 @@ from mnemoloom.llm.common import arrays, runs
 GEAR = np.random.default_rng(20_24).integers(0, 1 << 32, 256, np.uint32)
 
 
-def boundaries(text: bytes, low: int = 16, mask_bits: int = 5, high: int = 128) -> list[int]:
-    """Ends of the chunks of a text. The gear hash h = 2h + G[byte] forgets all but 32 bytes; a chunk ends where its
-    top ``mask_bits`` are 0, but has ``low`` bytes at least (save the last) and ``high`` at most."""
-    n = len(text)
+def boundaries(text: bytes, low: int = 10, high: int = 128) -> list[int]:
+    """Ends of the chunks of a text. The gear hash h = 2h + G[byte] of 8 bytes; a chunk ends where it is the least of
+    ``low - 1`` places on either side, but has ``low`` bytes at least (save the last) and ``high`` at most. Such a place
+    depends on some 25 bytes around it alone, so copies fall in step again that soon. Equal least values both count: in
+    periodic text there is one in each period, and chunks hold whole periods whatever came before."""
+    n, w = len(text), low - 1
     h = GEAR[np.frombuffer(text, np.uint8)]
-    for step in (1, 2, 4, 8, 16):
+    for step in (1, 2, 4):
         if n > step:
             h[step:] = h[step:] + (h[:-step] << np.uint32(step))
+    cuts: list[int] = []
+    if n > 2 * w:
+        least, size = h, 1
+        while size < w:
+            step = min(size, w - size)
+            least, size = np.minimum(least[:-step], least[step:]), size + step
+        cuts = (np.flatnonzero((h[w : n - w] <= least[: n - 2 * w]) & (h[w : n - w] <= least[w + 1 :])) + w + 1).tolist()
     out, start = [], 0
-    for cut in (np.flatnonzero(h >> np.uint32(32 - mask_bits) == 0) + 1).tolist():
+    for cut in cuts:
         while cut - start > high:
             start += high
             out.append(start)

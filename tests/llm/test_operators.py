@@ -204,6 +204,22 @@ def test_chunks_resist_shifts(spark):
     assert all(10 <= b - a <= 128 for a, b in zip([0, *chunks.boundaries(passage.encode() * 9)[:-2]], chunks.boundaries(passage.encode() * 9)[:-1], strict=False))
 
 
+def test_chunks_catch_passages_of_51_words(spark):
+    rng = random.Random(51)
+    words = lambda n, low, high: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high))) for _ in range(n))
+    for low, high in ((2, 5), (3, 9)):
+        passages = [words(51, low, high) for _ in range(300)]
+        rows = [(2 * i + j, f"{words(rng.randint(1, 80), low, high)} {p} {words(rng.randint(1, 80), low, high)}") for i, p in enumerate(passages) for j in (0, 1)]
+        got = {r.doc_id: r.n_removed for r in chunks.dedup_substrings(docs_frame(spark, rows)).collect()}
+        shares = [got[2 * i + 1] / len(p) for i, p in enumerate(passages)]
+        assert not any(got[2 * i] for i in range(300)) and max(shares) <= 1
+        assert sum(x > 0 for x in shares) >= 0.99 * 300 and sum(shares) >= 0.75 * 300
+    for word in ("ouing", "onou", "euxauxe"):
+        periodic = " ".join([word] * 51)
+        got = {r.doc_id: r.n_removed for r in chunks.dedup_substrings(docs_frame(spark, [(1, f"{words(9, 2, 9)} {periodic} {words(9, 2, 9)}"), (2, f"{words(7, 2, 9)} {periodic} {words(9, 2, 9)}")])).collect()}
+        assert got[1] == 0 and got[2] > 0.6 * len(periodic)
+
+
 # 5 Jaccard join
 
 

@@ -235,7 +235,7 @@ W1 = """s AS (SELECT 0 AS series, event_id AS seq, sqrt(abs(value)) AS root, (ev
 
 @query(f"WITH {W1} SELECT seq, CASE WHEN rng IS NOT NULL THEN round(greatest(0, least(1, (root - low) / rng)), 6)::DOUBLE END AS normalized, round(scale, 6)::DOUBLE AS scale FROM s LEFT JOIN r USING (batch) LEFT JOIN z USING (batch)")
 def w1_sliding_normalize(spark, d):
-    x = events(spark, d).where("event_id < 10000").select(F.lit(0).alias("series"), F.col("event_id").alias("seq"), F.abs("value").alias("cost"), (F.col("event_id") % 7).cast("double").alias("quality"))
+    x = events(spark, d).select(F.lit(0).alias("series"), F.col("event_id").alias("seq"), F.abs("value").alias("cost"), (F.col("event_id") % 7).cast("double").alias("quality"))
     n = D.sliding_normalize(x, batch=500)
     return n.select("seq", F.when(F.col("scale").isNotNull(), r6("normalized")).alias("normalized"), r6("scale").alias("scale"))
 

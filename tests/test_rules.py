@@ -128,6 +128,25 @@ def test_gae(spark):
     assert got[2] == pytest.approx(a2) and got[1] == pytest.approx(a1) and got[0] == pytest.approx(1 + 0.9 * 0.2 - 0.5 + 0.72 * a1)
 
 
+def test_sliding_normalize_takes_all_events(spark, tmp_path):
+    from mnemoloom.plans import QUERIES
+
+    n, batch, window = 11_300, 500, 512
+    value = np.random.default_rng(1).normal(size=n) * (1 + np.arange(n) / 1000)
+    spark.createDataFrame([(i, float(value[i])) for i in range(n)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.seq: (r.normalized, r.scale) for r in QUERIES["w1_sliding_normalize"](spark, str(tmp_path)).collect()}
+    root, quality = np.sqrt(np.abs(value)), np.arange(n) % 7
+    initial = np.subtract(*np.quantile(root[:128], [0.95, 0.05]))
+    assert sorted(got) == list(range(n)) and all(got[i] == (None, None) for i in range(batch))
+    for start in range(batch, n, batch):
+        seen = slice(max(0, start - window), start)
+        low, high = np.quantile(root[seen], [0.05, 0.95])
+        unit = lambda x: np.clip((x - low) / max(high - low, 0.25 * initial), 0, 1)  # noqa: B023, E731
+        scale = quality[seen].std() / (unit(root[seen]).std() + 1e-8)
+        for i in range(start, min(n, start + batch)):
+            assert got[i] == (pytest.approx(unit(root[i]), abs=2e-6), pytest.approx(scale, abs=2e-6))
+
+
 def test_haystack_error(spark):
     df = spark.createDataFrame([(1, ["a"], ["x", "y"])], "id long, p array<string>, q array<string>")
     with pytest.raises(Exception, match="unequal"):

@@ -13,6 +13,7 @@ from mnemoloom.operators.retrieval import similarity_join
 from mnemoloom.session import checkpoint
 
 PAIR = ["bank", "source", "target"]
+LINK_ROWS = 4_096
 
 
 def attribute_weights(attrs: DataFrame, banks: DataFrame, mode: str = "idf") -> DataFrame:
@@ -210,21 +211,44 @@ def graph_as_of(nodes: DataFrame, edges: DataFrame, t: int) -> tuple[DataFrame,
 
 
 def link_similar(vectors: DataFrame, k: int, t: float = 0.7) -> DataFrame:
-    """For each vector (bank, memory_id, vector) its ``k`` most similar earlier ones, then those of cosine at least ``t``."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("memory_id")
-        ids, v = pdf["memory_id"].to_numpy(), np.stack(pdf["vector"].to_list()).astype(np.float64)
-        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-        out = [pd.DataFrame({"source": [], "target": [], "score": []})]
-        for i in range(1, len(ids)):
-            s = (v[:i] * v[i]).sum(axis=1)
-            best = np.lexsort((ids[:i], -s))[:k]
-            best = best[s[best] >= t]
-            out.append(pd.DataFrame({"source": ids[i], "target": ids[best], "score": s[best]}))
-        return pd.concat(out)
-
-    return vectors.groupBy("bank").applyInPandas(run, "source long, target long, score double")
+    """For each vector (bank, memory_id, vector) its ``k`` most similar earlier ones, then those of cosine at least ``t``.
+
+    Vectors are dealt to parts by a hash of the id; each pair of parts of a bank gives the ``k`` best earlier ones
+    that it has for a source, and the ``k`` best of those are ranked. A task holds 2 * LINK_ROWS vectors about,
+    whatever the bank. A matrix product finds the candidates, and sums by row score them, so equal vectors tie.
+    In the ranking a bank of any type goes by 128 bits of hash.
+    """
+    parts = max(1, -(-vectors.count() // LINK_ROWS))
+    names = [F.xxhash64("bank").alias("x"), F.xxhash64(F.lit(1), "bank").alias("y")]
+    side = vectors.select("bank", *names, F.col("memory_id").alias("id"), "vector").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = side.withColumnRenamed("part", "p").withColumn("q", every)
+    right = side.select(*(F.col(x).alias(x) for x in side.columns)).withColumnRenamed("part", "q").withColumn("p", every)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["x", "y", "source", "target", "score"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: np.empty(0, np.float64 if n == "score" else np.int64) for n in names})
+        unit = lambda x: (lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True)))(np.stack(x["vector"].to_list()).astype(np.float64))
+        b = b.sort_values("id")
+        mine, ids, u, v = a["id"].to_numpy(), b["id"].to_numpy(), unit(a), unit(b)
+        earlier, sources, targets, scores = np.searchsorted(ids, mine), [], [np.empty(0, np.int64)], [np.empty(0)]
+        for start in range(0, len(u), 256):
+            for i, rough in enumerate(u[start : start + 256] @ v.T, start):
+                rough = rough[: earlier[i]]
+                least = t if len(rough) <= k else max(t, np.partition(rough, len(rough) - k)[-k])
+                near = np.flatnonzero(rough >= least - 1e-9)
+                s = (v[near] * u[i]).sum(axis=1)
+                top = np.lexsort((ids[near], -s))[:k]
+                top = top[s[top] >= t]
+                sources.append(np.full(len(top), mine[i]))
+                targets.append(ids[near[top]])
+                scores.append(s[top])
+        bank = {n: np.full(sum(map(len, sources)), a[n].iloc[0]) for n in names[:2]}
+        return pd.DataFrame({**bank, "source": np.concatenate(sources), "target": np.concatenate(targets), "score": np.concatenate(scores)})
+
+    found = left.groupBy("bank", "p", "q").cogroup(right.groupBy("bank", "p", "q")).applyInPandas(best, "x long, y long, source long, target long, score double")
+    return rank_top(found, ["x", "y", "source"], k, F.desc("score"), F.asc("target")).select("source", "target", "score")
 
 
 def concept_match(queries: DataFrame, nodes: DataFrame, min_overlap: float = 0.0, symmetric: bool = False) -> DataFrame:

@@ -147,6 +147,27 @@ def test_sliding_normalize_takes_all_events(spark, tmp_path):
             assert got[i] == (pytest.approx(unit(root[i]), abs=2e-6), pytest.approx(scale, abs=2e-6))
 
 
+def test_link_similar_deals_a_bank_to_many_tasks(spark, monkeypatch):
+    from mnemoloom.operators import graph as G
+
+    monkeypatch.setattr(G, "LINK_ROWS", 40)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 8))
+    rows = [("hot" if i % 3 else f"b{i % 2}", i, base[rng.integers(30)].tolist() if i % 4 else rng.normal(size=8).tolist()) for i in range(240)]
+    rows += [("b0" if i % 3 else "other", i, rng.normal(size=8).tolist()) for i in range(0, 240, 5)]
+    df = spark.createDataFrame(rows, "bank string, memory_id long, vector array<float>")
+    want = []
+    for bank, i, v in rows:
+        unit = lambda x: (lambda y: y / np.sqrt((y * y).sum()))(np.array(x, np.float32).astype(float))
+        best = sorted((-float((unit(w) * unit(v)).sum()), j) for b, j, w in rows if b == bank and j < i)[:4]
+        want += [(i, j, round(-s, 9)) for s, j in best if -s >= 0.4]
+    got = G.link_similar(df, 4, 0.4)
+    assert sorted((r.source, r.target, round(r.score, 9)) for r in got.collect()) == sorted(want)
+    assert G.link_similar(df.limit(0), 4, 0.4).count() == 0
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas [bank" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_haystack_error(spark):
     df = spark.createDataFrame([(1, ["a"], ["x", "y"])], "id long, p array<string>, q array<string>")
     with pytest.raises(Exception, match="unequal"):

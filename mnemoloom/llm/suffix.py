@@ -188,8 +188,9 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
 
     One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of
     the remaining bytes). Strings are judged on the input; repeats inside one document do not count;
-    matches never cross documents. Exact: every string of the corpus is under one anchor, and anchors and
-    contexts are compared over all documents. ``length`` must be 24 to 100.
+    matches never cross documents. Every string of the corpus is under one anchor, and anchors and contexts
+    are compared over all documents; whole contexts by 64-bit hash without byte verification, so exact but
+    for collisions. ``length`` must be 24 to 100.
 
     Defined cases: null text is empty; a null doc_id neither removes nor loses bytes; rows with equal
     doc_id do not remove each other's bytes; extra columns are ignored.

@@ -2,10 +2,11 @@
 
 Every string of ``length`` bytes is governed by one anchor: the least of its k-gram hashes, leftmost on
 ties. Equal strings have equal anchors at equal places, so only strings under equal anchors can be
-equal. Strings under one anchor of a document form its context (neighbouring windows, 84 bytes at
-most). Contexts that a smaller document has as they are need no more; contexts that share an anchor
-but differ go to a suffix sort: mergesort in which two suffixes are compared by binary search for
-their longest common extension on prefix polynomial hashes, and equal neighbours are verified by bytes.
+equal. Neighbouring strings under one anchor form a context. Anchors are counted first, and those of one document
+alone are dropped; the contexts under the others travel as text to their anchor's bucket. There equal contexts are
+collapsed, each compared byte by byte with the one that stands for it, and what is left of an anchor goes to a suffix
+sort: mergesort in which two suffixes are compared by binary search for their longest common extension on prefix
+polynomial hashes, and equal neighbours are verified by bytes. No result rests on a hash alone.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoloom.llm import votes as V
-from mnemoloom.llm.common import arrays, runs
+from mnemoloom.llm.common import arrays, blobs, runs
 from mnemoloom.session import stage
 
-GRAM = 16
-#: Suffixes that are sorted at once, but for whole groups.
-WINDOWS = 150_000
+#: Texts travel in runs of about so many bytes, and long ones are cut into pieces of so many; a bucket takes the anchors of about BUCKET bytes.
+RUN, PIECE, BUCKET = 1 << 20, 1 << 20, 16 << 20
+#: Of an anchor with more contexts than this, the strings are dealt by their content instead of the anchor.
+HOT = 1 << 14
+#: Strings that are worked on at once, but for whole anchors; contexts that a task remembers, so as to send each once.
+WINDOWS, REMEMBERED = 400_000, 200_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +61,8 @@ def prefix_hashes(buffer: np.ndarray) -> np.ndarray:
 
 def contexts(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(text number, first window, last window, anchor, anchor hash, context hash) of every context, in order; places are in the text."""
-    window = length - GRAM + 1
+    gram = min(24, 2 * length // 3)
+    window = length - gram + 1
     sizes = np.array([len(t) for t in texts], np.int64)
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     n = len(buffer)
@@ -63,7 +70,7 @@ def contexts(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         return none.astype(np.int32), none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     p, inverse = prefix_hashes(buffer), powers(INVERSE, n)
-    grams = mixed((p[GRAM:] - p[:-GRAM]) * inverse[: n - GRAM + 1])
+    grams = mixed((p[gram:] - p[:-gram]) * inverse[: n - gram + 1])
     least = grams >> np.uint64(32) << np.uint64(32) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= window:
@@ -169,143 +176,344 @@ class SuffixSort:
         return out
 
 
-HALF = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.binary()), ("stops", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("pending", pa.binary()), ("open", pa.binary()), ("strings", pa.binary())]
-HALF_DDL = "doc_id long, text_hash long, n_bytes long, starts binary, stops binary, n_removed long, n_spans long, kept_sha256 string, pending binary, open binary, strings binary"
-META = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("group", "<i8"), ("left", "<i4"), ("first", "<i8"), ("size", "<i4")])
-PACKED = [("bucket", pa.int32()), ("items", pa.int64()), ("size", pa.int64()), ("z", pa.binary())]
-FOUND = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.binary())]
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RUNS = [("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("size", pa.int64()), ("z", pa.binary())]
+RUNS_DDL = "run long, ids array<long>, sizes array<long>, size long, z binary"
+VOTES = [("bucket", pa.int32()), ("run", pa.int64()), ("known", pa.binary()), ("keys", pa.binary()), ("more", pa.binary())]
+VOTES_DDL = "bucket int, run long, known binary, keys binary, more binary"
+ANSWERS = [("run", pa.int64()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())]
+ANSWERS_DDL = "run long, bucket int, shared binary, hot binary"
+PACKED = [("bucket", pa.int32()), ("run", pa.int64()), ("items", pa.int32()), ("size", pa.int64()), ("z", pa.binary()), ("spans", pa.binary())]
+PACKED_DDL = "bucket int, run long, items int, size long, z binary, spans binary"
+FOUND = [("run", pa.int64()), ("spans", pa.binary())]
+RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+RESULT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+MORE = np.dtype([("key", "<u4"), ("count", "<u4")])
+SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("size", "<u4")])
+#: Columns of the contexts in a packed row, in their order there.
+COLUMNS = (("doc_id", "<i8"), ("doc", "<u4"), ("first", "<u4"), ("key", "<u4"), ("left", "u1"), ("windows", "u1"))
+HASH, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
-def _ending(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, str]:
-    spans = V.merged_spans(starts, stops)
-    kept = V.without(text, spans)
-    return len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
+def _zip(raw: bytes) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True)
 
 
-def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def _unzip(z: bytes, size: int) -> bytes:
+    return pa.decompress(z, size, "zstd", asbytes=True) if size else b""
+
+
+def _bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """Spans column by column in zstd, in order of place."""
+    order = np.lexsort((start, doc))
+    return len(order).to_bytes(4, "little") + _zip(b"".join(c[order].astype("<u4").tobytes() for c in (doc, start, size)))
+
+
+def _read_spans(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    out = np.empty(n, SPAN)
+    out["doc"], out["start"], out["size"] = np.frombuffer(_unzip(raw[4:], 12 * n), "<u4").reshape(3, n)
+    return out
+
+
+def _texts(row: dict) -> list[bytes]:
+    raw, ends = _unzip(row["z"], row["size"]), np.cumsum([0, *row["sizes"]]).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of whole texts, each run one row; its number is the task's and a count."""
+    part, count = TaskContext.get().partitionId(), 0
+    for batch in runs(batches, "text", RUN):
+        texts = blobs(batch.column("text"))
+        raw = b"".join(texts)
+        yield arrays(RUNS, [[part << 32 | count], [batch.column("doc_id").to_pylist()], [[len(t) for t in texts]], [len(raw)], [_zip(raw)]])
+        count += 1
+
+
+def _pieces(ids: list, texts: list[bytes], length: int, buckets: int, piece: int) -> Iterator[tuple]:
+    """Contexts of a run, about ``piece`` bytes at a time: (texts, text number, offset in its document, document's place in the
+    run, its id, first, last, anchor, identity of the anchor, context hash).
+
+    An identity is the bucket and 32 bits of the hash. Rows without an id have no contexts. Pieces of a long text overlap
+    by ``length - 1`` bytes, so that each string is in one of them.
+    """
+    doc, parts, offsets, held = [], [], [], 0
+
+    def ready() -> tuple:
+        owner, first, last, anchor, gram, ctx = contexts(parts, length)
+        at = np.array(doc, np.int64)
+        ident = (gram >> HASH) % np.uint64(buckets) << HASH | gram & LOW
+        return parts, owner, np.array(offsets, np.int64), at[owner], np.array([ids[i] for i in doc], np.int64)[owner], first, last, anchor, ident, ctx
+
+    for i, text in enumerate(texts):
+        if ids[i] is None:
+            continue
+        for start in range(0, max(1, len(text) - length + 1), piece):
+            doc.append(i)
+            parts.append(text[start : start + piece + length - 1])
+            offsets.append(start)
+            held += len(parts[-1])
+            if held >= piece:
+                yield ready()
+                doc, parts, offsets, held = [], [], [], 0
+    if parts:
+        yield ready()
+
+
+def _distinct(pieces: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run: its anchors' identities, sorted; whether two documents of it have the anchor; how many contexts it has there."""
+    ident, own, ctx = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), *((p[8], p[4], p[9]) for p in pieces), strict=True))
+    order = np.lexsort((ctx, ident))
+    ident, own, ctx = ident[order], own[order], ctx[order]
+    heads = np.flatnonzero(np.append(True, ident[1:] != ident[:-1])[: len(ident)])
+    if not len(heads):
+        return ident, np.zeros(0, bool), np.zeros(0, np.int64)
+    fresh = np.append(True, (ident[1:] != ident[:-1]) | (ctx[1:] != ctx[:-1]))
+    return ident[heads], np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads), np.add.reduceat(fresh, heads, dtype=np.int64)
+
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, stop) of a sorted column of buckets."""
+    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    yield from zip(bucket[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(bucket)][: len(heads)], strict=True)
+
+
+def _whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of one bucket after another, of rows sorted by bucket."""
+    bucket, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket and rows:
+                yield bucket, rows
+                rows = []
+            bucket = row["bucket"]
+            rows.append(row)
+    if rows:
+        yield bucket, rows
+
+
+def _count(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """For each run and bucket: bits of the anchors that two documents or more have, and of those with more than ``hot`` contexts."""
+    for bucket, rows in _whole_buckets(batches):
+        every, votes = np.unique(np.frombuffer(b"".join(r["keys"] for r in rows), "<u4"), return_counts=True)
+        more = np.frombuffer(b"".join(r["more"] for r in rows), MORE)
+        total = votes + np.bincount(np.searchsorted(every, more["key"]), more["count"], len(every)).astype(np.int64)
+        out: list[list] = [[] for _ in ANSWERS]
+        for r in rows:
+            at = np.searchsorted(every, np.frombuffer(r["keys"], "<u4"))
+            shared = _bits(r["known"], len(at)) | (votes[at] > 1)
+            if shared.any():
+                for column, x in zip(out, (r["run"], bucket, np.packbits(shared).tobytes(), np.packbits(total[at] > hot).tobytes()), strict=True):
+                    column.append(x)
+        yield arrays(ANSWERS, out)
+
+
+def _copies(buffer: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each stretch of the buffer, one that stands for it: of equal keys, sizes and bytes that with the least id. Found by hash, then
+    each stretch is compared with its stand-in byte by byte; one that differs stands for itself."""
+    p, inverse = prefix_hashes(buffer), powers(INVERSE, len(buffer) + 1)
+    content = mixed((p[start + size] - p[start]) * inverse[start] + mixed(key + size.astype(np.uint64)))
+    order = np.lexsort((own, content))
+    heads = np.append(True, content[order][1:] != content[order][:-1])
+    stands = np.empty(len(order), np.int64)
+    stands[order] = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
+    ask = np.flatnonzero(stands != np.arange(len(stands)))
+    for k in range(0, len(ask), 1 << 15):
+        a = ask[k : k + (1 << 15)]
+        b, n = stands[a], size[a]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        longest = np.minimum(np.repeat(start[b], n) + step, len(buffer) - 1)
+        differ = buffer[np.repeat(start[a], n) + step] != buffer[longest]
+        bad = (np.add.reduceat(differ, np.cumsum(n) - n) > 0) | (size[b] != n) | (key[b] != key[a])
+        stands[a[bad]] = a[bad]
+    return stands
+
+
+def _settle(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of the contexts in a bucket, the strings that a smaller document has: by equal contexts, then by the suffix sort of those left."""
+    for _, rows in _whole_buckets(batches):
+        columns: dict[str, list] = {c: [] for c, _ in COLUMNS}
+        where, raw = [], []
+        for k, r in enumerate(rows):
+            if r["spans"]:
+                yield arrays(FOUND, [[r["run"]], [r["spans"]]])
+            plain, at, n = _unzip(r["z"], r["size"]), 0, r["items"]
+            for c, kind in COLUMNS:
+                columns[c].append(np.frombuffer(plain, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            where.append(np.full(n, k))
+            raw.append(plain[at:])
+        own, doc, first, ident, left, windows = (np.concatenate(columns[c]).astype(np.int64) for c, _ in COLUMNS)
+        of, buffer = np.concatenate(where), np.frombuffer(b"".join(raw), np.uint8)
+        del columns, raw, where
+        size = windows + length - 1
+        begin = np.cumsum(size) - size
+        order = np.argsort(ident, kind="stable")
+        total, ends = np.cumsum(windows[order]), np.flatnonzero(np.append(np.diff(ident[order]) != 0, True)[: len(order)]) + 1
+        hits, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        while at < len(order):  # whole anchors, about WINDOWS strings at a time
+            base = total[at - 1] if at else 0
+            stop = int(ends[max(np.searchsorted(ends, at, side="right"), np.searchsorted(total[ends - 1], base + WINDOWS, side="right") - 1)])
+            mine = order[at:stop]
+            at = stop
+            n = size[mine]
+            starts = np.cumsum(n) - n
+            part = buffer[np.repeat(begin[mine] - starts, n) + np.arange(n.sum())]
+            stands = _copies(part, starts, n, (ident[mine] << 8 | left[mine]).astype(np.uint64), own[mine])
+            whole = np.flatnonzero(own[mine][stands] < own[mine])
+            hits.append((mine[whole], np.zeros(len(whole), np.int64), n[whole]))
+            # What stands for itself (or repeats within its document) is sorted, if several documents still have its anchor.
+            rest = np.flatnonzero(own[mine][stands] >= own[mine])
+            heads = np.flatnonzero(np.append(True, np.diff(ident[mine][rest]) != 0)[: len(rest)])
+            several = np.minimum.reduceat(own[mine][rest], heads) != np.maximum.reduceat(own[mine][rest], heads)
+            rest = rest[np.repeat(several, np.diff(np.append(heads, len(rest))))]
+            if not len(rest):
+                continue
+            w = windows[mine][rest]
+            owner = np.repeat(rest, w)
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(w) - w, w)
+            cls = SuffixSort(part, length).classes(starts[owner] + step, (ident[mine] * 256 + left[mine])[owner] - step)
+            least = np.full(cls.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, cls, own[mine][owner])
+            hit = np.flatnonzero(own[mine][owner] > least[cls])
+            new = np.append(True, (np.diff(owner[hit]) != 0) | (np.diff(step[hit]) != 1))[: len(hit)]
+            a, z = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
+            hits.append((mine[owner[a]], step[a], step[z] - step[a] + length))
+        which, offset, sizes = (np.concatenate(x) for x in zip(*hits, strict=True))
+        by_run = np.argsort(of[which], kind="stable")
+        which, offset, sizes = which[by_run], offset[by_run], sizes[by_run]
+        for k, i, j in _slices(of[which]):
+            yield arrays(FOUND, [[rows[k]["run"]], [_spans(doc[which[i:j]], first[which[i:j]] + offset[i:j], sizes[i:j])]])
+
+
+def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of
     the remaining bytes). Strings are judged on the input; repeats inside one document do not count;
-    matches never cross documents. Every string of the corpus is under one anchor, and anchors and contexts
-    are compared over all documents; whole contexts by 64-bit hash without byte verification, so exact but
-    for collisions. ``length`` must be 24 to 100.
+    matches never cross documents. Exact: hashes propose, bytes decide. ``length`` must be 24 to 100.
 
     Defined cases: null text is empty; a null doc_id neither removes nor loses bytes; rows with equal
-    doc_id do not remove each other's bytes; extra columns are ignored.
+    doc_id do not remove each other's bytes; extra columns are ignored; an empty table gives no rows.
 
-    Scale: see ``votes`` for the first exchange. Texts are shuffled once; texts with open contexts, and
-    the contexts, once more. A context travels once for the smallest document that has it.
+    Scale: texts are stored once, in compressed runs, and meet answers twice by run number. Anchors are counted by 4 bytes a
+    run and anchor, in buckets whose number follows the bytes of the table; a bucket is worked on alone. Only contexts under
+    anchors of two documents or more travel as text, each once for the smallest document of a task that has it (as far as the
+    task remembers). An anchor with more than ``hot`` contexts is split: its strings are dealt by their content, so that no
+    task gets more than ``hot`` contexts of an anchor, however common the phrase around it.
     """
     if not 24 <= length <= 100:
         raise ValueError("length must be 24 to 100")
-    rows = V.prepared(docs, id_col, text_col)
-    n = buckets or V.bucket_count(docs)
-
-    def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        owner, _, _, _, gram, ctx = contexts(texts, length)
-        return owner, gram >> np.uint64(32), (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32), ctx
-
-    answers = V.gathered(V.count_votes(V.cast_votes(rows, keys, n), n, True))
-
-    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "z", V.RUN // 2):
-            out: list[list] = [[] for _ in HALF[2:]]
-            for z, size, found in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                text = V.plain(z, size)
-                starts = stops = np.zeros(0, np.int64)
-                pending, strings = np.zeros(0, META), b""
-                if found:
-                    _, first, last, anchor, gram, _ = contexts([text], length)
-                    bucket = (gram >> np.uint64(32)) % np.uint64(n)
-                    copied, opened = V.read_answers(bucket.astype(np.int32), found)
-                    starts, stops = first[copied], last[copied] + length
-                    at = np.flatnonzero(opened)
-                    pending = np.zeros(len(at), META)
-                    pending["group"] = (bucket[at] << np.uint64(32) | gram[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    pending["left"], pending["first"], pending["size"] = anchor[at] - first[at], first[at], last[at] + length - first[at]
-                    strings = b"".join([text[i : i + k] for i, k in zip(first[at].tolist(), pending["size"].tolist(), strict=True)])
-                asks = any(x["asks"] for x in found or ())
-                ending = (None, None, None, z) if asks else (*_ending(text, starts, stops), None)
-                for column, v in zip(out, (len(text), starts.tobytes(), stops.tobytes(), *ending, pending.tobytes() or None, strings or None), strict=True):
-                    column.append(v)
-            yield arrays(HALF, [batch.column("doc_id"), batch.column("text_hash"), *out])
-
-    half = stage(V.compressed(rows).join(answers, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "n_bytes", "z", "answers").mapInArrow(settle, HALF_DDL), "suffix-half")
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "strings"):
-            meta = np.concatenate([np.frombuffer(x, META) for x in batch.column("open").to_pylist()])
-            counts = [len(x) // META.itemsize for x in batch.column("open").to_pylist()]
-            meta["doc_id"] = np.repeat(batch.column("doc_id").to_numpy(), counts)
-            meta["text_hash"] = np.repeat(batch.column("text_hash").to_numpy(), counts)
-            strings = b"".join(batch.column("strings").to_pylist())
-            stops = np.cumsum(meta["size"].astype(np.int64))
-            starts = stops - meta["size"]
-            where = mixed(meta["group"].astype(np.uint64)) % np.uint64(parts)
-            out: list[list] = [[] for _ in PACKED]
-            for k in np.unique(where):
-                at = np.flatnonzero(where == k)
-                blob = meta[at].tobytes() + b"".join([strings[i:j] for i, j in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
-                for column, v in zip(out, (int(k), len(at), len(blob), pa.compress(blob, "zstd", asbytes=True)), strict=True):
-                    column.append(v)
-            yield arrays(PACKED, out)
-
-    def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        metas, texts = [], []
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    table = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_gather, RUNS_DDL), "suffix-runs")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(4, parts, (table.agg(F.sum("size")).first()[0] or 0) // BUCKET)
+
+    def cast(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, size, z in zip(batch.column("items").to_pylist(), batch.column("size").to_pylist(), batch.column("z").to_pylist(), strict=True):
-                blob = V.plain(z, size)
-                metas.append(np.frombuffer(blob, META, n))
-                texts.append(blob[n * META.itemsize :])
-        if not metas:
-            return
-        meta, raw = np.concatenate(metas), b"".join(texts)
-        ids, hashes, group, left, first, sizes = (meta[c].astype(np.int64) for c in META.names)
-        windows, begin = sizes - length + 1, np.cumsum(sizes) - sizes
-        by_group = np.argsort(group, kind="stable")
-        total, ends = np.cumsum(windows[by_group]), np.flatnonzero(np.append(np.diff(group[by_group]) != 0, True)) + 1
-        at = 0
-        while at < len(by_group):  # whole groups, about WINDOWS suffixes at a time
-            base = total[at - 1] if at else 0
-            stop = int(ends[min(len(ends) - 1, max(np.searchsorted(ends, at, side="right"), np.searchsorted(total[ends - 1], base + WINDOWS, side="right") - 1))])
-            mine = by_group[at:stop]
-            at = stop
-            buffer = np.frombuffer(b"".join([raw[begin[i] : begin[i] + sizes[i]] for i in mine]), np.uint8)
-            starts = np.cumsum(sizes[mine]) - sizes[mine]
-            owner = np.repeat(np.arange(len(mine)), windows[mine])
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(windows[mine]) - windows[mine], windows[mine])
-            key = group[mine][owner] * 128 + left[mine][owner] - step
-            cls = SuffixSort(buffer, length).classes(starts[owner] + step, key)
-            own = ids[mine][owner]
-            least = np.full(cls.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, cls, own)
-            hit = np.flatnonzero(own > least[cls])
-            who, place = owner[hit], first[mine][owner[hit]] + step[hit]
-            cuts = np.flatnonzero(np.diff(who)) + 1
-            heads = np.concatenate([[0], cuts]) if len(who) else np.zeros(0, np.int64)
-            parts_ = np.split(place, cuts) if len(who) else []
-            yield arrays(FOUND, [ids[mine][who[heads]], hashes[mine][who[heads]], [x.tobytes() for x in parts_]])
-
-    packed = half.where("open is not null").select("doc_id", "text_hash", "open", "strings").mapInArrow(pack, "bucket int, items long, size long, z binary")
-    found = packed.repartition(parts, "bucket").mapInArrow(sort, "doc_id long, text_hash long, starts binary")
-    more = found.groupBy("doc_id", "text_hash").agg(F.collect_list("starts").alias("more"))
+            for row in batch.to_pylist():
+                ident, known, count = _distinct(_pieces(row["ids"], _texts(row), length, n, piece))
+                out: list[list] = [[] for _ in VOTES]
+                for k, i, j in _slices((ident >> HASH).astype(np.int64)):
+                    several = np.flatnonzero(count[i:j] > 1) + i
+                    more = np.empty(len(several), MORE)
+                    more["key"], more["count"] = ident[several] & LOW, count[several] - 1
+                    for column, x in zip(out, (k, row["run"], np.packbits(known[i:j]).tobytes(), (ident[i:j] & LOW).astype("<u4").tobytes(), more.tobytes()), strict=True):
+                        column.append(x)
+                yield arrays(VOTES, out)
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The contexts under shared anchors; those equal to one that the task has sent for a smaller document are settled here."""
+        sent: dict[bytes, int] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts = _texts(row)
+                pieces = list(_pieces(row["ids"], texts, length, n, piece))
+                ident, _, _ = _distinct(pieces)
+                answer = {a["bucket"]: a for a in row["answers"] or ()}
+                shared, common = np.zeros(len(ident), bool), np.zeros(len(ident), bool)
+                for k, i, j in _slices((ident >> HASH).astype(np.int64)):
+                    if k in answer:
+                        shared[i:j], common[i:j] = _bits(answer[k]["shared"], j - i), _bits(answer[k]["hot"], j - i)
+                done: list[np.ndarray] = []
+                fields: list[list[np.ndarray]] = [[] for _ in range(7)]
+                strings: list[bytes] = []
+                for parts_, owner, offset, doc, own, first, last, anchor, key, _ in pieces:
+                    place = np.searchsorted(ident, key)
+                    plain = np.flatnonzero(shared[place] & ~common[place])
+                    split = np.flatnonzero(shared[place] & common[place])
+                    windows = (last - first + 1)[split]
+                    each = np.repeat(split, windows)
+                    step = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
+                    at = np.concatenate([plain, each])
+                    begin = np.concatenate([first[plain], first[each] + step])
+                    count = np.concatenate([(last - first + 1)[plain], np.ones(len(each), np.int64)])
+                    left = anchor[at] - begin
+                    new, keep = [], np.zeros(len(at), bool)
+                    for i, (o, a, w, x, d) in enumerate(zip(owner[at].tolist(), begin.tolist(), count.tolist(), left.tolist(), own[at].tolist(), strict=True)):
+                        string = parts_[o][a : a + w + length - 1]
+                        mark = string + bytes([x])
+                        known = sent.get(mark)
+                        if known is None or known >= d:
+                            if len(sent) >= REMEMBERED:
+                                sent.clear()
+                            sent[mark] = d
+                            new.append(string)
+                            keep[i] = True
+                    low, bucket = (key[at] & LOW).astype(np.int64), (key[at] >> HASH).astype(np.int64)
+                    by_content = np.array([xxhash.xxh3_64_intdigest(s) for s in new], np.uint64) if len(each) else np.zeros(0, np.uint64)
+                    if len(each):
+                        content = np.zeros(len(at), np.uint64)
+                        content[keep] = by_content
+                        low[len(plain) :] = (content & LOW).astype(np.int64)[len(plain) :]
+                        bucket[len(plain) :] = ((content >> HASH) % np.uint64(n)).astype(np.int64)[len(plain) :]
+                    start = begin + offset[owner[at]]
+                    gone = np.empty(int((~keep).sum()), SPAN)
+                    gone["doc"], gone["start"], gone["size"] = doc[at][~keep], start[~keep], (count + length - 1)[~keep]
+                    done.append(gone)
+                    for field, x in zip(fields, (bucket, own[at], doc[at], start, low, left, count), strict=True):
+                        field.append(x[keep])
+                    strings += new
+                if not done:
+                    continue
+                bucket, *columns = (np.concatenate(f) for f in fields)
+                gone = np.concatenate(done)
+                order = np.argsort(bucket, kind="stable")
+                out: list[list] = [[] for _ in PACKED]
+                for k, i, j in _slices(bucket[order]):
+                    mine = order[i:j]
+                    blob = b"".join([*(c[mine].astype(kind).tobytes() for c, (_, kind) in zip(columns, COLUMNS, strict=True)), *(strings[q] for q in mine.tolist())])
+                    for column, x in zip(out, (k, row["run"], len(mine), len(blob), _zip(blob), None), strict=True):
+                        column.append(x)
+                if len(gone):
+                    for column, x in zip(out, (row["run"] % n, row["run"], 0, 0, b"", _spans(gone["doc"], gone["start"], gone["size"])), strict=True):
+                        column.append(x)
+                yield arrays(PACKED, out)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, "pending"):
-            out: list[list] = [[] for _ in range(4)]
-            for r in batch.to_pylist():
-                place = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in r["more"] or ())])
-                starts = np.concatenate([np.frombuffer(r["starts"], np.int64), place])
-                stops = np.concatenate([np.frombuffer(r["stops"], np.int64), place + length])
-                text = V.plain(r["pending"], r["n_bytes"])
-                for column, v in zip(out, (len(text), *_ending(text, starts, stops)), strict=True):
-                    column.append(v)
-            yield arrays([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())], [batch.column("doc_id"), *out])
-
-    done = half.where("pending is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    rest = half.where("pending is not null").select("doc_id", "text_hash", "n_bytes", "starts", "stops", "pending").join(more, ["doc_id", "text_hash"], "left")
-    return done.unionByName(rest.select("doc_id", "n_bytes", "starts", "stops", "pending", "more").mapInArrow(finish, RESULT))
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts = _texts(row)
+                found = np.concatenate([np.zeros(0, SPAN), *(_read_spans(x) for x in row["found"] or ())])
+                found = found[np.argsort(found["doc"], kind="stable")]
+                cuts = np.searchsorted(found["doc"], np.arange(len(texts) + 1))
+                out: list[list] = [[] for _ in RESULT]
+                for i, (doc, text) in enumerate(zip(row["ids"], texts, strict=True)):
+                    mine = found[cuts[i] : cuts[i + 1]]
+                    start = mine["start"].astype(np.int64)
+                    spans = V.merged_spans(start, start + mine["size"])
+                    kept = V.without(text, spans)
+                    for column, x in zip(out, (doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
+                        column.append(x)
+                yield arrays(RESULT, out)
+
+    votes = table.mapInArrow(cast, VOTES_DDL).repartition(n, "bucket").sortWithinPartitions("bucket")
+    answers = votes.mapInArrow(lambda batches: _count(batches, hot), ANSWERS_DDL).groupBy("run").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))
+    packed = table.join(answers, "run", "left").mapInArrow(send, PACKED_DDL).repartition(n, "bucket").sortWithinPartitions("bucket")
+    found = packed.mapInArrow(lambda batches: _settle(batches, length), "run long, spans binary").groupBy("run").agg(F.collect_list("spans").alias("found"))
+    return table.join(found, "run", "left").mapInArrow(finish, RESULT_DDL)

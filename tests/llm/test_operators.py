@@ -327,6 +327,28 @@ def test_suffix_equals_brute_force(spark, length):
         assert sorted((tuple(r) for r in got.collect()), key=str) == suffix_expected(rows, length)
 
 
+def test_suffix_splits_hot_anchors_and_long_texts(spark):
+    """Anchors with more than two contexts are dealt by content, and texts are cut into pieces of 100 bytes: same results."""
+    line = "every page of this site ends with the same long line of words, "
+    rng = random.Random(4)
+    rows = [*tangled_rows(30, 6), *[(100 + i, "".join(rng.choice("xyz ") for _ in range(rng.randrange(90))) + line + "".join(rng.choice("xyz ") for _ in range(90))) for i in range(40)], *edge_rows()]
+    got = suffix.dedup_repeats(docs_frame(spark, rows).repartition(3), 50, buckets=7, hot=2, piece=100)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == suffix_expected(rows, 50)
+
+
+def test_suffix_verifies_equal_hashes_by_bytes(monkeypatch):
+    """Contexts of which every hash is equal are still told apart: only equal bytes, keys and sizes share a stand-in."""
+    monkeypatch.setattr(suffix, "prefix_hashes", lambda b: np.zeros(len(b) + 1, np.uint64))
+    monkeypatch.setattr(suffix, "mixed", lambda x: x * np.uint64(0))
+    pool = [b"a" * 50, b"a" * 49 + b"b", b"c" * 60, b"a" * 51]
+    rng = random.Random(2)
+    drawn = [rng.choice(pool) for _ in range(200)]
+    size = np.array([len(x) for x in drawn])
+    key, own = np.array([rng.randrange(2) for _ in drawn]).astype(np.uint64), np.array([rng.randrange(50) for _ in drawn])
+    stands = suffix._copies(np.frombuffer(b"".join(drawn), np.uint8), np.cumsum(size) - size, size, key, own)
+    assert all(drawn[i] == drawn[j] and key[i] == key[j] and own[j] <= own[i] for i, j in enumerate(stands))
+
+
 def test_suffix_empty_and_periodic(spark):
     assert suffix.dedup_repeats(docs_frame(spark, [])).count() == 0
     rows = [(1, "ab" * 200), (2, "ba" * 100 + "x" + "ab" * 30), (3, "a" * 500), (4, "a" * 49), (5, "a" * 51)]

@@ -16,7 +16,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +24,12 @@ from mnemoloom.llm import votes as V
 from mnemoloom.llm.common import arrays, blobs, runs
 from mnemoloom.session import stage
 
-#: Texts travel in runs of about so many bytes, and long ones are cut into pieces of so many; a bucket takes the anchors of about BUCKET bytes.
-RUN, PIECE, BUCKET = 1 << 20, 1 << 20, 16 << 20
+#: Texts travel in runs of about so many bytes, and are worked on in pieces of so many; a bucket takes the anchors of about BUCKET bytes.
+RUN, PIECE, BUCKET = 1 << 20, 1 << 17, 16 << 20
 #: Of an anchor with more contexts than this, the strings are dealt by their content instead of the anchor.
 HOT = 1 << 14
-#: Strings that are worked on at once, but for whole anchors; contexts that a task remembers, so as to send each once.
-WINDOWS, REMEMBERED = 400_000, 200_000
+#: Strings that are worked on at once, but for whole anchors.
+WINDOWS = 200_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTES = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -235,8 +234,8 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(ids: list, texts: list[bytes], length: int, buckets: int, piece: int) -> Iterator[tuple]:
-    """Contexts of a run, about ``piece`` bytes at a time: (texts, text number, offset in its document, document's place in the
-    run, its id, first, last, anchor, identity of the anchor, context hash).
+    """Contexts of a run, about ``piece`` bytes at a time: (the bytes, a context's place in them, its document's place in the run, its
+    id, the context's place in the document, its windows, its anchor's place after its own, identity of the anchor, context hash).
 
     An identity is the bucket and 32 bits of the hash. Rows without an id have no contexts. Pieces of a long text overlap
     by ``length - 1`` bytes, so that each string is in one of them.
@@ -245,9 +244,11 @@ def _pieces(ids: list, texts: list[bytes], length: int, buckets: int, piece: int
 
     def ready() -> tuple:
         owner, first, last, anchor, gram, ctx = contexts(parts, length)
-        at = np.array(doc, np.int64)
+        sizes = np.array([len(x) for x in parts], np.int64)
         ident = (gram >> HASH) % np.uint64(buckets) << HASH | gram & LOW
-        return parts, owner, np.array(offsets, np.int64), at[owner], np.array([ids[i] for i in doc], np.int64)[owner], first, last, anchor, ident, ctx
+        at, shift = np.array(doc, np.int64), np.array(offsets, np.int64)
+        own = np.array([ids[i] for i in doc], np.int64)
+        return b"".join(parts), first + (np.cumsum(sizes) - sizes)[owner], at[owner], own[owner], first + shift[owner], last - first + 1, anchor - first, ident, ctx
 
     for i, text in enumerate(texts):
         if ids[i] is None:
@@ -264,9 +265,33 @@ def _pieces(ids: list, texts: list[bytes], length: int, buckets: int, piece: int
         yield ready()
 
 
+def _segments(pieces: Iterable[tuple]) -> Iterator[tuple]:
+    """Pieces joined to about RUN bytes, without their context hashes."""
+    held, size = [], 0
+
+    def joined() -> tuple:
+        base = np.cumsum([0, *(len(p[0]) for p in held)])
+        places = np.concatenate([p[1] + b for p, b in zip(held, base, strict=False)])
+        return b"".join(p[0] for p in held), places, *(np.concatenate([p[i] for p in held]) for i in range(2, 8))
+
+    for p in pieces:
+        held.append(p)
+        size += len(p[0])
+        if size >= RUN:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _gathered(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of a buffer, one after another."""
+    return buffer[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 def _distinct(pieces: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a run: its anchors' identities, sorted; whether two documents of it have the anchor; how many contexts it has there."""
-    ident, own, ctx = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), *((p[8], p[4], p[9]) for p in pieces), strict=True))
+    ident, own, ctx = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), *((p[7], p[3], p[8]) for p in pieces), strict=True))
     order = np.lexsort((ctx, ident))
     ident, own, ctx = ident[order], own[order], ctx[order]
     heads = np.flatnonzero(np.append(True, ident[1:] != ident[:-1])[: len(ident)])
@@ -362,7 +387,7 @@ def _settle(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             at = stop
             n = size[mine]
             starts = np.cumsum(n) - n
-            part = buffer[np.repeat(begin[mine] - starts, n) + np.arange(n.sum())]
+            part = _gathered(buffer, begin[mine], n)
             stands = _copies(part, starts, n, (ident[mine] << 8 | left[mine]).astype(np.uint64), own[mine])
             whole = np.flatnonzero(own[mine][stands] < own[mine])
             hits.append((mine[whole], np.zeros(len(whole), np.int64), n[whole]))
@@ -402,8 +427,7 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
 
     Scale: texts are stored once, in compressed runs, and meet answers twice by run number. Anchors are counted by 4 bytes a
     run and anchor, in buckets whose number follows the bytes of the table; a bucket is worked on alone. Only contexts under
-    anchors of two documents or more travel as text, each once for the smallest document of a task that has it (as far as the
-    task remembers). An anchor with more than ``hot`` contexts is split: its strings are dealt by their content, so that no
+    anchors of two documents or more travel as text, each once for the smallest document of a run that has it. An anchor with more than ``hot`` contexts is split: its strings are dealt by their content, so that no
     task gets more than ``hot`` contexts of an anchor, however common the phrase around it.
     """
     if not 24 <= length <= 100:
@@ -428,72 +452,45 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
                 yield arrays(VOTES, out)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The contexts under shared anchors; those equal to one that the task has sent for a smaller document are settled here."""
-        sent: dict[bytes, int] = {}
+        """The contexts under shared anchors; those equal to one of a smaller document in the run are settled here."""
         for batch in batches:
             for row in batch.to_pylist():
-                texts = _texts(row)
-                pieces = list(_pieces(row["ids"], texts, length, n, piece))
+                pieces = list(_pieces(row["ids"], _texts(row), length, n, piece))
                 ident, _, _ = _distinct(pieces)
                 answer = {a["bucket"]: a for a in row["answers"] or ()}
                 shared, common = np.zeros(len(ident), bool), np.zeros(len(ident), bool)
                 for k, i, j in _slices((ident >> HASH).astype(np.int64)):
                     if k in answer:
                         shared[i:j], common[i:j] = _bits(answer[k]["shared"], j - i), _bits(answer[k]["hot"], j - i)
-                done: list[np.ndarray] = []
-                fields: list[list[np.ndarray]] = [[] for _ in range(7)]
-                strings: list[bytes] = []
-                for parts_, owner, offset, doc, own, first, last, anchor, key, _ in pieces:
-                    place = np.searchsorted(ident, key)
-                    plain = np.flatnonzero(shared[place] & ~common[place])
-                    split = np.flatnonzero(shared[place] & common[place])
-                    windows = (last - first + 1)[split]
-                    each = np.repeat(split, windows)
-                    step = np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
+                for raw, place, doc, own, first, windows, left, key in _segments(pieces):
+                    known = np.searchsorted(ident, key)
+                    plain, split = np.flatnonzero(shared[known] & ~common[known]), np.flatnonzero(shared[known] & common[known])
+                    each = np.repeat(split, windows[split])
+                    step = np.concatenate([np.zeros(len(plain), np.int64), np.arange(len(each)) - np.repeat(np.cumsum(windows[split]) - windows[split], windows[split])])
                     at = np.concatenate([plain, each])
-                    begin = np.concatenate([first[plain], first[each] + step])
-                    count = np.concatenate([(last - first + 1)[plain], np.ones(len(each), np.int64)])
-                    left = anchor[at] - begin
-                    new, keep = [], np.zeros(len(at), bool)
-                    for i, (o, a, w, x, d) in enumerate(zip(owner[at].tolist(), begin.tolist(), count.tolist(), left.tolist(), own[at].tolist(), strict=True)):
-                        string = parts_[o][a : a + w + length - 1]
-                        mark = string + bytes([x])
-                        known = sent.get(mark)
-                        if known is None or known >= d:
-                            if len(sent) >= REMEMBERED:
-                                sent.clear()
-                            sent[mark] = d
-                            new.append(string)
-                            keep[i] = True
-                    low, bucket = (key[at] & LOW).astype(np.int64), (key[at] >> HASH).astype(np.int64)
-                    by_content = np.array([xxhash.xxh3_64_intdigest(s) for s in new], np.uint64) if len(each) else np.zeros(0, np.uint64)
+                    count = np.concatenate([windows[plain], np.ones(len(each), np.int64)])
+                    size, start, lefts, keys = count + length - 1, place[at] + step, left[at] - step, key[at]
+                    buffer = np.frombuffer(raw, np.uint8)
                     if len(each):
-                        content = np.zeros(len(at), np.uint64)
-                        content[keep] = by_content
-                        low[len(plain) :] = (content & LOW).astype(np.int64)[len(plain) :]
-                        bucket[len(plain) :] = ((content >> HASH) % np.uint64(n)).astype(np.int64)[len(plain) :]
-                    start = begin + offset[owner[at]]
-                    gone = np.empty(int((~keep).sum()), SPAN)
-                    gone["doc"], gone["start"], gone["size"] = doc[at][~keep], start[~keep], (count + length - 1)[~keep]
-                    done.append(gone)
-                    for field, x in zip(fields, (bucket, own[at], doc[at], start, low, left, count), strict=True):
-                        field.append(x[keep])
-                    strings += new
-                if not done:
-                    continue
-                bucket, *columns = (np.concatenate(f) for f in fields)
-                gone = np.concatenate(done)
-                order = np.argsort(bucket, kind="stable")
-                out: list[list] = [[] for _ in PACKED]
-                for k, i, j in _slices(bucket[order]):
-                    mine = order[i:j]
-                    blob = b"".join([*(c[mine].astype(kind).tobytes() for c, (_, kind) in zip(columns, COLUMNS, strict=True)), *(strings[q] for q in mine.tolist())])
-                    for column, x in zip(out, (k, row["run"], len(mine), len(blob), _zip(blob), None), strict=True):
-                        column.append(x)
-                if len(gone):
-                    for column, x in zip(out, (row["run"] % n, row["run"], 0, 0, b"", _spans(gone["doc"], gone["start"], gone["size"])), strict=True):
-                        column.append(x)
-                yield arrays(PACKED, out)
+                        p, alone = prefix_hashes(buffer), start[len(plain) :]
+                        content = mixed((p[alone + length] - p[alone]) * powers(INVERSE, len(buffer))[alone])
+                        keys[len(plain) :] = (content >> HASH) % np.uint64(n) << HASH | content & LOW
+                    stands = _copies(buffer, start, size, keys ^ lefts.astype(np.uint64) << np.uint64(56), own[at])
+                    keep = own[at][stands] >= own[at]
+                    gone, at = np.flatnonzero(~keep), np.flatnonzero(keep)
+                    at = at[np.argsort(keys[at] >> HASH, kind="stable")]
+                    which = np.concatenate([plain, each])
+                    columns = own[which], doc[which], first[which] + step, keys & LOW, lefts, count
+                    out: list[list] = [[] for _ in PACKED]
+                    for k, i, j in _slices((keys[at] >> HASH).astype(np.int64)):
+                        mine = at[i:j]
+                        blob = b"".join([*(c[mine].astype(kind).tobytes() for c, (_, kind) in zip(columns, COLUMNS, strict=True)), _gathered(buffer, start[mine], size[mine]).tobytes()])
+                        for column, x in zip(out, (k, row["run"], len(mine), len(blob), _zip(blob), None), strict=True):
+                            column.append(x)
+                    if len(gone):
+                        for column, x in zip(out, (row["run"] % n, row["run"], 0, 0, b"", _spans(doc[which][gone], (first[which] + step)[gone], size[gone])), strict=True):
+                            column.append(x)
+                    yield arrays(PACKED, out)
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

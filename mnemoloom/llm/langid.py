@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from mnemoloom.llm.common import arrays, runs
 
-SYMBOLS, SCALE = 64, 1 << 20
+SYMBOLS, SCALE, DIMS = 64, 1 << 20, 1024
+#: Trigrams whose vectors are made at once.
+GRAMS = 1024
 #: Training uses about so many labelled texts at most, chosen by a hash of their id.
 MAX_TRAINING_TEXTS = 20_000
 UNKNOWN = "und"
@@ -62,17 +64,20 @@ def text_vectors(texts: list[str | None], dims: int, seed: int) -> Iterator[tupl
     present = np.flatnonzero(np.bincount(grams, minlength=1 << 18))
     place = np.zeros(1 << 18, np.int64)
     place[present] = np.arange(len(present))
-    width, vectors = max(1, len(present)), trigram_vectors(present, dims, seed)
-    step = max(1, (2 << 20) // width)
+    width = max(1, len(present))
+    step = max(1, (1 << 20) // width)
     for start in range(0, len(joined), step):
         stop = min(start + step, len(joined))
         a, b = np.searchsorted(owner, (start, stop))
         counts = np.bincount((owner[a:b] - start) * width + place[grams[a:b]], minlength=(stop - start) * width)
         counts = counts.reshape(stop - start, width).astype(np.float32)
-        yield start, counts[:, : len(present)] @ vectors, counts.sum(axis=1)
+        bundled = np.zeros((stop - start, dims), np.float32)
+        for j in range(0, len(present), GRAMS):
+            bundled += counts[:, j : min(j + GRAMS, len(present))] @ trigram_vectors(present[j : j + GRAMS], dims, seed)
+        yield start, bundled, counts.sum(axis=1)
 
 
-def train(labelled: DataFrame, dims: int = 512, seed: int = 7, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_texts: int = MAX_TRAINING_TEXTS) -> dict[str, np.ndarray]:
+def train(labelled: DataFrame, dims: int = DIMS, seed: int = 7, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_texts: int = MAX_TRAINING_TEXTS) -> dict[str, np.ndarray]:
     """Prototypes by label, from rows whose text and label are given. Texts without letters teach nothing.
 
     At most about ``max_texts`` rows are used: those whose hashed id falls below a fraction set by the

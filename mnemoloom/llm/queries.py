@@ -55,7 +55,7 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    held = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
     prototypes = langid.train(docs.where(~held))
     return langid.predict(docs.select("doc_id", "text"), prototypes).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 

@@ -65,9 +65,9 @@ def map_words(n: int) -> int:
     return max(MAPS, 1 << max(0, (n - 1).bit_length() - 7))
 
 
-COUNTS = "doc_id long, n int, digest binary, cell int, count long"
-PREFIXES = [("doc_id", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("rare", pa.int32()), ("key", pa.int64()), ("map", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))]
-PREFIXES_DDL = "doc_id long, n int, prefix array<long>, rare int, key long, map array<long>, wide array<long>"
+COUNTS = "doc_id long, text_hash long, n int, digest binary, cell int, count long"
+PREFIXES = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("rare", pa.int32()), ("key", pa.int64()), ("map", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))]
+PREFIXES_DDL = "doc_id long, text_hash long, n int, prefix array<long>, rare int, key long, map array<long>, wide array<long>"
 GROUP = np.dtype([("gid", "<i8"), ("n", "<i4"), ("items", "<i4")])
 PACKED = [("bucket", pa.int32()), ("groups", pa.binary()), ("tokens", pa.binary()), ("places", pa.binary())]
 POSTED = [("token", pa.int64()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
@@ -75,7 +75,8 @@ POSTED_DDL = "token long, gid long, n int, pos int"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def _survey(texts: DataFrame, words: int) -> DataFrame:
@@ -84,7 +85,7 @@ def _survey(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, pending = np.zeros(CELLS, np.int64), 0, []
         names = [x.split()[0] for x in COUNTS.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
 
         def count() -> None:
             nonlocal held, pending
@@ -103,11 +104,11 @@ def _survey(texts: DataFrame, words: int) -> DataFrame:
             if held > CELLS:
                 count()
             empty = [None] * len(sizes)
-            yield arrays(list(zip(names, types, strict=True)), [batch.column("doc_id"), sizes, digests, empty, empty])
+            yield arrays(list(zip(names, types, strict=True)), [batch.column("doc_id"), batch.column("text_hash"), sizes, digests, empty, empty])
         count()
         often = np.flatnonzero(counts >= 4 + 4 * counts.mean())
         empty = [None] * len(often)
-        yield arrays(list(zip(names, types, strict=True)), [empty, empty, empty, often.astype(np.int32), counts[often]])
+        yield arrays(list(zip(names, types, strict=True)), [empty, empty, empty, empty, often.astype(np.int32), counts[often]])
 
     return texts.mapInArrow(run, COUNTS)
 
@@ -131,7 +132,7 @@ def _prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
         order = sent.value
         for batch in runs(batches, "text"):
             out: list[list] = [[] for _ in PREFIXES]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), blobs(batch.column("text")), strict=True):
+            for doc, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), blobs(batch.column("text")), strict=True):
                 s = shingles(text, words)
                 if doc is None or not len(s):
                     continue
@@ -139,7 +140,7 @@ def _prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
                 rank = np.argsort(level, kind="stable")[: prefix_length(len(s), percent)]
                 prefix = s[rank]
                 key = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - (1 << 63)
-                for column, v in zip(out, (doc, len(s), prefix.view(np.int64), int((level[rank] == 0).sum()), key, parity(s), parity(s, map_words(len(s)))), strict=True):
+                for column, v in zip(out, (doc, text_hash, len(s), prefix.view(np.int64), int((level[rank] == 0).sum()), key, parity(s), parity(s, map_words(len(s)))), strict=True):
                     column.append(v)
             yield arrays(PREFIXES, out)
 
@@ -224,7 +225,7 @@ def _maps_agree(x: str, y: str, percent: int, wide: bool = True) -> Column:
     return (_differing_wide(x, y) if wide else _differing(x, y)) <= n - 2 * _least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
-ZIPPED = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("z", pa.binary())]
+ZIPPED = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("z", pa.binary())]
 
 
 def _zipped(texts: DataFrame) -> DataFrame:
@@ -233,9 +234,9 @@ def _zipped(texts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, "text"):
             raw = blobs(batch.column("text"))
-            yield arrays(ZIPPED, [batch.column("doc_id"), [len(t) for t in raw], [pa.compress(t, "zstd", asbytes=True) for t in raw]])
+            yield arrays(ZIPPED, [batch.column("doc_id"), batch.column("text_hash"), [len(t) for t in raw], [pa.compress(t, "zstd", asbytes=True) for t in raw]])
 
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, z binary")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, n_bytes long, z binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -269,8 +270,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     doc_id that links reach, itself included. Exact up to equal 64-bit hashes of different shingles.
 
     Defined cases: null, empty or blank text has an empty set and is linked with nothing; a null doc_id
-    is linked with nothing and has null ids; rows that repeat a doc_id count as one document per set;
-    extra columns are ignored; an empty table gives no rows.
+    is linked with nothing and has null ids; rows that repeat a doc_id are one document with a set a row: it
+    links by each of them, and all its rows are in one component; extra columns are ignored; an empty table gives no rows.
 
     Scale: whole texts are shuffled only where their document has a candidate. Postings are slim rows;
     a shingle's centre is a minimum combined before the shuffle, and joins on hot shingles are plain
@@ -278,14 +279,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     """
     texts = _texts(docs, id_col, text_col)
     survey = stage(_survey(texts, words), "jaccard-survey")
-    each = survey.where("cell is null").select("doc_id", "n", "digest")
-    classes = each.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    reps = classes.select(F.col("class_id").alias("doc_id")).distinct()
+    each = survey.where("cell is null").select("doc_id", "text_hash", "n", "digest")
+    sets = each.where("doc_id is not null and n > 0")
+    # A class is known by a number of its own (below it is the doc_id of nodes, members and pairs) and by one row, its least (doc_id, text_hash).
+    classes = stage(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("digest", "r.*", F.monotonically_increasing_id().alias("class")), "jaccard-classes")
+    row = ["doc_id", "text_hash"]
     prefixes = stage(_prefixes(texts, words, percent, _levels(survey)), "jaccard-prefixes")
-    made = prefixes.select("doc_id", "n", "key").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    groups = made.groupBy("n", "key").agg(F.min("doc_id").alias("gid"))
-    assigned = made.join(groups, ["n", "key"]).select("gid", "doc_id")
-    members = stage(prefixes.join(assigned, "doc_id").dropDuplicates(["doc_id"]), "jaccard-members")
+    made = prefixes.select(*row, "n", "key").join(classes.select(*row, "class"), row).dropDuplicates(["class"])
+    groups = made.groupBy("n", "key").agg(F.min("class").alias("gid"))
+    assigned = made.join(groups, ["n", "key"]).select("gid", "class", *row)
+    members = stage(prefixes.join(assigned, row).dropDuplicates(["class"]).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-members")
 
     # Postings of groups: one row per prefix shingle that two groups may share.
     buckets = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
@@ -299,7 +302,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     own = m.join(c, (F.col("m.gid") == F.col("c.doc_id")) & (F.col("m.doc_id") != F.col("c.doc_id")) & _maps_agree("m", "c", percent)).select(F.col("c.doc_id").alias("a"), F.col("m.doc_id").alias("b"), _differing_wide("m", "c").alias("bits"))
     nearest = star_pairs.unionByName(own).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
     in_reach = shared.select("gid").distinct().unionByName(members.where("gid <> doc_id").select("gid").distinct()).distinct()
-    near = stage(_zipped(texts).join(members.join(in_reach, "gid", "left_semi").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
+    asked = classes.join(members.join(in_reach, "gid", "left_semi").select(F.col("doc_id").alias("class")), "class", "left_semi").select(*row, "class")
+    near = stage(_zipped(texts).join(asked, row).dropDuplicates(["class"]).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-texts")
     links = stage(_verified(stage(nearest, "jaccard-candidates"), near, words, percent), "jaccard-stars")
     labels = connected_components(links)
 
@@ -318,9 +322,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     differ = (F.col("p.component") != F.col("q.component")) & _maps_agree("p", "q", percent)
     rest = pairs.unionByName(inner).alias("r").join(p, F.col("r.g") == F.col("p.gid")).join(q, (F.col("r.h") == F.col("q.gid")) & differ).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
     links = links.unionByName(stage(_verified(stage(rest, "jaccard-candidates"), near, words, percent), "jaccard-rest"))
-    labels = connected_components(links)
-
-    named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    # A doc_id with several sets is one document: its classes are linked too.
+    several = sets.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    own_sets = sets.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class"), "digest")
+    least = own_sets.groupBy("doc_id").agg(F.min("class").alias("a"))
+    labels = connected_components(links.unionByName(own_sets.join(least, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))))
+
+    every = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    lowest = every.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = every.join(lowest, "component").select("digest", F.col("doc_id").alias("class_id"), "component_id")
+    # Rows without words follow their document's other rows, if it has any.
+    blank = each.where("n = 0 and doc_id is not null").select("doc_id").distinct()
+    followed = sets.join(blank, "doc_id", "left_semi").select("doc_id", "digest").join(named, "digest").groupBy(F.lit(0).alias("n"), "doc_id").agg(F.min("component_id").alias("followed"))
     alone = F.when(F.col("n") == 0, F.col("doc_id"))
     linked = F.col("doc_id").isNotNull()
-    return each.join(named, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(linked, F.coalesce("class_id", alone)).alias("class_id"), F.when(linked, F.coalesce("component_id", alone)).alias("component_id"))
+    found = each.join(named, "digest", "left").join(followed, ["n", "doc_id"], "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(linked, F.coalesce("class_id", alone)).alias("class_id"), F.when(linked, F.coalesce("component_id", "followed", alone)).alias("component_id"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
@@ -54,16 +55,52 @@ def test_warc(spark):
     a, b = "<html>" + "a" * 200, "é" * 80
     rows = [(5, "http://x/", a), (2, None, a), (9, "http://y/ z\r\n", a), (1, "http://z/", b), (3, "u", b), (4, "u", "short"), (6, "u", "short"), (7, "u", None), (8, "u", ""), (None, "u", a), (None, "u", "only null " * 20), (5, "http://x/", a), (11, "u", "q" * 300_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("kind", F.lit(2))
-    root, manifest = warc.write_warc(df, roll_bytes=300, partitions=3)
+    root, manifest = warc.write_warc(df, roll_bytes=300, shard_rows=4)
     got = warc.read_warc(root, manifest)
     assert sorted((tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == warc_expected(rows)
     assert all(r.payload.decode() == (dict((p, h) for p, _, h in rows)[r.page_id] or "") for r in got.where("record_type = 'response' and page_id > 5").collect())
     names = [r.name for r in manifest.collect()]
     assert len(names) > 3 and len(set(names)) == len(names)
-    root2, manifest2 = warc.write_warc(df, roll_bytes=300, partitions=3)
+    root2, manifest2 = warc.write_warc(df, roll_bytes=300, shard_rows=4)
     assert {(r.name, r.sha256) for r in manifest.collect()} == {(r.name, r.sha256) for r in manifest2.collect()}
 
 
+def test_warc_reader_finds_damage(spark):
+    """A shard that is cut (within a record or between two), changed or missing is an error, never fewer rows."""
+    rows = [(i, "u", f"{i} " * 60) for i in range(20)]
+    root, manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert warc.read_warc(root, manifest).count() == 20
+    path = root.removeprefix("file:").replace("//", "/") + "/" + manifest.first().name
+    with open(path, "rb") as f:
+        whole = f.read()
+    second = whole.index(b"\x1f\x8b\x08", 10)
+    for damaged in (whole[:-40], whole[:second], whole[:second] + whole[second:][::-1], b""):
+        with open(path, "wb") as f:
+            f.write(damaged)
+        with pytest.raises(Exception, match="record|manifest|decompress|digest|match"):
+            warc.read_warc(root, manifest).count()
+    os.remove(path)
+    with pytest.raises(Exception, match="(?i)no such file|not found|FileNotFound"):
+        warc.read_warc(root, manifest).count()
+
+
+def test_warc_shards_do_not_depend_on_the_session(spark):
+    """Equal tables give equal files, whatever the input's partitions, order and the session's number of shuffle partitions."""
+    rows = [(i * i * 7 - 50, "u", f"{i % 90} page " * 30) for i in range(300)] + [(None, "u", "without an id"), (None, None, None)]
+    made = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shuffles in ((1, "3"), (7, "5")):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            df = spark.createDataFrame(random.Random(parts).sample(rows, len(rows)), "page_id long, url string, html string").repartition(parts)
+            root, manifest = warc.write_warc(df, shard_rows=40)
+            made.append({(r.name, r.sha256, r.records) for r in manifest.collect()})
+            assert warc.read_warc(root, manifest).count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == made[1] and len(made[0]) >= 8
+
+
 def test_warc_empty(spark):
     root, manifest = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_warc(root, manifest).count() == 0
@@ -111,6 +148,13 @@ def test_packing_edges(spark):
     assert packing.pack(docs_frame(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_takes_long_runs_of_one_kind(spark):
+    """A million spaces, newlines, tabs between letters, letters or symbols: ids as the tokenizers library gives them."""
+    n = 10**6
+    rows = [(1, "x" + " " * n + "y"), (2, "\n" * n), (3, "a" * n), (4, "-" * n), (5, "x\t" * (n // 2)), (6, " \n" * (n // 2))]
+    check_pack(rows, packing.pack(docs_frame(spark, rows), tokenizer_path("byte_bpe_50k.json")).collect())
+
+
 def test_packing_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = QUERIES["op2_packing"](spark, sf_dir).collect()
@@ -266,6 +310,17 @@ def test_jaccard_equals_brute_force(spark, words, percent):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == jaccard_expected(rows, words, percent)
 
 
+def test_jaccard_one_id_with_several_texts(spark):
+    """A doc_id that comes with several texts links by each of them, whatever the order of rows."""
+    rng = random.Random(1)
+    a, b, c = (" ".join(f"w{rng.randrange(500)}" for _ in range(80)) for _ in range(3))
+    rows = [(9, a), (9, b), (5, a + " end"), (12, b + " end"), (20, c), (9, ""), (12, None), (20, ""), (30, ""), (9, a), (31, c + " tail"), (None, a)]
+    for seed in (0, 1):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        got = jaccard.jaccard_components(docs_frame(spark, shuffled).repartition(3), 3, 90).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == jaccard_expected(rows, 3, 90)
+
+
 def test_jaccard_rest_without_stars(spark, monkeypatch):
     """Links that no star finds come from the second pass."""
     real = jaccard._verified
@@ -482,6 +537,48 @@ def test_language(spark, sf_dir):
     assert got.score.between(0, 1).all() and (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
 
 
+def language_expected(rows, dims, seed):
+    """Labels and scores of texts by the definition, letter by letter, one trigram at a time."""
+    letters = langid.letter_vectors(dims, seed).astype(float)
+
+    def symbol(c):
+        if not c.isalpha():
+            return 0
+        if "a" <= c <= "z":
+            return ord(c) - 96
+        return 27 + (ord(c) - 0xDF) % 31 if 0xDF <= ord(c) <= 0xFF else 58 + ord(c) % 6
+
+    def bundle(text):
+        codes, total = [0, *map(symbol, text.lower()), 0], np.zeros(dims)
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            if b:
+                total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return total
+
+    sums = {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None and (v := bundle(text)).any():
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    protos = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    out = {}
+    for i, text, _ in rows:
+        v = bundle(text or "")
+        cosines = {k: float(v @ p / np.linalg.norm(v)) for k, p in protos.items()} if v.any() else {}
+        best = max(cosines, key=cosines.get) if cosines else "und"
+        out[i] = (best, min(1.0, max(0.0, cosines.get(best, 0.0))), sorted(cosines.values())[-2:])
+    return out
+
+
+def test_language_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 3000").limit(60).collect()
+    rows = [*map(tuple, docs), (9001, "Straße ÜBER Œuvre čeština", "de"), (9002, "中文 mixed ß", None), (9003, "ab", "xx"), (9004, None, "en"), (9005, "12 3", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = language_expected(rows, 1024, 7)
+    for r in langid.predict(df, langid.train(df)).collect():
+        label, score, top = want[r.doc_id]
+        assert abs(r.score - score) < 1e-4 and (r.lang_pred == label or top[-1] - top[0] < 1e-5)
+
+
 def test_language_edges(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "123 !!", "en"), (5, "the dog", None), (None, "die katze", None), (6, "", "de"), (7, "the " * 50_000, "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("label", F.lit(0)).withColumn("score", F.lit("old"))

@@ -4,7 +4,11 @@ The merges are compiled, one gadget per merge, into a deterministic automaton wh
 and whose paths are exactly the correct token sequences. After the merge (u, v) -> w no u may be
 followed by v: the state that u leads to is split off, without its v arc; w is allowed wherever u was
 and leads where v led. So a state is settled by the last token, and is kept as a link to the state it
-was split from plus the one arc that it lost.
+was split from plus the one arc that it lost: the arcs' table holds for each token the ranges of states that have no such arc.
+
+A word is read letter by letter through a second compiled table, of the arcs' labels: ``goto`` and ``fail`` lead from one state to the next,
+``longest`` names the longest label that ends at the letter just read and ``shorter`` the next one. The only label that may follow the path
+of what lies before it is the one that the arcs' table allows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from mnemoloom.llm.common import arrays, runs
 
 #: Words, and arcs, that a worker remembers; at this many the memory starts anew.
 WORDS_KEPT, ARCS_KEPT = 400_000, 400_000
+#: The letters of the tables: all bytes, and the end of a word.
+END, SYMBOLS = 256, 257
 WHITE = "\t-\r \x85\xa0  -     　"
 SPACES = re.compile(f"[{WHITE}]+")
 # The pre-tokenizer's alternatives, in its order.
@@ -49,7 +55,6 @@ class Automaton:
         self.labels = np.full(size, "", dtype=object)
         for text, i in chain(vocab.items(), special.items()):
             self.labels[i] = text
-        self.longest = max(map(len, vocab)) if vocab else 0
         self.left, self.made, self.arrives = [-1] * size, [-1] * size, [0] * size
         self.parent, self.lost, self.since = [-1], [-1], [-1]
         self.arcs: dict[tuple[int, int], bool] = {}
@@ -57,6 +62,7 @@ class Automaton:
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
         self._settle()
+        self._compile_labels()
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         q = self.arrives[u]
@@ -88,6 +94,43 @@ class Automaton:
                 since.append(self.since[s])
         self.place = [first[s] for s in self.arrives]
 
+    def _compile_labels(self) -> None:
+        """Tables that read letters: the labels' prefixes are the states. A label is a token that is made by a merge or is one letter."""
+        byte_of = {c: b for b, c in self.char.items()}
+        self.goto: dict[int, int] = {}
+        self.longest, self.fail, self.shorter, self.length = [-1], [0], [-1] * len(self.labels), [0] * len(self.labels)
+        above, depth = [(0, 0)], [0]
+        for text, t in self.vocab.items():
+            ends = bool(self.end) and text.endswith(self.end)
+            letters = text[: -len(self.end)] if ends else text
+            if t in self.special.values() or not letters or not (self.made[t] >= 0 or len(letters) == 1) or any(c not in byte_of for c in letters):
+                continue
+            symbols = [*(byte_of[c] for c in letters), *([END] if ends else [])]
+            node = 0
+            for c in symbols:
+                key = node * SYMBOLS + c
+                if key not in self.goto:
+                    self.goto[key] = len(above)
+                    above.append((node, c))
+                    depth.append(depth[node] + 1)
+                    self.longest.append(-1)
+                    self.fail.append(0)
+                node = self.goto[key]
+            self.longest[node], self.length[t] = t, len(symbols)
+        for node in sorted(range(1, len(above)), key=depth.__getitem__):
+            up, c = above[node]
+            at = up
+            while at:
+                at = self.fail[at]
+                if at * SYMBOLS + c in self.goto:
+                    self.fail[node] = self.goto[at * SYMBOLS + c]
+                    break
+            rest = self.longest[self.fail[node]]
+            if self.longest[node] < 0:
+                self.longest[node] = rest
+            else:
+                self.shorter[self.longest[node]] = rest
+
     def follows(self, s: int, t: int) -> bool:
         key = (s, t)
         known = self.arcs.get(key)
@@ -107,20 +150,27 @@ class Automaton:
         return known
 
     def encode(self, word: str) -> tuple[int, ...]:
-        """Token ids of one pre-split word: each prefix has one correct path, found from those of shorter prefixes."""
+        """Token ids of one pre-split word, by the tables: each prefix has one correct path, an arc longer than that of a shorter prefix."""
         known = self.words.get(word)
         if known is not None:
             return known
-        s = "".join(map(self.char.__getitem__, word.encode()))
-        n, get, follows = len(s), self.vocab.get, self.follows
+        goto, fail, longest, shorter, length, follows = self.goto.get, self.fail, self.longest, self.shorter, self.length, self.follows
+        symbols = [*word.encode(), *([END] if self.end else [])]
+        n, node = len(symbols), 0
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                t = get(s[j:i] + tail)
-                if t is not None and (j == 0 or follows(last[j], t)):
+        for i, c in enumerate(symbols, 1):
+            to = goto(node * SYMBOLS + c)
+            while to is None and node:
+                node = fail[node]
+                to = goto(node * SYMBOLS + c)
+            node = to or 0
+            t = longest[node]
+            while t >= 0:
+                j = i - length[t]
+                if j == 0 or (last[j] >= 0 and follows(last[j], t)):
                     last[i], back[i] = t, j
                     break
+                t = shorter[t]
         out, i = [], n
         while i:
             out.append(last[i])
@@ -132,7 +182,7 @@ class Automaton:
 
     def encode_text(self, text: str) -> np.ndarray:
         """Ids of a whole text: special tokens are taken out of the raw text, the rest is normalized, split and encoded."""
-        if "<|" not in text or not any(s in text for s in self.special):
+        if not any(s in text for s in self.special):
             return self._plain(text)
         parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
         return np.concatenate([np.array([self.special[p]], np.int32) if i % 2 else self._plain(p) for i, p in enumerate(parts)])

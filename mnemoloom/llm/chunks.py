@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -74,7 +75,7 @@ def copied_spans(ends: list[int], copied: np.ndarray, min_run: int) -> list[tupl
 def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, carried: list[str] | None = None) -> DataFrame:
     """Remove from each text the passages that a document with a smaller id has too: one row per document.
 
-    Columns: doc_id, text_hash, n_bytes, n_chunks, n_copied (chunks that a smaller document has),
+    Columns: doc_id, text_hash, n_bytes, n_chunks, n_copied (chunks in the passages removed),
     n_removed, n_spans, spans (byte ranges removed), kept_sha256, text (what is left, invalid UTF-8 at
     a cut dropped). A passage goes if it covers neighbouring copied chunks of ``min_run`` bytes or
     more; single chunks that agree by chance or in a set phrase stay. Of equal passages that in the
@@ -88,7 +89,7 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
     """
     rows = V.prepared(docs, id_col, text_col, carried)
     n = buckets or V.bucket_count(docs)
-    answers = V.gathered(V.count_votes(V.cast_votes(rows.select("doc_id", "text_hash", "text"), _keys, n), n, False))
+    answers = V.gathered(V.count_votes(V.cast_votes(rows.select("doc_id", "text_hash", "text"), _keys, n), n))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, "z"):
@@ -96,13 +97,14 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
             for z, size, found in zip(batch.column("z").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("answers").to_pylist(), strict=True):
                 text = V.plain(z, size)
                 ends = boundaries(text)
-                copied, spans = np.zeros(len(ends), bool), []
+                spans, gone = [], 0
                 if found:
                     _, where, _, _ = _keys([text])
-                    copied, _ = V.read_answers((where % n).astype(np.int32), found)
+                    copied = V.read_answers((where % n).astype(np.int32), found)
                     spans = copied_spans(ends, copied, min_run)
+                    gone = sum(bisect_right(ends, b) - bisect_right(ends, a) for a, b in spans)
                 kept = V.without(text, spans)
-                for column, v in zip(out, (len(text), len(ends), int(copied.sum()), len(text) - len(kept), len(spans), [{"start": a, "stop": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
+                for column, v in zip(out, (len(text), len(ends), gone, len(text) - len(kept), len(spans), [{"start": a, "stop": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
                     column.append(v)
             made = arrays(RESULT, [batch.column("doc_id"), batch.column("text_hash"), *out])
             yield pa.RecordBatch.from_arrays([*made.columns, batch.column("carried")], names=[*made.schema.names, "carried"]) if carried else made

@@ -38,3 +38,17 @@ def blobs(column: pa.Array) -> list[bytes]:
 def arrays(ddl_types: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
     """A record batch from Python lists or numpy arrays, typed."""
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(columns, ddl_types, strict=True)], names=[n for n, _ in ddl_types])
+
+
+def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of one bucket after another, of rows sorted by bucket."""
+    bucket, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != bucket and rows:
+                yield bucket, rows
+                rows = []
+            bucket = row["bucket"]
+            rows.append(row)
+    if rows:
+        yield bucket, rows

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoloom.llm import votes as V
-from mnemoloom.llm.common import arrays, blobs, runs
+from mnemoloom.llm.common import arrays, blobs, runs, whole_buckets
 from mnemoloom.session import stage
 
 #: Texts travel in runs of about so many bytes, and are worked on in pieces of so many; a bucket takes the anchors of about BUCKET bytes.
@@ -307,23 +307,9 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(bucket[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(bucket)][: len(heads)], strict=True)
 
 
-def _whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of one bucket after another, of rows sorted by bucket."""
-    bucket, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != bucket and rows:
-                yield bucket, rows
-                rows = []
-            bucket = row["bucket"]
-            rows.append(row)
-    if rows:
-        yield bucket, rows
-
-
 def _count(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """For each run and bucket: bits of the anchors that two documents or more have, and of those with more than ``hot`` contexts."""
-    for bucket, rows in _whole_buckets(batches):
+    for bucket, rows in whole_buckets(batches):
         every, votes = np.unique(np.frombuffer(b"".join(r["keys"] for r in rows), "<u4"), return_counts=True)
         more = np.frombuffer(b"".join(r["more"] for r in rows), MORE)
         total = votes + np.bincount(np.searchsorted(every, more["key"]), more["count"], len(every)).astype(np.int64)
@@ -360,7 +346,7 @@ def _copies(buffer: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.nda
 
 def _settle(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of the contexts in a bucket, the strings that a smaller document has: by equal contexts, then by the suffix sort of those left."""
-    for _, rows in _whole_buckets(batches):
+    for _, rows in whole_buckets(batches):
         columns: dict[str, list] = {c: [] for c, _ in COLUMNS}
         where, raw = [], []
         for k, r in enumerate(rows):

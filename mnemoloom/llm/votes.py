@@ -1,4 +1,4 @@
-"""Find, for keys drawn from documents, the smallest document that has each: shared by the two substring operators.
+"""Find, for keys drawn from documents, the smallest document that has each; and spans of bytes, for the two substring operators.
 
 Each document's keys are dealt to buckets by hash and travel as packed 12-byte records, one row per
 run of documents and bucket. Keys that a smaller document of the same run already has are settled before the
@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoloom.llm.common import arrays, runs
+from mnemoloom.llm.common import arrays, runs, whole_buckets
 
 KEY = np.dtype([("a", "<u4"), ("b", "<u8")])
 DOC = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("items", "<i4")])
 VOTES = [("bucket", pa.int32()), ("docs", pa.binary()), ("settled", pa.binary()), ("keys", pa.binary())]
 VOTES_DDL = "bucket int, docs binary, settled binary, keys binary"
-ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary()), ("open", pa.binary()), ("asks", pa.bool_())]
-ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary, open binary, asks boolean"
+ANSWERS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("bucket", pa.int32()), ("copied", pa.binary())]
+ANSWERS_DDL = "doc_id long, text_hash long, bucket int, copied binary"
 RUN = 1 << 19
 
 #: From the texts of a run: (text number, bucket hash, a, b) of every key, in order of text and place.
@@ -58,7 +58,8 @@ def plain(z: bytes, n_bytes: int) -> bytes:
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """As many buckets as the input has partitions, so that a bucket stays of one size as the table grows; no fewer than a shuffle's partitions."""
+    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
 def cast_votes(docs: DataFrame, keys: Keys, buckets: int) -> DataFrame:
@@ -97,74 +98,50 @@ def cast_votes(docs: DataFrame, keys: Keys, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, VOTES_DDL)
 
 
-def count_votes(votes: DataFrame, buckets: int, group_by_a: bool) -> DataFrame:
-    """For each (document, bucket): bits of keys that a smaller document has; and of keys left open.
+def count_votes(votes: DataFrame, buckets: int) -> DataFrame:
+    """For each (document, bucket): bits of keys that a smaller document has. Rows without any bit set are left out. One bucket is worked on at a time."""
 
-    With ``group_by_a``, keys that agree in bucket and ``a`` but not in ``b`` form a mixed group, and in
-    it the keys that no smaller document has are open; ``asks`` tells whether a smaller document is in
-    the group of one of them. Rows without any bit set are left out.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, keys, known, buckets_ = [], [], [], []
-        for batch in batches:
-            for bucket, each, bits, raw in zip(*(batch.column(n).to_pylist() for n, _ in VOTES), strict=True):
-                each = np.frombuffer(each, DOC)
-                docs.append(each)
-                buckets_.append(np.full(len(each), bucket, np.int32))
-                known.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(each["items"].sum())).astype(bool))
-                keys.append(raw)
-        if not docs:
-            return
-        docs, bucket, known, keys = np.concatenate(docs), np.concatenate(buckets_), np.concatenate(known), np.frombuffer(b"".join(keys), KEY)
+    def count(rows: list[dict]) -> pa.RecordBatch:
+        docs = np.concatenate([np.frombuffer(r["docs"], DOC) for r in rows])
+        known = np.concatenate([np.unpackbits(np.frombuffer(r["settled"], np.uint8), count=int(np.frombuffer(r["docs"], DOC)["items"].sum())).astype(bool) for r in rows])
+        keys = np.frombuffer(b"".join(r["keys"] for r in rows), KEY)
         asked = np.flatnonzero(~known)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), docs["items"])[asked]
-        group, b, d = bucket[owner].astype(np.uint64) << np.uint64(32) | keys["a"], keys["b"], docs["doc_id"][owner]
-        order = np.lexsort((d, b, group)).astype(np.int32)
-        g, b, d = group[order], b[order], d[order]
-        del group, keys, owner
-        first_g = np.concatenate([[True], g[1:] != g[:-1]])
-        first = first_g | np.concatenate([[True], b[1:] != b[:-1]])
-        del g, b
-        least = d[np.maximum.accumulate(np.where(first, np.arange(len(order), dtype=np.int32), 0))]
+        own = docs["doc_id"][np.repeat(np.arange(len(docs), dtype=np.int32), docs["items"])[asked]]
+        a, b = keys["a"], keys["b"]
+        order = np.lexsort((own, b, a))
+        first = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))[: len(order)]
+        least = own[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         copied = np.zeros(len(order), bool)
-        copied[order] = d > least
-        opened, asking = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        if group_by_a:
-            starts = np.flatnonzero(first_g)
-            lengths = np.diff(np.append(starts, len(order)))
-            lowest = np.minimum.reduceat(least, starts)
-            mixed = (np.add.reduceat(first, starts) > 1) & (lowest != np.maximum.reduceat(least, starts))
-            here = np.repeat(mixed, lengths) & (d == least)
-            opened[order], asking[order] = here, here & (d > np.repeat(lowest, lengths))
-        left, asks = np.zeros(len(known), bool), np.zeros(len(known), bool)
-        known[asked], left[asked], asks[asked] = copied, opened, asking
+        copied[order] = own[order] > least
+        known[asked] = copied
         stops = np.cumsum(docs["items"])
         starts = stops - docs["items"]
         out: list[list] = [[] for _ in ANSWERS]
-        for i in np.flatnonzero(np.logical_or.reduceat(known | left, starts)):
-            i0, i1 = starts[i], stops[i]
-            for column, v in zip(out, (docs["doc_id"][i], docs["text_hash"][i], bucket[i], np.packbits(known[i0:i1]).tobytes(), np.packbits(left[i0:i1]).tobytes(), bool(asks[i0:i1].any())), strict=True):
+        for i in np.flatnonzero(np.logical_or.reduceat(known, starts)):
+            for column, v in zip(out, (docs["doc_id"][i], docs["text_hash"][i], rows[0]["bucket"], np.packbits(known[starts[i] : stops[i]]).tobytes()), strict=True):
                 column.append(v)
-        yield arrays(ANSWERS, out)
+        return arrays(ANSWERS, out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in whole_buckets(batches):
+            yield count(rows)
 
-    return votes.repartition(buckets, "bucket").mapInArrow(run, ANSWERS_DDL)
+    return votes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS_DDL)
 
 
 def gathered(answers: DataFrame) -> DataFrame:
     """One row per document that got an answer; repeated rows of one document give it once."""
-    once = answers.groupBy("doc_id", "text_hash", "bucket").agg(F.first("copied").alias("copied"), F.first("open").alias("open"), F.first("asks").alias("asks"))
-    return once.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "copied", "open", "asks")).alias("answers"))
+    once = answers.groupBy("doc_id", "text_hash", "bucket").agg(F.first("copied").alias("copied"))
+    return once.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "copied")).alias("answers"))
 
 
-def read_answers(bucket: np.ndarray, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Per key of one document, in its order: copied, open."""
-    copied, opened = np.zeros(len(bucket), bool), np.zeros(len(bucket), bool)
+def read_answers(bucket: np.ndarray, answers: list[dict] | None) -> np.ndarray:
+    """Whether a smaller document has each key of one document, in its order."""
+    copied = np.zeros(len(bucket), bool)
     for x in answers or ():
         at = np.flatnonzero(bucket == x["bucket"])
         copied[at] = np.unpackbits(np.frombuffer(x["copied"], np.uint8), count=len(at))
-        opened[at] = np.unpackbits(np.frombuffer(x["open"], np.uint8), count=len(at))
-    return copied, opened
+    return copied
 
 
 def merged_spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:

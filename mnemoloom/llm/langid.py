@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from mnemoloom.llm.common import arrays, runs
 
@@ -137,5 +138,5 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 7, t
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "score", "n_letters"])
 
     kept = docs.drop("lang_pred", "score", "n_letters")
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, n_letters long"])
-    return kept.mapInArrow(run, ddl)
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_letters", LongType())]
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *made]))

@@ -515,6 +515,41 @@ def test_ann_edges(spark):
     assert ann.search(none, none).count() == 0
 
 
+def test_ann_few_vectors_and_repeated_ids(spark):
+    """No, one or two usable vectors; ids that repeat; columns named as the operator's own."""
+    for rows, want in (
+        ([], []),
+        ([(0, None)], []),
+        ([(0, [1.0, 2.0])], []),
+        ([(0, [1.0, 2.0]), (1, [2.0, 1.0])], [(0, 1, 1)]),
+        ([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0])], [(0, 1, 1), (0, 1, 2), (0, 2, 1), (0, 2, 2)]),
+        ([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0])], [(0, 1, 1), (0, 2, 1)]),
+    ):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("block", "run", "number", "rank", "distance")})
+        got = ann.search(df, df.where("vec_id = 0"), k=2).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == want
+
+
+def test_ann_in_many_blocks(spark):
+    """Vectors in clusters, in 14 blocks: recall, and how many vectors the index touches and reranks."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 64))
+    v = centres[rng.integers(0, 60, 4000)] + 0.4 * rng.normal(size=(4000, 64))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20, block_rows=300).toPandas()
+    found = 0
+    for q, g in got.groupby("query_id"):
+        s = (v * v[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert np.allclose(g.score, s[g.vec_id], atol=0, rtol=1e-12)
+        found += len(set(np.lexsort((np.arange(4000), -s))[:20]) & set(g.vec_id))
+    assert len(got) == 200 * 20 and found >= 0.9 * len(got)
+    codes = ann.fit(v)
+    index = ann.MultiIndex(codes(v))
+    reranked = sum(len(index.within(c, 18)) for c in codes(v[::20]))
+    assert index.probed < 0.6 * 200 * 4000 and reranked < 0.1 * 200 * 4000
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, (500, 8), np.uint8)

@@ -1,9 +1,11 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import collections
+import random
 
 import corpus_pipeline as P
 from mnemoloom.session import stage
+from pyspark.sql import functions as F
 from test_operators import chunk_expected, check_pack, jaccard_expected
 
 
@@ -42,6 +44,34 @@ def test_stages_take_nulls_and_empty_tables(spark, sf_dir):
         assert docs.count() >= 0
 
 
+def test_stages_keep_clashing_columns_and_one_of_repeated_rows(spark, sf_dir):
+    """Columns with the operators' own names come through with their values and types; exact repeats of a row leave one."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    names = ["score", "lang_pred", "n_letters", "carried", "label", "component_id", "n", "least", "goes", "marked_id", "bucket", "answers", "n_removed"]
+    docs = real.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    before = docs.schema
+    for name, step in P.STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"test-{name}")
+        assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in before]
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in docs.collect() for c in names)
+        if name == "near_duplicates":
+            assert docs.count() == docs.select("doc_id").distinct().count()
+    assert docs.count() > 20
+
+
+def test_language_goes_by_likeness_at_any_length(spark, sf_dir):
+    """Letters in no order go at any length; what the language has of prose stays, short or long."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(n)) for n in (150, 199, 200, 201, 3000)]
+    prose = real.where("lang = 'en' and length(text) > 400").first().text
+    short = [prose[:n] for n in (40, 150, 199, 201, 400)]
+    rows = [(10**6 + i, t, None, "s", len(t)) for i, t in enumerate([*junk, *short])]
+    kept = {r.doc_id for r in P.language(spark, real.unionByName(spark.createDataFrame(rows, real.schema)), sf_dir).where("doc_id >= 1000000").collect()}
+    assert kept == {10**6 + 5 + i for i in range(5)}
+
+
 def test_run_gives_the_last_stage(spark, sf_dir):
     got = P.run(spark, sf_dir)
     per = collections.Counter()

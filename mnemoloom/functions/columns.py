@@ -30,12 +30,6 @@ def words(text: Column | str, pattern: str = "[a-z0-9_]+") -> Column:
     return F.regexp_extract_all(F.lower(c(text)), F.lit(f"({pattern})"), F.lit(1))
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda y: y == v))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, v: s + F.least(count(a, v), count(b, v)))
-
-
 def ngrams(tokens: Column, n: int) -> Column:
     """Array of n-grams joined by single spaces; empty when there are fewer tokens."""
     if n == 1:

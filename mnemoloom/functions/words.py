@@ -1,7 +1,8 @@
-"""Vectorised scalar helpers that built-in functions cannot express: word stems and common subsequences."""
+"""Vectorised scalar helpers that built-in functions cannot express: word stems, multisets and common subsequences."""
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -78,12 +79,25 @@ def porter_stem(w: str) -> str:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one integer."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = row = (1 << len(b)) - 1
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        here = row & places.get(x, 0)
+        row = (row + here | row - here) & every
+    return len(b) - row.bit_count()
+
+
+def overlap():
+    """Pandas UDF: size of the intersection of two word arrays as multisets, in time that is linear in their lengths."""
+
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    return run
 
 
 def stems():

@@ -13,12 +13,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Edges with a null end or equal ends name no link; a node seen only in self-loops is its own
     component. Each round is two grouped minima and two equi-joins on slim rows; lineage is cut by
-    a reliable checkpoint. A star's centre may hold any share of the edges: the minima are combined
+    a reliable checkpoint, and the caller's plan runs once. A star's centre may hold any share of the edges: the minima are combined
     before the shuffle and the joins carry one row per node on one side, which AQE can split.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    e = checkpoint(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    given = checkpoint(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = given.where("u <> v")
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoloom.functions.columns import c, multiset_overlap, ngrams, ratio
-from mnemoloom.functions.words import lcs, stems
+from mnemoloom.functions.columns import c, ngrams, ratio
+from mnemoloom.functions.words import lcs, overlap, stems
 from mnemoloom.operators.text import normalize_answer
 
 
@@ -23,7 +23,7 @@ def token_f1(df: DataFrame, pred: str, gold: str, stem: bool = True, out: str =
     """Adds the F1 of the multisets of normalised tokens, stemmed or not. Token arrays become columns first, so that they are made once a row."""
     p, g = answer_tokens(pred), answer_tokens(gold)
     rows = df.withColumns({"_p": stems()(p) if stem else p, "_g": stems()(g) if stem else g})
-    return rows.withColumn(out, f_measure(multiset_overlap(F.col("_p"), F.col("_g")), F.size("_p"), F.size("_g"))).drop("_p", "_g")
+    return rows.withColumn(out, f_measure(overlap()(F.col("_p"), F.col("_g")), F.size("_p"), F.size("_g"))).drop("_p", "_g")
 
 
 def exact_match(pred: str, gold: str, strict: bool = False) -> Column:
@@ -45,12 +45,12 @@ def span_match(a: str, b: str) -> Column:
 def bleu(pred: list[Column], gold: list[Column], smoothing: int = 1) -> Column:
     """Sentence BLEU from the 1..n-gram arrays of both texts (as columns, see ``with_ngrams``).
 
-    Zero counts become 0.1 (method 1), or 1 / (2**k * 5 / ln(length)), less for longer texts (method 4).
+    Zero counts become 0.1 (method 1), or 1 / (2**k * 5 / ln(length)), less for longer texts (method 4; 0.1 for a single word).
     """
     logs, n = [], len(pred)
     for k, (p, g) in enumerate(zip(pred, gold, strict=True), 1):
-        hit, total = multiset_overlap(p, g).cast("double"), F.greatest(F.size(p), F.lit(1))
-        low = F.lit(0.1) if smoothing == 1 else F.lit(1.0) / (F.pow(F.lit(2.0), F.lit(k)) * 5 / F.log(F.size(pred[0]).cast("double")))
+        hit, total = overlap()(p, g).cast("double"), F.greatest(F.size(p), F.lit(1))
+        low = F.lit(0.1) if smoothing == 1 else F.when(F.size(pred[0]) < 2, 0.1).otherwise(F.log(F.greatest(F.size(pred[0]), F.lit(2)).cast("double")) / (F.pow(F.lit(2.0), F.lit(k)) * 5))
         logs.append(F.log(F.when(hit > 0, hit).otherwise(low) / total) / n)
     p, g = F.size(pred[0]), F.size(gold[0])
     brevity = F.when(p > g, F.lit(1.0)).otherwise(F.exp(1 - g / p))
@@ -72,7 +72,7 @@ def set_prf(pred: Column, gold: Column, stopwords: list[str]) -> Column:
 
 def rouge_n(pred: Column, gold: Column) -> Column:
     """F-measure on two arrays of n-grams."""
-    return f_measure(multiset_overlap(pred, gold), F.size(pred), F.size(gold))
+    return f_measure(overlap()(pred, gold), F.size(pred), F.size(gold))
 
 
 def rouge_l(pred: Column, gold: Column) -> Column:

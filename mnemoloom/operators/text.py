@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from mnemoloom.functions.columns import c
 from mnemoloom.operators.components import connected_components
+from mnemoloom.session import stage
 
 # ASCII punctuation, and the character families that fold_unicode maps.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -180,24 +186,51 @@ def best_bands(threshold: float, permutations: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def band_keys(bands: int, rows: int, seed: int = 1):
-    """Pandas UDF: an array of shingle hashes to one key per band of its min-hash signature (odd multipliers modulo 2**64)."""
+WORD = re.compile("[A-Za-z_0-9]+")
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_hashes(text: str, n: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the n-word shingles of a text; none for fewer words."""
+    words = WORD.findall(text)
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out = (out ^ each[i : len(each) - n + 1 + i]) * MIX
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def band_keys(bands: int, rows: int, n: int, seed: int = 1):
+    """For ``mapInArrow`` over (id, text): (id, keys), one key per band of the min-hash signature (odd multipliers modulo 2**64).
+
+    A signature is taken over 1,024 shingles at a time, so a long text needs no more room than a short one. Texts of fewer than ``n`` words are left out.
+    """
     rng = np.random.default_rng(seed)
     a, b = (rng.integers(0, 1 << 63, bands * rows, np.uint64) for _ in range(2))
     a = a * np.uint64(2) + np.uint64(1)
 
-    @F.pandas_udf("array<long>")
-    def run(shingles: pd.Series) -> pd.Series:
-        def keys(s: np.ndarray) -> np.ndarray:
-            x = s.astype(np.int64).view(np.uint64)[:, None] * a + b
-            low = (x ^ x >> np.uint64(29)).min(axis=0).reshape(bands, rows)
-            key = np.zeros(bands, np.uint64)
-            for j in range(rows):
-                key = (key ^ low[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(32)
-            return key.view(np.int64)
-
-        return shingles.map(keys)
+    def keys(s: np.ndarray) -> np.ndarray:
+        low = np.full(bands * rows, np.uint64(2**64 - 1))
+        for start in range(0, len(s), 1024):
+            x = s[start : start + 1024, None] * a + b
+            x ^= x >> np.uint64(29)
+            low = np.minimum(low, x.min(axis=0))
+        low, key = low.reshape(bands, rows), np.zeros(bands, np.uint64)
+        for j in range(rows):
+            key = (key ^ low[:, j]) * MIX
+            key ^= key >> np.uint64(32)
+        return key.view(np.int64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [(i, s) for i, t in enumerate(part.column(1).to_pylist()) if t is not None and len(s := shingle_hashes(t, n))]
+                ids = part.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([keys(s) for _, s in found], pa.list_(pa.int64()))], names=["id", "keys"])
 
     return run
 
@@ -206,15 +239,14 @@ def near_dedup(df: DataFrame, ident: str, text: str, threshold: float = 0.7, per
     """MinHash-LSH classes on n-word shingles: (id, class_id), the class being its smallest id.
 
     Rows of one band value are joined to its smallest id, so a band of any size gives as many edges as
-    rows. Texts with fewer than ``n`` tokens stay alone.
+    rows. Texts with fewer than ``n`` tokens stay alone. Signatures are made in one pass over the texts and stored.
     """
     b, r = best_bands(threshold, permutations)
-    tokens = F.filter(F.split(F.col(text), "[^A-Za-z_0-9]+"), lambda x: x != "")
-    rows = df.select(F.col(ident).alias("id"), tokens.alias("t")).where(F.size("t") >= n)
-    shingles = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, n), " ")))
-    hashed = rows.select("id", F.array_distinct(shingles).alias("s"))
-    keys = hashed.select("id", F.posexplode(band_keys(b, r)("s")).alias("band", "key"))
+    signed = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    schema = StructType([signed.schema["id"], StructField("keys", ArrayType(LongType()))])
+    stored = stage(signed.mapInArrow(band_keys(b, r, n), schema), "band-keys")
+    keys = stored.select("id", F.posexplode("keys").alias("band", "key"))
     heads = keys.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1")
-    edges = keys.join(heads, ["band", "key"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    edges = keys.join(heads, ["band", "key"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     labels = connected_components(edges)
     return df.select(F.col(ident).alias("id")).join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))

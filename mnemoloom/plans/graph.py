@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import r6
@@ -71,17 +72,15 @@ def g5_rare_pairs(spark, d):
 @query("""WITH m AS (SELECT conv_id % 10 AS bank, conv_id * 1000 + turn AS memory_id, conv_id // 10 AS session, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) AS ord FROM conversations)
     SELECT a.bank, a.memory_id AS source, b.memory_id AS target FROM m a JOIN m b ON a.bank = b.bank AND abs(a.session - b.session) <= 1 AND a.ord < b.ord UNION SELECT bank, memory_id, memory_id + 5 FROM m""")
 def g6_relation_candidates(spark, d):
-    from pyspark.sql import Window
-
     t = table(spark, d, "conversations").withColumn("bank", F.col("conv_id") % 10)
     m = t.select("bank", (F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), F.floor(F.col("conv_id") / 10).alias("session"), F.row_number().over(Window.partitionBy("bank").orderBy("conv_id", "turn")).alias("ord"))
     return G.relation_candidates(m, m.select("bank", F.col("memory_id").alias("source"), (F.col("memory_id") + 5).alias("target")))
 
 
-@query("""WITH s AS (SELECT 'u' || user_id AS entity, event_type AS attribute, event_id AS memory_id, event_id AS ord, CASE WHEN event_id % 2 = 0 THEN 'V' ELSE 'v' END || (event_id % 3) AS value FROM events WHERE event_id % 5 = 0)
+@query("""WITH s AS (SELECT 'u' || user_id AS entity, event_type AS attribute, event_id AS memory_id, event_id AS ord, CASE WHEN event_id % 2 = 0 THEN 'V' ELSE 'v' END || (event_id % 3) AS value FROM events)
     SELECT a.entity, a.attribute, a.memory_id AS earlier, b.memory_id AS later, a.value AS earlier_value, b.value AS later_value FROM s a JOIN s b ON a.entity = b.entity AND a.attribute = b.attribute AND a.ord < b.ord AND lower(a.value) <> lower(b.value)""")
 def g7_conflicts(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 = 0")
+    e = table(spark, d, "events")
     s = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity"), F.col("event_type").alias("attribute"), F.col("event_id").alias("memory_id"), F.col("event_id").alias("ord"), F.concat(F.when(F.col("event_id") % 2 == 0, "V").otherwise("v"), (F.col("event_id") % 3).cast("string")).alias("value"))
     return G.conflicts(s)
 
@@ -93,12 +92,18 @@ def g8_accept_relations(spark, d):
     return G.accept_relations(r)[0]
 
 
-EDGES = "e AS (SELECT o_custkey AS a, o_orderkey * 2 % 1499 + 1 AS b FROM orders WHERE o_orderkey % 11 = 0)"
+# Customers are linked to the next one who ordered on the same day with the same priority.
+EDGES = "e AS (SELECT * FROM (SELECT lag(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey) AS a, o_custkey AS b FROM orders) WHERE a IS NOT NULL)"
+
+
+def linked_customers(spark, d):
+    same = Window.partitionBy("o_orderdate", "o_orderpriority").orderBy("o_orderkey")
+    return table(spark, d, "orders").select(F.lag("o_custkey").over(same).alias("source"), F.col("o_custkey").alias("target")).where("source is not null")
 
 
 @query(f"WITH RECURSIVE {EDGES}, e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS x FROM e2 UNION SELECT r.node, e2.b FROM r JOIN e2 ON r.x = e2.a) SELECT node, min(x) AS component FROM r GROUP BY 1")
 def g9_connected_components(spark, d):
-    return connected_components(table(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 2 % 1499 + 1).alias("b")))
+    return connected_components(linked_customers(spark, d), "source", "target")
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4), r AS (SELECT vec_id AS node, vec_id AS x FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON r.x = e.a) SELECT node AS memory_id, min(x) AS cluster FROM r GROUP BY 1""")
@@ -142,14 +147,14 @@ def g13_upsert_relations(spark, d):
 
 @query(f"WITH RECURSIVE {EDGES}, e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, 0 AS hop FROM e2 WHERE a % 97 = 0 UNION SELECT e2.b, hop + 1 FROM r JOIN e2 ON node = a WHERE hop < 3) SELECT node, min(hop)::INT AS hop FROM r GROUP BY 1")
 def g14_k_hop(spark, d):
-    e = table(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 2 % 1499 + 1).alias("target"))
+    e = linked_customers(spark, d)
     seeds = e.select(F.explode(F.array("source", "target")).alias("node")).where("node % 97 = 0")
     return G.k_hop(e, seeds, 3)
 
 
 @query(f"WITH {EDGES} SELECT a AS source, b AS target FROM e WHERE a % 3 <> 0 AND b % 3 <> 0")
 def g15_subgraph(spark, d):
-    e = table(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 2 % 1499 + 1).alias("target"))
+    e = linked_customers(spark, d)
     return G.subgraph(e, e.select(F.explode(F.array("source", "target")).alias("node")).where("node % 3 <> 0"))
 
 
@@ -178,7 +183,7 @@ def g18_drop_redundant(spark, d):
 
 @query(f"WITH {EDGES} SELECT a AS source, b AS target FROM e WHERE a % 20 <= 12 AND b % 20 <= 12 AND (a + b) % 20 <= 12")
 def g19_graph_as_of(spark, d):
-    e = table(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") * 2 % 1499 + 1).alias("target")).withColumn("clip", (F.col("source") + F.col("target")) % 20)
+    e = linked_customers(spark, d).withColumn("clip", (F.col("source") + F.col("target")) % 20)
     n = e.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("clip", F.col("node") % 20)
     return G.graph_as_of(n, e, 12)[1].select("source", "target")
 

@@ -1,4 +1,4 @@
-"""Queries for answer and ranking metrics: answers are cut from documents, hits from vectors and conversations."""
+"""Queries for answer and ranking metrics: answers are documents, hits from vectors and conversations."""
 
 from __future__ import annotations
 
@@ -10,22 +10,30 @@ from mnemoloom.plans.registry import query
 from mnemoloom.session import table
 
 WS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and'))"
-ANSWERS = f"w AS (SELECT doc_id, lang, {WS} AS ws FROM documents WHERE lang = 'en'), a AS (SELECT doc_id, lang, ws[1:30] AS p, ws[11:45] AS g FROM w WHERE len(ws) >= 12)"
-MULTI = "list_sum([0] || list_transform(list_distinct({p}), lambda t: least(len(list_filter({p}, lambda x: x = t)), len(list_filter({g}, lambda x: x = t)))))"
+# Whole texts of all documents as predictions. Gold: by doc_id, the same text, the text without its first ten words, or that of the next document.
+ANSWERS = f"w AS (SELECT doc_id, {WS} AS ws FROM documents), a AS (SELECT x.doc_id, x.ws AS p, CASE x.doc_id % 4 WHEN 0 THEN x.ws WHEN 2 THEN x.ws[11:] ELSE coalesce(y.ws, []) END AS g FROM w x LEFT JOIN w y ON y.doc_id = x.doc_id + 1)"
 
 
-def multi(p: str = "p", g: str = "g") -> str:
-    return MULTI.format(p=p, g=g)
+def shared(p: str = "p", g: str = "g", source: str = "a", k: str = "k") -> str:
+    """CTEs ending in ``k`` (doc_id, k): the size of the intersection of two lists as multisets."""
+    return f"""{k}_t AS (SELECT doc_id, 0 AS side, unnest({p}) AS t FROM {source} UNION ALL SELECT doc_id, 1, unnest({g}) FROM {source}), {k}_c AS (SELECT doc_id, t, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM {k}_t GROUP BY 1, 2),
+    {k} AS (SELECT doc_id, sum(least(x, y))::BIGINT AS {k} FROM {k}_c GROUP BY 1)"""
+
+
+def grams(name: str, n: int) -> str:
+    return f"list_transform(range(1, len({name}) - {n - 2}), lambda i: array_to_string({name}[i:i + {n - 1}], ' '))"
 
 
 def answers(spark, d):
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9\\s]", ""), "\\s+"), lambda x: ~x.isin("", "a", "an", "the", "and"))
-    rows = table(spark, d, "documents").where("lang = 'en'").select("doc_id", words.alias("ws")).where("size(ws) >= 12")
-    rows = rows.select("doc_id", F.slice("ws", 1, 30).alias("p"), F.slice("ws", 11, 35).alias("g"))
-    return rows.withColumns({"pred": F.array_join("p", " "), "gold": F.array_join("g", " ")})
+    rows = table(spark, d, "documents").select("doc_id", words.alias("p"))
+    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("p").alias("q"))
+    kind = F.col("doc_id") % 4
+    gold = F.when(kind == 0, F.col("p")).when(kind == 2, F.slice("p", F.lit(11), F.greatest(F.size("p") - 10, F.lit(0)))).otherwise(F.coalesce("q", F.array().cast("array<string>")))
+    return rows.join(after, "doc_id", "left").select("doc_id", "p", gold.alias("g")).withColumns({"pred": F.array_join("p", " "), "gold": F.array_join("g", " ")})
 
 
-@query(f"WITH {ANSWERS}, x AS (SELECT doc_id, {multi()} AS k, len(p) AS n, len(g) AS m FROM a) SELECT doc_id, round(CASE WHEN k > 0 THEN 2.0 * k / (n + m) ELSE 0 END, 6)::DOUBLE AS f1 FROM x")
+@query(f"WITH {ANSWERS}, {shared()} SELECT doc_id, round(CASE WHEN k > 0 THEN 2.0 * k / (len(p) + len(g)) ELSE 0 END, 6)::DOUBLE AS f1 FROM a LEFT JOIN k USING (doc_id)")
 def m1_token_f1(spark, d):
     return M.token_f1(answers(spark, d), "pred", "gold", stem=False).select("doc_id", r6("f1").alias("f1"))
 
@@ -35,25 +43,29 @@ def m1_token_f1_stemmed(spark, d):
     return M.token_f1(answers(spark, d), "pred", "gold").select("doc_id", r6("f1").alias("f1"))
 
 
-@query(f"WITH {ANSWERS} SELECT doc_id, p = g AS exact, contains(array_to_string(p, ' '), array_to_string(g[1:5], ' ')) AS has_gold FROM a")
+@query(f"WITH {ANSWERS} SELECT doc_id, p = g AS exact, len(g) > 0 AND contains(array_to_string(p, ' '), array_to_string(g[1:5], ' ')) AS has_gold FROM a")
 def m2_exact_match(spark, d):
     a = answers(spark, d).withColumn("part", F.array_join(F.slice("g", 1, 5), " "))
     return a.select("doc_id", M.exact_match("pred", "gold").alias("exact"), M.contains_gold("pred", "part").alias("has_gold"))
 
 
-@query(f"WITH {ANSWERS} SELECT doc_id, contains(' ' || array_to_string(p, ' ') || ' ', ' ' || array_to_string(g[1:doc_id % 25 + 1], ' ') || ' ') AS span FROM a")
+@query(f"WITH {ANSWERS}, x AS (SELECT doc_id, ' ' || array_to_string(p, ' ') || ' ' AS p, ' ' || array_to_string(g[greatest(1, len(g) - doc_id % 25):], ' ') || ' ' AS q FROM a) SELECT doc_id, trim(p) <> '' AND trim(q) <> '' AND (contains(p, q) OR contains(q, p)) AS span FROM x")
 def m3_span_match(spark, d):
-    a = answers(spark, d).withColumn("part", F.array_join(F.slice("g", F.lit(1), (F.col("doc_id") % 25 + 1).cast("int")), " "))
+    n = (F.col("doc_id") % 25).cast("int")
+    a = answers(spark, d).withColumn("part", F.array_join(F.slice("g", F.greatest(F.lit(1), F.size("g") - n), n + 1), " "))
     return a.select("doc_id", M.span_match("pred", "part").alias("span"))
 
 
-@query(f"""WITH {ANSWERS}, x AS (SELECT doc_id, {multi()} AS k, len(p) AS n, len(g) AS m FROM a)
-    SELECT doc_id, round(CASE WHEN k = 0 THEN 0 ELSE CASE WHEN n > m THEN 1 ELSE exp(1 - m / n) END * k / n END, 6)::DOUBLE AS bleu1 FROM x""")
+@query(f"WITH {ANSWERS}, {shared()}, x AS (SELECT doc_id, k, len(p) AS n, len(g) AS m FROM a LEFT JOIN k USING (doc_id)) SELECT doc_id, round(CASE WHEN coalesce(k, 0) = 0 THEN 0 ELSE CASE WHEN n > m THEN 1 ELSE exp(1 - m / n) END * k / n END, 6)::DOUBLE AS bleu1 FROM x")
 def m4_bleu1(spark, d):
     return answers(spark, d).select("doc_id", r6(M.bleu([F.col("p")], [F.col("g")])).alias("bleu1"))
 
 
-@query()
+@query(f"""WITH {ANSWERS}, b AS (SELECT doc_id, p, g, {grams("p", 2)} AS p2, {grams("g", 2)} AS g2, {grams("p", 3)} AS p3, {grams("g", 3)} AS g3, {grams("p", 4)} AS p4, {grams("g", 4)} AS g4 FROM a),
+    {shared("p", "g", "b", "k1")}, {shared("p2", "g2", "b", "k2")}, {shared("p3", "g3", "b", "k3")}, {shared("p4", "g4", "b", "k4")},
+    x AS (SELECT doc_id, len(p) AS n, len(g) AS m, [coalesce(k1, 0), coalesce(k2, 0), coalesce(k3, 0), coalesce(k4, 0)] AS k FROM b LEFT JOIN k1 USING (doc_id) LEFT JOIN k2 USING (doc_id) LEFT JOIN k3 USING (doc_id) LEFT JOIN k4 USING (doc_id)),
+    y AS (SELECT doc_id, k[1] = 0 AS none, CASE WHEN n > m THEN 1 ELSE exp(1 - m / n) END AS brevity, list_sum(list_transform(range(1, 5), lambda i: ln(CASE WHEN k[i] > 0 THEN k[i] ELSE 0.1 END / greatest(n - i + 1, 1)) / 4)) AS one, list_sum(list_transform(range(1, 5), lambda i: ln(CASE WHEN k[i] > 0 THEN k[i] WHEN n < 2 THEN 0.1 ELSE ln(n) / (5 * 2 ** i) END / greatest(n - i + 1, 1)) / 4)) AS four FROM x WHERE n > 0)
+    SELECT doc_id, round(CASE WHEN coalesce(none, TRUE) THEN 0 ELSE brevity * exp(one) END, 6)::DOUBLE AS method1, round(CASE WHEN coalesce(none, TRUE) THEN 0 ELSE brevity * exp(four) END, 6)::DOUBLE AS method4 FROM a LEFT JOIN y USING (doc_id)""")
 def m4_bleu4(spark, d):
     a = M.with_ngrams(M.with_ngrams(answers(spark, d), "p", 4), "g", 4)
     p, g = ([F.col(x), *(F.col(f"{x}_{k}") for k in (2, 3, 4))] for x in "pg")
@@ -68,9 +80,8 @@ def m5_set_prf(spark, d):
     return x.select("doc_id", *(r6(f"s.{n}").alias(n) for n in ("precision", "recall", "f1")))
 
 
-@query(f"""WITH {ANSWERS}, b AS (SELECT doc_id, p, g, list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1]) AS p2, list_transform(range(1, len(g)), lambda i: g[i] || ' ' || g[i + 1]) AS g2 FROM a),
-    x AS (SELECT doc_id, {multi()} AS k1, len(p) + len(g) AS n1, {multi('p2', 'g2')} AS k2, len(p2) + len(g2) AS n2 FROM b)
-    SELECT doc_id, round(CASE WHEN k1 > 0 THEN 2.0 * k1 / n1 ELSE 0 END, 6)::DOUBLE AS rouge1, round(CASE WHEN k2 > 0 THEN 2.0 * k2 / n2 ELSE 0 END, 6)::DOUBLE AS rouge2 FROM x""")
+@query(f"""WITH {ANSWERS}, b AS (SELECT doc_id, p, g, {grams("p", 2)} AS p2, {grams("g", 2)} AS g2 FROM a), {shared("p", "g", "b", "k1")}, {shared("p2", "g2", "b", "k2")}
+    SELECT doc_id, round(CASE WHEN k1 > 0 THEN 2.0 * k1 / (len(p) + len(g)) ELSE 0 END, 6)::DOUBLE AS rouge1, round(CASE WHEN k2 > 0 THEN 2.0 * k2 / (len(p2) + len(g2)) ELSE 0 END, 6)::DOUBLE AS rouge2 FROM b LEFT JOIN k1 USING (doc_id) LEFT JOIN k2 USING (doc_id)""")
 def m6_rouge(spark, d):
     a = M.with_ngrams(M.with_ngrams(answers(spark, d), "p", 2), "g", 2)
     return a.select("doc_id", r6(M.rouge_n(F.col("p"), F.col("g"))).alias("rouge1"), r6(M.rouge_n(F.col("p_2"), F.col("g_2"))).alias("rouge2"))
@@ -83,7 +94,7 @@ def m6_rouge_l(spark, d):
 
 # Hits per user: the first events by value; gold: purchases.
 RANKED = "h AS (SELECT user_id AS query_id, event_id AS item, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events)"
-GOLD = "g AS (SELECT user_id AS query_id, event_id AS item, 1 + event_id % 3 AS grade FROM events WHERE event_type = 'purchase' AND event_id % 4 = 0)"
+GOLD = "g AS (SELECT user_id AS query_id, event_id AS item, 1 + event_id % 3 AS grade FROM events WHERE event_type = 'purchase')"
 
 
 def hits(spark, d):
@@ -94,7 +105,7 @@ def hits(spark, d):
 
 
 def gold(spark, d):
-    return table(spark, d, "events").where("event_type = 'purchase' and event_id % 4 = 0").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("item"), (F.col("event_id") % 3 + 1).alias("grade"))
+    return table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("item"), (F.col("event_id") % 3 + 1).alias("grade"))
 
 
 @query("""WITH r AS (SELECT user_id, list(event_type ORDER BY event_id) AS got FROM events GROUP BY 1), x AS (SELECT user_id, list_distinct(got[1:4]) AS got, ['purchase', 'click'] AS gold FROM r),
@@ -133,14 +144,14 @@ def m9_checkpoint_ranking(spark, d):
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, text, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS norm FROM conversations),
-    g AS (SELECT conv_id, turn AS gold_no, 'm' || turn AS gold_id, 's' || turn AS session, array_to_string(regexp_extract_all(lower(substr(text, 1, 40)), '[a-z0-9]+'), ' ') AS norm FROM conversations WHERE turn % 2 = 0),
+    g AS (SELECT conv_id, turn AS gold_no, 'm' || turn AS gold_id, 's' || turn AS session, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS norm FROM conversations WHERE turn % 2 = 0),
     b AS (SELECT *, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS bag FROM g)
     SELECT t.conv_id AS query_id, t.turn + 1 AS rank, gold_no FROM t JOIN b ON t.conv_id = b.conv_id AND ('i' || t.turn = gold_id OR contains(lower('i' || t.turn || chr(10) || t.text), gold_id) OR (t.turn % 3 = 0 AND gold_no = t.turn + 1)
       OR (b.norm <> '' AND t.norm <> '' AND (contains(t.norm, b.norm) OR len(list_intersect(bag, string_split(t.norm, ' '))) / len(bag) >= 0.75)))""")
 def m10_match_gold(spark, d):
     t = table(spark, d, "conversations")
     items = t.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.concat(F.lit("i"), F.col("turn").cast("string")).alias("item_id"), "text", F.when(F.col("turn") % 3 == 0, F.array(F.concat(F.lit("s"), (F.col("turn") + 1).cast("string")))).alias("sessions"))
-    gold_points = t.where("turn % 2 = 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("gold_no"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("gold_id"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("session"), F.substring("text", 1, 40).alias("content"))
+    gold_points = t.where("turn % 2 = 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("gold_no"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("gold_id"), F.concat(F.lit("s"), F.col("turn").cast("string")).alias("session"), F.col("text").alias("content"))
     return M.match_gold(items, gold_points)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import ordered_collect, r6
@@ -113,9 +114,9 @@ def s12_query_id(spark, d):
     return S.with_query_id(q).select("event_id", "query_id")
 
 
-@query("WITH r AS (SELECT o_orderkey AS range_no, o_orderkey % 300 AS low, o_orderkey % 300 + 20 AS high FROM orders WHERE o_orderkey % 40 = 0) SELECT range_no, event_id AS msg_id FROM events JOIN r ON event_id BETWEEN low AND high")
+@query("WITH r AS (SELECT o_orderkey AS range_no, o_orderkey % 300 AS low, o_orderkey % 300 + 20 AS high FROM orders) SELECT range_no, event_id AS msg_id FROM events JOIN r ON event_id BETWEEN low AND high")
 def s13_fetch_ranges(spark, d):
-    r = table(spark, d, "orders").where("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("range_no"), (F.col("o_orderkey") % 300).alias("low"), (F.col("o_orderkey") % 300 + 20).alias("high"))
+    r = table(spark, d, "orders").select(F.col("o_orderkey").alias("range_no"), (F.col("o_orderkey") % 300).alias("low"), (F.col("o_orderkey") % 300 + 20).alias("high"))
     return S.fetch_ranges(events(spark, d).select(F.col("event_id").alias("msg_id")), r, 64)
 
 
@@ -167,10 +168,10 @@ def d6_sample_per_group(spark, d):
     return D.sample_per_group(table(spark, d, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 0.3, 7).drop("shuffle")
 
 
-@query("SELECT DISTINCT c_custkey AS clue, c_custkey % 10 AS question_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey AS clue, c_custkey % 10 AS question_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def d7_clue_coverage(spark, d):
     q = table(spark, d, "customer").groupBy((F.col("c_custkey") % 10).alias("question_id")).agg(F.collect_list("c_custkey").alias("clues"))
-    return D.clue_coverage(q, table(spark, d, "orders").select(F.col("o_custkey").alias("clue")))
+    return D.clue_coverage(q, table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("clue")))
 
 
 @query("""SELECT 'missing results' AS "check", count(*) FILTER (event_id % 50 = 0) = 0 AS passed, count(*) FILTER (event_id % 50 = 0) AS detail FROM events UNION ALL SELECT 'extra results', TRUE, 0 UNION ALL SELECT 'missing traces', TRUE, 0
@@ -204,13 +205,13 @@ def d11_match_artifacts(spark, d):
     return D.match_artifacts(images, artifacts)
 
 
-BOXES = "b AS (SELECT user_id AS image_id, event_id AS box_id, CASE WHEN event_id % 40 = 0 THEN 0 ELSE event_id * 37 % 600 END AS x1, CASE WHEN event_id % 40 = 0 THEN 0 ELSE event_id * 53 % 600 END AS y1, CASE WHEN event_id % 40 = 0 THEN 1000 ELSE event_id * 37 % 600 + 100 + event_id % 300 END AS x2, CASE WHEN event_id % 40 = 0 THEN 960 ELSE event_id * 53 % 600 + 100 + event_id % 200 END AS y2 FROM events WHERE event_id % 5 = 0)"
+BOXES = "b AS (SELECT user_id AS image_id, event_id AS box_id, CASE WHEN event_id % 40 = 0 THEN 0 ELSE event_id * 37 % 600 END AS x1, CASE WHEN event_id % 40 = 0 THEN 0 ELSE event_id * 53 % 600 END AS y1, CASE WHEN event_id % 40 = 0 THEN 1000 ELSE event_id * 37 % 600 + 100 + event_id % 300 END AS x2, CASE WHEN event_id % 40 = 0 THEN 960 ELSE event_id * 53 % 600 + 100 + event_id % 200 END AS y2 FROM events)"
 
 
 def boxes(spark, d):
     i = F.col("event_id")
     side = lambda full, rest: F.when(i % 40 == 0, full).otherwise(rest).cast("long")
-    return events(spark, d).where("event_id % 5 = 0").select(F.col("user_id").alias("image_id"), i.alias("box_id"), side(0, i * 37 % 600).alias("x1"), side(0, i * 53 % 600).alias("y1"), side(1000, i * 37 % 600 + 100 + i % 300).alias("x2"), side(960, i * 53 % 600 + 100 + i % 200).alias("y2"))
+    return events(spark, d).select(F.col("user_id").alias("image_id"), i.alias("box_id"), side(0, i * 37 % 600).alias("x1"), side(0, i * 53 % 600).alias("y1"), side(1000, i * 37 % 600 + 100 + i % 300).alias("x2"), side(960, i * 53 % 600 + 100 + i % 200).alias("y2"))
 
 
 @query(f"WITH {BOXES} SELECT image_id, box_id FROM b p WHERE NOT ((x2 - x1) * (y2 - y1) >= 900000 AND EXISTS (SELECT 1 FROM b c WHERE c.image_id = p.image_id AND c.box_id <> p.box_id AND greatest(0, least(p.x2, c.x2) - greatest(p.x1, c.x1)) * greatest(0, least(p.y2, c.y2) - greatest(p.y1, c.y1)) >= 0.95 * (c.x2 - c.x1) * (c.y2 - c.y1) AND (c.x2 - c.x1) * (c.y2 - c.y1) < 0.8 * (p.x2 - p.x1) * (p.y2 - p.y1)))")
@@ -228,16 +229,19 @@ def d13_signature(spark, d):
     return D.signature(events(spark, d), ["user_id"], ["event_id", "event_type"])
 
 
-W1 = """s AS (SELECT 0 AS series, event_id AS seq, sqrt(abs(value)) AS root, (event_id % 7)::DOUBLE AS quality, event_id // 500 AS batch FROM events WHERE event_id < 10000), i AS (SELECT quantile_cont(root, 0.95) - quantile_cont(root, 0.05) AS initial FROM s WHERE seq < 128), k AS (SELECT DISTINCT batch FROM s),
-    b AS (SELECT k.batch, quantile_cont(root, 0.05) AS low, quantile_cont(root, 0.95) AS high FROM k JOIN s ON s.seq >= k.batch * 500 - 512 AND s.seq < k.batch * 500 WHERE k.batch * 500 >= 128 GROUP BY 1), r AS (SELECT b.*, greatest(high - low, 0.25 * initial) AS rng FROM b, i),
-    z AS (SELECT r.batch, stddev_pop(quality) / (stddev_pop(greatest(0, least(1, (root - low) / rng))) + 1e-8) AS scale FROM r JOIN s ON s.seq >= r.batch * 500 - 512 AND s.seq < r.batch * 500 GROUP BY 1)"""
+# A series for each event type, in batches of the operator's own size.
+W1 = """t AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, sqrt(abs(value)) AS root, (event_id % 7)::DOUBLE AS quality FROM events), s AS (SELECT *, seq // 32 AS batch FROM t),
+    i AS (SELECT series, quantile_cont(root, 0.95) - quantile_cont(root, 0.05) AS initial FROM s WHERE seq < 128 GROUP BY 1), k AS (SELECT DISTINCT series, batch FROM s),
+    b AS (SELECT k.series, k.batch, quantile_cont(root, 0.05) AS low, quantile_cont(root, 0.95) AS high FROM k JOIN s ON s.series = k.series AND s.seq >= k.batch * 32 - 512 AND s.seq < k.batch * 32 WHERE k.batch * 32 >= 128 GROUP BY 1, 2), r AS (SELECT b.*, greatest(high - low, 0.25 * initial) AS rng FROM b JOIN i USING (series)),
+    z AS (SELECT r.series, r.batch, stddev_pop(quality) / (stddev_pop(greatest(0, least(1, (root - low) / rng))) + 1e-8) AS scale FROM r JOIN s ON s.series = r.series AND s.seq >= r.batch * 32 - 512 AND s.seq < r.batch * 32 GROUP BY 1, 2)"""
 
 
-@query(f"WITH {W1} SELECT seq, CASE WHEN rng IS NOT NULL THEN round(greatest(0, least(1, (root - low) / rng)), 6)::DOUBLE END AS normalized, round(scale, 6)::DOUBLE AS scale FROM s LEFT JOIN r USING (batch) LEFT JOIN z USING (batch)")
+@query(f"WITH {W1} SELECT series, seq, CASE WHEN rng IS NOT NULL THEN round(greatest(0, least(1, (root - low) / rng)), 6)::DOUBLE END AS normalized, round(scale, 6)::DOUBLE AS scale FROM s LEFT JOIN r USING (series, batch) LEFT JOIN z USING (series, batch)")
 def w1_sliding_normalize(spark, d):
-    x = events(spark, d).select(F.lit(0).alias("series"), F.col("event_id").alias("seq"), F.abs("value").alias("cost"), (F.col("event_id") % 7).cast("double").alias("quality"))
-    n = D.sliding_normalize(x, batch=500)
-    return n.select("seq", F.when(F.col("scale").isNotNull(), r6("normalized")).alias("normalized"), r6("scale").alias("scale"))
+    seq = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    x = events(spark, d).select(F.col("event_type").alias("series"), seq.alias("seq"), F.abs("value").alias("cost"), (F.col("event_id") % 7).cast("double").alias("quality"))
+    n = D.sliding_normalize(x)
+    return n.select("series", "seq", F.when(F.col("scale").isNotNull(), r6("normalized")).alias("normalized"), r6("scale").alias("scale"))
 
 
 @query("WITH x AS (SELECT user_id AS episode, event_id AS step, (event_id % 5)::DOUBLE AS reward, (event_id % 3)::DOUBLE AS value FROM events) SELECT episode, step, round(sum(reward) OVER (PARTITION BY episode ORDER BY step DESC) - value, 6)::DOUBLE AS advantage FROM x")

@@ -33,7 +33,7 @@ def t3_fold_unicode(spark, d):
     return docs(spark, d).select("doc_id", T.fold_unicode(F.concat("text", F.lit(" “x” ’y‘ — "))).alias("folded"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM documents WHERE lang = 'en')
+@query(r"""WITH x AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM documents)
     SELECT doc_id, w, 'color' AS k, CASE
       WHEN w IN ('children','feet','geese','men','mice','people','teeth','women') THEN map {'children':'child','feet':'foot','geese':'goose','men':'man','mice':'mouse','people':'person','teeth':'tooth','women':'woman'}[w]
       WHEN length(w) > 3 AND w LIKE '%ies' THEN w[:-4] || 'y'
@@ -41,7 +41,7 @@ def t3_fold_unicode(spark, d):
       WHEN length(w) > 3 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[:-2] ELSE w END AS v
     FROM x WHERE w NOT IN ('none', 'unknown', 'seated')""")
 def t4_normalize_attribute(spark, d):
-    w = docs(spark, d).where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("w")).where(~F.col("w").isin("none", "unknown", "seated"))
+    w = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("w")).where(~F.col("w").isin("none", "unknown", "seated"))
     k, v = T.normalize_attribute(F.lit(" Coat Color "), "w")
     return w.select("doc_id", "w", k.alias("k"), v.alias("v"))
 

@@ -261,8 +261,11 @@ def concept_match(queries: DataFrame, nodes: DataFrame, min_overlap: float = 0.0
 
 
 def similarity_links(vectors: DataFrame, a: float, b: float, k: int, low: float, by: str) -> DataFrame:
-    """Per memory its ``k`` best others of a * cosine (above 0) + b * text ratio, at least ``low``; the ratio is 1 - edit distance / longer length."""
-    pairs = similarity_join(vectors.select("memory_id", "vector", by), 1e-9, by)
+    """Per memory its ``k`` best others of a * cosine (above 0) + b * text ratio, at least ``low``; the ratio is 1 - edit distance / longer length.
+
+    As no ratio is above 1, only pairs with a cosine of (low - b) / a at least can reach ``low``, and only their texts are compared.
+    """
+    pairs = similarity_join(vectors.select("memory_id", "vector", by), max(1e-9, (low - b) / a - 1e-9), by)
     two = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     text = vectors.select("memory_id", "text")
     x = two.join(text.select(F.col("memory_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("memory_id").alias("b"), F.col("text").alias("tb")), "b")

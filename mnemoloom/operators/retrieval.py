@@ -8,57 +8,102 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoloom.functions.columns import rank_top
+from mnemoloom.functions.columns import cosine, norm, rank_top
+from mnemoloom.session import stage
 
 BLOCK_ROWS, RUN_ROWS = 16_384, 2_048
 
 
-def _scores(metric: str, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _scores(metric: str, rows: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """Scores of each query (a row of the result) with each vector, summed vector by vector, so that equal vectors tie."""
     if metric == "l2":
-        return -np.sqrt(((rows - q) ** 2).sum(axis=1))
-    dots = (rows * q).sum(axis=1)
+        return np.stack([-np.sqrt(((rows - q) ** 2).sum(axis=1)) for q in asks])
+    dots = np.einsum("ij,kj->ik", asks, rows)
     if metric == "dot":
         return dots
-    return dots / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((q * q).sum()))
+    return dots / np.sqrt((asks * asks).sum(axis=1))[:, None] / np.sqrt((rows * rows).sum(axis=1))
 
 
-def vector_topk(queries: DataFrame, memories: DataFrame, k: int, metric: str = "cosine", by: list[str] | None = None, min_score: float | None = None) -> DataFrame:
-    """Exact top ``k`` by cosine, dot product or negative L2 distance, within equal ``by`` columns.
+def _matrix(table: pa.Table, column: str = "vector") -> np.ndarray:
+    flat = table.column(column).combine_chunks().flatten().to_numpy()
+    return flat.reshape(len(table), -1)
 
-    Queries in runs meet memories in blocks (hash of the id, so no block is hot); a block answers with
-    its own top k, and the k best of those are ranked. The number of blocks follows the row count, so a
-    task holds BLOCK_ROWS + RUN_ROWS vectors about, whatever the table. A zero vector or one with NaN
-    raises an error.
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, ties to smaller ids; those of minus infinity are none."""
+    there = np.flatnonzero(scores > -np.inf)
+    if len(there) > k:
+        there = there[scores[there] >= np.partition(scores[there], len(there) - k)[-k]]
+    return there[np.lexsort((ids[there], -scores[there]))[:k]]
+
+
+def _checked(vector: str = "vector") -> Column:
+    """The vector in double precision; an error if it is zero or has NaN."""
+    bad = ~F.exists(vector, lambda x: x != 0) | F.exists(vector, lambda x: F.isnan(x))
+    return F.when(bad, F.raise_error(F.lit("zero or NaN vector"))).otherwise(F.col(vector).cast("array<double>"))
+
+
+def _in_blocks(queries: DataFrame, memories: DataFrame, by: list[str], find, schema: str) -> DataFrame:
+    """Memories (id, ..) in blocks by a hash of their id, and queries (id, ..) in runs; ``find(block, run)`` answers for each pair of Arrow tables.
+
+    The number of blocks follows the row count, so a task holds BLOCK_ROWS + RUN_ROWS rows about, whatever the table.
     """
-    by = by or []
-    bad = ~F.exists("vector", lambda x: x != 0) | F.exists("vector", lambda x: F.isnan(x))
-    checked = F.when(bad, F.raise_error(F.lit("zero or NaN vector"))).otherwise(F.col("vector").cast("array<double>"))
-    n, m = memories.count(), queries.count()
-    blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // RUN_ROWS))
-    at = lambda ident, count: F.pmod(F.xxhash64(ident), F.lit(count)).cast("int")
+    blocks, groups = max(1, -(-memories.count() // BLOCK_ROWS)), max(1, -(-queries.count() // RUN_ROWS))
+    at = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = memories.select(*by, F.col("memory_id").alias("id"), checked.alias("vector")).withColumn("block", at("id", blocks)).withColumn("run", every(groups))
-    right = queries.select(*by, F.col("query_id").alias("id"), checked.alias("vector")).withColumn("run", at("id", groups)).withColumn("block", every(blocks))
-
-    def find(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            ids, rows = a["id"].to_numpy(), np.stack(a["vector"].to_list())
-            for me, v in zip(b["id"], b["vector"], strict=True):
-                s = _scores(metric, rows, np.asarray(v))
-                best = np.lexsort((ids, -s))[:k]
-                best = best if min_score is None else best[s[best] >= min_score]
-                out.append(pd.DataFrame({"query_id": me, "memory_id": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "memory_id": [], "score": []})
+    left = memories.withColumn("block", at(blocks)).withColumn("run", every(groups))
+    right = queries.withColumn("run", at(groups)).withColumn("block", every(blocks))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = find(a, b) if len(a) and len(b) else []
+        kinds = {"long": np.int64, "double": np.float64, "int": np.int32}
+        columns = list(zip(*rows, strict=True)) or [[np.zeros(0, kinds[x.split()[1]])] for x in schema.split(", ")]
+        return pa.table({n: np.concatenate(c) for n, c in zip(names, columns, strict=True)})
 
     keys = [*by, "block", "run"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(find, "query_id long, memory_id long, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+HITS = "query_id long, memory_id long, score double"
+
+
+def vector_topk(queries: DataFrame, memories: DataFrame, k: int, metric: str = "cosine", by: list[str] | None = None, min_score: float | None = None, own: bool = True) -> DataFrame:
+    """Exact top ``k`` by cosine, dot product or negative L2 distance, within equal ``by`` columns.
+
+    Queries in runs meet memories in blocks (hash of the id, so no block is hot); a block answers with
+    its own top k, and the k best of those are ranked. Without ``own``, a memory whose id is the query's is left out. Null vectors
+    and ids take no part; a zero vector or one with NaN raises an error.
+    """
+    by = by or []
+    side = lambda df, ident: df.where(F.col("vector").isNotNull() & F.col(ident).isNotNull()).select(*by, F.col(ident).cast("long").alias("id"), _checked().alias("vector"))
+
+    def find(a: pa.Table, b: pa.Table) -> list[tuple]:
+        out, ids, rows, asked, asks = [], a.column("id").to_numpy(), _matrix(a), b.column("id").to_numpy(), _matrix(b)
+        for start in range(0, len(asks), 64):
+            for me, score in zip(asked[start : start + 64], _scores(metric, rows, asks[start : start + 64]), strict=True):
+                if not own:
+                    score[ids == me] = -np.inf
+                best = _best(ids, score, k)
+                best = best if min_score is None else best[score[best] >= min_score]
+                out.append((np.full(len(best), me), ids[best], score[best]))
+        return out
+
+    found = _in_blocks(side(queries, "query_id"), side(memories, "memory_id"), by, find, HITS)
     return rank_top(found, ["query_id"], k, F.desc("score"), F.asc("memory_id"))
 
 
+def pair_scores(pairs: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """Cosine of the given (query_id, memory_id) pairs alone: two equi-joins, in the JVM."""
+    q = queries.select("query_id", F.col("vector").alias("qv"))
+    m = memories.select("memory_id", F.col("vector").alias("mv"))
+    return pairs.select("query_id", "memory_id").distinct().join(m, "memory_id").join(q, "query_id").select("query_id", "memory_id", cosine(F.col("qv"), F.col("mv")).alias("score"))
+
+
 def ranked(scores: DataFrame, k: int, by: str = "query_id", ident: str = "memory_id") -> DataFrame:
     return rank_top(scores, [by], k, F.desc("score"), F.asc(ident))
 
@@ -68,6 +113,16 @@ def visual_boost(text: Column, image: Column, category: Column, visual: list[str
     return F.when(category.isin(visual) & image.isNotNull(), F.greatest(text, image)).otherwise(text)
 
 
+def boosted_topk(text_hits: DataFrame, image_hits: DataFrame, text_of, image_of, k: int) -> DataFrame:
+    """Top ``k`` by the larger of text and image similarity, from the ``k`` best by either, beyond which none can be.
+
+    ``text_of`` and ``image_of`` score given pairs (query_id, memory_id); pairs without an image, or of queries that are not visual, are in ``image_of``'s result not at all.
+    """
+    pairs = text_hits.select("query_id", "memory_id").unionByName(image_hits.select("query_id", "memory_id")).distinct()
+    x = text_of(pairs).join(image_of(pairs).select("query_id", "memory_id", F.col("score").alias("image")), ["query_id", "memory_id"], "left")
+    return ranked(x.select("query_id", "memory_id", F.greatest("score", "image").alias("score")), k)
+
+
 def eligible(memories: DataFrame, allowed: DataFrame) -> DataFrame:
     """ACTIVE memories of allowed sessions; applied before scoring."""
     return memories.where("status = 'ACTIVE'").join(allowed.select("session_id").distinct(), "session_id", "left_semi")
@@ -77,11 +132,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
 
 
-def graph_append(hits: DataFrame, edges: DataFrame, scores: DataFrame, m: int = 2, weight: float = 0.2) -> DataFrame:
-    """Hits as they are, then up to ``m`` one-hop neighbours by own score + weight * best seed score: (.., via)."""
+def graph_append(hits: DataFrame, edges: DataFrame, score_of, m: int = 2, weight: float = 0.2) -> DataFrame:
+    """Hits as they are, then up to ``m`` one-hop neighbours by own score + weight * best seed score: (.., via).
+
+    ``score_of`` scores given pairs (query_id, memory_id), see ``pair_scores``: only neighbours of hits are scored.
+    """
     seeds = hits.select("query_id", F.col("memory_id").alias("source"), F.col("score").alias("seed"))
     near = seeds.join(both_ways(edges), "source").groupBy("query_id", F.col("target").alias("memory_id")).agg(F.max("seed").alias("seed"))
-    fresh = near.join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").join(scores, ["query_id", "memory_id"])
+    fresh = near.join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    fresh = fresh.join(score_of(fresh), ["query_id", "memory_id"])
     best = ranked(fresh.select("query_id", "memory_id", (F.col("score") + weight * F.col("seed")).alias("score")), m)
     top = hits.groupBy("query_id").agg(F.max("rank").alias("base"))
     added = best.join(top, "query_id").withColumn("rank", F.col("rank") + F.col("base")).drop("base")
@@ -90,29 +149,34 @@ def graph_append(hits: DataFrame, edges: DataFrame, scores: DataFrame, m: int =
 
 
 def attribute_append(hits: DataFrame, edges: DataFrame, attribute_scores: DataFrame, m: int = 2) -> DataFrame:
-    """Neighbours scored by the distinct attributes on all edges from the seeds: edges (source, target, attributes array), attribute_scores (query_id, attribute, score already weighted)."""
+    """Neighbours scored by the distinct attributes on all edges from the seeds: edges (source, target, attributes array), attribute_scores (query_id, attribute, score already weighted). A query's own id is no neighbour."""
     two = edges.select("source", "target", "attributes").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "attributes"))
     near = hits.select("query_id", F.col("memory_id").alias("source")).join(two, "source").select("query_id", F.col("target").alias("memory_id"), F.explode("attributes").alias("attribute")).distinct()
-    fresh = near.join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    fresh = near.join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").where("query_id <> memory_id")
     return ranked(fresh.join(attribute_scores, ["query_id", "attribute"]).groupBy("query_id", "memory_id").agg(F.sum("score").alias("score")), m)
 
 
-def graph_rerank(hits: DataFrame, edges: DataFrame, scores: DataFrame, k: int, weight: float = 0.2) -> DataFrame:
+def graph_rerank(hits: DataFrame, edges: DataFrame, score_of, k: int, weight: float = 0.2) -> DataFrame:
     """Seeds and neighbours compete for ``k`` places; on ties vector before graph, then id."""
-    every = graph_append(hits, edges, scores, m=1 << 30, weight=weight)
+    every = graph_append(hits, edges, score_of, m=1 << 30, weight=weight)
     return rank_top(every.drop("rank"), ["query_id"], k, F.desc("score"), F.desc("via"), F.asc("memory_id"))
 
 
 def random_append(hits: DataFrame, memories: DataFrame, m: int, seed: str) -> DataFrame:
-    """``m`` memories per query that are no hits, in the order of sha256(seed|query|memory): the same for each run.
+    """``m`` memories per query that are no hits and not the query's own, the same for each run.
 
-    Each query looks at ``m`` + its hits memories of its own pseudo-random slots only where a bank is
-    given; here every memory of the query's bank is hashed.
+    Each bank is put in the order of sha256(seed|memory) once; a query begins at a place of it that sha256(seed|query) names and takes the
+    next ones, round the end. A query so looks at ``m`` + its hits + 1 memories, whatever the bank's size.
     """
-    queries = hits.select("query_id", "bank").distinct()
-    pool = queries.join(memories.select("bank", "memory_id"), "bank").join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
-    key = F.sha2(F.concat_ws("|", F.lit(seed), F.col("query_id").cast("string"), F.col("memory_id").cast("string")), 256)
-    return rank_top(pool.withColumn("key", key), ["query_id"], m, F.asc("key"), F.asc("memory_id")).drop("key")
+    text = lambda ident: F.concat_ws("|", F.lit(seed), F.col(ident).cast("string"))
+    order = Window.partitionBy("bank").orderBy(F.sha2(text("memory_id"), 256), "memory_id")
+    placed = memories.select("bank", "memory_id", (F.row_number().over(order) - 1).alias("place"))
+    sizes = memories.groupBy("bank").agg(F.count("*").alias("size"))
+    queries = hits.groupBy("query_id", "bank").agg((F.count("memory_id") + m + 1).alias("wanted")).join(sizes, "bank")
+    start = F.conv(F.substring(F.sha2(text("query_id"), 256), 1, 12), 16, 10).cast("long")
+    looked = queries.select("query_id", "bank", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.least("wanted", "size") - 1), lambda i: (start + i) % F.col("size"))).alias("step", "place"))
+    pool = looked.join(placed, ["bank", "place"]).where("query_id <> memory_id").join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    return rank_top(pool.select("query_id", "bank", "memory_id", "step"), ["query_id"], m, F.asc("step")).drop("step")
 
 
 def similarity_join(vectors: DataFrame, t: float, by: str) -> DataFrame:
@@ -141,40 +205,74 @@ def similarity_join(vectors: DataFrame, t: float, by: str) -> DataFrame:
     return left.groupBy(by, "p", "q").cogroup(right.groupBy(by, "p", "q")).applyInPandas(pairs, "a long, b long, score double")
 
 
-def multivector_topk(scores: DataFrame, k: int, mode: str = "max") -> DataFrame:
-    """Documents by their vectors' scores: scores (query_id, part, memory_id, score); ``sum`` is the mean over a document's vectors, summed over the query's parts."""
-    if mode == "sum":
-        per = scores.groupBy("query_id", "part", "memory_id").agg(F.avg("score").alias("score"))
-        return ranked(per.groupBy("query_id", "memory_id").agg(F.sum("score").alias("score")), k)
-    how = {"max": F.max, "mean": F.avg, "min": F.min}[mode]
-    return ranked(scores.groupBy("query_id", "memory_id").agg(how("score").alias("score")), k)
+def multivector_topk(queries: DataFrame, vectors: DataFrame, k: int, mode: str = "max") -> DataFrame:
+    """Documents by the cosines of their vectors with those of a query: queries (query_id, part, vector), vectors (memory_id, vector), several rows an id.
+
+    ``max``, ``mean`` and ``min`` are over all pairs; ``sum`` is the mean over a document's vectors, summed over the query's parts. Blocks are made
+    of whole documents and runs of whole queries, and a block answers with its own top k.
+    """
+    side = lambda df, ident: df.where(F.col("vector").isNotNull()).select(F.col(ident).cast("long").alias("id"), _checked().alias("vector"))
+
+    def find(a: pa.Table, b: pa.Table) -> list[tuple]:
+        a, b = a.sort_by("id"), b.sort_by("id")
+        ids, rows, asked, asks, out = a.column("id").to_numpy(), _matrix(a), b.column("id").to_numpy(), _matrix(b), []
+        heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        sizes, bounds = np.diff(np.append(heads, len(ids))), [*np.flatnonzero(np.append(True, asked[1:] != asked[:-1])), len(asked)]
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            each = _scores("cosine", rows, asks[i:j])
+            if mode in ("max", "min"):
+                how = np.maximum if mode == "max" else np.minimum
+                score = how.reduceat(how.reduce(each, axis=0), heads)
+            else:
+                score = np.add.reduceat(each.sum(axis=0), heads) / sizes / (j - i if mode == "mean" else 1)
+            best = _best(ids[heads], score, k)
+            out.append((np.full(len(best), asked[i]), ids[heads][best], score[best]))
+        return out
+
+    return ranked(_in_blocks(side(queries, "query_id"), side(vectors, "memory_id"), [], find, HITS), k)
+
+
+def token_lists(docs: DataFrame, ident: str, tokens) -> DataFrame:
+    """(id, tokens, dl), tokenised once and stored."""
+    lists = stage(docs.select(F.col(ident).alias("id"), tokens(F.col("text")).alias("tokens")), "tokens")
+    return lists.withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0)))
+
+
+def corpus_stats(lists: DataFrame) -> DataFrame:
+    """One row: N (texts without tokens count) and the mean length."""
+    return lists.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
 
 
-def inverted_index(docs: DataFrame, ident: str, tokens: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings (id, token, tf, dl), document frequencies (token, df), one row of N and mean length). Texts without tokens count in N."""
-    lists = docs.select(F.col(ident).alias("id"), tokens.alias("tokens"))
-    stats = lists.agg(F.count("*").alias("N"), F.avg(F.size("tokens")).alias("avgdl"))
-    postings = lists.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
-    return postings, postings.groupBy("token").agg(F.count("*").alias("df")), stats
+def postings_of(lists: DataFrame) -> DataFrame:
+    """(id, token, dl, tf)."""
+    return lists.select("id", "dl", F.explode("tokens").alias("token")).groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, tokens, k: int, k1: float = 1.5, b: float = 0.75, ident: str = "doc_id") -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, tokens, k: int, k1: float = 1.5, b: float = 0.75, ident: str = "doc_id", tags: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """BM25 with idf ln((N - df + .5) / (df + .5) + 1); a token repeated in the query counts each time; only scores above 0.
 
-    queries (query_id, text). The one-row statistics are the only thing broadcast by nature.
+    queries (query_id, text). Texts are tokenised once; only postings of the queries' tokens are made, and the one-row statistics are the only
+    thing broadcast by nature. Scores are rounded to ``digits``, so that sums in another order rank alike. With ``tags`` (id, tag, one row for each
+    tag that is asked for), the 2k best are taken and those without any of the tags left out.
     """
-    postings, df, stats = inverted_index(docs, ident, tokens(F.col("text")))
+    lists = token_lists(docs, ident, tokens)
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    x = q.join(df, "token").join(postings, "token").crossJoin(F.broadcast(stats))
+    said = lists.select("id", "dl", F.explode("tokens").alias("token")).join(q.select("token").distinct(), "token", "left_semi")
+    postings = stage(said.groupBy("id", "token", "dl").agg(F.count("*").alias("tf")), "postings")
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    x = q.join(df, "token").join(postings, "token").crossJoin(F.broadcast(corpus_stats(lists)))
     idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = x.groupBy("query_id", F.col("id").alias("memory_id")).agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
-    return ranked(scores.where("score > 0"), k)
+    scores = x.groupBy("query_id", F.col("id").alias("memory_id")).agg(F.round(F.sum(F.col("qtf") * idf * weight), digits).alias("score"))
+    found = ranked(scores.where("score > 0"), k if tags is None else 2 * k)
+    return found if tags is None else ranked(found.drop("rank").join(tags.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi"), k)
 
 
-def tfidf_topk(queries: DataFrame, docs: DataFrame, tokens, k: int, ident: str = "doc_id", overlap_weight: float = 0.35) -> DataFrame:
-    """0.35 * share of the query's tokens + 0.65 * TF-IDF cosine, idf ln((1 + N) / (1 + df)) + 1, tf as a share; scores of 0 drop out."""
-    postings, df, stats = inverted_index(docs, ident, tokens(F.col("text")))
+def tfidf_topk(queries: DataFrame, docs: DataFrame, tokens, k: int, ident: str = "doc_id", overlap_weight: float = 0.35, digits: int = 9) -> DataFrame:
+    """0.35 * share of the query's tokens + 0.65 * TF-IDF cosine, idf ln((1 + N) / (1 + df)) + 1, tf as a share; scores of 0 drop out. Postings are made once and stored."""
+    lists = token_lists(docs, ident, tokens)
+    postings, stats = stage(postings_of(lists), "postings"), corpus_stats(lists)
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1
     w = postings.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("w", F.col("tf") / F.col("dl") * idf)
     norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
@@ -183,16 +281,41 @@ def tfidf_topk(queries: DataFrame, docs: DataFrame, tokens, k: int, ident: str =
     qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"), F.count("*").alias("n_tokens"))
     x = qw.join(w.select("token", "id", "w"), "token").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.count("*").alias("shared"))
     x = x.join(qn, "query_id").join(norms, "id")
-    score = overlap_weight * F.col("shared") / F.col("n_tokens") + (1 - overlap_weight) * F.col("dot") / (F.col("qn") * F.col("dn"))
+    score = F.round(overlap_weight * F.col("shared") / F.col("n_tokens") + (1 - overlap_weight) * F.col("dot") / (F.col("qn") * F.col("dn")), digits)
     return ranked(x.select("query_id", F.col("id").alias("memory_id"), score.alias("score")).where("score > 0"), k)
 
 
-def weighted_topk(text: DataFrame, images: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
-    """alpha * text + (1 - alpha) * best image of the round (the last on ties): images (query_id, memory_id, image_no, score)."""
-    best = images.groupBy("query_id", "memory_id").agg(F.max(F.struct("score", "image_no")).alias("b"))
-    x = text.join(best, ["query_id", "memory_id"], "left")
-    mixed = F.when(F.col("b").isNull(), alpha * F.col("score")).otherwise(alpha * F.col("score") + (1 - alpha) * F.col("b.score"))
-    return ranked(x.select("query_id", "memory_id", mixed.alias("score"), F.col("b.image_no").alias("image_no")), k)
+def weighted_topk(queries: DataFrame, memories: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
+    """alpha * cosine with the text + (1 - alpha) * cosine with the best image of the round (the last on ties), and that image's number from 1.
+
+    queries (query_id, vector), memories (memory_id, vector, images array of vectors or null). A block scores both and answers with its own top k.
+    """
+    flat = F.flatten(F.coalesce(F.col("images").cast("array<array<double>>"), F.array().cast("array<array<double>>")))
+    asked = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("id"), _checked().alias("vector"))
+    held = memories.where("vector is not null").select(F.col("memory_id").cast("long").alias("id"), _checked().alias("vector"), F.greatest(F.size("images"), F.lit(0)).alias("n"), flat.alias("images"))
+
+    def find(a: pa.Table, b: pa.Table) -> list[tuple]:
+        ids, rows, n, out = a.column("id").to_numpy(), _matrix(a), np.maximum(a.column("n").fill_null(0).to_numpy(), 0), []
+        images = a.column("images").combine_chunks().flatten().to_numpy().reshape(-1, rows.shape[1])
+        with_image = np.flatnonzero(n)
+        heads, owner = (np.cumsum(n) - n)[with_image], np.repeat(np.arange(len(with_image)), n[with_image])
+        for me, q in zip(b.column("id").to_numpy(), _matrix(b), strict=True):
+            score, number = alpha * _scores("cosine", rows, q[None])[0], np.zeros(len(ids), np.int64)
+            if len(owner):
+                each = _scores("cosine", images, q[None])[0]
+                best = np.maximum.reduceat(each, heads)
+                last = np.flatnonzero(each == best[owner])
+                place = np.zeros(len(with_image), np.int64)
+                place[owner[last]] = last
+                score[with_image] += (1 - alpha) * best
+                number[with_image] = place - heads + 1
+            score[ids == me] = -np.inf
+            top = _best(ids, score, k)
+            out.append((np.full(len(top), me), ids[top], score[top], number[top]))
+        return out
+
+    found = _in_blocks(asked, held, [], find, HITS + ", image_no long")
+    return ranked(found.withColumn("image_no", F.when(F.col("image_no") > 0, F.col("image_no"))), k)
 
 
 def expand_neighbors(seeds: DataFrame, rounds: DataFrame, w: int = 1) -> DataFrame:
@@ -243,10 +366,27 @@ def structured_search(df: DataFrame, persons: list[str] | None = None, location:
     return out
 
 
-def list_memories(df: DataFrame, text: str, field: str = "name", k: int = 10) -> DataFrame:
-    """Case-folded substring listing on one field, in stored order; an empty query lists the first rows."""
-    rows = df if not text.strip() else df.where(F.lower(field).contains(text.lower()))
-    return rows.orderBy("memory_id").limit(k)
+def list_memories(df: DataFrame, query: str, field: str = "name", k: int = 10, method: str = "substring", tokens=None, vector: list[float] | None = None) -> DataFrame:
+    """The ``k`` memories that fit a query by one field: case-folded ``substring``, ``bm25`` on its words, or cosine of the column ``vector`` (``vector`` of the query).
+
+    A query without words (for ``vector``, one without a vector) gives the first rows in stored order, with a null score.
+    """
+    spark = df.sparkSession
+    first = df.orderBy("memory_id").limit(k).withColumn("score", F.lit(None).cast("double"))
+    if method == "vector":
+        if not vector:
+            return first
+        asked = spark.createDataFrame([(0, vector)], "query_id long, vector array<double>")
+        hits = vector_topk(asked, df, k)
+    elif method == "bm25":
+        asked = spark.createDataFrame([(0, query)], "query_id long, text string")
+        if not asked.select(F.size(tokens(F.col("text")))).first()[0]:
+            return first
+        hits = bm25_topk(asked, df.select("memory_id", F.col(field).alias("text")), tokens, k, ident="memory_id")
+    else:
+        rows = df if not query.strip() else df.where(F.lower(field).contains(query.lower()))
+        return rows.orderBy("memory_id").limit(k).withColumn("score", F.lit(None).cast("double"))
+    return df.join(hits.select("memory_id", "score"), "memory_id")
 
 
 def recency_topk(df: DataFrame, k: int, mode: str = "decay", decay: float = 0.99, by: str = "bank") -> DataFrame:
@@ -266,37 +406,56 @@ def weighted_recall_search(scored: DataFrame, now: Column, k: int, decay: float
     return hits, access
 
 
-def two_level_search(sessions: DataFrame, pages: DataFrame, t1: float, t2: float, top: int = 5) -> DataFrame:
-    """Sessions (query_id, session_id, score) at least t1, best ``top``; their pages (query_id, session_id, page_id, score) at least t2."""
-    best = rank_top(sessions.where(F.col("score") >= t1), ["query_id"], top, F.desc("score"), F.asc("session_id"))
-    inside = pages.where(F.col("score") >= t2).withColumnRenamed("score", "page_score")
-    return best.join(inside, ["query_id", "session_id"]).groupBy("query_id", "session_id", "rank", "score").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("page_score")).alias("s"), "page_id"))), lambda x: x["page_id"]).alias("pages"))
+def session_vectors(pages: DataFrame) -> DataFrame:
+    """(session_id, vector): the mean of a session's unit page vectors; its dot product with a unit query is the mean of its pages' cosines."""
+    unit = F.transform("vector", lambda x: x.cast("double") / norm(F.col("vector")))
+    each = pages.select("session_id", F.posexplode(unit).alias("at", "x")).groupBy("session_id", "at").agg(F.avg("x").alias("x"))
+    return each.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def two_level_search(sessions: DataFrame, pages: DataFrame, score_of, t2: float) -> DataFrame:
+    """Sessions found for each query (query_id, session_id, score, rank), and of their pages (session_id, page_id) alone those that score at least ``t2``, best first.
 
+    ``score_of`` scores given pairs (query_id, memory_id), see ``pair_scores``.
+    """
+    inside = sessions.join(pages.select("session_id", F.col("page_id").alias("memory_id")), "session_id")
+    scored = inside.join(score_of(inside).withColumnRenamed("score", "page_score"), ["query_id", "memory_id"]).where(F.col("page_score") >= t2)
+    return scored.groupBy("query_id", "session_id", "rank", "score").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("page_score")).alias("s"), F.col("memory_id").alias("page_id")))), lambda x: x["page_id"]).alias("pages"))
+
+
+def graph_traverse(seeds: DataFrame, edges: DataFrame, score_of, depth: int, t: float, degree_weight: float = 0.1) -> DataFrame:
+    """Breadth-first from the seeds over nodes that score at least ``t``; scores are boosted by 1 + 0.1 * degree: (query_id, memory_id, hop, score).
 
-def graph_traverse(seeds: DataFrame, edges: DataFrame, scores: DataFrame, depth: int, t: float, degree_weight: float = 0.1) -> DataFrame:
-    """Breadth-first from the seeds over nodes that score at least ``t``; scores are boosted by 1 + 0.1 * degree: (query_id, memory_id, hop, score)."""
+    ``score_of`` scores given pairs (query_id, memory_id): only nodes that a step reaches are scored, once. A step's frontier is stored before the next.
+    """
     two = both_ways(edges)
     degree = two.groupBy(F.col("source").alias("memory_id")).agg(F.count("*").alias("degree"))
-    good = scores.where(F.col("score") >= t).select("query_id", "memory_id")
-    seen = frontier = seeds.select("query_id", "memory_id").withColumn("hop", F.lit(0))
+    start = seeds.select("query_id", "memory_id").distinct()
+    seen = frontier = stage(start.join(score_of(start), ["query_id", "memory_id"]).withColumn("hop", F.lit(0)), "traverse")
+    tried = start
     for hop in range(1, depth + 1):
         step = frontier.join(two, frontier["memory_id"] == two["source"]).select("query_id", F.col("target").alias("memory_id")).distinct()
-        frontier = step.join(good, ["query_id", "memory_id"], "left_semi").join(seen, ["query_id", "memory_id"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    boosted = seen.join(scores, ["query_id", "memory_id"]).join(degree, "memory_id", "left")
+        step = stage(step.join(tried, ["query_id", "memory_id"], "left_anti"), "traverse")
+        frontier = stage(step.join(score_of(step), ["query_id", "memory_id"]).where(F.col("score") >= t).withColumn("hop", F.lit(hop)), "traverse")
+        seen, tried = seen.unionByName(frontier), tried.unionByName(step)
+    boosted = seen.join(degree, "memory_id", "left")
     return boosted.select("query_id", "memory_id", "hop", (F.col("score") * (1 + degree_weight * F.coalesce("degree", F.lit(0)))).alias("score"))
 
 
-def path_expand(seeds: DataFrame, edges: DataFrame, align: DataFrame, hops: int, b: int, t: float) -> DataFrame:
-    """Paths from seeds, per hop the best ``b`` continuations by the running product of (alignment + edge weight) / 2; per end the best path at least ``t``."""
+def path_expand(seeds: DataFrame, edges: DataFrame, align_of, hops: int, b: int, t: float) -> DataFrame:
+    """Paths from seeds, per hop the best ``b`` continuations by the running product of (alignment + edge weight) / 2; per end the best path at least ``t``.
+
+    ``align_of`` scores given pairs (query_id, memory_id): only ends of paths are scored.
+    """
     two = edges.select("source", "target", "weight").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
     now = seeds.select("query_id", F.array("memory_id").alias("path"), F.lit(1.0).alias("score"))
     every = None
     for _ in range(hops):
         x = now.withColumn("source", F.element_at("path", -1)).join(two, "source").where(~F.array_contains("path", F.col("target")))
-        x = x.join(align.select("query_id", F.col("memory_id").alias("target"), F.col("score").alias("align")), ["query_id", "target"])
+        align = align_of(x.select("query_id", F.col("target").alias("memory_id"))).select("query_id", F.col("memory_id").alias("target"), F.col("score").alias("align"))
+        x = x.join(align, ["query_id", "target"])
         x = x.withColumn("score", F.col("score") * (F.col("align") + F.col("weight")) / 2).withColumn("key", F.array_join("path", ","))
-        now = rank_top(x, ["query_id", "key"], b, F.desc("score"), F.asc("target")).select("query_id", F.concat("path", F.array("target")).alias("path"), "score")
+        now = stage(rank_top(x, ["query_id", "key"], b, F.desc("score"), F.asc("target")).select("query_id", F.concat("path", F.array("target")).alias("path"), "score"), "paths")
         every = now if every is None else every.unionByName(now)
     every = every.withColumn("memory_id", F.element_at("path", -1)).where(F.col("score") >= t)
     return every.groupBy("query_id", "memory_id").agg(F.max(F.struct("score", "path")).alias("b")).select("query_id", "memory_id", "b.score", "b.path")

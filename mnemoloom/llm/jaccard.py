@@ -285,10 +285,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     classes = stage(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("digest", "r.*", F.monotonically_increasing_id().alias("class")), "jaccard-classes")
     row = ["doc_id", "text_hash"]
     prefixes = stage(_prefixes(texts, words, percent, _levels(survey)), "jaccard-prefixes")
-    made = prefixes.select(*row, "n", "key").join(classes.select(*row, "class"), row).dropDuplicates(["class"])
+    made = prefixes.select(*row, "n", "key").join(classes.select(*row, "class"), row).dropDuplicates(row)
     groups = made.groupBy("n", "key").agg(F.min("class").alias("gid"))
     assigned = made.join(groups, ["n", "key"]).select("gid", "class", *row)
-    members = stage(prefixes.join(assigned, row).dropDuplicates(["class"]).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-members")
+    members = stage(prefixes.join(assigned, row).dropDuplicates(row).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-members")
 
     # Postings of groups: one row per prefix shingle that two groups may share.
     buckets = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     nearest = star_pairs.unionByName(own).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
     in_reach = shared.select("gid").distinct().unionByName(members.where("gid <> doc_id").select("gid").distinct()).distinct()
     asked = classes.join(members.join(in_reach, "gid", "left_semi").select(F.col("doc_id").alias("class")), "class", "left_semi").select(*row, "class")
-    near = stage(_zipped(texts).join(asked, row).dropDuplicates(["class"]).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-texts")
+    near = stage(_zipped(texts).join(asked, row).dropDuplicates(row).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-texts")
     links = stage(_verified(stage(nearest, "jaccard-candidates"), near, words, percent), "jaccard-stars")
     labels = connected_components(links)
 

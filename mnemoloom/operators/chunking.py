@@ -11,6 +11,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from mnemoloom.functions.columns import c, joined, ordered_collect
 
@@ -181,14 +182,15 @@ def truncate_by_score(df: DataFrame, text: str, limit: float, out: str = "cut")
     token = "[\\u4E00-\\u9FFF\\u3040-\\u30FF]|[0-9]+|[^\\W\\d_]+|\\s+|."
     tokens = F.regexp_extract_all(F.col(text), F.lit(f"(?sU)({token})"), F.lit(1))
     score = lambda t: F.when(t.rlike("^[\\u4E00-\\u9FFF\\u3040-\\u30FF]$"), 1.0).when(t.rlike("^[0-9]+$"), 0.8).when(t.rlike("(?U)^[^\\W\\d_]+$"), 1.3).when(t.rlike("^\\s+$"), 0.0).otherwise(0.3)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("text"), F.lit(False).alias("full"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
     def step(a: Column, t: Column) -> Column:
         total = a["sum"] + score(t)
         allowed = F.when(score(t) == 1.3, limit * 1.05).otherwise(limit)
-        return F.when(a["full"] | (total > allowed), F.struct(a["sum"].alias("sum"), a["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(total.alias("sum"), F.concat(a["text"], t).alias("text"), F.lit(False).alias("full")))
+        return F.when(a["full"] | (total > allowed), F.struct(a["sum"].alias("sum"), a["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct(total.alias("sum"), (a["n"] + 1).alias("n"), F.lit(False).alias("full")))
 
-    return df.withColumn(out, F.aggregate(tokens, start, step)["text"])
+    cut = F.slice("_tokens", F.lit(1), F.aggregate("_tokens", start, step)["n"])
+    return df.withColumn("_tokens", tokens).withColumn(out, F.array_join(cut, "")).drop("_tokens")
 
 
 def history_view(rounds: DataFrame, modality: str) -> DataFrame:
@@ -214,6 +216,26 @@ def token_stats(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n_texts"), F.sum(n_words).alias("n_words"), F.sum(F.when(F.length(text) > 0, estimate_tokens(text)).otherwise(0)).alias("n_tokens"), F.max(n_words).alias("max_words"))
 
 
+def strings_in(column: Column, kind: DataType) -> Column:
+    """Array of all strings in a value of any nested type, in order; map keys aside."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, StringType):
+        return F.when(column.isNull(), none).otherwise(F.array(column))
+    if isinstance(kind, StructType):
+        parts = [strings_in(column[f.name], f.dataType) for f in kind.fields]
+        return F.when(column.isNull() | F.lit(not parts), none).otherwise(F.concat(none, *parts))
+    if isinstance(kind, (ArrayType, MapType)):
+        inner = kind.elementType if isinstance(kind, ArrayType) else kind.valueType
+        items = column if isinstance(kind, ArrayType) else F.map_values(column)
+        return F.coalesce(F.flatten(F.transform(items, lambda x: strings_in(x, inner))), none)
+    return none
+
+
+def collect_strings(df: DataFrame, column: str, out: str = "strings") -> DataFrame:
+    """Adds all strings of a nested column, found by its schema at whatever depth."""
+    return df.withColumn(out, strings_in(F.col(column), df.schema[column].dataType))
+
+
 def explode_turns(chunks: DataFrame, texts: str = "texts", speakers: str = "speakers") -> DataFrame:
     """One row per utterance of a chunk, with its speaker as prefix."""
     return chunks.select("conv_id", "round", F.posexplode(F.arrays_zip(speakers, texts)).alias("place", "u")).select("conv_id", "round", "place", F.concat_ws(": ", F.col(f"u.{speakers}"), F.col(f"u.{texts}")).alias("utterance"))

@@ -154,6 +154,11 @@ def upsert_relations(base: DataFrame, new: DataFrame) -> DataFrame:
     return base.unionByName(new).groupBy("s", "p", "o").agg(F.count("*").alias("mentions"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
+def merge_relations(rows: DataFrame) -> DataFrame:
+    """One row per (s, p, o) of rows (s, p, o, mentions, confidence, sources array): mentions summed, largest confidence, sources united. May be applied to its own results."""
+    return rows.groupBy("s", "p", "o").agg(F.sum("mentions").alias("mentions"), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int, predicates: list[str] | None = None) -> DataFrame:
     """Nodes within ``k`` hops of the seeds with their least hop."""
     e = edges if predicates is None else edges.where(F.col("predicate").isin(predicates))

@@ -40,7 +40,8 @@ def forget_prob(age: Column, strength: Column, coefficient: float) -> Column:
 
 def sample_forget(ident: Column, keep: Column, seed: int) -> Column:
     """Whether a memory is forgotten: a uniform draw fixed by its id and the seed, above the probability to keep."""
-    return F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(1_000_000)) / 1e6 >= keep
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), ident.cast("string")), 256), 1, 12), 16, 10)
+    return drawn.cast("double") / float(1 << 48) >= keep
 
 
 def heat(visits: Column, length: Column, last: Column, now: Column, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0, tau: float = 24.0) -> Column:

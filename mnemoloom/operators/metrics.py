@@ -175,12 +175,12 @@ def clue_hits(selected: Column | str, clues: Column | str) -> Column:
     return F.size(F.array_intersect(c(selected), c(clues)))
 
 
-def robustness(logic: str, truth: str, verdict: str, on_true: str, on_false: str, reserve: str) -> Column:
-    """Struct (accuracy, robustness, wealth, prudent). On unknowable questions only UNKNOWN is right; a wrong UNKNOWN costs 0.2, any other wrong verdict 1; stakes are normalised to 100 and pay double on the truth."""
+def robustness(logic: str, truth: str, verdict: str, on_true: str, on_false: str, reserve: str, unknowable_kinds: list[str]) -> Column:
+    """Struct (accuracy, robustness, wealth, prudent). On unknowable questions (those whose ``logic`` is one of the kinds) only UNKNOWN is right; a wrong UNKNOWN costs 0.2, any other wrong verdict 1; stakes are normalised to 100 and pay double on the truth."""
     said = F.upper(c(verdict))
     said = F.when(said.contains("TRUE"), "TRUE").when(said.contains("FALSE"), "FALSE").otherwise("UNKNOWN")
     gold = F.upper(c(truth))
-    unknowable = c(logic).isin("Type_C_Ambiguity", "Type_D_Unknowable")
+    unknowable = c(logic).isin(unknowable_kinds)
     right = F.when(unknowable, said == "UNKNOWN").otherwise(said == gold)
     total = c(on_true) + c(on_false) + c(reserve)
     part = lambda x, empty: F.when(total > 0, 100.0 * c(x) / total).otherwise(empty)

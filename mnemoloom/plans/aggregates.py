@@ -270,6 +270,12 @@ def l4_forget_prob(spark, d):
     return table(spark, d, "events").select("event_id", r6(L.forget_prob(F.col("event_id") % 40, 1 + F.col("event_id") % 3, 5.0)).alias("keep"))
 
 
+@query("SELECT event_id, ('0x' || substr(sha256('7|' || event_id), 1, 12))::BIGINT / 281474976710656.0 >= exp(-(event_id % 40) / (5.0 * (1 + event_id % 3))) AS forgotten FROM events")
+def l4_sample_forget(spark, d):
+    keep = L.forget_prob(F.col("event_id") % 40, 1 + F.col("event_id") % 3, 5.0)
+    return table(spark, d, "events").select("event_id", L.sample_forget(F.col("event_id"), keep, 7).alias("forgotten"))
+
+
 @query(f"SELECT event_id, round(2.0 * (event_id % 5) + 0.5 * (event_id % 9) + CASE WHEN event_id % 4 = 0 THEN 0.1 ELSE exp(-((epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) / 3600) / 24) END, 6)::DOUBLE AS heat FROM events")
 def l5_heat(spark, d):
     last = F.when(F.col("event_id") % 4 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))

@@ -164,6 +164,15 @@ def c20_token_stats(spark, d):
     return C.token_stats(table(spark, d, "documents"), ["lang", "source"])
 
 
+@query("SELECT conv_id, 2 * count(*) AS n_strings, sum(length(role) + length(text))::BIGINT AS n_chars, count(*) FILTER (length(text) > 300) AS n_long FROM conversations GROUP BY 1")
+def c20_collect_strings(spark, d):
+    """All strings of conversations nested in structs, arrays and a map."""
+    t = turns(spark, d).groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.create_map(F.lit("role"), F.col("role")).alias("who"), F.array("text").alias("said"))).alias("ts"))
+    x = C.collect_strings(t.select("conv_id", F.struct("ts", F.lit(1).alias("version")).alias("nested")), "nested")
+    size = F.aggregate("strings", F.lit(0).cast("long"), lambda a, s: a + F.length(s))
+    return x.select("conv_id", F.size("strings").cast("long").alias("n_strings"), size.alias("n_chars"), F.size(F.filter("strings", lambda s: F.length(s) > 300)).cast("long").alias("n_long"))
+
+
 @query("""WITH a AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
     b AS (SELECT *, sum(CASE WHEN role = 'user' OR prev = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS round FROM a)
     SELECT conv_id, round::BIGINT AS round, (row_number() OVER (PARTITION BY conv_id, round ORDER BY turn) - 1)::INT AS place, role || ': ' || text AS utterance FROM b""")

@@ -207,7 +207,8 @@ def g21_concept_match(spark, d):
     return G.concept_match(c.where("node % 10 = 0").select(F.col("node").alias("query_id"), "concept"), c.select("node", "concept"), 0.5, symmetric=True).withColumn("overlap", r6("overlap"))
 
 
-@query()
+@query("""WITH x AS (SELECT a.vec_id AS source, b.vec_id AS target, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c, 'item ' || a.vec_id AS ta, 'item ' || b.vec_id AS tb FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+    w AS (SELECT source, target, 0.7 * c + 0.3 * (1 - levenshtein(ta, tb) / greatest(length(ta), length(tb))) AS weight FROM x WHERE c > 0), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS k FROM w WHERE weight >= 0.4) SELECT source, target, round(weight, 6) AS weight FROM r WHERE k <= 3""")
 def g22_similarity_links(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").alias("vector"), "label", F.concat(F.lit("item "), F.col("vec_id").cast("string")).alias("text"))
     return G.similarity_links(v, 0.7, 0.3, 3, 0.4, "label").select("source", "target", r6("weight").alias("weight"))

@@ -200,17 +200,17 @@ def m15_clue_hits(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.collect_list("turn").alias("got")).select("conv_id", M.clue_hits("got", F.array(*(F.lit(x).cast("long") for x in (0, 2, 4, 6)))).alias("n"))
 
 
-@query("""WITH e AS (SELECT event_id, ['Type_A', 'Type_C_Ambiguity', 'Type_D_Unknowable'][event_id % 3 + 1] AS logic, CASE WHEN event_id % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS truth, ['it is true', 'False', 'unclear', 'UNKNOWN'][event_id % 4 + 1] AS v,
+@query("""WITH e AS (SELECT event_id, ['plain', 'ambiguous', 'unknowable'][event_id % 3 + 1] AS logic, CASE WHEN event_id % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS truth, ['it is true', 'False', 'unclear', 'UNKNOWN'][event_id % 4 + 1] AS v,
       (event_id % 5) * 10.0 AS a, (event_id % 7) * 5.0 AS b, (event_id % 3) * 20.0 AS r FROM events),
-    x AS (SELECT *, CASE WHEN contains(upper(v), 'TRUE') THEN 'TRUE' WHEN contains(upper(v), 'FALSE') THEN 'FALSE' ELSE 'UNKNOWN' END AS said, logic <> 'Type_A' AS unk, a + b + r AS t FROM e),
+    x AS (SELECT *, CASE WHEN contains(upper(v), 'TRUE') THEN 'TRUE' WHEN contains(upper(v), 'FALSE') THEN 'FALSE' ELSE 'UNKNOWN' END AS said, logic <> 'plain' AS unk, a + b + r AS t FROM e),
     y AS (SELECT *, CASE WHEN unk THEN said = 'UNKNOWN' ELSE said = truth END AS ok, CASE WHEN t > 0 THEN 100 * r / t ELSE 100 END AS safe FROM x)
     SELECT event_id, ok::INT::DOUBLE AS accuracy, (CASE WHEN ok THEN 1 WHEN said = 'UNKNOWN' AND NOT unk THEN -0.2 ELSE -1 END)::DOUBLE AS robustness,
       round(safe + CASE WHEN unk OR t = 0 THEN 0 WHEN truth = 'TRUE' THEN 200 * a / t ELSE 200 * b / t END, 6)::DOUBLE AS wealth, (unk AND safe > 80)::INT::DOUBLE AS prudent FROM y""")
 def m16_robustness(spark, d):
     i = F.col("event_id")
     pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (i % n + 1).cast("int"))
-    e = table(spark, d, "events").select("event_id", pick(3, "Type_A", "Type_C_Ambiguity", "Type_D_Unknowable").alias("logic"), F.when(i % 2 == 0, "TRUE").otherwise("FALSE").alias("truth"), pick(4, "it is true", "False", "unclear", "UNKNOWN").alias("v"), (i % 5 * 10.0).alias("a"), (i % 7 * 5.0).alias("b"), (i % 3 * 20.0).alias("r"))
-    x = e.select("event_id", M.robustness("logic", "truth", "v", "a", "b", "r").alias("s")).select("event_id", "s.*")
+    e = table(spark, d, "events").select("event_id", pick(3, "plain", "ambiguous", "unknowable").alias("logic"), F.when(i % 2 == 0, "TRUE").otherwise("FALSE").alias("truth"), pick(4, "it is true", "False", "unclear", "UNKNOWN").alias("v"), (i % 5 * 10.0).alias("a"), (i % 7 * 5.0).alias("b"), (i % 3 * 20.0).alias("r"))
+    x = e.select("event_id", M.robustness("logic", "truth", "v", "a", "b", "r", ["ambiguous", "unknowable"]).alias("s")).select("event_id", "s.*")
     return x.withColumn("wealth", r6("wealth"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import ordered_collect, r6
+from mnemoloom.operators import graph as G
 from mnemoloom.operators import splits as D
 from mnemoloom.plans.registry import query
 from mnemoloom.session import new_folder, table
@@ -19,18 +20,31 @@ def events(spark, d):
     return table(spark, d, "events")
 
 
-@query()
+NESTED = "x AS (SELECT conv_id, text, role, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS no FROM conversations)"
+
+
+@query(f"WITH {NESTED} SELECT 'c' || conv_id AS character, 0 AS session_no, 'S1' AS session_id, no AS round_no, CASE WHEN role = 'user' THEN text END AS \"user\", CASE WHEN role = 'assistant' THEN text END AS assistant FROM x")
 def s1_read_conversations(spark, d):
-    """Nest the conversations, write them as JSON, and scan them as rounds again."""
+    """Nest the conversations, write them as JSON, one a line, and scan them as rounds again."""
     t = table(spark, d, "conversations")
     r = t.groupBy("conv_id").agg(ordered_collect(F.struct("turn", "role", "text"), "turn").alias("ts"))
     rounds = F.transform("ts", lambda x: F.struct(x["turn"].cast("string").alias("round"), F.when(x["role"] == "user", x["text"]).alias("user"), F.when(x["role"] == "assistant", x["text"]).alias("assistant")))
     nested = r.select(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name")).alias("character_profile"), F.array(F.struct(F.lit("S1").alias("session_id"), rounds.alias("dialogues"))).alias("multi_session_dialogues"))
     path = new_folder(spark, "conversations")
     nested.write.json(path)
-    x = spark.read.schema(S.CONVERSATION).json(path)
-    x = x.select(F.col("character_profile.name").alias("character"), F.posexplode("multi_session_dialogues").alias("session_no", "s")).select("character", "session_no", "s.session_id", F.posexplode("s.dialogues").alias("round_no", "r"))
-    return x.select("character", "session_id", "round_no", "r.user", "r.assistant")
+    return S.read_conversations(spark, path, multi_line=False).select("character", "session_no", "session_id", "round_no", "user", "assistant")
+
+
+@query(f"WITH {NESTED} SELECT 'c' || conv_id AS sample_id, 0 AS session_no, 'S1' AS session_id, no AS turn, role, text AS content FROM x")
+def s1_read_turns(spark, d):
+    """The layout by turns, in files that each hold an array of ten conversations."""
+    t = table(spark, d, "conversations")
+    r = t.groupBy("conv_id").agg(ordered_collect(F.struct("role", F.col("text").alias("content")), "turn").alias("dialogue"))
+    nested = F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("sample_id"), F.array(F.struct(F.lit("S1").alias("session_id"), "dialogue")).alias("sessions"))
+    files = r.groupBy(F.floor(F.col("conv_id") / 10).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(nested)), ",\n"), F.lit("]")).alias("value"))
+    path = new_folder(spark, "turns")
+    files.write.partitionBy("file").text(path)
+    return S.read_conversations(spark, f"{path}/file=*", "turns").select("sample_id", "session_no", "session_id", "turn", "role", "content")
 
 
 @query("SELECT doc_id || '' AS chunk_id, text, source FROM documents")
@@ -114,6 +128,19 @@ def s12_query_id(spark, d):
     return S.with_query_id(q).select("event_id", "query_id")
 
 
+@query("SELECT c_custkey AS query_id, v.vec_id IS NOT NULL AS found, round(embedding[1]::DOUBLE, 6) AS first FROM customer LEFT JOIN embeddings v ON vec_id = c_custkey")
+def s12_attach_vectors(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found, missing = S.attach_vectors(table(spark, d, "customer").select(F.col("c_custkey").alias("query_id")), v)
+    has = found.select("query_id", F.lit(True).alias("found"), r6(F.col("vector")[0].cast("double")).alias("first"))
+    return has.unionByName(missing.select("query_id", F.lit(False).alias("found"), F.lit(None).cast("double").alias("first")))
+
+
+@query("SELECT event_id AS msg_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def s13_fetch_latest(spark, d):
+    return S.fetch_latest(events(spark, d).select(F.col("event_id").alias("msg_id"), "event_type"), 50)
+
+
 @query("WITH r AS (SELECT o_orderkey AS range_no, o_orderkey % 300 AS low, o_orderkey % 300 + 20 AS high FROM orders) SELECT range_no, event_id AS msg_id FROM events JOIN r ON event_id BETWEEN low AND high")
 def s13_fetch_ranges(spark, d):
     r = table(spark, d, "orders").select(F.col("o_orderkey").alias("range_no"), (F.col("o_orderkey") % 300).alias("low"), (F.col("o_orderkey") % 300 + 20).alias("high"))
@@ -174,6 +201,14 @@ def d7_clue_coverage(spark, d):
     return D.clue_coverage(q, table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("clue")))
 
 
+@query("SELECT c_custkey AS id, c_custkey < 200 AS present FROM (SELECT DISTINCT o_custkey AS c_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def d7_subset(spark, d):
+    """Customers below 200 as the table; asked for are those with an urgent order; ids that the table lacks are told."""
+    asked = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")).distinct()
+    rows, missing = D.subset(table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id")), asked, "id")
+    return rows.select("id", F.lit(True).alias("present")).unionByName(missing.select("id", F.lit(False).alias("present")))
+
+
 @query("""SELECT 'missing results' AS "check", count(*) FILTER (event_id % 50 = 0) = 0 AS passed, count(*) FILTER (event_id % 50 = 0) AS detail FROM events UNION ALL SELECT 'extra results', TRUE, 0 UNION ALL SELECT 'missing traces', TRUE, 0
     UNION ALL SELECT 'errors', count(*) FILTER (event_id % 50 > 0 AND event_type = 'error') = 0, count(*) FILTER (event_id % 50 > 0 AND event_type = 'error') FROM events UNION ALL SELECT 'too many hits', count(*) FILTER (event_id % 50 > 0 AND event_id % 13 > 10) = 0, count(*) FILTER (event_id % 50 > 0 AND event_id % 13 > 10) FROM events""")
 def d8_audit_run(spark, d):
@@ -276,6 +311,18 @@ def x3_clusters(spark, d):
     return X.online_clusters(frames(spark, d), 0.2)
 
 
+@query("SELECT user_id AS s, event_type AS p, event_id % 5 AS o, count(*) AS mentions, max(value) AS confidence, list_sort(list_distinct(list(event_id % 9))) AS sources FROM events GROUP BY 1, 2, 3")
+def x4_upsert_stream(spark, d):
+    """The relations of all events, from a stream of them that arrives in twelve files, a micro-batch each."""
+    rows = events(spark, d).select(F.col("user_id").alias("s"), F.col("event_type").alias("p"), (F.col("event_id") % 5).alias("o"), F.lit(1).cast("long").alias("mentions"), F.col("value").alias("confidence"), F.array(F.col("event_id") % 9).alias("sources"), (F.col("event_id") % 12).alias("file"))
+    source, target = new_folder(spark, "increments"), new_folder(spark, "relations")
+    rows.repartition(12, "file").write.partitionBy("file").parquet(source)
+    schema = rows.drop("file").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/file=*")
+    X.upsert_stream(stream, target, G.merge_relations, new_folder(spark, "relations-log"), keep=5).awaitTermination()
+    return X.read_upserted(spark, target, G.merge_relations)
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type AS phase, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed, sum(event_id % 50)::BIGINT AS tokens FROM events GROUP BY 1, 2, 3")
 def x5_call_stats(spark, d):
     e = events(spark, d).select("ts", F.col("event_type").alias("phase"), (F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 50).alias("tokens"))

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of ``stage`` that have not been dropped.
+STAGED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a local folder made and set.
+    Only where the master is local (tests, a laptop) and none is named is a local folder made and set; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mnemoloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,6 +35,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_folder(df.sparkSession, label)
+    STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,6 +47,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what ``stage`` has written so far in this session. For when the results that rest on it have been written; nothing else calls it."""
+    while STAGED:
+        with suppress(Exception):  # one folder that is gone already must not keep the others
+            drop_folder(spark, STAGED.pop())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, through Hadoop's file system of that path; none if there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small tables inside loops."""
     shared_dir(df.sparkSession)

@@ -12,20 +12,23 @@ from mnemoloom.functions.columns import c
 
 CONVERSATION = """character_profile struct<name:string,persona_summary:string>, multi_session_dialogues array<struct<session_id:string,date:string,
     dialogues:array<struct<round:string,user:string,assistant:string,input_image:array<string>,image_id:array<string>,image_caption:array<string>>>>>"""
-ARENA = """sample_id string, sessions array<struct<session_id:string,dialogue:array<struct<role:string,content:string,timestamp:string,
+TURNS = """sample_id string, sessions array<struct<session_id:string,dialogue:array<struct<role:string,content:string,timestamp:string,
     attachments:array<struct<image_id:string,file_path:string,caption:string>>>>>>"""
 CHUNK = "chunk_id string, text string, images array<string>, metadata map<string,string>"
 
 
-def read_conversations(spark: SparkSession, path: str, layout: str = "rounds") -> DataFrame:
-    """One row per round (``rounds``) or per turn (``arena``) of nested JSON conversations, in file order."""
-    if layout == "arena":
-        x = spark.read.schema(ARENA).option("multiLine", True).json(path)
+def read_conversations(spark: SparkSession, path: str, layout: str = "rounds", multi_line: bool = True) -> DataFrame:
+    """One row per round (``rounds``) or per turn (``turns``) of nested JSON conversations, in file order.
+
+    A file holds one conversation or an array of them; without ``multi_line``, one on each line, so that large files can be split.
+    """
+    if layout == "turns":
+        x = spark.read.schema(TURNS).option("multiLine", multi_line).json(path)
         x = x.select("sample_id", F.posexplode("sessions").alias("session_no", "s"))
         return x.select("sample_id", "session_no", "s.session_id", F.posexplode("s.dialogue").alias("turn", "t")).select("sample_id", "session_no", "session_id", "turn", "t.*")
     if layout != "rounds":
         raise ValueError(f"unknown layout {layout!r}")
-    x = spark.read.schema(CONVERSATION).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    x = spark.read.schema(CONVERSATION).option("multiLine", multi_line).json(path).withColumn("file", F.col("_metadata.file_path"))
     x = x.select("file", F.col("character_profile.name").alias("character"), F.posexplode("multi_session_dialogues").alias("session_no", "s"))
     return x.select("file", "character", "session_no", "s.session_id", "s.date", F.posexplode("s.dialogues").alias("round_no", "d")).select("file", "character", "session_no", "session_id", "date", "round_no", "d.*")
 
@@ -142,9 +145,12 @@ def with_query_id(df: DataFrame) -> DataFrame:
     return df.withColumn("query_id", F.concat_ws("::", "dataset", F.col("ordinal").cast("string"), "category", digest))
 
 
-def attach_vectors(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries with their cached vectors, and the ids that have none."""
+def attach_vectors(queries: DataFrame, vectors: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Queries with their cached vectors, and the ids that have none. With ``strict`` a missing id is an error when the rows are read."""
     x = queries.join(vectors, "query_id", "left")
+    if strict:
+        lost = F.raise_error(F.concat(F.lit("no cached vector for "), F.col("query_id").cast("string")))
+        return x.withColumn("vector", F.when(F.col("vector").isNull(), lost).otherwise(F.col("vector"))), x.where(F.lit(False)).select("query_id")
     return x.where("vector is not null"), x.where("vector is null").select("query_id")
 
 

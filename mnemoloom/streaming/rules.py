@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mnemoloom.session import children, drop_folder
+
 
 def stream_sessions(turns: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions (key, start, end, n) of turns (key, ts) that a gap ends; on a stream turns later than ``late`` are dropped."""
@@ -109,17 +111,34 @@ def stream_clusters(rows: DataFrame, t: float = 0.65, gap: float = 7 * 86400.0)
     return rows.groupBy("source").applyInPandasWithState(run, CLUSTERS, "ids array<bigint>, vectors array<array<double>>, counts array<bigint>, ats array<double>, next_id bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(increments: DataFrame, target: str, upsert: Callable[[DataFrame, DataFrame], DataFrame], checkpoint_dir: str):
-    """Maintain a table from increments with a batch upsert: version n is written beside version n - 1, so a repeated batch gives the same table. Returns the started query."""
+def upsert_stream(increments: DataFrame, target: str, merge: Callable[[DataFrame], DataFrame], checkpoint_dir: str, keep: int = 8):
+    """Maintain a keyed table from a stream of rows in its own form. Returns the started query; ``read_upserted`` reads the table.
+
+    ``merge`` turns rows, of which several may have one key, into one row a key, and may be applied again to its own results. A micro-batch
+    writes its merged rows as a part of its own; every ``keep`` batches the parts are merged into a new base and those that it replaces
+    deleted. So a batch costs as much as its own rows, the whole table is rewritten once in ``keep`` batches, and a repeated batch writes its part again.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = spark.read.parquet(f"{target}/v{number - 1}") if number else batch.limit(0)
-        upsert(base, batch).write.mode("overwrite").parquet(f"{target}/v{number}")
+        merge(batch).write.mode("overwrite").parquet(f"{target}/part-{number:09d}")
+        if (number + 1) % keep == 0:
+            old = [x for x in children(spark, target) if x < f"base-{number:09d}" or x.startswith("part-")]
+            read_upserted(spark, target, merge).write.mode("overwrite").parquet(f"{target}/base-{number:09d}")
+            for x in old:
+                drop_folder(spark, f"{target}/{x}")
 
     return increments.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
 
+def read_upserted(spark: SparkSession, target: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table that ``upsert_stream`` keeps: its newest base and the parts after that."""
+    names = children(spark, target)
+    base = max((x for x in names if x.startswith("base-")), default=None)
+    parts = [x for x in names if x.startswith("part-") and (base is None or x[5:] > base[5:])]
+    return merge(spark.read.parquet(*(f"{target}/{x}" for x in ([base] if base else []) + parts)))
+
+
 def failure_runs(calls: DataFrame, n: int = 10) -> DataFrame:
     """Runs of ``n`` or more failures in a row (key, start, length) of calls (key, seq, failed)."""
     w = Window.partitionBy("key").orderBy("seq")

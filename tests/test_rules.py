@@ -64,7 +64,7 @@ def test_near_dedup_finds_copies_and_keeps_short_texts(spark):
 def test_near_dedup_recall(spark):
     rng = random.Random(2)
     rows, pairs = [], []
-    for i in range(40):
+    for i in range(400):
         w = [f"x{rng.randrange(10000)}" for _ in range(100)]
         v = list(w)
         for _ in range(2):
@@ -129,22 +129,27 @@ def test_gae(spark):
 
 
 def test_sliding_normalize_takes_all_events(spark, tmp_path):
+    """Two series of 11,300 events together, in batches of 32, against the rule."""
     from mnemoloom.plans import QUERIES
 
-    n, batch, window = 11_300, 500, 512
+    n, batch, window, warm = 11_300, 32, 512, 128
     value = np.random.default_rng(1).normal(size=n) * (1 + np.arange(n) / 1000)
-    spark.createDataFrame([(i, float(value[i])) for i in range(n)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.seq: (r.normalized, r.scale) for r in QUERIES["w1_sliding_normalize"](spark, str(tmp_path)).collect()}
-    root, quality = np.sqrt(np.abs(value)), np.arange(n) % 7
-    initial = np.subtract(*np.quantile(root[:128], [0.95, 0.05]))
-    assert sorted(got) == list(range(n)) and all(got[i] == (None, None) for i in range(batch))
-    for start in range(batch, n, batch):
-        seen = slice(max(0, start - window), start)
-        low, high = np.quantile(root[seen], [0.05, 0.95])
-        unit = lambda x: np.clip((x - low) / max(high - low, 0.25 * initial), 0, 1)  # noqa: B023, E731
-        scale = quality[seen].std() / (unit(root[seen]).std() + 1e-8)
-        for i in range(start, min(n, start + batch)):
-            assert got[i] == (pytest.approx(unit(root[i]), abs=2e-6), pytest.approx(scale, abs=2e-6))
+    kind = np.where(np.arange(n) % 3 == 0, "b", "a")
+    spark.createDataFrame([(i, str(kind[i]), float(value[i])) for i in range(n)], "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.series, r.seq): (r.normalized, r.scale) for r in QUERIES["w1_sliding_normalize"](spark, str(tmp_path)).collect()}
+    assert len(got) == n
+    for series in "ab":
+        at = np.flatnonzero(kind == series)
+        root, quality = np.sqrt(np.abs(value[at])), at % 7
+        initial = np.subtract(*np.quantile(root[:warm], [0.95, 0.05]))
+        assert all(got[series, i] == (None, None) for i in range(warm))
+        for start in range(warm, len(at), batch):
+            seen = slice(max(0, start - window), start)
+            low, high = np.quantile(root[seen], [0.05, 0.95])
+            unit = lambda x: np.clip((x - low) / max(high - low, 0.25 * initial), 0, 1)  # noqa: B023, E731
+            scale = quality[seen].std() / (unit(root[seen]).std() + 1e-8)
+            for i in range(start, min(len(at), start + batch)):
+                assert got[series, i] == (pytest.approx(unit(root[i]), abs=2e-6), pytest.approx(scale, abs=2e-6))
 
 
 def test_link_similar_deals_a_bank_to_many_tasks(spark, monkeypatch):
@@ -222,12 +227,127 @@ def test_stream_equals_batch(spark, tmp_path, rule):
 
 
 def test_upsert_stream(spark, tmp_path):
-    rows = [("s", "p", i % 3, float(i), f"x{i % 2}") for i in range(12)]
-    df = spark.createDataFrame(rows, "s string, p string, o long, confidence double, source string")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = X.upsert_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), lambda base, new: new.groupBy("s", "p", "o").agg(F.max("confidence").alias("confidence")), str(tmp_path / "ck"))
-    drain(q)
-    assert spark.read.parquet(str(tmp_path / "t/v0")).count() == 3
+    """Bases and parts that the micro-batches leave add up to the merge of all rows, also when a batch comes twice."""
+    rows = [("s", "p", i % 3, 1, float(i), [f"x{i % 4}"]) for i in range(12)]
+    df = spark.createDataFrame(rows, "s string, p string, o long, mentions long, confidence double, sources array<string>")
+    for i in range(6):
+        df.where(f"confidence >= {2 * i} and confidence < {2 * i + 2}").coalesce(1).write.parquet(str(tmp_path / f"in/f={i}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/f=*"))
+    target = str(tmp_path / "t")
+    drain(X.upsert_stream(stream, target, G.merge_relations, str(tmp_path / "ck"), keep=4))
+    names = sorted(x.name for x in (tmp_path / "t").iterdir())
+    assert names == ["base-000000003", "part-000000004", "part-000000005"]
+    want = sorted(map(tuple, G.merge_relations(df).collect()))
+    assert sorted(map(tuple, X.read_upserted(spark, target, G.merge_relations).collect())) == want
+    assert [r[3] for r in want] == [4, 4, 4]
+
+
+def test_novelty_and_clusters_by_the_rules(spark):
+    """The two online rules against their definitions, written anew."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i % 2, i, 100.0 * i, v[i].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "source long, seq long, at double, vector array<double>")
+    accepted, want = {}, set()
+    for source, seq, _, _ in rows:
+        likeness = 0.0 if source not in accepted else float(unit[seq] @ unit[accepted[source]])
+        verdict = "accept" if source not in accepted or likeness < 0.1 else "reject" if likeness > 0.6 else "uncertain"
+        if verdict == "accept":
+            accepted[source] = seq
+        want.add((source, seq, verdict, round(likeness, 9)))
+    assert {(r.source, r.seq, r.verdict, round(r.similarity, 9)) for r in X.novelty(df, 0.1, 0.6).collect()} == want
+    members, want = {0: [], 1: []}, set()  # clusters of a source: lists of rows
+    for source, seq, at, _ in rows:
+        best = None
+        for number, mine in enumerate(members[source]):
+            if at - 100.0 * mine[-1] <= 900.0:
+                centre = v[mine].mean(axis=0)
+                likeness = float(v[seq] @ centre / np.linalg.norm(v[seq]) / np.linalg.norm(centre))
+                if best is None or likeness > best[0]:
+                    best = (likeness, number)
+        if best and best[0] >= 0.5:
+            number = best[1]
+            members[source][number].append(seq)
+        else:
+            number = len(members[source])
+            members[source].append([seq])
+        want.add((source, seq, number))
+    assert {tuple(r) for r in X.online_clusters(df, 0.5, 900.0).select("source", "seq", "cluster").collect()} == want
+
+
+def test_drop_redundant_by_the_rule(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(30, 3))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    edges = [(s, t, int(rng.integers(3))) for s in range(4) for t in range(30) if rng.random() < 0.6]
+    left = set(edges)
+    while True:
+        gone = {b for a in left for b in left if a[0] == b[0] and a[1] != b[1] and (a[2], -a[1]) > (b[2], -b[1]) and unit[a[1]] @ unit[b[1]] > 0.7}
+        if not gone:
+            break
+        left -= gone
+    got = G.drop_redundant(spark.createDataFrame(edges, "source long, target long, weight long"), spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "memory_id long, vector array<double>"), 0.7)
+    assert {(r.source, r.target, r.weight) for r in got.collect()} == left and len(left) < len(edges)
+
+
+def test_batches_close_before_a_second_image(spark):
+    rng = random.Random(2)
+    rows = [(c, r, int(rng.random() < 0.3)) for c in range(5) for r in range(40)]
+    want, state = {}, {}
+    for c, r, has in rows:
+        number, size, images = state.get(c, (0, 0, 0))
+        if size == 4 or (has and images):
+            number, size, images = number + 1, 0, 0
+        state[c] = (number, size + 1, images + has)
+        want[c, r] = number
+    got = C.batch_rounds(spark.createDataFrame(rows, "conv_id long, round long, images long"), 4, "images")
+    assert {(r.conv_id, r["round"]): r.batch for r in got.collect()} == want
+
+
+def test_truncation_by_score(spark):
+    import re
+
+    token = re.compile(r"[\u4e00-\u9fff\u3040-\u30ff]|[0-9]+|[^\W\d_]+|\s+|.", re.S)
+
+    def cut(text, limit):
+        total, out = 0.0, ""
+        for t in token.findall(text):
+            score = 1.0 if re.fullmatch(r"[\u4e00-\u9fff\u3040-\u30ff]", t) else 0.8 if re.fullmatch("[0-9]+", t) else 0.0 if t.isspace() else 1.3 if t.isalpha() else 0.3
+            if total + score > (limit * 1.05 if score == 1.3 else limit):
+                break
+            total, out = total + score, out + t
+        return out
+
+    texts = ["", "one two three four five six seven", "中文字符很多很多很多", "a1b22 333, 4444; 55 !!! ééé", "word " * 3000, "x\n\ny  z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    for limit in (1.0, 5.0, 1000.0):
+        assert {r.id: r.cut for r in C.truncate_by_score(df, "text", limit).collect()} == {i: cut(t, limit) for i, t in enumerate(texts)}
+
+
+def test_missing_vectors_are_an_error(spark):
+    q, v = spark.createDataFrame([("a",), ("b",)], "query_id string"), spark.createDataFrame([("a", [1.0])], "query_id string, vector array<double>")
+    found, missing = S.attach_vectors(q, v)
+    assert [r.query_id for r in found.collect()] == ["a"] and [r.query_id for r in missing.collect()] == ["b"]
+    with pytest.raises(Exception, match="no cached vector for b"):
+        S.attach_vectors(q, v, strict=True)[0].collect()
+
+
+def test_strings_at_any_depth(spark):
+    x = spark.createDataFrame([(1,)], "id long").select("id", F.struct(F.lit("a").alias("p"), F.array(F.struct(F.lit(2).alias("n"), F.array(F.lit("b"), F.lit(None).cast("string")).alias("q"))).alias("r"), F.create_map(F.lit("key"), F.array(F.lit("c"))).alias("m"), F.lit(None).cast("array<string>").alias("z")).alias("v"))
+    assert C.collect_strings(x, "v").first().strings == ["a", "b", "c"]
+    assert C.collect_strings(x, "id").first().strings == []
+
+
+def test_search_leaves_out_null_vectors_and_the_own_row(spark):
+    from mnemoloom.operators import retrieval as R
+
+    m = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0])], "memory_id long, vector array<double>")
+    q = m.withColumnRenamed("memory_id", "query_id").where("query_id < 2")
+    assert [(r.query_id, r.memory_id, r["rank"]) for r in R.vector_topk(q, m, 3, own=False).orderBy("rank").collect()] == [(0, 2, 1), (0, 3, 2), (0, 4, 3)]
+    assert R.vector_topk(q, m, 1).first().memory_id == 0
+    with pytest.raises(Exception, match="zero or NaN"):
+        R.vector_topk(q, m.unionByName(spark.createDataFrame([(9, [0.0, 0.0])], m.schema)), 3).collect()
 
 
 def test_as_of_never_shows_later_sessions(spark):

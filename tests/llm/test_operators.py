@@ -190,6 +190,67 @@ def test_media_damage():
         media.demux(bytes(table))
 
 
+def read_stream(stream):
+    """A plain transport stream reader, packet by packet, that knows nothing of the operator: (payload, timestamps, random-access units)."""
+    pmt_pid = es_pid = None
+    pes, units = None, []
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        assert packet[0] == 0x47
+        pid, begins, kind = (packet[1] & 31) << 8 | packet[2], bool(packet[1] & 64), packet[3] >> 4 & 3
+        jump, body = False, packet[4:]
+        if kind & 2:
+            jump, body = packet[4] > 0 and bool(packet[5] & 64), packet[5 + packet[4] :]
+        if pid == 0:
+            section = body[1 + body[0] :]
+            pmt_pid = (section[10] & 31) << 8 | section[11]
+        elif pid == pmt_pid:
+            section = body[1 + body[0] :]
+            first = 12 + ((section[10] & 15) << 8 | section[11])
+            es_pid = (section[first + 1] & 31) << 8 | section[first + 2]
+        elif pid == es_pid:
+            if begins:
+                units.append([jump, b""])
+            units[-1][1] += body
+    payload, stamps = b"", []
+    for _, pes in units:
+        assert pes[:3] == b"\0\0\1" and len(pes) == 6 + int.from_bytes(pes[4:6], "big")
+        a, b, c, d, e = pes[9:14]
+        stamps.append((a >> 1 & 7) << 30 | b << 22 | c >> 1 << 15 | d << 7 | e >> 1)
+        payload += pes[9 + pes[8] :]
+    return payload, stamps, [i for i, (jump, _) in enumerate(units) if jump]
+
+
+def test_media_by_another_reader():
+    rng = random.Random(5)
+    for n in (576, 1152, 9216, 9792, 576 * 400):
+        payload = rng.randbytes(n)
+        stream = media.mux(payload)
+        got, stamps, jumps = read_stream(stream)
+        mine = media.demux(stream)
+        assert got == payload == mine["payload"]
+        assert stamps == [p["pts"] for p in mine["points"]] == [3600 * i for i in range(-(-n // 9216))]
+        assert jumps == [i for i, p in enumerate(mine["points"]) if p["random_access"]] == list(range(0, len(stamps), 8))
+
+
+def test_media_that_is_null_damaged_or_long_in_its_tables(spark):
+    payload = random.Random(6).randbytes(9216 * 3)
+    stream = media.mux(payload)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    cut = media.demux(b"".join(packets[:10] + packets[11:]))
+    assert cut["continuity_errors"] == 1 and [p["complete"] for p in cut["points"]] == [False, True, True] and cut["payload"] == payload[9216:]
+    body = (1).to_bytes(2, "big") + (0xE000 | media.PMT_PID).to_bytes(2, "big") + b"".join((100 + i).to_bytes(2, "big") + (0xE000 | 300 + i).to_bytes(2, "big") for i in range(60))
+    section = media._section(0, 1, body)  # a table of 61 programs goes over two packets
+    first = (bytes([0x47, 0x40, 0, 0x10, 0]) + section[:183], bytes([0x47, 0, 0, 0x11]) + section[183:].ljust(184, b"\xff"))
+    assert media.demux(b"".join(first) + stream[188:])["payload"] == payload
+    rows = [(1, 5, stream), (2, 5, None), (3, 5, b""), (4, 5, stream[:-1]), (5, 5, b"\0" + stream[1:]), (6, 5, b"".join(packets[1:])), (7, 5, stream)]
+    df = spark.createDataFrame([(i, n, None if m is None else bytearray(m)) for i, n, m in rows], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.demux_media(df).collect()}
+    assert {i for i, r in got.items() if r.error is None} == {1, 7} and bytes(got[1].payload) == payload and got[2].error == "no media" and len(got) == 7
+    digests = {r.doc_id: r for r in media.media_digests(df).collect()}
+    assert digests[1].timestamps == [0, 3600, 7200] and digests[1].random_access == [0] and digests[5].feature == "error=lost sync" and digests[2].media_bytes is None
+
+
 def test_media_query(spark, sf_dir):
     rows = edge_rows()
     got = media.media_digests(media.to_media(docs_frame(spark, rows))).collect()
@@ -207,6 +268,33 @@ def test_media_query(spark, sf_dir):
 # 4 chunks
 
 
+def cuts_by_definition(text, low=10, high=128):
+    """Chunk ends place by place: a place is a candidate if its hash of the last 8 bytes is the least of the 9 places on either side."""
+    n, w = len(text), low - 1
+    h = [sum(int(chunks.GEAR[text[i - k]]) << k for k in range(8) if i >= k) % (1 << 32) for i in range(n)]
+    out, start = [], 0
+    for i in range(w, n - w):
+        if all(h[i] <= h[j] for j in range(i - w, i + w + 1)):
+            while i + 1 - start > high:
+                start += high
+                out.append(start)
+            if i + 1 - start >= low:
+                start = i + 1
+                out.append(start)
+    while n - start > high:
+        start += high
+        out.append(start)
+    return out + [n] * (start < n)
+
+
+def test_chunk_cuts_by_definition():
+    rng = random.Random(12)
+    for n in (0, 1, 9, 18, 19, 20, 50, 127, 128, 129, 400, 1500):
+        for letters in (b"ab", b"abcdefghijklmnopqrstuvwxyz .,", bytes(range(256)), b"x"):
+            text = bytes(rng.choice(letters) for _ in range(n))
+            assert chunks.boundaries(text) == cuts_by_definition(text)
+
+
 def chunk_expected(rows, min_run):
     least = {}
     cut = {}

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to so many rules are broadcast; longer lists are joined by a shuffle on the hash prefix.
-BROADCAST_RULES = 10_000
+#: Up to so many rules are broadcast; longer lists are joined by a shuffle on the hash prefix and one of SALTS salts.
+BROADCAST_RULES, SALTS = 10_000, 64
 
 
 def url_host(url: Column) -> Column:
@@ -38,8 +38,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     Defined cases: null or malformed urls have empty host and path and get ``default``; repeated rows
     and null ids are each judged; extra columns are ignored; no rules or an empty table work.
 
-    Scale: a row's expressions stay in its partition up to the grouped maximum, which so is complete
-    before the shuffle; only one row per url moves. No key of hosts is formed, so a hot host is harmless.
+    Scale: with a rule list that can be broadcast, a row's expressions stay in its partition up to the grouped maximum, which so is complete
+    before the shuffle; only one row per url moves and no key of hosts is formed. A longer list meets the expressions by a shuffle, in which an
+    expression that very many urls have (a top-level domain) is dealt to SALTS keys by its row, and each rule goes to all of them.
     """
     spark = pages.sparkSession
     table = rules_table(spark, rules)
@@ -51,8 +52,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     pairs = F.flatten(F.transform(F.array_distinct(suffixes), lambda h: F.transform(F.array_compact(prefixes), lambda p: F.concat(h, F.lit("\n"), p))))
     expanded = urls.select("row", "page_id", "host", "path", F.explode_outer(F.when(F.length("host") > 0, pairs)).alias("expression")).withColumn("digest", F.sha2(F.encode("expression", "UTF-8"), 256)).withColumn("short", F.substring("digest", 1, prefix_hex))
     keyed = table.withColumn("rule_digest", F.sha2(F.encode(F.concat("rule_host", F.lit("\n"), "rule_path"), "UTF-8"), 256)).withColumn("short", F.substring("rule_digest", 1, prefix_hex))
-    keyed = F.broadcast(keyed) if len(rules) <= BROADCAST_RULES else keyed
-    met = expanded.join(keyed, "short", "left")
+    if len(rules) <= BROADCAST_RULES:
+        met = expanded.join(F.broadcast(keyed), "short", "left")
+    else:
+        salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        met = expanded.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(salted, ["short", "salt"], "left")
     fits = F.when(F.col("digest") == F.col("rule_digest"), F.struct(F.length("rule_host").alias("h"), F.length("rule_path").alias("p"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")))
     best = met.groupBy("row", "page_id", "host", "path").agg(F.max(fits).alias("best"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -727,7 +727,7 @@ def judge(url):
     return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     rng = random.Random(3)
     hosts = ["com", "example.com", "www.example.com", "a.b.www.EXAMPLE.com", "net", "x.net", "notexample.com", "Ünï.net", "", "com.", ".com", "a..com", "x." * 5000 + "com", "user@host.net:80", "org"]
     paths = ["", "/", "/en/", "/en/x", "/EN/", "/es/", "/fr/a/b", "/en", "//es/", "/es/\n?q", "/p" * 5000]
@@ -737,5 +737,8 @@ def test_urls(spark):
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "row", "digest")})
     got = urlfilter.judge_urls(df, RULES).collect()
     assert collections.Counter(tuple(r) for r in got) == collections.Counter((i, *judge(u)) for i, u in rows)
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 2)  # a list too long to broadcast
+    got = urlfilter.judge_urls(df, RULES).collect()
+    assert collections.Counter(tuple(r) for r in got) == collections.Counter((i, *judge(u)) for i, u in rows)
     assert urlfilter.judge_urls(df.limit(0), RULES).count() == 0
     assert {r.verdict for r in urlfilter.judge_urls(df, [], default="block").collect()} == {"block"}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mnemoloom.llm import votes as V
-from mnemoloom.llm.common import arrays, runs
+from mnemoloom.llm.common import arrays, bucket_count, runs
 
 GEAR = np.random.default_rng(20_24).integers(0, 1 << 32, 256, np.uint32)
 
@@ -88,7 +88,7 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
     Scale: see ``votes``; texts are shuffled once, by document, to meet the answers.
     """
     rows = V.prepared(docs, id_col, text_col, carried)
-    n = buckets or V.bucket_count(docs)
+    n = buckets or bucket_count(docs)
     answers = V.gathered(V.count_votes(V.cast_votes(rows.select("doc_id", "text_hash", "text"), _keys, n), n))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

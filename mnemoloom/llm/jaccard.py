@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoloom.llm.common import arrays, blobs, runs
+from mnemoloom.llm.common import arrays, blobs, bucket_count, runs, whole_buckets
 from mnemoloom.operators.components import connected_components
 from mnemoloom.session import stage
 
@@ -179,23 +179,17 @@ def _shared_postings(groups: DataFrame, buckets: int) -> DataFrame:
             yield arrays(PACKED, out)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, tokens, places = [], [], []
-        for batch in batches:
-            for into, name in ((groups, "groups"), (tokens, "tokens"), (places, "places")):
-                into += batch.column(name).to_pylist()
-        if not groups:
-            return
-        group = np.frombuffer(b"".join(groups), GROUP)
-        token, place = np.frombuffer(b"".join(tokens), np.int64), np.frombuffer(b"".join(places), np.int32)
-        del groups, tokens, places
-        row = np.repeat(np.arange(len(group), dtype=np.int32), group["items"])
-        order = np.argsort(token, kind="stable")
-        same = token[order][1:] == token[order][:-1]
-        twice = order[np.append(same, False) | np.insert(same, 0, False)]
-        yield arrays(POSTED, [token[twice], group["gid"][row[twice]], group["n"][row[twice]], place[twice]])
+        for _, rows in whole_buckets(batches):
+            group = np.frombuffer(b"".join(r["groups"] for r in rows), GROUP)
+            token, place = np.frombuffer(b"".join(r["tokens"] for r in rows), np.int64), np.frombuffer(b"".join(r["places"] for r in rows), np.int32)
+            row = np.repeat(np.arange(len(group), dtype=np.int32), group["items"])
+            order = np.argsort(token, kind="stable")
+            same = token[order][1:] == token[order][:-1]
+            twice = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
+            yield arrays(POSTED, [token[twice], group["gid"][row[twice]], group["n"][row[twice]], place[twice]])
 
     packed = groups.select("gid", "n", "prefix", "rare").mapInArrow(pack, "bucket int, groups binary, tokens binary, places binary")
-    seldom = packed.repartition(buckets, "bucket").mapInArrow(keep, POSTED_DDL)
+    seldom = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(keep, POSTED_DDL)
     often = groups.select("gid", "n", "rare", F.posexplode("prefix").alias("pos", "token")).where("pos >= rare").select("token", "gid", "n", "pos")
     return seldom.unionByName(often)
 
@@ -291,7 +285,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     members = stage(prefixes.join(assigned, row).dropDuplicates(row).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-members")
 
     # Postings of groups: one row per prefix shingle that two groups may share.
-    buckets = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    buckets = bucket_count(docs)
     shared = stage(_shared_postings(members.where("gid = doc_id"), buckets), "jaccard-postings")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     shared = shared.withColumn("band", band)

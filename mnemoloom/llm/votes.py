@@ -57,11 +57,6 @@ def plain(z: bytes, n_bytes: int) -> bytes:
     return pa.decompress(z, n_bytes, "zstd", asbytes=True) if n_bytes else b""
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """As many buckets as the input has partitions, so that a bucket stays of one size as the table grows; no fewer than a shuffle's partitions."""
-    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-
-
 def cast_votes(docs: DataFrame, keys: Keys, buckets: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, "text", RUN):

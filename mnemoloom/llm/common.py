@@ -1,4 +1,4 @@
-"""Small helpers shared by the operators of this subpackage."""
+"""Small helpers shared by the operators of this subpackage: runs of texts, packed rows, spans of bytes."""
 
 from __future__ import annotations
 
@@ -6,10 +6,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+
+from mnemoloom.session import stage
 
 #: Texts are worked on in runs of about so many bytes, whatever the Arrow batch holds.
 RUN_BYTES = 4 << 20
+#: The substring operators store texts in runs of about so many bytes; a bucket of their keys takes those of about BUCKET bytes of text.
+RUN, BUCKET = 1 << 20, 16 << 20
 
 
 def runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
@@ -58,3 +65,76 @@ def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list
 def bucket_count(docs: DataFrame) -> int:
     """As many buckets as the input has partitions, so that a bucket stays of one size as the table grows; no fewer than a shuffle's partitions."""
     return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+
+
+def text_runs(docs: DataFrame, label: str, id_col: str, text_col: str, carried: list[str] | None = None) -> tuple[DataFrame, int]:
+    """Whole texts (null: empty) in stored runs, one row each, and the number of buckets that their keys are dealt to.
+
+    (run, ids, sizes, size, z): numbers of the run and its documents, the texts' bytes one by one and in all, and the texts in UTF-8 and
+    zstd. ``carried`` columns come along as an array of structs. Everything later is keyed by run, so texts need not be dealt by document.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    along = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("carried")] if carried else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *along)
+    schema = StructType([StructField("run", LongType()), StructField("ids", ArrayType(LongType())), StructField("sizes", ArrayType(LongType())), StructField("size", LongType()), StructField("z", BinaryType())])
+    names = [f.name for f in schema]
+    if carried:
+        schema = schema.add("carried", ArrayType(rows.schema["carried"].dataType))
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count = TaskContext.get().partitionId(), 0
+        for batch in runs(batches, "text", RUN):
+            texts = blobs(batch.column("text"))
+            raw = b"".join(texts)
+            ends = pa.array([0, len(texts)], pa.int32())
+            columns = [pa.array([part << 32 | count]), pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column("doc_id")])), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([len(raw)]), pa.array([zipped(raw)])]
+            if carried:
+                columns.append(pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column("carried")])))
+            yield pa.RecordBatch.from_arrays(columns, names=names + ["carried"] * bool(carried))
+            count += 1
+
+    table = stage(rows.mapInArrow(gather, schema), label)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table, max(4, parts, (table.agg(F.sum("size")).first()[0] or 0) // BUCKET)
+
+
+def run_texts(row: dict) -> list[bytes]:
+    raw, ends = unzipped(row["z"], row["size"]), np.cumsum([0, *row["sizes"]]).tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def zipped(raw: bytes) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True)
+
+
+def unzipped(z: bytes, size: int) -> bytes:
+    return pa.decompress(z, size, "zstd", asbytes=True) if size else b""
+
+
+def bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+def slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, stop) of a sorted column of buckets."""
+    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    yield from zip(bucket[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(bucket)][: len(heads)], strict=True)
+
+
+def merged_spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
+    """Union of [start, stop) spans as maximal runs; touching spans are one run."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    s, e = np.asarray(starts)[order], np.maximum.accumulate(np.asarray(stops)[order])
+    new = np.concatenate([[True], s[1:] > e[:-1]])
+    return list(zip(s[new].tolist(), e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)].tolist(), strict=True))
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(text[at:a])
+        at = b
+    kept.append(text[at:])
+    return b"".join(kept)

@@ -33,7 +33,7 @@ def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.dedup_substrings(table(spark, sf_dir, "documents")).drop("text_hash")
+    return chunks.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

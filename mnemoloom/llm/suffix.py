@@ -16,16 +16,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemoloom.llm import votes as V
-from mnemoloom.llm.common import arrays, blobs, runs, whole_buckets
-from mnemoloom.session import stage
+from mnemoloom.llm.common import RUN, arrays, bits, merged_spans, run_texts, slices, text_runs, unzipped, whole_buckets, without, zipped
 
-#: Texts travel in runs of about so many bytes, and are worked on in pieces of so many; a bucket takes the anchors of about BUCKET bytes.
-RUN, PIECE, BUCKET = 1 << 20, 1 << 17, 16 << 20
+#: Texts are worked on in pieces of about so many bytes.
+PIECE = 1 << 17
 #: Of an anchor with more contexts than this, the strings are dealt by their content instead of the anchor.
 HOT = 1 << 14
 #: Strings that are worked on at once, but for whole anchors.
@@ -175,8 +172,6 @@ class SuffixSort:
         return out
 
 
-RUNS = [("run", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("size", pa.int64()), ("z", pa.binary())]
-RUNS_DDL = "run long, ids array<long>, sizes array<long>, size long, z binary"
 VOTES = [("bucket", pa.int32()), ("run", pa.int64()), ("known", pa.binary()), ("keys", pa.binary()), ("more", pa.binary())]
 VOTES_DDL = "bucket int, run long, known binary, keys binary, more binary"
 ANSWERS = [("run", pa.int64()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())]
@@ -193,46 +188,19 @@ COLUMNS = (("doc_id", "<i8"), ("doc", "<u4"), ("first", "<u4"), ("key", "<u4"),
 HASH, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
-def _zip(raw: bytes) -> bytes:
-    return pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unzip(z: bytes, size: int) -> bytes:
-    return pa.decompress(z, size, "zstd", asbytes=True) if size else b""
-
-
-def _bits(raw: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-
-
 def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     """Spans column by column in zstd, in order of place."""
     order = np.lexsort((start, doc))
-    return len(order).to_bytes(4, "little") + _zip(b"".join(c[order].astype("<u4").tobytes() for c in (doc, start, size)))
+    return len(order).to_bytes(4, "little") + zipped(b"".join(c[order].astype("<u4").tobytes() for c in (doc, start, size)))
 
 
 def _read_spans(raw: bytes) -> np.ndarray:
     n = int.from_bytes(raw[:4], "little")
     out = np.empty(n, SPAN)
-    out["doc"], out["start"], out["size"] = np.frombuffer(_unzip(raw[4:], 12 * n), "<u4").reshape(3, n)
+    out["doc"], out["start"], out["size"] = np.frombuffer(unzipped(raw[4:], 12 * n), "<u4").reshape(3, n)
     return out
 
 
-def _texts(row: dict) -> list[bytes]:
-    raw, ends = _unzip(row["z"], row["size"]), np.cumsum([0, *row["sizes"]]).tolist()
-    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of whole texts, each run one row; its number is the task's and a count."""
-    part, count = TaskContext.get().partitionId(), 0
-    for batch in runs(batches, "text", RUN):
-        texts = blobs(batch.column("text"))
-        raw = b"".join(texts)
-        yield arrays(RUNS, [[part << 32 | count], [batch.column("doc_id").to_pylist()], [[len(t) for t in texts]], [len(raw)], [_zip(raw)]])
-        count += 1
-
-
 def _pieces(ids: list, texts: list[bytes], length: int, buckets: int, piece: int) -> Iterator[tuple]:
     """Contexts of a run, about ``piece`` bytes at a time: (the bytes, a context's place in them, its document's place in the run, its
     id, the context's place in the document, its windows, its anchor's place after its own, identity of the anchor, context hash).
@@ -301,12 +269,6 @@ def _distinct(pieces: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ident[heads], np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads), np.add.reduceat(fresh, heads, dtype=np.int64)
 
 
-def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, start, stop) of a sorted column of buckets."""
-    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-    yield from zip(bucket[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(bucket)][: len(heads)], strict=True)
-
-
 def _count(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """For each run and bucket: bits of the anchors that two documents or more have, and of those with more than ``hot`` contexts."""
     for bucket, rows in whole_buckets(batches):
@@ -316,7 +278,7 @@ def _count(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBat
         out: list[list] = [[] for _ in ANSWERS]
         for r in rows:
             at = np.searchsorted(every, np.frombuffer(r["keys"], "<u4"))
-            shared = _bits(r["known"], len(at)) | (votes[at] > 1)
+            shared = bits(r["known"], len(at)) | (votes[at] > 1)
             if shared.any():
                 for column, x in zip(out, (r["run"], bucket, np.packbits(shared).tobytes(), np.packbits(total[at] > hot).tobytes()), strict=True):
                     column.append(x)
@@ -352,7 +314,7 @@ def _settle(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         for k, r in enumerate(rows):
             if r["spans"]:
                 yield arrays(FOUND, [[r["run"]], [r["spans"]]])
-            plain, at, n = _unzip(r["z"], r["size"]), 0, r["items"]
+            plain, at, n = unzipped(r["z"], r["size"]), 0, r["items"]
             for c, kind in COLUMNS:
                 columns[c].append(np.frombuffer(plain, kind, n, at))
                 at += n * np.dtype(kind).itemsize
@@ -397,7 +359,7 @@ def _settle(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         which, offset, sizes = (np.concatenate(x) for x in zip(*hits, strict=True))
         by_run = np.argsort(of[which], kind="stable")
         which, offset, sizes = which[by_run], offset[by_run], sizes[by_run]
-        for k, i, j in _slices(of[which]):
+        for k, i, j in slices(of[which]):
             yield arrays(FOUND, [[rows[k]["run"]], [_spans(doc[which[i:j]], first[which[i:j]] + offset[i:j], sizes[i:j])]])
 
 
@@ -418,18 +380,15 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     """
     if not 24 <= length <= 100:
         raise ValueError("length must be 24 to 100")
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    table = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_gather, RUNS_DDL), "suffix-runs")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = buckets or max(4, parts, (table.agg(F.sum("size")).first()[0] or 0) // BUCKET)
+    table, n = text_runs(docs, "suffix-runs", id_col, text_col)
+    n = buckets or n
 
     def cast(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ident, known, count = _distinct(_pieces(row["ids"], _texts(row), length, n, piece))
+                ident, known, count = _distinct(_pieces(row["ids"], run_texts(row), length, n, piece))
                 out: list[list] = [[] for _ in VOTES]
-                for k, i, j in _slices((ident >> HASH).astype(np.int64)):
+                for k, i, j in slices((ident >> HASH).astype(np.int64)):
                     several = np.flatnonzero(count[i:j] > 1) + i
                     more = np.empty(len(several), MORE)
                     more["key"], more["count"] = ident[several] & LOW, count[several] - 1
@@ -441,13 +400,13 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         """The contexts under shared anchors; those equal to one of a smaller document in the run are settled here."""
         for batch in batches:
             for row in batch.to_pylist():
-                pieces = list(_pieces(row["ids"], _texts(row), length, n, piece))
+                pieces = list(_pieces(row["ids"], run_texts(row), length, n, piece))
                 ident, _, _ = _distinct(pieces)
                 answer = {a["bucket"]: a for a in row["answers"] or ()}
                 shared, common = np.zeros(len(ident), bool), np.zeros(len(ident), bool)
-                for k, i, j in _slices((ident >> HASH).astype(np.int64)):
+                for k, i, j in slices((ident >> HASH).astype(np.int64)):
                     if k in answer:
-                        shared[i:j], common[i:j] = _bits(answer[k]["shared"], j - i), _bits(answer[k]["hot"], j - i)
+                        shared[i:j], common[i:j] = bits(answer[k]["shared"], j - i), bits(answer[k]["hot"], j - i)
                 for raw, place, doc, own, first, windows, left, key in _segments(pieces):
                     known = np.searchsorted(ident, key)
                     plain, split = np.flatnonzero(shared[known] & ~common[known]), np.flatnonzero(shared[known] & common[known])
@@ -468,10 +427,10 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
                     which = np.concatenate([plain, each])
                     columns = own[which], doc[which], first[which] + step, keys & LOW, lefts, count
                     out: list[list] = [[] for _ in PACKED]
-                    for k, i, j in _slices((keys[at] >> HASH).astype(np.int64)):
+                    for k, i, j in slices((keys[at] >> HASH).astype(np.int64)):
                         mine = at[i:j]
                         blob = b"".join([*(c[mine].astype(kind).tobytes() for c, (_, kind) in zip(columns, COLUMNS, strict=True)), _gathered(buffer, start[mine], size[mine]).tobytes()])
-                        for column, x in zip(out, (k, row["run"], len(mine), len(blob), _zip(blob), None), strict=True):
+                        for column, x in zip(out, (k, row["run"], len(mine), len(blob), zipped(blob), None), strict=True):
                             column.append(x)
                     if len(gone):
                         for column, x in zip(out, (row["run"] % n, row["run"], 0, 0, b"", _spans(doc[which][gone], (first[which] + step)[gone], size[gone])), strict=True):
@@ -481,7 +440,7 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                texts = _texts(row)
+                texts = run_texts(row)
                 found = np.concatenate([np.zeros(0, SPAN), *(_read_spans(x) for x in row["found"] or ())])
                 found = found[np.argsort(found["doc"], kind="stable")]
                 cuts = np.searchsorted(found["doc"], np.arange(len(texts) + 1))
@@ -489,8 +448,8 @@ def dedup_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", tex
                 for i, (doc, text) in enumerate(zip(row["ids"], texts, strict=True)):
                     mine = found[cuts[i] : cuts[i + 1]]
                     start = mine["start"].astype(np.int64)
-                    spans = V.merged_spans(start, start + mine["size"])
-                    kept = V.without(text, spans)
+                    spans = merged_spans(start, start + mine["size"])
+                    kept = without(text, spans)
                     for column, x in zip(out, (doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
                         column.append(x)
                 yield arrays(RESULT, out)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, media, packing, suffix, urlfilter, warc
 from mnemoloom.llm.queries import QUERIES, RULES, tokenizer_path
-from mnemoloom.llm.votes import merged_spans
+from mnemoloom.llm.common import merged_spans
 
 CLASHING = ["label", "text_hash", "bucket", "answers", "carried", "score", "digest", "n", "token", "part", "row"]
 

@@ -26,10 +26,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table, or one without labelled texts to learn from, gives no rows.
     """
     _small_batches(spark)
-    whole = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried"))
+    whole = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("carried"))
     found = langid.predict(whole, langid.train(docs))
     bound = MIN_SCORE * F.sqrt(F.col("n_letters") / (F.col("n_letters") + LETTERS))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= bound)).select("carried.*")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= bound)).select(*(c if c == "text" else F.col(f"carried.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

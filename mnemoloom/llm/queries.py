@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, media, packing, suffix, urlfilter, warc
+from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, licenses, media, packing, suffix, urlfilter, warc
 from mnemoloom.session import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -64,8 +64,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op3_transport_stream, op4_chunk_dedup, op5_jaccard_join, op6_suffix_dedup, op7_bpe_automaton, op8_multi_index, op9_language, op10_url_rules)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_transport_stream, op4_chunk_dedup, op5_jaccard_join, op6_suffix_dedup, op7_bpe_automaton, op8_multi_index, op9_language, op10_url_rules, op11_license_scan)
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +118,5 @@ ORACLES: dict[str, str] = {
         m AS (SELECT page_id, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) DESC NULLS LAST, length(p) DESC) AS k
               FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op11_license_scan": licenses.scan_sql(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, licenses, media, packing, suffix, urlfilter, warc
+from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, licenses, media, merkle, packing, suffix, urlfilter, warc
 from mnemoloom.session import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -68,10 +68,26 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.merkle_proofs(table(spark, sf_dir, "documents"), candidate=tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op3_transport_stream, op4_chunk_dedup, op5_jaccard_join, op6_suffix_dedup, op7_bpe_automaton, op8_multi_index, op9_language, op10_url_rules, op11_license_scan)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_transport_stream, op4_chunk_dedup, op5_jaccard_join, op6_suffix_dedup, op7_bpe_automaton, op8_multi_index, op9_language, op10_url_rules, op11_license_scan, op13_merkle_manifest)
 }
 
+def _counted(column: str) -> str:
+    """DuckDB: ``-`` if null, else the UTF-8 byte count, ``:`` and the value."""
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}, '-')"
+
+
+def _crc32(text: str) -> str:
+    """DuckDB: unsigned CRC-32 of a short ASCII text."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda v: ascii(v)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -119,4 +135,25 @@ ORACLES: dict[str, str] = {
               FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
     "op11_license_scan": licenses.scan_sql(),
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || source, '') AS k, concat({', '.join(_counted(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))}) AS head, text,
+                                    CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS given FROM documents),
+        d AS (SELECT r, doc_id, k, sha256(head || {_counted('text')}) AS leaf, sha256(head || {_counted('given')}) AS proved FROM t),
+        z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+        a(l, k, i, h) AS (SELECT 0, k, i, leaf FROM z UNION ALL
+            SELECT l + 1, k, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM a) WHERE c > 1 GROUP BY l, k, i // 3),
+        s AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS i FROM (SELECT k, arg_max(h, l) AS h FROM a GROUP BY k)),
+        b(l, i, h) AS (SELECT 0, i, subroot FROM s UNION ALL
+            SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM b) WHERE c > 1 GROUP BY l, i // 3),
+        e AS (SELECT l, k, i, h FROM a UNION ALL SELECT l, NULL, i, h FROM b),
+        n AS (SELECT x.l, x.k, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS p, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS q
+              FROM e x JOIN e y ON x.l = y.l AND x.k IS NOT DISTINCT FROM y.k AND x.i // 3 = y.i // 3 GROUP BY 1, 2, 3),
+        m AS (SELECT *, max(l) OVER (PARTITION BY k) AS last FROM n),
+        w AS (SELECT z.r, m.l, m.p, m.q FROM z JOIN m ON m.k = z.k AND m.l < m.last AND m.i = z.i // (3 ** m.l)::BIGINT
+              UNION ALL SELECT z.r, 100 + m.l, m.p, m.q FROM z JOIN s USING (k) JOIN m ON m.k IS NULL AND m.l < m.last AND m.i = s.i // (3 ** m.l)::BIGINT),
+        f AS (SELECT r, string_agg(p || q, '' ORDER BY l) AS proof, list({{'p': p, 'q': q}} ORDER BY l) AS steps FROM w GROUP BY r),
+        g AS (SELECT z.doc_id, z.leaf, s.subroot, (SELECT arg_max(h, l) FROM b) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+                     list_reduce(list_prepend({{'p': proved, 'q': ''}}, coalesce(steps, [])), lambda x, y: {{'p': sha256(y.p || x.p || y.q), 'q': ''}}).p AS folded_root
+              FROM z JOIN s USING (k) LEFT JOIN f USING (r))
+        SELECT *, folded_root = root AS verified FROM g""",
 }

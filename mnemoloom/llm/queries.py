@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, licenses, media, merkle, packing, suffix, urlfilter, warc
+from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, licenses, media, merkle, packing, repair, suffix, urlfilter, warc
 from mnemoloom.session import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -68,13 +68,17 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return merkle.merkle_proofs(table(spark, sf_dir, "documents"), candidate=tampered)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_packing, op3_transport_stream, op4_chunk_dedup, op5_jaccard_join, op6_suffix_dedup, op7_bpe_automaton, op8_multi_index, op9_language, op10_url_rules, op11_license_scan, op13_merkle_manifest)
+    f.__name__: f for f in (op1_warc, op2_packing, op3_transport_stream, op4_chunk_dedup, op5_jaccard_join, op6_suffix_dedup, op7_bpe_automaton, op8_multi_index, op9_language, op10_url_rules, op11_license_scan, op12_role_repair, op13_merkle_manifest)
 }
 
 def _counted(column: str) -> str:
@@ -88,6 +92,12 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda v: ascii(v)::BIGINT)), lambda c, b: {byte}), 4294967295)"
 
 
+def _edit(state: str, cost: int | str, letter: str, when: str = "") -> str:
+    """DuckDB: cost and audit after an edit; where it isn't allowed, a cost beyond all others."""
+    done = f"{{'c': {state}.c + {cost}, 's': {state}.s || '{letter}'}}"
+    return f"CASE WHEN {when} THEN {done} ELSE {{'c': 1000000000, 's': ''}} END" if when else done
+
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -135,6 +145,33 @@ ORACLES: dict[str, str] = {
               FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
     "op11_license_scan": licenses.scan_sql(),
+    "op12_role_repair": rf"""
+        WITH RECURSIVE x AS (SELECT row_number() OVER () AS r, coalesce(conv_id::VARCHAR, '') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+                                    {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+        y AS (SELECT r, k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS t,
+                     unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x),
+        z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(t), r, copy) AS n, row_number() OVER (PARTITION BY k, role, t ORDER BY turn NULLS FIRST, r, copy) AS same,
+                     rtrim(t, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS shown FROM y),
+        f AS (SELECT *, left(role, 1) AS i, CASE WHEN shown = '' THEN 'blank' WHEN same > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM z),
+        g AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS can, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, lead(i) OVER (PARTITION BY k ORDER BY n) AS j FROM f),
+        d(k, n, a, b, u, v) AS (
+            SELECT DISTINCT k, 0::BIGINT, {{'c': 0::BIGINT, 's': ''}}, {{'c': 1000000000::BIGINT, 's': ''}}, {{'c': 1000000000::BIGINT, 's': ''}}, {{'c': 1000000000::BIGINT, 's': ''}} FROM x
+            UNION ALL SELECT k, n + 1, {_edit('a', 2, 'D')}, list_min([{_edit('b', 2, 'D')}, {_edit('a', 'more', 'K', "can AND i = 's'")}]),
+                list_min([{_edit('p', 2, 'D')}, {_edit('w', 'more', 'K', "can AND i = 'u'")}, {_edit('w', 'more + 1', 'R', 'can')}]),
+                list_min([{_edit('q', 2, 'D')}, {_edit('p', 'more', 'K', "can AND i = 'a'")}, {_edit('p', 'more + 1', 'R', 'can')}])
+            FROM (SELECT *, list_min([v, {_edit('p', 5, 'I')}]) AS q, list_min([a, b, list_min([v, {_edit('p', 5, 'I')}])]) AS w
+                  FROM (SELECT d.*, g.i, g.can, g.more, list_min([u, {_edit('a', 5, 'I')}, {_edit('b', 5, 'I')}, {_edit('v', 5, 'I')}]) AS p FROM d JOIN g ON g.k = d.k AND g.n = d.n + 1))),
+        l AS (SELECT k, list_min([a, v, {_edit('b', 10, 'II')}, {_edit('u', 5, 'I')}]) AS best FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1),
+        e AS (SELECT k, unnest(range(1, length(best.s) + 1)) AS pos, best.s AS s FROM l),
+        h AS (SELECT k, s[pos] AS e, sum(CASE WHEN s[pos] <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS n, sum(CASE WHEN s[pos] <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY pos) AS o FROM e),
+        w AS (SELECT h.k, h.e, h.o, CASE WHEN e = 'I' THEN '' ELSE g.role END AS role, CASE WHEN e = 'I' THEN '' ELSE g.t END AS t,
+                     max(CASE WHEN h.o = 1 AND e = 'K' AND g.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY h.k) AS sys FROM h LEFT JOIN g ON g.k = h.k AND g.n = h.n WHERE e <> 'D'),
+        m AS (SELECT k, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || t, chr(10) ORDER BY o) AS text FROM w GROUP BY k),
+        c AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (j IS NOT NULL AND i || j NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY k)
+        SELECT nullif(l.k, '')::BIGINT AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               best.c AS cost, best.s AS audit, sha256(coalesce(m.text, '')) AS repaired_sha256
+        FROM l LEFT JOIN c USING (k) LEFT JOIN m USING (k)""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || source, '') AS k, concat({', '.join(_counted(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))}) AS head, text,
                                     CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS given FROM documents),

@@ -35,7 +35,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept, and doubled as needed."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
         _POWERS[base] = np.cumprod(p)

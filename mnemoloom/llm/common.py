@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,13 @@ from mnemoloom.session import stage
 
 #: Texts are worked on in runs of about so many bytes, whatever the Arrow batch holds.
 RUN_BYTES = 4 << 20
-#: The substring operators store texts in runs of about so many bytes; a bucket of their keys takes those of about BUCKET bytes of text.
-RUN, BUCKET = 1 << 20, 16 << 20
+#: The substring operators store texts in runs of RUN bytes at least; a run and a bucket are taken to have PAIR bytes of the text to share.
+RUN, PAIR = 1 << 20, 10_000
+
+
+def quoted(column: str) -> str:
+    """A column's name as F.col takes it, whatever it holds."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def runs(batches: Iterable[pa.RecordBatch], column: str, limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
@@ -62,9 +68,14 @@ def whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list
         yield bucket, rows
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """As many buckets as the input has partitions, so that a bucket stays of one size as the table grows; no fewer than a shuffle's partitions."""
-    return max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+def dealt(total: int, least: int, pair: int, parts: int) -> tuple[int, int]:
+    """(size of a run, number of buckets) for ``total`` bytes or rows.
+
+    Each run sends a row to each bucket. Runs and buckets both grow as the square root of the input, so that these rows, one for each ``pair`` of the
+    input, grow as the input does; what a task holds at once grows as the root. There are no fewer buckets than a shuffle has partitions.
+    """
+    size = max(least, math.isqrt(pair * total))
+    return size, max(4, parts, total // size)
 
 
 def text_runs(docs: DataFrame, label: str, id_col: str, text_col: str, carried: list[str] | None = None) -> tuple[DataFrame, int]:
@@ -74,28 +85,36 @@ def text_runs(docs: DataFrame, label: str, id_col: str, text_col: str, carried:
     zstd. ``carried`` columns come along as an array of structs. Everything later is keyed by run, so texts need not be dealt by document.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    along = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("carried")] if carried else []
+    along = [F.struct(*(F.col(quoted(c)) for c in carried)).alias("carried")] if carried else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *along)
     schema = StructType([StructField("run", LongType()), StructField("ids", ArrayType(LongType())), StructField("sizes", ArrayType(LongType())), StructField("size", LongType()), StructField("z", BinaryType())])
     names = [f.name for f in schema]
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    limit, buckets = dealt(total, RUN, PAIR, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if carried:
         schema = schema.add("carried", ArrayType(rows.schema["carried"].dataType))
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count = TaskContext.get().partitionId(), 0
-        for batch in runs(batches, "text", RUN):
-            texts = blobs(batch.column("text"))
+        part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            texts = [t for batch in held for t in blobs(batch.column("text"))]
             raw = b"".join(texts)
             ends = pa.array([0, len(texts)], pa.int32())
-            columns = [pa.array([part << 32 | count]), pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column("doc_id")])), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([len(raw)]), pa.array([zipped(raw)])]
-            if carried:
-                columns.append(pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column("carried")])))
-            yield pa.RecordBatch.from_arrays(columns, names=names + ["carried"] * bool(carried))
-            count += 1
-
-    table = stage(rows.mapInArrow(gather, schema), label)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table, max(4, parts, (table.agg(F.sum("size")).first()[0] or 0) // BUCKET)
+            listed = lambda c: pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column(c) for batch in held]))
+            columns = [pa.array([part << 32 | count]), listed("doc_id"), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([len(raw)]), pa.array([zipped(raw)]), *([listed("carried")] if carried else [])]
+            return pa.RecordBatch.from_arrays(columns, names=names + ["carried"] * bool(carried))
+
+        for batch in runs(batches, "text", limit):
+            held.append(batch)
+            size += sum(map(len, blobs(batch.column("text"))))
+            if size >= limit:
+                yield row()
+                count, held, size = count + 1, [], 0
+        if held:
+            yield row()
+
+    return stage(rows.mapInArrow(gather, schema), label), buckets
 
 
 def run_texts(row: dict) -> list[bytes]:

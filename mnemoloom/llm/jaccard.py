@@ -17,15 +17,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemoloom.llm.common import arrays, blobs, bucket_count, runs, whole_buckets
+from mnemoloom.llm.common import arrays, blobs, dealt, runs, whole_buckets
 from mnemoloom.operators.components import connected_components
 from mnemoloom.session import stage
 
 #: Cells of the frequency sketch that orders shingles; its size bounds what is collected and broadcast.
 CELLS = 1 << 20
 MAPS = 4
+#: Groups whose postings are packed together, at least; packed rows number one for each PAIR groups.
+GROUPS, PAIR = 10_000, 100
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
-_WORDS: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ def _prefixes(texts: DataFrame, words: int, percent: int, levels: np.ndarray) ->
     return texts.mapInArrow(run, PREFIXES_DDL)
 
 
-def _shared_postings(groups: DataFrame, buckets: int) -> DataFrame:
+def _shared_postings(groups: DataFrame) -> DataFrame:
     """(token, gid, n, pos) of the prefix shingles that two groups may share.
 
     Shingles that are frequent in some task are posted as they are. The others, most of which no other
@@ -155,8 +156,20 @@ def _shared_postings(groups: DataFrame, buckets: int) -> DataFrame:
     frequent anywhere, no bucket can hold a hot one.
     """
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some, buckets = dealt(groups.count(), GROUPS, PAIR, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= some:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches):
             rare = batch.column("rare").to_numpy()
             tokens = np.concatenate([p.values.to_numpy()[:k] for p, k in zip(batch.column("prefix"), rare, strict=True)] or [np.zeros(0, np.int64)])
             if not len(tokens):
@@ -285,8 +298,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     members = stage(prefixes.join(assigned, row).dropDuplicates(row).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-members")
 
     # Postings of groups: one row per prefix shingle that two groups may share.
-    buckets = bucket_count(docs)
-    shared = stage(_shared_postings(members.where("gid = doc_id"), buckets), "jaccard-postings")
+    shared = stage(_shared_postings(members.where("gid = doc_id")), "jaccard-postings")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     shared = shared.withColumn("band", band)
     centres = shared.groupBy("token", "band").agg(F.min(F.struct("pos", "gid")).alias("c"), F.count("*").alias("k"))

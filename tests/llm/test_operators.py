@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoloom.llm import ann, bpe, chunks, jaccard, langid, media, packing, suffix, urlfilter, warc
+from mnemoloom.llm import ann, bpe, chunks, common, jaccard, langid, media, packing, suffix, urlfilter, warc
 from mnemoloom.llm.queries import QUERIES, RULES, tokenizer_path
 from mnemoloom.llm.common import merged_spans
 
@@ -470,6 +470,23 @@ def test_suffix_equals_brute_force(spark, length):
         assert sorted((tuple(r) for r in got.collect()), key=str) == suffix_expected(rows, length)
 
 
+def test_suffix_empty_texts_in_tasks_of_their_own(spark):
+    suffix._POWERS.clear()
+    assert len(suffix.powers(suffix.INVERSE, 0)) == 0 and len(suffix.powers(suffix.INVERSE, 3)) == 3
+    text = "a passage of more than fifty bytes that two of the documents have in common. "
+    for rows in ([(1, None), (2, ""), (2, ""), (None, text), (3, text), (4, text)], [(1, None), (2, None)], [(1, ""), (2, "")]):
+        got = suffix.dedup_repeats(docs_frame(spark, rows).repartition(4), 50)
+        found = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in got.collect()), key=str)
+        assert found == sorted(((d, len(t or ""), len(t) if d == 4 else 0) for d, t in rows), key=str)
+
+
+def test_rows_between_stages_grow_as_the_input():
+    """Runs x buckets, with few shuffle partitions: 4 and 16 times the input, about 4 and 16 times the rows."""
+    for total in (10**9, 4 * 10**9, 16 * 10**9, 10**12):
+        size, buckets = common.dealt(total, common.RUN, common.PAIR, 4)
+        assert 0.9 < (total / size) * buckets / (total / common.PAIR) < 1.1 and size < 1.1 * (common.PAIR * total) ** 0.5
+
+
 def test_suffix_splits_hot_anchors_and_long_texts(spark):
     """Anchors with more than two contexts are dealt by content, and texts are cut into pieces of 100 bytes: same results."""
     line = "every page of this site ends with the same long line of words, "

@@ -47,13 +47,14 @@ def test_stages_take_nulls_and_empty_tables(spark, sf_dir):
 def test_stages_keep_clashing_columns_and_one_of_repeated_rows(spark, sf_dir):
     """Columns with the operators' own names come through with their values and types; exact repeats of a row leave one."""
     real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
-    names = ["score", "lang_pred", "n_letters", "carried", "label", "component_id", "n", "least", "goes", "marked_id", "bucket", "answers", "n_removed"]
+    names = ["score", "lang_pred", "n_letters", "carried", "label", "component_id", "n", "least", "goes", "marked_id", "bucket", "answers", "n_removed", "a.b", "text.x", "a`b"]
     docs = real.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
     docs = docs.unionByName(docs.where("doc_id % 3 = 0"))
     before = docs.schema
     for name, step in P.STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"test-{name}")
         assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in before]
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
         assert all(r[c] == f"{c} of {r.doc_id}" for r in docs.collect() for c in names)
         if name == "near_duplicates":
             assert docs.count() == docs.select("doc_id").distinct().count()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoloom.llm import chunks, jaccard, langid, packing
+from mnemoloom.llm.common import quoted
 from mnemoloom.llm.queries import tokenizer_path
 from mnemoloom.session import stage, table
 
@@ -14,22 +15,16 @@ from mnemoloom.session import stage, table
 MIN_SCORE, LETTERS = 0.15, 200
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Rows of documents are wide: Arrow batches of a thousand bound what a worker and its side of the JVM hold of them at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the learned languages. Texts without letters go, and those that resemble none.
 
     Null, empty and blank texts go. Rows that repeat are judged alike. Columns pass through as they are, whatever their names. An empty
     table, or one without labelled texts to learn from, gives no rows.
     """
-    _small_batches(spark)
-    whole = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("carried"))
+    whole = docs.select("text", F.struct(*(F.col(quoted(c)) for c in docs.columns if c != "text")).alias("carried"))
     found = langid.predict(whole, langid.train(docs))
     bound = MIN_SCORE * F.sqrt(F.col("n_letters") / (F.col("n_letters") + LETTERS))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= bound)).select(*(c if c == "text" else F.col(f"carried.`{c}`") for c in docs.columns))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= bound)).select(*(c if c == "text" else F.col("carried." + quoted(c)) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +33,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id stay, and so do documents without words, each of which is its own group. Of rows with equal id and text one stays; rows
     of one id with different texts are one document, and stay or go together. Other columns pass through; an empty table gives no rows.
     """
-    _small_batches(spark)
-    groups = jaccard.jaccard_components(docs, words=5, percent=80)
+    groups = jaccard.jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
     marks = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).where("doc_id <> least or n > 1")
     marks = stage(marks.select("doc_id", (F.col("doc_id") != F.col("least")).alias("goes")), "pipeline-marks")
-    single = docs.join(marks, "doc_id", "left_anti")
-    repeated = docs.join(marks.where("not goes"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text"))).alias("carried"))
+    single = rows.join(marks, "doc_id", "left_anti")
+    repeated = rows.join(marks.where("not goes"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(*(c if c in ("doc_id", "text") else F.col("carried." + quoted(c)) for c in docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,16 +48,14 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null text becomes empty; empty texts, rows without an id and rows that repeat stay; n_chars follows the text that is left; other columns
     pass through whatever their names; an empty table gives no rows.
     """
-    _small_batches(spark)
     found = chunks.dedup_substrings(docs, carried=[c for c in docs.columns if c != "text"])
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("carried.n_chars"))}
     left = found.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.select(*((new[c] if c in new else F.col(f"carried.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return left.select(*((new[c] if c in new else F.col("carried." + quoted(c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens. Null and empty texts are their end token; rows that repeat are packed each; see ``packing.pack``."""
-    _small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

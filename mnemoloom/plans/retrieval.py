@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import norm, ordered_collect, r6
-from mnemoloom.operators import chunking, retrieval as R
+from mnemoloom.operators import chunking, inverted_file as I, retrieval as R
 from mnemoloom.plans.chunking import ROUNDS
 from mnemoloom.plans.registry import query
-from mnemoloom.session import table
+from mnemoloom.session import new_folder, table
 
 Q = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label AS ql FROM embeddings WHERE vec_id % 50 = 0), m AS (SELECT vec_id AS memory_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 S = f"{Q}, s AS (SELECT query_id, memory_id, ql, label, list_cosine_similarity(q.v, m.v) AS score FROM q JOIN m ON query_id <> memory_id)"
@@ -111,6 +111,26 @@ def v8_similarity_join(spark, d):
     return shown(R.similarity_join(vectors(spark, d), 0.35, "label"))
 
 
+def indexed(spark, d, k=5):
+    """An index of all memories, the probes that find 0.97 of the exact hits of a sample, and what the queries find with them."""
+    path = I.build_index(memories(spark, d), new_folder(spark, "ann-index"))
+    probes = I.probes_for(spark, path, memories(spark, d), k, target=0.97)
+    return path, probes, I.index_topk(spark, path, queries(spark, d), k, probes, refine=20, own=False)
+
+
+@query()
+def v8_ann_topk(spark, d):
+    return shown(indexed(spark, d)[2])
+
+
+@query("WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 50 = 0) AS q FROM embeddings) SELECT q AS queries, q * least(5, n - 1) AS wanted, true AS reached, true AS scanned_less FROM n")
+def v8_ann_quality(spark, d):
+    """Exact hits over all rows; whether 0.9 of them are found; whether fewer rows than all are looked at. The SQL counts and expects both."""
+    path, probes, found = indexed(spark, d)
+    quality = I.recall(found, top(spark, d)).crossJoin(I.scanned_share(spark, path, queries(spark, d), probes))
+    return quality.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"), (F.col("share") < 1).alias("scanned_less"))
+
+
 # Documents of twelve vectors; a query has two parts.
 PARTS = "q2 AS (SELECT vec_id // 50 AS query_id, vec_id % 50 AS part, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 < 2), s2 AS (SELECT query_id, part, vec_id // 12 AS memory_id, list_cosine_similarity(q2.v, embedding::DOUBLE[]) AS score FROM q2, embeddings)"
 

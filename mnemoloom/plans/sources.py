@@ -329,7 +329,16 @@ def x5_call_stats(spark, d):
     return X.stream_call_stats(e, "1 day")
 
 
+@query("""WITH x AS (SELECT user_id AS key, event_id AS seq, event_type IN ('error', 'click') AS failed FROM events), g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY seq) AS good FROM x),
+    n AS (SELECT key, min(seq) OVER w AS start, seq, row_number() OVER w AS length FROM g WHERE failed WINDOW w AS (PARTITION BY key, good ORDER BY seq)) SELECT * FROM n WHERE length = 3""")
+def x6_failure_alarms(spark, d):
+    return X.failure_alarms(calls(spark, d), 3)
+
+
 @query("WITH x AS (SELECT user_id AS key, event_id AS seq, event_type IN ('error', 'click') AS failed FROM events), g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY seq) AS good FROM x) SELECT key, min(seq) AS start, count(*) AS length FROM g WHERE failed GROUP BY key, good HAVING count(*) >= 3")
 def x6_failure_runs(spark, d):
-    e = events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").isin("error", "click").alias("failed"))
-    return X.failure_runs(e, 3)
+    return X.failure_runs(calls(spark, d), 3)
+
+
+def calls(spark, d):
+    return events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").isin("error", "click").alias("failed"))

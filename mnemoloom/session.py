@@ -47,6 +47,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rename_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder through Hadoop's file system; atomic where that is (on object stores it copies)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p, jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"could not rename {path} to {to}")
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what ``stage`` has written so far in this session. For when the results that rest on it have been written; nothing else calls it."""
     while STAGED:

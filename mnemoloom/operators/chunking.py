@@ -1,19 +1,21 @@
 """Cutting conversations into rounds, blocks, chunks and windows.
 
 Turns are rows (conv_id, turn, role, text). Rules that only look at neighbours are windows over
-(conv_id, turn); rules that carry a running size are grouped pandas over one session at a time.
+(conv_id, turn); rules that carry a running size (C9, C10, C23) are cut into segments, see ``segments``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from mnemoloom.functions.columns import c, joined, ordered_collect
+from mnemoloom.operators.segments import SEGMENT, entered, finished, numbered, segmented
 
 
 def by_turn():
@@ -93,39 +95,99 @@ def trim_chunk(df: DataFrame, text: str, max_tokens: int, priority: tuple[str, .
     return df.where(~over | F.col(text).isNull()).unionByName(df.where(over).withColumn(text, shorten(text)))
 
 
-def balance_chunks(rounds: DataFrame, target: int = 512, size: str = "tokens") -> DataFrame:
-    """Chunk number per round: the next round joins if the sum is at least as near the target as without it. Rounds stay whole, sessions apart."""
+def _closings(sizes: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the sizes, and for each round the next at which a chunk that starts with it has closed (the number of rounds, if none).
+
+    A round that adds something is left to the next chunk if twice the sum before it, plus itself, is over twice the target; that grows along the rounds.
+    """
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    adds = np.flatnonzero(sizes > 0)
+    reach = sums[adds] + sums[adds + 1]
+    found = np.searchsorted(reach, 2 * target + 2 * sums[:-1], side="right")
+    at = np.maximum(found, np.searchsorted(adds, np.arange(len(sizes)), side="right"))
+    return sums, np.append(adds, len(sizes))[at]
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("round")
-        number, total, out = 0, 0, []
-        for n in pdf[size]:
-            if total and abs(total + n - target) > abs(total - target):
-                number, total = number + 1, 0
-            total += n
-            out.append(number)
-        return pdf.assign(chunk=out)[["conv_id", "round", size, "chunk"]]
 
-    return rounds.select("conv_id", "round", size).groupBy("conv_id").applyInPandas(pack, f"conv_id long, round long, {size} long, chunk long")
+def balance_chunks(rounds: DataFrame, target: int = 512, size: str = "tokens", segment: int = SEGMENT) -> DataFrame:
+    """Chunk number per round: the next round joins if the sum is at least as near the target as without it. Rounds stay whole, sessions apart.
 
+    A chunk's end follows from its start by a search in prefix sums. A segment tells, for each round at which a chunk from before may close, the least
+    sum brought along that closes it there, how many chunks then close and what is left open at its end.
+    """
 
-def batch_rounds(rounds: DataFrame, n: int = 4, images: str | None = None) -> DataFrame:
-    """Batches of ``n`` rounds; with ``images`` a batch also closes before its second image-bearing round."""
+    def summarise(pdf: pd.DataFrame) -> dict:
+        n = pdf[size].to_numpy(np.int64)
+        sums, then = _closings(n, target)
+        closes, left = np.zeros(len(n) + 1, np.int64), np.zeros(len(n) + 1, np.int64)
+        for j in range(len(n) - 1, -1, -1):
+            closes[j] = 0 if then[j] == len(n) else closes[then[j]] + 1
+            left[j] = sums[-1] - sums[j] if then[j] == len(n) else left[then[j]]
+        steps, last = [], None
+        for j in np.flatnonzero(n > 0).tolist():
+            over = target - (int(sums[j]) + int(sums[j + 1])) / 2  # a chunk with more than this closes before round j
+            steps.append([over, int(sums[j]), int(closes[j]) + 1, int(left[j])])
+            if over < 0 and sums[j] > 0:
+                break
+        return {"steps": steps, "sum": int(sums[-1])}
+
+    def fold(state: list, told: dict) -> list:
+        number, total = state
+        for over, before, closes, left in told["steps"]:
+            if total + before > 0 and total > over:
+                return [number + closes, left]
+        return [number, total + told["sum"]]
+
+    def finish(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
+        n = pdf[size].to_numpy(np.int64)
+        sums, then = _closings(n, target)
+        adds = np.flatnonzero(n > 0)
+        stop = (state[1] + sums[adds] > 0) & (2 * state[1] + sums[adds] + sums[adds + 1] > 2 * target)
+        at, starts = int(adds[stop.argmax()]) if stop.any() else len(n), []
+        while at < len(n):
+            starts.append(at)
+            at = int(then[at])
+        pdf["chunk"] = state[0] + np.searchsorted(starts, np.arange(len(n)), side="right")
+        return pdf[["conv_id", "round", size, "chunk"]]
+
+    rows = segmented(numbered(rounds.select("conv_id", "round", F.col(size).cast("long").alias(size)), "conv_id", ["round"]), segment)
+    return finished(entered(rows, summarise, fold, [0, 0]), finish, [0, 0], f"conv_id long, round long, {size} long, chunk long")
+
+
+def batch_rounds(rounds: DataFrame, n: int = 4, images: str | None = None, segment: int = SEGMENT) -> DataFrame:
+    """Batches of ``n`` rounds; with ``images`` a batch also closes before its second image-bearing round.
+
+    An open batch is one of ``2 * n`` states (rounds held, an image among them or not), and a segment tells what becomes of each.
+    """
     if images is None:
         w = Window.partitionBy("conv_id").orderBy("round")
         return rounds.withColumn("batch", F.floor((F.row_number().over(w) - 1) / n))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("round")
-        number, held, seen, out = 0, 0, False, []
-        for has in pdf[images] > 0:
-            if held == n or (has and seen):
-                number, held, seen = number + 1, 0, False
-            held, seen = held + 1, seen or bool(has)
-            out.append(number)
-        return pdf.assign(batch=out)[["conv_id", "round", images, "batch"]]
+    def along(has: np.ndarray, held: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Batches closed before each round, for each state that may come in; and the state after the last."""
+        number, out = np.zeros(len(held), np.int64), np.empty((len(has), len(held)), np.int64)
+        for i, image in enumerate(has.tolist()):
+            close = (held == n) | (seen & image)
+            number = number + close
+            held, seen = np.where(close, 0, held) + 1, (seen & ~close) | image
+            out[i] = number
+        return out, held, seen
+
+    def summarise(pdf: pd.DataFrame) -> list:
+        out, held, seen = along((pdf[images] > 0).to_numpy(), np.tile(np.arange(n + 1), 2), np.repeat([False, True], n + 1))
+        return [out[-1].tolist(), held.tolist(), seen.tolist()]
 
-    return rounds.select("conv_id", "round", images).groupBy("conv_id").applyInPandas(pack, f"conv_id long, round long, {images} long, batch long")
+    def fold(state: list, told: list) -> list:
+        number, held, seen = state
+        at = held + (n + 1) * int(seen)
+        return [number + told[0][at], told[1][at], told[2][at]]
+
+    def finish(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
+        out, _, _ = along((pdf[images] > 0).to_numpy(), np.array([state[1]]), np.array([state[2]]))
+        pdf["batch"] = state[0] + out[:, 0]
+        return pdf[["conv_id", "round", images, "batch"]]
+
+    rows = segmented(numbered(rounds.select("conv_id", "round", F.col(images).cast("long").alias(images)), "conv_id", ["round"]), segment)
+    return finished(entered(rows, summarise, fold, [0, 0, False]), finish, [0, 0, False], f"conv_id long, round long, {images} long, batch long")
 
 
 def merge_chunks(chunks: DataFrame, group: list[str], order: str, ident: str, lists: list[str]) -> DataFrame:
@@ -253,23 +315,52 @@ def count_windows(turns: DataFrame, size: int, overlap: int) -> DataFrame:
     return rows.withColumn("window", F.explode(F.sequence("low", "high"))).groupBy("conv_id", "window").agg(F.count("*").alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
-def force_segments(turns: DataFrame, max_msgs: int, max_tokens: int) -> DataFrame:
-    """Cut a prefix of min(max_msgs - 1, n - 1) messages, halved while its tokens reach the limit, until what is left fits."""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        sizes, out, number, at = pdf["tokens"].tolist(), [], 0, 0
-        while at < len(sizes):
-            n = len(sizes) - at
-            if n < max_msgs and sum(sizes[at:]) < max_tokens or n == 1:
-                take = n
-            else:
-                take = min(max_msgs - 1, n - 1)
-                while take > 1 and sum(sizes[at : at + take]) >= max_tokens:
-                    take //= 2
-                take = max(1, take)
-            out += [number] * take
-            number, at = number + 1, at + take
-        return pdf.assign(segment=out)[["conv_id", "turn", "tokens", "segment"]]
-
-    return turns.select("conv_id", "turn", estimate_tokens("text").cast("long").alias("tokens")).groupBy("conv_id").applyInPandas(cut, "conv_id long, turn long, tokens long, segment long")
+def force_segments(turns: DataFrame, max_msgs: int, max_tokens: int, segment: int = SEGMENT) -> DataFrame:
+    """Cut a prefix of min(max_msgs - 1, n - 1) messages, halved while its tokens reach the limit, until what is left fits.
+
+    A cut follows from its first message and the ``max_msgs`` after it, which a segment borrows from the next one; what a segment is entered with is how many of
+    its messages still belong to the cut before.
+    """
+    most = max(1, max_msgs - 1)
+
+    def cuts(pdf: pd.DataFrame) -> tuple[np.ndarray, int]:
+        """Where the cut that starts at each own message ends, and how many own messages there are."""
+        own = int(pdf["own"].sum())
+        sums = np.concatenate([[0], np.cumsum(pdf["tokens"].to_numpy(np.int64))])
+        at = np.arange(own)
+        left = len(pdf) - at  # exact where fewer than max_msgs follow; else at least so many
+        take = np.maximum(1, np.minimum(most, left - 1))
+        while True:
+            shorten = (take > 1) & (sums[at + take] - sums[at] >= max_tokens)
+            if not shorten.any():
+                break
+            take = np.where(shorten, take // 2, take)
+        rest = ((left < max_msgs) & (sums[-1] - sums[at] < max_tokens)) | (left == 1)
+        return at + np.where(rest, left, take), own
+
+    def summarise(pdf: pd.DataFrame) -> list:
+        end, own = cuts(pdf)
+        count, over = np.zeros(own + 1, np.int64), np.zeros(own + 1, np.int64)
+        for i in range(own - 1, -1, -1):
+            count[i] = 1 + (count[end[i]] if end[i] < own else 0)
+            over[i] = over[end[i]] if end[i] < own else end[i] - own
+        return [own, count[:max_msgs].tolist(), over[:max_msgs].tolist()]
+
+    def fold(state: list, told: list) -> list:
+        number, skip = state
+        own, count, over = told
+        return [number, skip - own] if skip >= own else [number + count[skip], over[skip]]
+
+    def finish(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
+        end, own = cuts(pdf)
+        at, starts = state[1], []
+        while at < own:
+            starts.append(at)
+            at = int(end[at])
+        pdf = pdf.iloc[:own].copy()
+        pdf["segment"] = state[0] - 1 + np.searchsorted(starts, np.arange(own), side="right")
+        return pdf[["conv_id", "turn", "tokens", "segment"]]
+
+    sized = turns.select("conv_id", "turn", estimate_tokens("text").cast("long").alias("tokens"))
+    rows = segmented(numbered(sized, "conv_id", ["turn"]), max(segment, max_msgs), after=max_msgs)
+    return finished(entered(rows, summarise, fold, [0, 0]), finish, [0, 0], "conv_id long, turn long, tokens long, segment long")

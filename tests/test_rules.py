@@ -77,20 +77,68 @@ def test_near_dedup_recall(spark):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
 
 
-def test_balanced_packing_keeps_rounds_whole(spark):
-    rng = random.Random(4)
-    rows = [(c, r, rng.randrange(1, 400)) for c in range(4) for r in range(30)]
-    got = C.balance_chunks(spark.createDataFrame(rows, "conv_id long, round long, tokens long"), 512).toPandas()
-    assert len(got) == len(rows)
-    for _, g in got.sort_values("round").groupby("conv_id"):
-        assert g.chunk.is_monotonic_increasing and set(g.chunk) == set(range(g.chunk.max() + 1))
-        assert (g.groupby("chunk").tokens.sum() <= 512 + 400).all()
-
-
-def test_force_segments(spark):
-    rows = [(1, i, "user", "x" * 400) for i in range(20)]
-    got = C.force_segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 6, 350).toPandas()
-    assert len(got) == 20 and (got.groupby("segment").tokens.sum() < 350).all()
+def in_sequence(rows, pack):
+    """{(conv, place): number} by a rule that gets a conversation's values one after another."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == conv)
+        out |= {(conv, r[0]): number for r, number in zip(mine, pack([r[1] for r in mine]), strict=True)}
+    return out
+
+
+@pytest.mark.parametrize("segment", [5, 23, 20_000])
+def test_balanced_packing_by_the_rule(spark, segment):
+    rng = random.Random(segment)
+    rows = [(c, r, rng.choice([0, 0, 1, 3, 60, 200, 399, 512, 1300])) for c in (None, 1, 2, 3) for r in range(rng.randrange(1, 90))] + [(7, r, 1) for r in range(1500)] + [(8, r, 0) for r in range(40)]
+
+    def pack(sizes):
+        number, total, out = 0, 0, []
+        for n in sizes:
+            if total and abs(total + n - 512) > abs(total - 512):
+                number, total = number + 1, 0
+            total += n
+            out.append(number)
+        return out
+
+    got = C.balance_chunks(spark.createDataFrame(rows, "conv_id long, round long, tokens long").repartition(5), 512, segment=segment).collect()
+    assert {(r.conv_id, r["round"]): r.chunk for r in got} == in_sequence(rows, pack) and len(got) == len(rows)
+
+
+def test_a_million_rounds_of_one_conversation(spark):
+    """Many tasks and the same chunks as one after another."""
+    rows = spark.range(1_000_000).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("round"), (F.pmod(F.xxhash64("id"), F.lit(400)) + 1).alias("tokens"))
+    got = C.balance_chunks(rows, 512).select("round", "tokens", "chunk").toPandas().sort_values("round")
+    number, total, want = 0, 0, []
+    for n in got.tokens.tolist():
+        if total and abs(total + n - 512) > abs(total - 512):
+            number, total = number + 1, 0
+        total += n
+        want.append(number)
+    assert got.chunk.tolist() == want and number > 300_000
+
+
+@pytest.mark.parametrize("segment", [6, 29, 20_000])
+def test_force_segments_by_the_rule(spark, segment):
+    rng = random.Random(segment)
+    rows = [(c, t, rng.choice([4, 40, 200, 399, 1200, 2000])) for c in (None, 1, 2, 3, 4) for t in range(rng.randrange(1, 80))]
+
+    def cut(lengths):
+        sizes, out, number, at = [max(1, x // 4) for x in lengths], [], 0, 0
+        while at < len(sizes):
+            left = sizes[at:]
+            if len(left) < 6 and sum(left) < 350 or len(left) == 1:
+                take = len(left)
+            else:
+                take = min(5, len(left) - 1)
+                while take > 1 and sum(left[:take]) >= 350:
+                    take //= 2
+            out += [number] * take
+            number, at = number + 1, at + take
+        return out
+
+    df = spark.createDataFrame([(c, t, "user", "x" * n) for c, t, n in rows], "conv_id long, turn long, role string, text string")
+    got = C.force_segments(df, 6, 350, segment=segment).collect()
+    assert {(r.conv_id, r.turn): r.segment for r in got} == in_sequence(rows, cut) and len(got) == len(rows)
 
 
 def test_trim_lines():

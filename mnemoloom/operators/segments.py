@@ -81,7 +81,8 @@ def entered(rows: DataFrame, summarise: Callable, fold: Callable, start, backwar
     """
 
     def describe(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(keys[0], keys[1], json.dumps(summarise(pdf.sort_values("idx"))))], columns=["k", "seg", "body"])
+        told = [(keys[0], keys[1], json.dumps(summarise(pdf.sort_values("idx"))))] if pdf["own"].any() else []
+        return pd.DataFrame(told, columns=["k", "seg", "body"])
 
     def through(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
@@ -104,7 +105,11 @@ def entered(rows: DataFrame, summarise: Callable, fold: Callable, start, backwar
 def finished(rows: DataFrame, finish: Callable, start, schema: str) -> DataFrame:
     """``finish(pdf, state)`` for each segment: its rows in order, those lent included, and the state it is entered with."""
 
+    names = StructType.fromDDL(schema).names
+
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["own"].any():  # rows lent to a segment that the sequence doesn't reach
+            return pd.DataFrame(columns=names)
         pdf = pdf.sort_values("idx").reset_index(drop=True)
         state = pdf["state"].iloc[0] if "state" in pdf else None
         return finish(pdf, start if state is None else json.loads(state))

@@ -7,7 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoloom.functions.columns import ordered_collect
+from mnemoloom.operators.segments import SEGMENT, entered, finished, key_text, numbered, segmented
+from mnemoloom.session import stage
+
+#: Images with more boxes than this are worked on by many tasks.
+BOXES = 5000
 
 
 def validate_split(manifest: DataFrame, declared: DataFrame) -> DataFrame:
@@ -125,8 +129,13 @@ def drop_parents(boxes: DataFrame, big: float = 0.9, inside: float = 0.95, small
     return boxes.join(p.join(c, holds).select("p.image_id", "p.box_id").distinct(), ["image_id", "box_id"], "left_anti")
 
 
-def dedup_boxes(boxes: DataFrame, iou: float = 0.6) -> DataFrame:
-    """Per image, larger boxes first: a box that overlaps a kept one by ``iou`` or more goes."""
+def dedup_boxes(boxes: DataFrame, iou: float = 0.6, most: int = BOXES) -> DataFrame:
+    """Per image, larger boxes first (then the smaller box_id): a box that overlaps a kept one by ``iou`` or more goes.
+
+    Images of up to ``most`` boxes are groups of a task each; those of larger images meet in grid cells, see ``_crowded``. An image's null id is an image.
+    """
+    if not 0 < iou <= 1:
+        raise ValueError("iou must be over 0 and at most 1")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(a=(pdf.x2 - pdf.x1) * (pdf.y2 - pdf.y1)).sort_values(["a", "box_id"], ascending=[False, True])
@@ -138,7 +147,47 @@ def dedup_boxes(boxes: DataFrame, iou: float = 0.6) -> DataFrame:
                 kept.append(i)
         return pdf.iloc[kept].drop(columns="a")
 
-    return boxes.groupBy("image_id").applyInPandas(run, boxes.schema)
+    sizes = boxes.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select(key_text(F.col("image_id")).alias("k"))
+    keyed = boxes.withColumn("k", key_text(F.col("image_id")))
+    small = keyed.join(sizes, "k", "left_anti").drop("k").groupBy("image_id").applyInPandas(run, boxes.schema)
+    if sizes.isEmpty():
+        return small
+    large = stage(keyed.join(sizes, "k", "left_semi"), "crowded-boxes")
+    return small.unionByName(large.join(_crowded(large, iou), ["k", "box_id"], "left_anti").drop("k"))
+
+
+def _crowded(boxes: DataFrame, iou: float) -> DataFrame:
+    """(k, box_id) of the boxes that go.
+
+    Boxes that overlap by ``iou`` share ``iou`` of the larger width and of the larger height, so their widths, and heights, lie in one or in neighbouring powers
+    of 1 / iou. A box is told to the cells that it covers in grids of its own power and the next, cells being as wide as the power: four at most in
+    each of four grids. Pairs meet by equi-joins on the cell. Of equal boxes only the first takes part. Then all boxes that no larger one may remove stay at once, what they
+    remove goes, and so on.
+    """
+    corners = ["x1", "y1", "x2", "y2"]
+    first = boxes.where("x2 > x1 and y2 > y1").groupBy("k", *corners).agg(F.min("box_id").alias("box_id"))
+    copies = boxes.where("x2 > x1 and y2 > y1").join(first.withColumnRenamed("box_id", "kept"), ["k", *corners]).where("box_id > kept").select("k", "box_id")
+    base = 1 / iou if iou < 0.9 else 1.2  # near 1, powers of 1 / iou would be too many to tell apart
+    power = lambda a, b: F.floor(F.log(F.col(b) - F.col(a)) / F.lit(float(np.log(base))) + 1e-9)
+    grids = first.withColumn("p", F.explode(F.sequence(power("x1", "x2"), power("x1", "x2") + 1))).withColumn("q", F.explode(F.sequence(power("y1", "y2"), power("y1", "y2") + 1)))
+    place = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(base), F.col(level) + 1))
+    told = grids.withColumn("cx", F.explode(F.sequence(place("x1", "p"), place("x2", "p")))).withColumn("cy", F.explode(F.sequence(place("y1", "q"), place("y2", "q"))))
+    told = stage(told.withColumn("a", area()), "box-cells")
+    x, y = told.alias("x"), told.alias("y")
+    before = (F.col("x.a") > F.col("y.a")) | ((F.col("x.a") == F.col("y.a")) & (F.col("x.box_id") < F.col("y.box_id")))
+    shared = F.greatest(F.lit(0), F.least("x.x2", "y.x2") - F.greatest("x.x1", "y.x1")) * F.greatest(F.lit(0), F.least("x.y2", "y.y2") - F.greatest("x.y1", "y.y1"))
+    much = shared.cast("double") / F.greatest(F.col("x.a") + F.col("y.a") - shared, F.lit(1e-9)) >= iou
+    met = x.join(y, [*(F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("k", "p", "q", "cx", "cy")), before, much])
+    edges = stage(met.select(F.col("x.k").alias("k"), F.col("x.box_id").alias("over"), F.col("y.box_id").alias("under")).distinct(), "box-edges")
+    gone = copies
+    while not edges.isEmpty():
+        stay = edges.select("k", F.col("over").alias("box_id")).distinct().join(edges.select("k", F.col("under").alias("box_id")), ["k", "box_id"], "left_anti")
+        goes = stage(edges.join(stay.withColumnRenamed("box_id", "over"), ["k", "over"], "left_semi").select("k", F.col("under").alias("box_id")).distinct(), "boxes-gone")
+        gone = gone.unionByName(goes)
+        for end in ("over", "under"):
+            edges = edges.join(goes.withColumnRenamed("box_id", end), ["k", end], "left_anti")
+        edges = stage(edges, "box-edges")
+    return gone
 
 
 def signature(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
@@ -146,40 +195,77 @@ def signature(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.to_json(F.struct(*cols))))), 256).alias("signature"), F.count("*").alias("n"))
 
 
-def sliding_normalize(df: DataFrame, window: int = 512, warm: int = 128, batch: int = 32, floor: float = 0.25) -> DataFrame:
+def sliding_normalize(df: DataFrame, window: int = 512, warm: int = 128, batch: int = 32, floor: float = 0.25, segment: int = SEGMENT) -> DataFrame:
     """Costs (series, seq from 0, cost, quality) normalised batch by batch.
 
     Roots of costs are scaled by the 5th and 95th percentile of the ``window`` values before the batch,
     the range being at least ``floor`` times that of the first ``warm`` values, and cut to 0..1; inactive
     (null) until ``warm`` values came before. ``scale`` is std(quality) / std(normalised) over the same
-    values with the same bounds. The percentiles of a batch meet their values by an equi-join on the
-    batches that the window spans.
+    values with the same bounds. Nulls are no values. A series is cut into segments that borrow the ``window`` rows before them,
+    and each gets the first values' range by way of its predecessors, so each row moves once, or twice if it is lent.
     """
-    x = df.withColumn("root", F.sqrt("cost")).withColumn("batch", F.floor(F.col("seq") / batch))
-    q = lambda p: F.percentile("root", F.lit(p))
-    first = x.where(F.col("seq") < warm).groupBy("series").agg((q(0.95) - q(0.05)).alias("initial"))
-    spans = -(-window // batch)
-    seen = x.select("series", "seq", "root", "quality", F.explode(F.sequence(F.col("batch") + 1, F.col("batch") + spans)).alias("batch")).where((F.col("seq") >= F.col("batch") * batch - window) & (F.col("seq") < F.col("batch") * batch))
-    bounds = seen.groupBy("series", "batch").agg(F.count("*").alias("n"), q(0.05).alias("low"), q(0.95).alias("high")).join(first, "series").withColumn("range", F.greatest(F.col("high") - F.col("low"), floor * F.col("initial"))).where(F.col("batch") * batch >= warm)
-    unit = lambda: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("root") - F.col("low")) / F.col("range")))
-    scale = seen.join(bounds.select("series", "batch", "low", "range"), ["series", "batch"]).withColumn("unit", unit()).groupBy("series", "batch").agg((F.stddev_pop("quality") / (F.stddev_pop("unit") + 1e-8)).alias("scale"))
-    out = x.join(bounds, ["series", "batch"], "left").join(scale, ["series", "batch"], "left")
-    return out.select("series", "seq", unit().alias("normalized"), F.col("scale"))
-
-
-def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
-    """Generalised advantages per episode (episode, step, reward, value), values after the last step being 0."""
-    if gamma == lam == 1.0:
-        w = Window.partitionBy("episode").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("episode", "step", (F.sum("reward").over(w) - F.col("value")).alias("advantage"))
-    nxt = F.coalesce(F.lead("value").over(Window.partitionBy("episode").orderBy("step")), F.lit(0.0))
-    x = df.withColumn("delta", F.col("reward") + gamma * nxt - F.col("value"))
-    rows = x.groupBy("episode").agg(ordered_collect(F.struct("step", "delta"), "step").alias("rows"))
-    start = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<struct<step:bigint,advantage:double>>").alias("out"))
-
-    def back(s: Column, r: Column) -> Column:
-        a = r["delta"] + gamma * lam * s["a"]
-        return F.struct(a.alias("a"), F.concat(s["out"], F.array(F.struct(r["step"].cast("bigint").alias("step"), a.alias("advantage")))).alias("out"))
-
-    done = rows.select("episode", F.explode(F.aggregate(F.reverse("rows"), start, back)["out"]).alias("r"))
-    return done.select("episode", "r.step", "r.advantage")
+    size = max(batch, segment // batch * batch)
+    while size < max(window, warm):
+        size += batch
+
+    def bounds(values: np.ndarray) -> tuple[float, float]:
+        there = values[~np.isnan(values)]
+        return tuple(np.quantile(there, [0.05, 0.95])) if len(there) else (np.nan, np.nan)
+
+    def initial(pdf: pd.DataFrame) -> float | None:
+        low, high = bounds(np.sqrt(pdf["cost"].to_numpy(float)[:warm]))
+        return None if np.isnan(low) else float(high - low)
+
+    def finish(pdf: pd.DataFrame, state: float | None) -> pd.DataFrame:
+        root, quality, first = np.sqrt(pdf["cost"].to_numpy(float)), pdf["quality"].to_numpy(float), int(pdf["idx"].iloc[0])
+        least = initial(pdf) if first == 0 else state
+        unit, scale = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
+        own = np.flatnonzero(pdf["own"].to_numpy())
+        for start in range(-(-(first + int(own[0])) // batch) * batch, first + len(pdf), batch):
+            if start < warm or least is None:
+                continue
+            seen, now = slice(max(0, start - window - first), start - first), slice(start - first, start - first + batch)
+            low, high = bounds(root[seen])
+            wide = max(high - low, floor * least)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                unit[now] = np.clip((root[now] - low) / wide, 0, 1)
+                scale[now] = np.nanstd(quality[seen]) / (np.nanstd(np.clip((root[seen] - low) / wide, 0, 1)) + 1e-8)
+        out = pdf.assign(normalized=unit, scale=scale).iloc[own]
+        return out[["series", "seq", "normalized", "scale"]].replace({np.nan: None})
+
+    rows = df.select("series", "seq", F.col("cost").cast("double"), F.col("quality").cast("double"), key_text(F.col("series")).alias("k"), F.col("seq").cast("long").alias("idx"))
+    told = entered(segmented(rows, size, before=window), lambda pdf: initial(pdf) if int(pdf["idx"].iloc[0]) == 0 else None, lambda state, found: found if state is None else state, None)
+    kind = df.schema["series"].dataType.simpleString()
+    return finished(told, finish, None, f"series {kind}, seq long, normalized double, scale double")
+
+
+def gae(df: DataFrame, gamma: float, lam: float, segment: int = SEGMENT) -> DataFrame:
+    """Generalised advantages per episode (episode, step, reward, value), values after the last step being 0.
+
+    ``A(t) = delta(t) + gamma * lam * A(t + 1)`` is an affine map of what comes after; a segment of an episode is the composition of its rows' maps, two
+    numbers, and is worked out backward from the advantage that its successor begins with.
+    """
+
+    def deltas(pdf: pd.DataFrame) -> np.ndarray:
+        value, own = pdf["value"].to_numpy(float), int(pdf["own"].sum())
+        return pdf["reward"].to_numpy(float)[:own] + gamma * np.append(value[1:], 0.0)[:own] - value[:own]
+
+    def back(delta: np.ndarray, after: float) -> np.ndarray:
+        out, a = np.empty(len(delta)), after
+        for i in range(len(delta) - 1, -1, -1):
+            a = delta[i] + gamma * lam * a
+            out[i] = a
+        return out
+
+    def summarise(pdf: pd.DataFrame) -> list:
+        delta = deltas(pdf)
+        return [float(back(delta, 0.0)[0]), (gamma * lam) ** len(delta)]
+
+    def finish(pdf: pd.DataFrame, state: float) -> pd.DataFrame:
+        delta = deltas(pdf)
+        return pdf.iloc[: len(delta)].assign(advantage=back(delta, state))[["episode", "step", "advantage"]]
+
+    rows = df.select("episode", "step", F.col("reward").cast("double"), F.col("value").cast("double"))
+    told = entered(segmented(numbered(rows, "episode", ["step"]), segment, after=1), summarise, lambda a, told: told[0] + told[1] * a, 0.0, backward=True)
+    kinds = [df.schema[c].dataType.simpleString() for c in ("episode", "step")]
+    return finished(told, finish, 0.0, f"episode {kinds[0]}, step {kinds[1]}, advantage double")

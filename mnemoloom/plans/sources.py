@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import ordered_collect, r6
 from mnemoloom.operators import graph as G
 from mnemoloom.operators import splits as D
+from mnemoloom.operators.segments import numbered
 from mnemoloom.plans.registry import query
 from mnemoloom.session import new_folder, table
 from mnemoloom.sources import tables as S
@@ -273,8 +273,8 @@ W1 = """t AS (SELECT event_type AS series, row_number() OVER (PARTITION BY event
 
 @query(f"WITH {W1} SELECT series, seq, CASE WHEN rng IS NOT NULL THEN round(greatest(0, least(1, (root - low) / rng)), 6)::DOUBLE END AS normalized, round(scale, 6)::DOUBLE AS scale FROM s LEFT JOIN r USING (series, batch) LEFT JOIN z USING (series, batch)")
 def w1_sliding_normalize(spark, d):
-    seq = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    x = events(spark, d).select(F.col("event_type").alias("series"), seq.alias("seq"), F.abs("value").alias("cost"), (F.col("event_id") % 7).cast("double").alias("quality"))
+    e = numbered(events(spark, d).select("event_type", "event_id", "value"), "event_type", ["event_id"])
+    x = e.select(F.col("event_type").alias("series"), F.col("idx").alias("seq"), F.abs("value").alias("cost"), (F.col("event_id") % 7).cast("double").alias("quality"))
     n = D.sliding_normalize(x)
     return n.select("series", "seq", F.when(F.col("scale").isNotNull(), r6("normalized")).alias("normalized"), r6("scale").alias("scale"))
 

@@ -176,6 +176,53 @@ def test_gae(spark):
     assert got[2] == pytest.approx(a2) and got[1] == pytest.approx(a1) and got[0] == pytest.approx(1 + 0.9 * 0.2 - 0.5 + 0.72 * a1)
 
 
+@pytest.mark.parametrize("iou,most", [(0.3, 20), (0.6, 20), (0.95, 20), (0.3, 5000)])
+def test_box_suppression_by_the_rule(spark, iou, most):
+    rng = random.Random(int(iou * 100))
+    rows = []
+    for image in (None, 1, 2):
+        for box in range(rng.choice([12, 150])):
+            x, y = rng.randrange(0, 300), rng.randrange(0, 300)
+            rows.append((image, box, x, y, x + rng.choice([0, 1, 40, 100, 104, 300]), y + rng.choice([1, 40, 100, 97, 300])))
+        rows += [(image, 1000 + i, *rows[-1 - i][2:]) for i in range(0, 12, 2)] + [(image, 2000 + i, 50, 50, 150, 150) for i in range(30)]
+    want = set()
+    for image in (None, 1, 2):
+        kept = []
+        for b in sorted((r for r in rows if r[0] == image), key=lambda r: (-(r[4] - r[2]) * (r[5] - r[3]), r[1])):
+            size = lambda r: (r[4] - r[2]) * (r[5] - r[3])
+            shared = lambda r: max(0, min(r[4], b[4]) - max(r[2], b[2])) * max(0, min(r[5], b[5]) - max(r[3], b[3]))  # noqa: B023, E731
+            if not any(shared(r) / max(size(r) + size(b) - shared(r), 1e-9) >= iou for r in kept):
+                kept.append(b)
+        want |= set(kept)
+    df = spark.createDataFrame(rows, "image_id long, box_id long, x1 long, y1 long, x2 long, y2 long").repartition(3)
+    assert {tuple(r) for r in D.dedup_boxes(df, iou, most).collect()} == want and len(want) < len(rows)
+
+
+@pytest.mark.parametrize("gamma,lam,segment", [(0.99, 0.95, 7), (0.9, 1.0, 20_000), (1.0, 1.0, 10)])
+def test_gae_by_the_loop(spark, gamma, lam, segment):
+    rng = random.Random(segment)
+    rows = [(e, t, rng.random(), rng.random()) for e in range(4) for t in range(rng.randrange(1, 60))]
+    want = {}
+    for e in range(4):
+        mine, a, after = [r for r in rows if r[0] == e], 0.0, 0.0
+        for _, t, reward, value in reversed(mine):
+            a, after = reward + gamma * after - value + gamma * lam * a, value
+            want[e, t] = pytest.approx(a, rel=1e-9, abs=1e-9)
+    got = D.gae(spark.createDataFrame(rows, "episode long, step long, reward double, value double").repartition(3), gamma, lam, segment=segment).collect()
+    assert {(r.episode, r.step): r.advantage for r in got} == want
+
+
+def test_sliding_normalize_of_segments(spark):
+    """A series in segments is as in one, nulls among its values, a short series inactive."""
+    rng = random.Random(1)
+    rows = [("a", i, None if i % 17 == 3 else rng.random() * (1 + i / 50), rng.random()) for i in range(400)] + [("b", i, rng.random(), 1.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "series string, seq long, cost double, quality double").repartition(5)
+    run = lambda n: {(r.series, r.seq): (r.normalized, r.scale) for r in D.sliding_normalize(df, window=48, warm=16, batch=8, segment=n).collect()}
+    whole, cut = run(20_000), run(56)
+    assert len(whole) == 409 and whole == {k: (None if a is None else pytest.approx(a), None if b is None else pytest.approx(b)) for k, (a, b) in cut.items()}
+    assert all(whole["b", i] == (None, None) for i in range(9)) and sum(a is not None for a, _ in whole.values()) > 300
+
+
 def test_sliding_normalize_takes_all_events(spark, tmp_path):
     """Two series of 11,300 events together, in batches of 32, against the rule."""
     from mnemoloom.plans import QUERIES
@@ -400,7 +447,8 @@ def test_drop_redundant_by_the_rule(spark):
     assert {(r.source, r.target, r.weight) for r in got.collect()} == left and len(left) < len(edges)
 
 
-def test_batches_close_before_a_second_image(spark):
+@pytest.mark.parametrize("segment", [7, 20_000])
+def test_batches_close_before_a_second_image(spark, segment):
     rng = random.Random(2)
     rows = [(c, r, int(rng.random() < 0.3)) for c in range(5) for r in range(40)]
     want, state = {}, {}
@@ -410,7 +458,7 @@ def test_batches_close_before_a_second_image(spark):
             number, size, images = number + 1, 0, 0
         state[c] = (number, size + 1, images + has)
         want[c, r] = number
-    got = C.batch_rounds(spark.createDataFrame(rows, "conv_id long, round long, images long"), 4, "images")
+    got = C.batch_rounds(spark.createDataFrame(rows, "conv_id long, round long, images long"), 4, "images", segment=segment)
     assert {(r.conv_id, r["round"]): r.batch for r in got.collect()} == want
 
 

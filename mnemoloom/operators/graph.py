@@ -40,6 +40,85 @@ def candidate_edges(attrs: DataFrame, weights: DataFrame) -> DataFrame:
     return x.groupBy(*PAIR).agg(F.sum("weight").alias("weight"), F.count_if(F.col("cross") == 0).alias("n_text"), F.count_if(F.col("cross") == 1).alias("n_cross"), F.min(F.struct("cross", "attribute")).alias("first"))
 
 
+def shared_attributes(attrs: DataFrame) -> DataFrame:
+    """What ``candidate_edges`` sums up, a row for each pair and shared attribute: (bank, source < target, attribute, cross, born). attrs also has ``ord``, when a
+    memory came; a pair is born with the later of its two."""
+    text, visual = (attrs.where(F.col("side") == x).groupBy("bank", "attribute", "memory_id").agg(F.min("ord").alias("ord")) for x in ("text", "visual"))
+    a, b, v = text.alias("a"), text.alias("b"), visual.alias("b")
+    same = (F.col("a.bank") == F.col("b.bank")) & (F.col("a.attribute") == F.col("b.attribute"))
+    pair = lambda met, cross: met.select("a.bank", "a.attribute", F.least("a.memory_id", "b.memory_id").alias("source"), F.greatest("a.memory_id", "b.memory_id").alias("target"), F.lit(cross).alias("cross"), F.greatest("a.ord", "b.ord").alias("born"))
+    both = pair(a.join(v, same & (F.col("a.memory_id") != F.col("b.memory_id"))), 1)
+    return pair(a.join(b, same & (F.col("a.memory_id") < F.col("b.memory_id"))), 0).unionByName(both.groupBy("bank", "attribute", "source", "target", "cross").agg(F.min("born").alias("born")))
+
+
+def statistics_steps(attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How the statistics of a bank's prefixes grow: (bank, ord, n) memories, (bank, attribute, ord, df) memories with the attribute, a row wherever they change."""
+    grow = lambda rows, by: rows.groupBy(*by, "ord").agg(F.count("*").alias("more")).select(*by, "ord", F.sum("more").over(Window.partitionBy(*by).orderBy("ord")).alias("total"))
+    first = lambda by: attrs.groupBy(*by, "memory_id").agg(F.min("ord").alias("ord"))
+    return grow(first(["bank"]), ["bank"]).withColumnRenamed("total", "n"), grow(first(["bank", "attribute"]), ["bank", "attribute"]).withColumnRenamed("total", "df")
+
+
+def _as_of(steps: DataFrame, asks: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``asks`` (by.., checkpoint, at) with the last ``value`` of the steps (by.., ord, value) up to ``at``: one pass over both in order, so no step meets every checkpoint."""
+    told = steps.select(*by, F.col("ord").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast(asks.schema["checkpoint"].dataType).alias("checkpoint"), value)
+    asked = asks.select(*by, "at", F.lit(1).alias("ask"), "checkpoint", F.lit(None).cast("long").alias(value))
+    w = Window.partitionBy(*by).orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    return told.unionByName(asked).withColumn(value, F.last(value, True).over(w)).where("ask = 1").drop("ask")
+
+
+def prefix_weights(attrs: DataFrame, checkpoints: DataFrame, mode: str = "idf") -> DataFrame:
+    """G1 at each checkpoint (bank, checkpoint, at), of the memories with ``ord`` up to ``at`` alone: (bank, checkpoint, at, attribute, df, weight).
+
+    Document frequencies are running sums over a bank's order, read as of each checkpoint; memories are not copied.
+    """
+    n_steps, df_steps = statistics_steps(attrs)
+    asked = df_steps.groupBy("bank", "attribute").agg(F.min("ord").alias("born")).join(checkpoints, "bank").where("born <= at")
+    df = _as_of(df_steps, asked, ["bank", "attribute"], "df")
+    n = _as_of(n_steps, checkpoints, ["bank"], "n").select("bank", "checkpoint", "n")
+    weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) if mode == "idf" else F.lit(1.0)
+    return df.join(n, ["bank", "checkpoint"]).select("bank", "checkpoint", "at", "attribute", "df", weight.alias("weight"))
+
+
+def prefix_edges(attrs: DataFrame, checkpoints: DataFrame, mode: str = "idf") -> DataFrame:
+    """G2 at each checkpoint: the candidate edges among the memories up to then, weighted by that prefix: (bank, checkpoint, source, target, weight, n_text, n_cross, first).
+
+    Pairs are found once, each stamped with when it is born; at a checkpoint those born by then take its weights. What is not read of a later
+    session can't leak into an earlier graph.
+    """
+    weights = prefix_weights(attrs, checkpoints, mode).select("bank", "checkpoint", "at", "attribute", "weight")
+    x = shared_attributes(attrs).join(weights, ["bank", "attribute"]).where("born <= at")
+    return x.groupBy("bank", "checkpoint", "source", "target").agg(F.sum("weight").alias("weight"), F.count_if(F.col("cross") == 0).alias("n_text"), F.count_if(F.col("cross") == 1).alias("n_cross"), F.min(F.struct("cross", "attribute")).alias("first"))
+
+
+def prefix_graphs(attrs: DataFrame, checkpoints: DataFrame, cap: int = 4, mode: str = "idf", known: DataFrame | None = None) -> DataFrame:
+    """G3 at each checkpoint: (bank, checkpoint, source, target, weight).
+
+    Checkpoints in ``known`` (bank, checkpoint), whose graphs are stored already under the same signature (see ``prefix_signatures``), are left out.
+    """
+    if known is not None:
+        checkpoints = checkpoints.join(known.select("bank", "checkpoint"), ["bank", "checkpoint"], "left_anti")
+    x = prefix_edges(attrs, checkpoints, mode).withColumn("weight", F.round("weight", 9)).withColumn("at", F.struct("bank", "checkpoint"))
+    capped = cap_degree(x.drop("bank", "checkpoint").withColumnRenamed("at", "bank"), [-F.col("weight"), F.col("first")], cap)
+    return capped.select("bank.bank", "bank.checkpoint", "source", "target", "weight")
+
+
+def prefix_signatures(attrs: DataFrame, checkpoints: DataFrame, options: str = "") -> DataFrame:
+    """(bank, checkpoint, signature) of what a checkpoint's graph is made of: its memories' attributes and the options.
+
+    A session's signature digests its rows; a prefix's is the running sum of its sessions' (modulo 2**64 by two hashes), so a checkpoint costs no pass of its own.
+    """
+    row = F.xxhash64("memory_id", "attribute", "side", "ord")
+    other = F.xxhash64("ord", "side", "attribute", "memory_id", F.lit(11))
+    per = attrs.select("bank", "memory_id", "attribute", "side", "ord").distinct().groupBy("bank", "ord").agg(F.sum(row.cast("decimal(20,0)")).alias("a"), F.sum(other.cast("decimal(20,0)")).alias("b"), F.count("*").alias("n"))
+    run = Window.partitionBy("bank").orderBy("ord")
+    steps = per.select("bank", "ord", F.sha2(F.concat_ws("|", F.sum("a").over(run).cast("string"), F.sum("b").over(run).cast("string"), F.sum("n").over(run).cast("string"), F.lit(options)), 256).alias("signature"))
+    asked = checkpoints.select("bank", "checkpoint", "at")
+    told = steps.select("bank", F.col("ord").alias("at"), F.lit(0).alias("ask"), F.lit(None).cast(asked.schema["checkpoint"].dataType).alias("checkpoint"), "signature")
+    w = Window.partitionBy("bank").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = told.unionByName(asked.select("bank", "at", F.lit(1).alias("ask"), "checkpoint", F.lit(None).cast("string").alias("signature")))
+    return both.withColumn("signature", F.last("signature", True).over(w)).where("ask = 1").select("bank", "checkpoint", "signature")
+
+
 def greedy_cap(edges: pd.DataFrame, cap: int, degree: dict) -> list[bool]:
     """The sequential rule: take an edge, in order, if both ends have room."""
     out = []

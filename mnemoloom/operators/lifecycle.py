@@ -105,12 +105,24 @@ def visible(df: DataFrame, sessions: list) -> DataFrame:
 
 
 def gold_states(points: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per session: new, update and interference points, and all points so far but interference: points (bank, session, memory_id, kind), sessions (bank, session, ord)."""
+    """Per session: new, update and interference points, and how many points so far but interference: points (bank, session, memory_id, kind), sessions (bank, session, ord).
+
+    The points themselves are read as of a session by ``gold_at``: no session carries the list of all before it.
+    """
     n = lambda kind: F.count_if(F.col("kind") == kind)
-    ids = F.array_sort(F.collect_list(F.when(F.col("kind") != "interference", F.col("memory_id"))))
-    per = sessions.join(points, ["bank", "session"], "left").groupBy("bank", "session", "ord").agg(n("new").alias("n_new"), n("update").alias("n_update"), n("interference").alias("n_interference"), ids.alias("ids"))
+    per = sessions.join(points, ["bank", "session"], "left").groupBy("bank", "session", "ord").agg(n("new").alias("n_new"), n("update").alias("n_update"), n("interference").alias("n_interference"), F.count(F.when(F.col("kind") != "interference", F.col("memory_id"))).alias("n"))
     run = Window.partitionBy("bank").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("n_cumulative", F.sum(F.size("ids")).over(run)).withColumn("cumulative", F.flatten(F.collect_list("ids").over(run))).drop("ids")
+    return per.withColumn("n_cumulative", F.sum("n").over(run)).drop("n")
+
+
+def gold_points(points: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(bank, memory_id, kind, valid_from): the points but interference, each with the order of the session since which it counts."""
+    return points.where("kind <> 'interference'").join(sessions, ["bank", "session"]).select("bank", "memory_id", "kind", F.col("ord").alias("valid_from"))
+
+
+def gold_at(gold: DataFrame, asks: DataFrame) -> DataFrame:
+    """The cumulative points (bank, session, memory_id, kind) as of the asked sessions (bank, session, ord): rows of ``gold_points`` that are valid by then."""
+    return asks.join(gold, "bank").where("valid_from <= ord").select("bank", "session", "memory_id", "kind")
 
 
 def checkpoint_trigger(checkpoints: DataFrame, sessions: DataFrame) -> DataFrame:

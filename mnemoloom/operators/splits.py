@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mnemoloom.operators.segments import SEGMENT, entered, finished, key_text, numbered, segmented
 from mnemoloom.session import stage
@@ -191,8 +196,41 @@ def _crowded(boxes: DataFrame, iou: float) -> DataFrame:
 
 
 def signature(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """SHA-256 per group over its rows as JSON, in sorted order: the same for the same set of rows."""
-    return df.groupBy(*by).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.to_json(F.struct(*cols))))), 256).alias("signature"), F.count("*").alias("n"))
+    """SHA-256 per group over its rows as JSON, in sorted order, newline-joined: the same for the same set of rows.
+
+    A group's rows pass through the digest one by one, sorted on the way; neither the rows nor their text are ever held together. Null keys are a group.
+    """
+    key, row = F.to_json(F.struct(*by)), F.to_json(F.struct(*cols))
+    schema = StructType([*(df.schema[c] for c in by), StructField("signature", StringType()), StructField("n", LongType())])
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sha, n, first = None, None, 0, None
+        done: list[tuple[pa.RecordBatch, str, int]] = []
+
+        def ready() -> pa.RecordBatch:
+            keys = pa.Table.from_batches([f for f, _, _ in done]).combine_chunks()
+            columns = [keys.column(c).combine_chunks() for c in by]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s, _ in done], pa.string()), pa.array([m for _, _, m in done], pa.int64())], names=schema.names)
+            done.clear()
+            return made
+
+        for batch in batches:
+            for i, (k, r) in enumerate(zip(batch.column("signature_key").to_pylist(), batch.column("signature_row").to_pylist(), strict=True)):
+                if k != at:
+                    if at is not None:
+                        done.append((first, sha.hexdigest(), n))
+                    at, sha, n, first = k, hashlib.sha256(), 0, batch.slice(i, 1).select(by)
+                sha.update((b"\n" if n else b"") + r.encode())
+                n += 1
+            if len(done) > 1000:
+                yield ready()
+        if at is not None:
+            done.append((first, sha.hexdigest(), n))
+        if done:
+            yield ready()
+
+    rows = df.select(*by, key.alias("signature_key"), row.alias("signature_row"))
+    return rows.repartition("signature_key").sortWithinPartitions("signature_key", "signature_row").mapInArrow(fold, schema)
 
 
 def sliding_normalize(df: DataFrame, window: int = 512, warm: int = 128, batch: int = 32, floor: float = 0.25, segment: int = SEGMENT) -> DataFrame:

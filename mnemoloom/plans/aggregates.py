@@ -329,10 +329,22 @@ def l11_provenance(spark, d):
 @query("""WITH p AS (SELECT conv_id AS bank, turn // 2 AS session, turn AS memory_id, ['new', 'update', 'interference'][turn % 3 + 1] AS kind FROM conversations), s AS (SELECT bank, session, count(*) FILTER (kind = 'new') AS n_new, count(*) FILTER (kind = 'update') AS n_update, count(*) FILTER (kind = 'interference') AS n_interference, count(*) FILTER (kind <> 'interference') AS n FROM p GROUP BY 1, 2)
     SELECT bank, session, n_new, n_update, n_interference, sum(n) OVER (PARTITION BY bank ORDER BY session)::BIGINT AS n_cumulative FROM s""")
 def l12_gold_states(spark, d):
+    return L.gold_states(*gold(spark, d)).select("bank", "session", "n_new", "n_update", "n_interference", "n_cumulative")
+
+
+@query("""WITH p AS (SELECT conv_id AS bank, turn // 2 AS session, turn AS memory_id, ['new', 'update', 'interference'][turn % 3 + 1] AS kind FROM conversations), m AS (SELECT bank, max(session) AS top, max(session) // 2 AS half FROM p GROUP BY 1), a AS (SELECT bank, unnest(list_distinct([top, half])) AS session FROM m)
+    SELECT a.bank, a.session, memory_id, kind FROM a JOIN p ON p.bank = a.bank AND p.session <= a.session WHERE kind <> 'interference'""")
+def l12_gold_at(spark, d):
+    """The cumulative points as of each bank's middle and last session."""
+    p, s = gold(spark, d)
+    asks = s.groupBy("bank").agg(F.max("session").alias("top")).select("bank", F.explode(F.array_distinct(F.array("top", F.floor(F.col("top") / 2)))).alias("session")).withColumn("ord", F.col("session"))
+    return L.gold_at(L.gold_points(p, s), asks)
+
+
+def gold(spark, d):
     kinds = F.array(*map(F.lit, ["new", "update", "interference"]))
     p = table(spark, d, "conversations").select(F.col("conv_id").alias("bank"), F.floor(F.col("turn") / 2).alias("session"), F.col("turn").alias("memory_id"), F.element_at(kinds, (F.col("turn") % 3 + 1).cast("int")).alias("kind"))
-    s = p.select("bank", "session").distinct().withColumn("ord", F.col("session"))
-    return L.gold_states(p, s).select("bank", "session", "n_new", "n_update", "n_interference", "n_cumulative")
+    return p, p.select("bank", "session").distinct().withColumn("ord", F.col("session"))
 
 
 @query("WITH s AS (SELECT conv_id AS bank, max(turn) AS top FROM conversations GROUP BY 1), c AS (SELECT bank, top, unnest([1, 2]) AS k FROM s) SELECT bank * 10 + k AS checkpoint_id, bank, CASE WHEN 3 * k <= top THEN 3 * k END AS fires_at FROM c")

@@ -223,3 +223,36 @@ def g23_succession_edges(spark, d):
 @query(f"WITH {CONCEPTS}, s AS (SELECT bank, node, count(*) AS n FROM c GROUP BY 1, 2) SELECT a.bank, b.node AS source, a.node AS target, round(count(*) / greatest(max(sa.n), max(sb.n)), 6)::DOUBLE AS weight FROM c a JOIN c b ON a.bank = b.bank AND a.concept = b.concept AND a.node < b.node JOIN s sa ON sa.bank = a.bank AND sa.node = a.node JOIN s sb ON sb.bank = b.bank AND sb.node = b.node GROUP BY 1, 2, 3 HAVING count(*) >= 8")
 def g24_concept_edges(spark, d):
     return G.concept_edges(concepts(spark, d), 8).withColumn("weight", r6("weight"))
+
+
+# Sessions of a bank: its documents in order, ten a session. Checkpoints: after the first, the third and the last of six sessions.
+PREFIX = f"""{A}, o AS (SELECT *, memory_id // 500 AS ord FROM a), k AS (SELECT bank, c AS checkpoint, [0, 2, 1000000][c] AS t FROM (SELECT DISTINCT bank FROM a), unnest([1, 2, 3]) u(c)),
+    pn AS (SELECT k.bank, checkpoint, count(DISTINCT memory_id) AS n FROM k JOIN o ON o.bank = k.bank AND ord <= t GROUP BY 1, 2),
+    pw AS (SELECT k.bank, k.checkpoint, attribute, count(DISTINCT memory_id) AS df, ln((max(n) + 1) / (count(DISTINCT memory_id) + 1)) AS weight FROM k JOIN o ON o.bank = k.bank AND ord <= t JOIN pn ON pn.bank = k.bank AND pn.checkpoint = k.checkpoint GROUP BY 1, 2, 3)"""
+
+
+def ordered_attrs(spark, d):
+    return attrs(spark, d).withColumn("ord", F.floor(F.col("memory_id") / 500))
+
+
+def checkpoints(spark, d):
+    return attrs(spark, d).select("bank").distinct().select("bank", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("checkpoint"), F.lit(t).cast("long").alias("at")) for i, t in ((1, 0), (2, 2), (3, 1_000_000))))).alias("c")).select("bank", "c.*")
+
+
+@query(f"WITH {PREFIX} SELECT bank, checkpoint, attribute, df, round(weight, 6) AS weight FROM pw")
+def v29_prefix_weights(spark, d):
+    return G.prefix_weights(ordered_attrs(spark, d), checkpoints(spark, d)).drop("at").withColumn("weight", r6("weight"))
+
+
+@query(f"""WITH {PREFIX}, t AS (SELECT DISTINCT bank, attribute, memory_id, ord FROM o WHERE side = 'text'), v AS (SELECT DISTINCT bank, attribute, memory_id, ord FROM o WHERE side = 'visual'),
+    p AS (SELECT x.bank, x.attribute, x.memory_id AS source, y.memory_id AS target, 0 AS c, greatest(x.ord, y.ord) AS born FROM t x JOIN t y ON x.bank = y.bank AND x.attribute = y.attribute AND x.memory_id < y.memory_id
+      UNION SELECT x.bank, x.attribute, least(x.memory_id, y.memory_id), greatest(x.memory_id, y.memory_id), 1, greatest(x.ord, y.ord) FROM t x JOIN v y ON x.bank = y.bank AND x.attribute = y.attribute AND x.memory_id <> y.memory_id)
+    SELECT p.bank, k.checkpoint, source, target, round(sum(weight), 6) AS weight, count(*) FILTER (c = 0) AS n_text, count(*) FILTER (c = 1) AS n_cross FROM p JOIN k ON k.bank = p.bank AND born <= k.t JOIN pw ON pw.bank = p.bank AND pw.checkpoint = k.checkpoint AND pw.attribute = p.attribute GROUP BY 1, 2, 3, 4""")
+def v29_prefix_edges(spark, d):
+    return G.prefix_edges(ordered_attrs(spark, d), checkpoints(spark, d)).drop("first").withColumn("weight", r6("weight"))
+
+
+@query()
+def v29_prefix_graphs(spark, d):
+    """The capped graph of each bank at each of its checkpoints."""
+    return G.prefix_graphs(ordered_attrs(spark, d), checkpoints(spark, d)).withColumn("weight", r6("weight"))

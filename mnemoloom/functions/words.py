@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 # Suffix tables of the published stemming algorithm (Porter, 1980).
@@ -90,22 +92,36 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
+def _counted(column: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, word) pairs of a list column as one number each, sorted, and how often each stands."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.unique(np.repeat(np.arange(len(column), dtype=np.int64), sizes) << 32 | codes, return_counts=True)
+
+
 def overlap():
-    """Pandas UDF: size of the intersection of two word arrays as multisets, in time that is linear in their lengths."""
+    """Arrow UDF: size of the intersection of two word arrays as multisets (0 if one is null). A batch is two sorts of word numbers."""
 
-    @F.pandas_udf("int")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([0 if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)], dtype="int32")
+    @F.arrow_udf("int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        flat = pa.concat_arrays([a.flatten(), b.flatten()])
+        codes = pc.fill_null(flat.dictionary_encode(null_encoding="encode").indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = len(a.flatten())
+        (x, i), (y, j) = _counted(a, codes[:n]), _counted(b, codes[n:])
+        both, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        return pa.array(np.bincount(both >> 32, np.minimum(i[at], j[to]), len(a)).astype(np.int32))
 
     return run
 
 
 def stems():
-    """Pandas UDF: array of words to array of stems."""
-
-    @F.pandas_udf("array<string>")
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: None if ws is None else [porter_stem(w) for w in ws])
+    """Arrow UDF: array of words to array of stems; each distinct word of a batch is stemmed once."""
+
+    @F.arrow_udf("array<string>")
+    def run(words: pa.Array) -> pa.Array:
+        flat = words.flatten().dictionary_encode()
+        known = pa.array([porter_stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+        offsets = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, known.take(flat.indices), mask=words.is_null())
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemoloom.functions.columns import c, ngrams, ratio
+from mnemoloom.functions.columns import c, ngrams, ratio, words
 from mnemoloom.functions.words import lcs, overlap, stems
 from mnemoloom.operators.text import normalize_answer
 
@@ -135,7 +135,7 @@ def match_gold(items: DataFrame, gold: DataFrame) -> DataFrame:
 
     items: (query_id, rank, item_id, text, sessions array); gold: (query_id, gold_no, gold_id, session, content).
     """
-    plain = lambda x: F.array_join(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), " ")
+    plain = lambda x: F.array_join(words(F.coalesce(x, F.lit("")), "a-z0-9"), " ")
     i = items.withColumn("norm", plain(F.col("text"))).alias("i")
     g = gold.withColumn("norm", plain(F.col("content"))).withColumn("bag", F.array_distinct(F.filter(F.split("norm", " "), lambda x: x != ""))).alias("g")
     share = F.size(F.array_intersect(F.col("g.bag"), F.split("i.norm", " "))) / F.size("g.bag")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import cosine, norm, rank_top
-from mnemoloom.session import stage
+from mnemoloom.session import new_folder, stage
 
 BLOCK_ROWS, RUN_ROWS = 16_384, 2_048
 
@@ -232,57 +232,9 @@ def multivector_topk(queries: DataFrame, vectors: DataFrame, k: int, mode: str =
     return ranked(_in_blocks(side(queries, "query_id"), side(vectors, "memory_id"), [], find, HITS), k)
 
 
-def token_lists(docs: DataFrame, ident: str, tokens) -> DataFrame:
-    """(id, tokens, dl), tokenised once and stored."""
-    lists = stage(docs.select(F.col(ident).alias("id"), tokens(F.col("text")).alias("tokens")), "tokens")
-    return lists.withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0)))
-
-
-def corpus_stats(lists: DataFrame) -> DataFrame:
-    """One row: N (texts without tokens count) and the mean length."""
-    return lists.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
-
-
-def postings_of(lists: DataFrame) -> DataFrame:
-    """(id, token, dl, tf)."""
-    return lists.select("id", "dl", F.explode("tokens").alias("token")).groupBy("id", "token", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, tokens, k: int, k1: float = 1.5, b: float = 0.75, ident: str = "doc_id", tags: DataFrame | None = None, digits: int = 9) -> DataFrame:
-    """BM25 with idf ln((N - df + .5) / (df + .5) + 1); a token repeated in the query counts each time; only scores above 0.
-
-    queries (query_id, text). Texts are tokenised once; only postings of the queries' tokens are made, and the one-row statistics are the only
-    thing broadcast by nature. Scores are rounded to ``digits``, so that sums in another order rank alike. With ``tags`` (id, tag, one row for each
-    tag that is asked for), the 2k best are taken and those without any of the tags left out.
-    """
-    lists = token_lists(docs, ident, tokens)
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    said = lists.select("id", "dl", F.explode("tokens").alias("token")).join(q.select("token").distinct(), "token", "left_semi")
-    postings = stage(said.groupBy("id", "token", "dl").agg(F.count("*").alias("tf")), "postings")
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    x = q.join(df, "token").join(postings, "token").crossJoin(F.broadcast(corpus_stats(lists)))
-    idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = x.groupBy("query_id", F.col("id").alias("memory_id")).agg(F.round(F.sum(F.col("qtf") * idf * weight), digits).alias("score"))
-    found = ranked(scores.where("score > 0"), k if tags is None else 2 * k)
-    return found if tags is None else ranked(found.drop("rank").join(tags.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi"), k)
-
-
-def tfidf_topk(queries: DataFrame, docs: DataFrame, tokens, k: int, ident: str = "doc_id", overlap_weight: float = 0.35, digits: int = 9) -> DataFrame:
-    """0.35 * share of the query's tokens + 0.65 * TF-IDF cosine, idf ln((1 + N) / (1 + df)) + 1, tf as a share; scores of 0 drop out. Postings are made once and stored."""
-    lists = token_lists(docs, ident, tokens)
-    postings, stats = stage(postings_of(lists), "postings"), corpus_stats(lists)
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1
-    w = postings.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("w", F.col("tf") / F.col("dl") * idf)
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    q = queries.select("query_id", tokens(F.col("text")).alias("t")).select("query_id", F.size("t").alias("ql"), F.explode("t").alias("token")).groupBy("query_id", "ql", "token").agg(F.count("*").alias("qtf"))
-    qw = q.join(df, "token", "left").fillna(0, ["df"]).crossJoin(F.broadcast(stats)).withColumn("qw", F.col("qtf") / F.col("ql") * idf)
-    qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"), F.count("*").alias("n_tokens"))
-    x = qw.join(w.select("token", "id", "w"), "token").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"), F.count("*").alias("shared"))
-    x = x.join(qn, "query_id").join(norms, "id")
-    score = F.round(overlap_weight * F.col("shared") / F.col("n_tokens") + (1 - overlap_weight) * F.col("dot") / (F.col("qn") * F.col("dn")), digits)
-    return ranked(x.select("query_id", F.col("id").alias("memory_id"), score.alias("score")).where("score > 0"), k)
+def with_tags(found: DataFrame, tags: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of the hits that have one of the tags: tags (id, tag, one row for each tag that is asked for)."""
+    return ranked(found.drop("rank").join(tags.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi"), k)
 
 
 def weighted_topk(queries: DataFrame, memories: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
@@ -371,6 +323,8 @@ def list_memories(df: DataFrame, query: str, field: str = "name", k: int = 10, m
 
     A query without words (for ``vector``, one without a vector) gives the first rows in stored order, with a null score.
     """
+    from mnemoloom.operators.lexical_index import add_documents, bm25_search  # which needs this module
+
     spark = df.sparkSession
     first = df.orderBy("memory_id").limit(k).withColumn("score", F.lit(None).cast("double"))
     if method == "vector":
@@ -382,7 +336,7 @@ def list_memories(df: DataFrame, query: str, field: str = "name", k: int = 10, m
         asked = spark.createDataFrame([(0, query)], "query_id long, text string")
         if not asked.select(F.size(tokens(F.col("text")))).first()[0]:
             return first
-        hits = bm25_topk(asked, df.select("memory_id", F.col(field).alias("text")), tokens, k, ident="memory_id")
+        hits = bm25_search(spark, add_documents(spark, new_folder(spark, "listed"), df, tokens, "memory_id", field), asked, tokens, k)
     else:
         rows = df if not query.strip() else df.where(F.lower(field).contains(query.lower()))
         return rows.orderBy("memory_id").limit(k).withColumn("score", F.lit(None).cast("double"))

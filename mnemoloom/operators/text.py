@@ -51,8 +51,8 @@ def normalize_answer(text: Column | str) -> Column:
     """Lower case; dots between digits and underscores stay, other ASCII punctuation becomes a space; articles and "and" go; squeezed."""
     marks = "".join(p for p in PUNCTUATION if p not in "._")
     x = F.lower(c(text))
-    x = F.regexp_replace(x, "(?U)(?<![\\w])(a|an|the|and)(?![\\w])", " ")
-    x = F.regexp_replace(x, "(?<![0-9])\\.|\\.(?![0-9])", " ")
+    x = F.regexp_replace(x, "(?U)(?=[at])(?<![\\w])(a|an|the|and)(?![\\w])", " ")  # the first letter is looked at before its surroundings
+    x = F.regexp_replace(x, "\\.(?:(?<![0-9]\\.)|(?![0-9]))", " ")
     return squeeze(F.translate(x, marks, " " * len(marks)))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemoloom.functions.columns import norm, ordered_collect, r6
-from mnemoloom.operators import chunking, inverted_file as I, retrieval as R
+from mnemoloom.functions.columns import norm, ordered_collect, r6, words
+from mnemoloom.operators import chunking, inverted_file as I, lexical_index as LI, retrieval as R
 from mnemoloom.plans.chunking import ROUNDS
 from mnemoloom.plans.registry import query
 from mnemoloom.session import new_folder, table
@@ -157,10 +157,6 @@ INDEX = f"""d AS (SELECT doc_id AS id, {TOKENS.format('text')} AS t FROM documen
     df AS (SELECT token, count(*) AS df FROM p GROUP BY 1), q0 AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS t FROM benchmark), q AS (SELECT query_id, len(t) AS ql, unnest(t) AS token FROM q0), qt AS (SELECT query_id, ql, token, count(*) AS qtf FROM q GROUP BY ALL)"""
 
 
-def tokens(x):
-    return F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9_]+)"), F.lit(1))
-
-
 @query(f"""WITH {INDEX}, w AS (SELECT id, p.token, tf / dl * (ln((1 + n) / (1 + df)) + 1) AS w FROM p JOIN df USING (token), st), dn AS (SELECT id, sqrt(sum(w * w)) AS dn FROM w GROUP BY 1),
     qw AS (SELECT query_id, qt.token, qtf / ql * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS qw FROM qt LEFT JOIN df USING (token), st), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn, count(*) AS nt FROM qw GROUP BY 1),
     x AS (SELECT query_id, id, sum(qw * w) AS dot, count(*) AS shared FROM qw JOIN w USING (token) GROUP BY 1, 2), s AS (SELECT query_id, id AS memory_id, 0.35 * shared / nt + 0.65 * dot / (qn * dn) AS score FROM x JOIN qn USING (query_id) JOIN dn USING (id)),
@@ -176,9 +172,11 @@ def v12_bm25_topk(spark, d):
 
 
 def lexical(spark, d, how, k):
+    """Hits from a new index of all documents."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    f = R.bm25_topk if how == "bm25" else R.tfidf_topk
-    return shown(f(q, table(spark, d, "documents"), tokens, k))
+    path = LI.add_documents(spark, new_folder(spark, "lexical-index"), table(spark, d, "documents"), words)
+    search = LI.bm25_search if how == "bm25" else LI.tfidf_search
+    return shown(search(spark, path, q, words, k))
 
 
 @query(f"""WITH {INDEX}, s AS (SELECT query_id, id AS memory_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN df USING (token) JOIN p USING (token), st GROUP BY 1, 2),
@@ -187,8 +185,7 @@ def v12_bm25_tags(spark, d):
     """Twice the wanted number is fetched, and what has none of the asked tags (here sources) is left out."""
     docs = table(spark, d, "documents")
     asked = docs.where(F.col("source").isin("src1", "src2", "src3")).select(F.col("doc_id").alias("id"), F.col("source").alias("tag"))
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return shown(R.bm25_topk(q, docs, tokens, 5, tags=asked))
+    return R.with_tags(lexical(spark, d, "bm25", 10), asked, 5)
 
 
 @query(f"""WITH {S}, i AS (SELECT query_id, a.vec_id AS memory_id, max([list_cosine_similarity(q.v, b.embedding::DOUBLE[]), b.vec_id - a.vec_id]) AS b FROM q, embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 3 WHERE a.vec_id % 5 = 0 GROUP BY 1, 2),
@@ -266,13 +263,13 @@ def v19_list_by_vector(spark, d):
     SELECT memory_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, memory_id LIMIT 20""")
 def v19_list_by_bm25(spark, d):
     rows = table(spark, d, "documents").withColumnRenamed("doc_id", "memory_id")
-    return shown(R.list_memories(rows, "The ing, avec die", "text", 20, "bm25", tokens).select("memory_id", "score"))
+    return shown(R.list_memories(rows, "The ing, avec die", "text", 20, "bm25", words).select("memory_id", "score"))
 
 
 @query("SELECT doc_id AS memory_id FROM documents ORDER BY doc_id LIMIT 20")
 def v19_list_stored_order(spark, d):
     rows = table(spark, d, "documents").withColumnRenamed("doc_id", "memory_id")
-    return R.list_memories(rows, " ?! ", "text", 20, "bm25", tokens).select("memory_id")
+    return R.list_memories(rows, " ?! ", "text", 20, "bm25", words).select("memory_id")
 
 
 @query("WITH x AS (SELECT user_id AS bank, event_id AS memory_id, ts, (floor(epoch(max(ts) OVER (PARTITION BY user_id))) - floor(epoch(ts))) / 3600.0 AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY ts DESC, memory_id) AS rank FROM x) SELECT bank, memory_id, round(0.99 ** h, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3")

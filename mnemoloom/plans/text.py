@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemoloom.functions.columns import words
 from mnemoloom.operators import text as T
 from mnemoloom.plans.registry import query
 from mnemoloom.session import table
@@ -41,7 +42,7 @@ def t3_fold_unicode(spark, d):
       WHEN length(w) > 3 AND w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[:-2] ELSE w END AS v
     FROM x WHERE w NOT IN ('none', 'unknown', 'seated')""")
 def t4_normalize_attribute(spark, d):
-    w = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("w")).where(~F.col("w").isin("none", "unknown", "seated"))
+    w = docs(spark, d).select("doc_id", F.explode(F.array_distinct(words("text", "a-z"))).alias("w")).where(~F.col("w").isin("none", "unknown", "seated"))
     k, v = T.normalize_attribute(F.lit(" Coat Color "), "w")
     return w.select("doc_id", "w", k.alias("k"), v.alias("v"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import ratio
+from mnemoloom.session import stage
 
 
 def summarize(df: DataFrame, metrics: list[str], sets: list[list[str]]) -> DataFrame:
@@ -45,12 +46,62 @@ def position_accuracy(df: DataFrame, rotations: str) -> DataFrame:
     return df.select(F.explode(rotations).alias("r")).groupBy("r.position").agg(F.count("*").alias("n"), F.avg(F.col("r.correct").cast("double")).alias("accuracy"))
 
 
+#: Rank error of the sketches that bracket a quantile, as a share of the group.
+ACCURACY = 10_000
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """Interpolated quantiles of ``value`` in each group (nulls are none): (by.., a column for each name in ``shares``), exact whatever a group's size.
+
+    A mergeable sketch brackets the two order statistics that a quantile lies between; a second pass counts what is below the bracket, combined
+    before its shuffle, and the values inside it, one row for each distinct value; running counts name the two. Groups whose sketch missed are
+    done again with all their values in the bracket. Only what lies in a bracket is ever sorted: about 6 / ``accuracy`` of a group, and equal values are one row.
+    """
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    rows = df.where(F.col(value).isNotNull()).select(key.alias("k"), F.col(value).cast("double").alias("v"))
+    names, slack = list(shares), 3.0 / accuracy
+    edges = [min(1.0, max(0.0, p + d)) for p in shares.values() for d in (-slack, slack)]
+    sketch = rows.groupBy("k").agg(F.count("*").alias("n"), F.percentile_approx("v", edges, accuracy).alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
+    sketch = stage(sketch, "quantile-brackets")
+    brackets = lambda low, high: F.explode(F.array(*(F.struct(F.lit(m).alias("name"), F.lit(float(p)).alias("p"), low(i).alias("low"), high(i).alias("high")) for i, (m, p) in enumerate(shares.items()))))
+    asked = sketch.select("k", "n", brackets(lambda i: F.col("e")[2 * i], lambda i: F.col("e")[2 * i + 1]).alias("b")).select("k", "n", "b.*")
+
+    def settled(asked: DataFrame) -> DataFrame:
+        met = rows.join(asked.select("k", "name", "low", "high"), "k")
+        below = met.groupBy("k", "name").agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
+        inside = met.where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).groupBy("k", "name", "v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("k", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        placed = inside.withColumn("upto", upto).join(asked.select("k", "name", "n", "p"), ["k", "name"]).join(below, ["k", "name"])
+        at = F.col("p") * (F.col("n") - 1)
+        holds = lambda rank: F.when((F.col("below") + F.col("upto") > rank) & (F.col("below") + F.col("upto") - F.col("c") <= rank), F.col("v"))
+        found = placed.groupBy("k", "name").agg(F.max(holds(F.floor(at))).alias("x"), F.max(holds(F.ceil(at))).alias("y"), F.first(at - F.floor(at)).alias("part"))
+        return found.select("k", "name", (F.col("x") + F.col("part") * (F.col("y") - F.col("x"))).alias("q"))
+
+    done = stage(settled(asked), "quantiles")
+    missed = asked.select("k", "name").join(done.where("q is not null"), ["k", "name"], "left_anti")
+    if not missed.isEmpty():
+        whole = sketch.select("k", "n", brackets(lambda i: F.col("least"), lambda i: F.col("most")).alias("b")).select("k", "n", "b.*").join(missed, ["k", "name"], "left_semi")
+        done = done.where("q is not null").unionByName(settled(whole))
+    wide = done.groupBy("k").agg(*(F.max(F.when(F.col("name") == m, F.col("q"))).alias(m) for m in names))
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    return groups.withColumn("k", F.to_json(F.struct(*by)) if by else F.lit("")).join(wide, "k", "left").drop("k")
+
+
+def _with_quantiles(means: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFrame:
+    """Joined on keys that may be null."""
+    x, y = means.alias("x"), quantiles.alias("y")
+    if not by:
+        return x.crossJoin(y)
+    return x.join(y, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]).drop(*(F.col(f"y.{c}") for c in by))
+
+
 def describe_metrics(df: DataFrame, metrics: list[str], by: list[str], ddof: int = 0) -> DataFrame:
     """Mean, deviation, least, largest and median of each metric; a single value deviates by 0."""
     pairs = ", ".join(f"'{m}', `{m}`" for m in metrics)
     x = df.select(*by, F.expr(f"stack({len(metrics)}, {pairs}) as (metric, value)"))
     std = F.stddev_pop("value") if ddof == 0 else F.coalesce(F.stddev_samp("value"), F.lit(0.0))
-    return x.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), std.alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.lit(0.5)).alias("median"))
+    means = x.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), std.alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return _with_quantiles(means, exact_quantiles(x, [*by, "metric"], "value", {"median": 0.5}), [*by, "metric"])
 
 
 def compare_methods(df: DataFrame, method: str, metrics: list[str]) -> DataFrame:
@@ -81,14 +132,16 @@ def merge_judge(metrics: DataFrame, judge: DataFrame, by: str) -> DataFrame:
 
 def size_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Counts, failures (null values), mean, deviation, median and interpolated 95th percentile; groups without a value stay."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("failed"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    means = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("failed"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return _with_quantiles(means, exact_quantiles(df, by, value, {"median": 0.5, "p95": 0.95}), by)
 
 
 def compare_sizes(items: DataFrame, parts: DataFrame, by: str) -> DataFrame:
     """Totals and means of item sizes against the sums of their parts: items (item, size, by), parts (item, size)."""
     p = parts.groupBy("item").agg(F.sum("size").alias("parts"), F.count("*").alias("n_parts"))
     x = items.join(p, "item", "left").withColumn("delta", F.col("parts") - F.col("size"))
-    return x.groupBy(by).agg(F.count("*").alias("n"), F.count("parts").alias("matched"), F.sum("size").alias("items_total"), F.sum("parts").alias("parts_total"), F.avg("delta").alias("mean_delta"), F.percentile("delta", F.lit(0.5)).alias("median_delta"), ratio(100.0 * (F.sum("size") - F.sum("parts")), F.sum("size")).alias("saving_percent"))
+    sums = x.groupBy(by).agg(F.count("*").alias("n"), F.count("parts").alias("matched"), F.sum("size").alias("items_total"), F.sum("parts").alias("parts_total"), F.avg("delta").alias("mean_delta"), ratio(100.0 * (F.sum("size") - F.sum("parts")), F.sum("size")).alias("saving_percent"))
+    return _with_quantiles(sums, exact_quantiles(x, [by], "delta", {"median_delta": 0.5}), [by])
 
 
 def token_cost(calls: DataFrame, by: str, price_in: float, price_out: float) -> DataFrame:

@@ -164,13 +164,13 @@ def g16_search_entities(spark, d):
     return G.search_entities(n, "00", "BUILDING").select("name", "mentions")
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id AS source, user_id + 1 + event_id % 3 AS target, 3.0 AS weight FROM events), d AS (SELECT event_id % 150 AS node, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN -0.5 ELSE 0.1 END AS delta FROM events WHERE event_id % 10 = 0),
+@query("""WITH e AS (SELECT DISTINCT user_id AS source, user_id + 1 + event_id % 3 AS target, 3.0 AS weight FROM events), d AS (SELECT event_id % 150 AS node, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN -0.5 ELSE 0.1 END AS delta FROM events),
     s AS (SELECT source, target, weight, seq, sum(2 * delta) AS d FROM e JOIN d ON node = source OR node = target GROUP BY 1, 2, 3, 4), r AS (SELECT *, weight + sum(d) OVER (PARTITION BY source, target ORDER BY seq) AS now FROM s), z AS (SELECT source, target, min(now) AS low, arg_max(now, seq) AS last FROM r GROUP BY 1, 2)
     SELECT source, target, round(coalesce(last, weight), 6)::DOUBLE AS weight FROM e LEFT JOIN z USING (source, target) WHERE low IS NULL OR low > 0""")
 def g17_weight_deltas(spark, d):
     ev = table(spark, d, "events")
     e = ev.select(F.col("user_id").alias("source"), (F.col("user_id") + 1 + F.col("event_id") % 3).alias("target"), F.lit("3.0").cast("decimal(20,1)").alias("weight")).distinct()
-    deltas = ev.where("event_id % 10 = 0").select((F.col("event_id") % 150).alias("node"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, F.lit("-0.5")).otherwise(F.lit("0.1")).cast("decimal(20,1)").alias("delta"))
+    deltas = ev.select((F.col("event_id") % 150).alias("node"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, F.lit("-0.5")).otherwise(F.lit("0.1")).cast("decimal(20,1)").alias("delta"))
     return G.apply_weight_deltas(e, deltas).withColumn("weight", F.col("weight").cast("double"))
 
 

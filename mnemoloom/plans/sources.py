@@ -172,10 +172,19 @@ def d2_split_summary(spark, d):
     return D.split_summary(m, m.where("question_id % 9 = 0").select("question_id"))
 
 
-@query(f"WITH {MANIFEST} SELECT o_orderkey AS question_id, split, o_orderstatus FROM orders JOIN m ON question_id = o_orderkey WHERE o_orderkey % 7 > 0")
+@query(f"WITH {MANIFEST} SELECT o_orderkey AS question_id, split, o_orderstatus FROM orders JOIN m ON question_id = o_orderkey")
 def d3_materialize_splits(spark, d):
-    q = table(spark, d, "orders").where("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("question_id"), "o_orderstatus")
-    return D.materialize_splits(q, manifest(spark, d))[0].select("question_id", "split", "o_orderstatus")
+    return D.materialize_splits(order_questions(spark, d), manifest(spark, d))[0].select("question_id", "split", "o_orderstatus")
+
+
+def order_questions(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("question_id"), "o_orderstatus")
+
+
+@query(f"WITH {MANIFEST}, s AS (SELECT question_id + 1 AS question_id FROM m), o AS (SELECT o_orderkey AS question_id FROM orders) SELECT *, 'extra' AS side FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM s) UNION ALL SELECT *, 'missing' FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM o)")
+def d3_split_errors(spark, d):
+    """A manifest whose ids are all off by one, against all orders: what either side lacks."""
+    return D.materialize_splits(order_questions(spark, d), manifest(spark, d).withColumn("question_id", F.col("question_id") + 1))[1]
 
 
 @query(f"WITH {MANIFEST} SELECT split, conversation_id, question_id, (row_number() OVER (PARTITION BY split, conversation_id ORDER BY question_id) - 1)::INT AS ordinal FROM m")

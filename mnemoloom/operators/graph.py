@@ -347,14 +347,18 @@ def concept_match(queries: DataFrame, nodes: DataFrame, min_overlap: float = 0.0
 def similarity_links(vectors: DataFrame, a: float, b: float, k: int, low: float, by: str) -> DataFrame:
     """Per memory its ``k`` best others of a * cosine (above 0) + b * text ratio, at least ``low``; the ratio is 1 - edit distance / longer length.
 
-    As no ratio is above 1, only pairs with a cosine of (low - b) / a at least can reach ``low``, and only their texts are compared.
+    As no ratio is above 1, only pairs with a cosine of (low - b) / a at least can reach ``low``. Of these, a pair's cosine leaves it so many edits; pairs whose
+    lengths differ by more are dropped, and the others' texts are compared in a band of that width.
     """
     pairs = similarity_join(vectors.select("memory_id", "vector", by), max(1e-9, (low - b) / a - 1e-9), by)
     two = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     text = vectors.select("memory_id", "text")
     x = two.join(text.select(F.col("memory_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("memory_id").alias("b"), F.col("text").alias("tb")), "b")
-    ratio = 1 - F.levenshtein("ta", "tb") / F.greatest(F.length("ta"), F.length("tb"), F.lit(1))
-    x = x.select(F.col("a").alias("source"), F.col("b").alias("target"), (a * F.col("score") + b * ratio).alias("weight")).where(F.col("weight") >= low)
+    longer = F.greatest(F.length("ta"), F.length("tb"), F.lit(1))
+    edits = F.floor(longer * (1 - (low - a * F.col("score")) / b) + 1e-6).cast("int") if b > 0 else longer
+    x = x.withColumn("edits", F.least(edits, longer)).where((F.col("edits") >= 0) & (F.abs(F.length("ta") - F.length("tb")) <= F.col("edits")))
+    x = x.withColumn("distance", F.call_function("levenshtein", F.col("ta"), F.col("tb"), F.col("edits"))).where("distance >= 0")
+    x = x.select(F.col("a").alias("source"), F.col("b").alias("target"), (a * F.col("score") + b * (1 - F.col("distance") / longer)).alias("weight")).where(F.col("weight") >= low)
     return rank_top(x, ["source"], k, F.desc("weight"), F.asc("target"))
 
 

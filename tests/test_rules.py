@@ -432,6 +432,30 @@ def test_novelty_and_clusters_by_the_rules(spark):
     assert {tuple(r) for r in X.online_clusters(df, 0.5, 900.0).select("source", "seq", "cluster").collect()} == want
 
 
+@pytest.mark.parametrize("a,b,low", [(0.7, 0.3, 0.4), (0.4, 0.6, 0.5), (0.2, 0.8, 0.9)])
+def test_similarity_links_by_the_rule(spark, a, b, low):
+    """Also where every positive cosine may do, and where the texts decide."""
+    rng = random.Random(int(10 * a))
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 2, "".join(rng.choices("abc", k=rng.choice([0, 2, 6, 9])))) for i in range(40)]
+    cosine = lambda u, v: sum(x * y for x, y in zip(u, v)) / sum(x * x for x in u) ** 0.5 / sum(y * y for y in v) ** 0.5
+
+    def distance(s, t):
+        row = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = set()
+    for i, v, label, text in rows:
+        found = [(a * cosine(v, w) + b * (1 - distance(text, t) / max(len(text), len(t), 1)), j) for j, w, other, t in rows if j != i and other == label and cosine(v, w) > 1e-9]
+        want |= {(i, j, round(s, 6)) for s, j in sorted((x for x in found if x[0] >= low), key=lambda x: (-x[0], x[1]))[:3]}
+    got = G.similarity_links(spark.createDataFrame(rows, "memory_id long, vector array<double>, label int, text string"), a, b, 3, low, "label")
+    assert {(r.source, r.target, round(r.weight, 6)) for r in got.collect()} == want and want
+
+
 def test_drop_redundant_by_the_rule(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(30, 3))

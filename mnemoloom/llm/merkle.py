@@ -10,14 +10,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from mnemoloom.operators.segments import numbered
 from mnemoloom.session import stage
 
 #: Children of a node, and levels between two stored ones.
@@ -41,39 +38,6 @@ def leaf_digest(fields: list[Column]) -> Column:
     return F.sha2(F.encode(F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)), "UTF-8"), 256)
 
 
-def numbered(rows: DataFrame, order: list[str | Column]) -> DataFrame:
-    """``rows`` with ``idx``, their number within their ``key`` (a string, not null) in ``order``, whatever the size of a key.
-
-    Rows are range-partitioned by key and order and counted within their partition; a key that goes on from earlier partitions is found from
-    one count a partition, which is all that is broadcast: at most one row a partition.
-    """
-
-    def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, held = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            key = batch.column("key")
-            at = np.arange(n)
-            heads = np.append(key[0].as_py() != last, np.asarray(pc.not_equal(key.slice(1), key.slice(0, n - 1)), bool))
-            head = np.maximum.accumulate(np.where(heads, at, -1))
-            rank = np.where(head >= 0, at - head, at + held)
-            last, held = key[n - 1].as_py(), int(rank[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(rank.astype(np.int64))], names=[*batch.schema.names, "part", "rank"])
-
-    schema = StructType([*rows.schema.fields, StructField("part", IntegerType()), StructField("rank", LongType())])
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = ["key", *order, "salt"]  # rows alike in all else are dealt by their place in the stored table
-    salted = rows.withColumn("salt", F.monotonically_increasing_id())
-    dealt = salted.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("salt")
-    table = stage(dealt.mapInArrow(ranked, schema), "merkle-ranked")
-    counts = table.groupBy("key", "part").agg((F.max("rank") + 1).alias("n"))
-    before = counts.selectExpr("key", "part", "sum(n) over (partition by key order by part rows between unbounded preceding and 1 preceding) as before").where("before > 0")
-    met = table.join(F.broadcast(before), ["key", "part"], "left")
-    return met.withColumn("idx", F.col("rank") + F.coalesce("before", F.lit(0))).drop("part", "rank", "before")
-
-
 def subtrees(nodes: DataFrame, width: int, columns: list[str]) -> DataFrame:
     """One stored row for each aligned subtree: its nodes' ``columns`` as arrays, in order; ``width`` nodes at most."""
     inner = F.struct((F.col("idx") % width).alias("slot"), *columns)
@@ -180,13 +144,13 @@ def merkle_proofs(docs: DataFrame, candidate: Column | None = None, id_col: str
     key = F.coalesce(F.concat(F.lit("+"), F.col(group_col).cast("string")), F.lit(""))
     given = own if candidate is None else candidate
     rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), leaf_digest([*fields, own]).alias("digest"), F.when(~given.eqNullSafe(own), leaf_digest([*fields, given])).alias("proved"))
-    leaves = numbered(stage(rows, "merkle-leaves"), ["doc_id", "digest", "proved"])
+    leaves = numbered(stage(rows, "merkle-leaves"), "key", ["doc_id", "digest", "proved"])
     levels, above = forest(leaves, ["doc_id", "proved"], width)
     subroots = above[0].where("top")
     for nodes in above[1:]:
         subroots = subroots.unionByName(nodes.where("top"))
     named = stage(subroots.select(F.lit("").alias("key"), F.col("key").alias("name"), "digest"), "merkle-subroots")
-    over, over_above = forest(numbered(named, ["name"]), ["name"], width)
+    over, over_above = forest(numbered(named, "key", ["name"]), ["name"], width)
     nothing = F.array().cast("array<struct<left: string, right: string>>")
     root = over_above[-1].where("top").select("key", F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"), nothing.alias("path"))
     above_groups = paths(over, over_above, root, width)

@@ -112,6 +112,6 @@ def finished(rows: DataFrame, finish: Callable, start, schema: str) -> DataFrame
             return pd.DataFrame(columns=names)
         pdf = pdf.sort_values("idx").reset_index(drop=True)
         state = pdf["state"].iloc[0] if "state" in pdf else None
-        return finish(pdf, start if state is None else json.loads(state))
+        return finish(pdf, start if pd.isna(state) else json.loads(state))
 
     return rows.groupBy("k", "seg").applyInPandas(work, schema)

@@ -122,7 +122,7 @@ def c13_linearize_rows(spark, d):
     ranges AS (SELECT event_id AS range_id, user_id AS key, s - 3600 AS start, s + 3600 AS stop FROM e WHERE event_type = 'purchase')
     SELECT range_id, count(*) AS n_cues, string_agg(text, ' ' ORDER BY c.start, cue_id) AS text FROM cues c JOIN ranges r ON c.key = r.key AND c.start <= r.stop AND c.stop >= r.start GROUP BY 1""")
 def c14_slice_transcript(spark, d):
-    e = table(spark, d, "events").withColumn("s", F.unix_timestamp("ts"))
+    e = table(spark, d, "events").withColumn("s", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))  # the nearest second, as in the SQL
     cues = e.select(F.col("event_id").alias("cue_id"), F.col("user_id").alias("key"), F.col("s").alias("start"), (F.col("s") + 1800).alias("stop"), F.concat(F.lit("<v>"), "event_type", F.lit("</v>")).alias("text"))
     ranges = e.where("event_type = 'purchase'").select(F.col("event_id").alias("range_id"), F.col("user_id").alias("key"), (F.col("s") - 3600).alias("start"), (F.col("s") + 3600).alias("stop"))
     return C.slice_transcript(cues, ranges, 7200)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemoloom.functions.columns import c
+from mnemoloom.operators.segments import numbered
 
 CONVERSATION = """character_profile struct<name:string,persona_summary:string>, multi_session_dialogues array<struct<session_id:string,date:string,
     dialogues:array<struct<round:string,user:string,assistant:string,input_image:array<string>,image_id:array<string>,image_caption:array<string>>>>>"""
@@ -122,21 +123,11 @@ def write_report(df: DataFrame, path: str, fmt: str) -> None:
 def read_split(df: DataFrame, n: int, i: int, key: str) -> DataFrame:
     """Contiguous split ``i`` of ``n`` in key order, ceil(N / n) rows each.
 
-    Rows are numbered without one big sort in a task: counts of range partitions give each its offset.
+    Rows are numbered once and stored with their number: range partitions are drawn from a sample, so a second run would deal rows otherwise than the first.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").count().orderBy("_part").collect()  # a row per partition
-    offsets, total = [], 0
-    for r in counts:
-        offsets.append((r["_part"], total))
-        total += r["count"]
-    size = max(1, -(-total // n))
-    start = F.create_map(*(F.lit(x) for pair in offsets for x in pair)) if offsets else F.create_map().cast("map<int,int>")
-    w = Window.partitionBy("_part").orderBy(key)
-    place = F.row_number().over(w) - 1 + F.coalesce(F.try_element_at(start, F.col("_part")), F.lit(0))
-    return dealt.withColumn("_place", place).where(F.floor(F.col("_place") / size) == i).drop("_part", "_place")
+    table = numbered(df.select(F.lit(0).alias("_all"), F.struct("*").alias("_row")), "_all", [F.col(f"_row.{key}")])
+    size = table.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / n)).alias("_size"))
+    return table.join(F.broadcast(size)).where(F.floor(F.col("idx") / F.col("_size")) == i).select("_row.*")
 
 
 def with_query_id(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
 from mnemoloom.plans import ORACLES, QUERIES
 from mnemoloom.sources import tables as S
@@ -24,3 +25,11 @@ def test_transcript_cues_by_nearest_second(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got, want = against_sql(spark, tmp_path, "c14_slice_transcript", "events")
     assert got == want
+
+
+def test_read_split_deals_every_row_once(spark):
+    rows = spark.range(0, 30_000, 1, 6).select(F.xxhash64("id").alias("key"), F.col("id").alias("v.x"))
+    parts = [[r["key"] for r in S.read_split(rows, 7, i, "key").collect()] for i in range(7)]
+    assert [len(p) for p in parts] == [4286] * 6 + [4284]
+    assert [k for p in parts for k in sorted(p)] == sorted(r["key"] for r in rows.collect())
+    assert S.read_split(rows.limit(0), 7, 0, "key").count() == 0

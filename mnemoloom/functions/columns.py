@@ -61,3 +61,9 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def r6(x: Column | str) -> Column:
     return F.round(c(x), 6)
+
+
+def rounded(x: Column | str, digits: int = 6) -> Column:
+    """A double rounded as DuckDB rounds it: half away from zero of the product with the power of ten, where ``round`` goes by the shortest decimal."""
+    scale = F.lit(10.0**digits)
+    return F.round(c(x) * scale) / scale

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemoloom.functions.columns import norm, ordered_collect, r6, words
+from mnemoloom.functions.columns import norm, ordered_collect, r6, rounded, words
 from mnemoloom.operators import chunking, inverted_file as I, lexical_index as LI, retrieval as R
 from mnemoloom.plans.chunking import ROUNDS
 from mnemoloom.plans.registry import query
@@ -333,7 +333,7 @@ def v27_fuse_vectors(spark, d):
     e = table(spark, d, "embeddings")
     s = e.select((F.col("vec_id") - 3).alias("vec_id"), F.col("embedding").alias("script"))
     x = e.join(s, "vec_id", "left")
-    return x.select("vec_id", F.transform(R.fuse_vectors(F.col("script").cast("array<double>"), F.col("embedding").cast("array<double>"), 0.3), lambda v: F.round(v, 6)).alias("fused"))
+    return x.select("vec_id", F.transform(R.fuse_vectors(F.col("script").cast("array<double>"), F.col("embedding").cast("array<double>"), 0.3), lambda v: rounded(v)).alias("fused"))
 
 
 @query("SELECT event_id, [['text', 'image'], ['no'], ['table'], ['no'], ['clip', 'text']][event_id % 5 + 1] AS routes FROM events")

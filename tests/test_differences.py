@@ -5,6 +5,7 @@ import datetime
 import duckdb
 from pyspark.sql import functions as F
 
+from mnemoloom.functions.columns import rounded
 from mnemoloom.plans import ORACLES, QUERIES
 from mnemoloom.sources import tables as S
 
@@ -33,3 +34,17 @@ def test_read_split_deals_every_row_once(spark):
     assert [len(p) for p in parts] == [4286] * 6 + [4284]
     assert [k for p in parts for k in sorted(p)] == sorted(r["key"] for r in rows.collect())
     assert S.read_split(rows.limit(0), 7, 0, "key").count() == 0
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    values = [0.0640625, 0.5e-6, -0.5e-6, 1.0000005, -2.5e-6, 0.0, 1e300, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["v"] for r in rows.select("i", rounded("v").alias("v")).orderBy("i").collect()]
+    assert got == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_fused_vectors_round_as_the_sql(spark, tmp_path):
+    rows = [(0, [0.1293468326330185] * 64), (3, [-0.08826760947704315] * 64)]  # fused: 0.0640625 as a decimal, just below half a unit as a product
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = against_sql(spark, tmp_path, "v27_fuse_vectors", "embeddings")
+    assert got == want

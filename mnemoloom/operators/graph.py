@@ -380,9 +380,14 @@ def succession_edges(df: DataFrame, tau: float = 3600.0, clamp: tuple[float, flo
 
 def concept_edges(concepts: DataFrame, m: int) -> DataFrame:
     """Edges to earlier nodes with at least ``m`` common concepts, weight shared / larger set: concepts (bank, node, concept), distinct."""
-    sizes = concepts.groupBy("bank", "node").agg(F.count("*").alias("size"))
-    x = concepts.join(sizes, ["bank", "node"])
-    a, b = x.alias("a"), x.alias("b")
-    on = (F.col("a.bank") == F.col("b.bank")) & (F.col("a.concept") == F.col("b.concept")) & (F.col("a.node") < F.col("b.node"))
-    got = a.join(b, on).groupBy(F.col("a.bank").alias("bank"), F.col("b.node").alias("source"), F.col("a.node").alias("target"), F.greatest("a.size", "b.size").alias("size")).agg(F.count("*").alias("k"))
-    return got.where(F.col("k") >= m).select("bank", "source", "target", (F.col("k") / F.col("size")).alias("weight"))
+    rows = concepts.where("node is not null and concept is not null").groupBy("bank", F.col("node").alias("id")).agg(F.collect_list("concept").alias("items"))
+
+    def find(ids: np.ndarray, own: tuple, others: np.ndarray, theirs: tuple, met: bool) -> list:
+        k = counts(own, theirs)
+        keep = k >= max(m, 1)
+        j, i = np.nonzero(keep & (ids[None, :] < others[:, None]) if met else keep)
+        a, b = ids[i], others[j]
+        return [np.maximum(a, b), np.minimum(a, b), k[j, i] / np.maximum(own[1][i], theirs[1][j])]
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return pairs_in_blocks(rows, ["bank"], by_item, find, f"source {kind}, target {kind}, weight double")

@@ -172,11 +172,22 @@ def temporal_chain(memories: DataFrame) -> DataFrame:
 def rare_pairs(buckets: DataFrame, totals: DataFrame, df_max: float = 0.3, df_stop: float = 0.5, min_shared: int = 2) -> DataFrame:
     """Pairs sharing buckets of share at most ``df_stop``, if the rarest is at most ``df_max`` or ``min_shared`` are shared: buckets (bank, memory_id, bucket), totals (bank, n)."""
     share = buckets.distinct().groupBy("bank", "bucket").agg(F.count("*").alias("k")).join(totals, "bank").select("bank", "bucket", (F.col("k") / F.col("n")).alias("df"), "k").where((F.col("df") <= df_stop) & (F.col("k") > 1))
-    x = buckets.distinct().join(share, ["bank", "bucket"])
-    a, b = x.alias("a"), x.alias("b")
-    pairs = a.join(b, (F.col("a.bank") == F.col("b.bank")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.memory_id") < F.col("b.memory_id")))
-    best = pairs.groupBy(F.col("a.bank").alias("bank"), F.col("a.memory_id").alias("source"), F.col("b.memory_id").alias("target")).agg(F.min("a.df").alias("df"), F.count("*").alias("shared"))
-    return best.where((F.col("df") <= df_max) | (F.col("shared") >= min_shared))
+    x = buckets.distinct().where("memory_id is not null").join(share, ["bank", "bucket"])
+    rows = x.groupBy("bank", F.col("memory_id").alias("id")).agg(F.collect_list(F.struct(F.col("bucket").alias("item"), F.col("df").alias("value"), F.lit(1).alias("kind"))).alias("items"))
+
+    def find(ids: np.ndarray, own: tuple, others: np.ndarray, theirs: tuple, met: bool) -> list:
+        least, n = np.full((theirs[0], own[0]), np.inf), np.zeros((theirs[0], own[0]), np.int32)
+        for item in sorted(own[1].keys() & theirs[1].keys(), key=lambda x: -own[1][x][0]):  # the rarest last, which stays
+            at = np.ix_(theirs[1][item][1], own[1][item][1])
+            least[at] = own[1][item][0]
+            n[at] += 1
+        keep = (n > 0) & ((least <= df_max) | (n >= min_shared))
+        j, i = np.nonzero(keep & (ids[None, :] < others[:, None]) if met else keep)
+        a, b = ids[i], others[j]
+        return [np.minimum(a, b), np.maximum(a, b), least[j, i], n[j, i].astype(np.int64)]
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return pairs_in_blocks(rows, ["bank"], by_side, find, f"source {kind}, target {kind}, df double, shared long")
 
 
 def relation_candidates(memories: DataFrame, extra: DataFrame, window: int = 1) -> DataFrame:

@@ -11,7 +11,7 @@ from mnemoloom.functions.columns import cosine, ordered_collect, rank_top
 from mnemoloom.operators.components import connected_components
 from mnemoloom.operators.pairs import BLOCK, by_item, by_side, counts, greedy_graphs, pairs_in_blocks, side_pairs
 from mnemoloom.operators.retrieval import similarity_join
-from mnemoloom.session import checkpoint
+from mnemoloom.session import checkpoint, stage
 
 PAIR = ["bank", "source", "target"]
 LINK_ROWS = 4_096
@@ -283,17 +283,23 @@ def apply_weight_deltas(edges: DataFrame, deltas: DataFrame, factor: int = 2) ->
 
 def drop_redundant(edges: DataFrame, vectors: DataFrame, t: float = 0.9, rounds: int = 10) -> DataFrame:
     """Of two neighbours of one entity that are more similar than ``t``, the one with the lower weight (on ties the later) goes; repeated until nothing changes."""
-    v = vectors.select(F.col("memory_id").alias("target"), "vector")
-    now = checkpoint(edges.join(v, "target"))
+    near = edges.select("source", "target").distinct().join(vectors.where("vector is not null and not exists(vector, x -> x is null)").select(F.col("memory_id").alias("target"), "vector"), "target")
+    # cosines are found in blocks, with room for how the product rounds, and judged one by one
+    found = similarity_join(near.select("source", F.col("target").alias("memory_id"), "vector"), t - 1e-6, "source", keep_by=True)
+    v = vectors.select("memory_id", "vector")
+    sure = found.where(F.abs(F.col("score") - t) > 1e-6).where(F.col("score") > t).select("source", "a", "b")
+    open_ = found.where(F.abs(F.col("score") - t) <= 1e-6).join(v.select(F.col("memory_id").alias("a"), F.col("vector").alias("va")), "a").join(v.select(F.col("memory_id").alias("b"), F.col("vector").alias("vb")), "b")
+    pairs = stage(sure.unionByName(open_.where(cosine(F.col("va"), F.col("vb")) > t).select("source", "a", "b")), "redundant")
+    now = checkpoint(edges.join(vectors.select(F.col("memory_id").alias("target")), "target"))
     for _ in range(rounds):
-        a, b = now.alias("a"), now.alias("b")
-        better = (F.col("a.weight") > F.col("b.weight")) | ((F.col("a.weight") == F.col("b.weight")) & (F.col("a.target") < F.col("b.target")))
-        worse = a.join(b, (F.col("a.source") == F.col("b.source")) & better & (cosine(F.col("a.vector"), F.col("b.vector")) > t)).select("b.source", "b.target").distinct()
+        a, b = (now.select("source", F.col("target").alias(x), F.col("weight").alias(f"w{x}")) for x in "ab")
+        met = pairs.join(a, ["source", "a"]).join(b, ["source", "b"])
+        worse = met.select("source", F.when((F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))), F.col("b")).when(F.col("wb") > F.col("wa"), F.col("a")).alias("target")).where("target is not null").distinct()
         kept = checkpoint(now.join(worse, ["source", "target"], "left_anti"))
         if kept.count() == now.count():
             break
         now = kept
-    return now.drop("vector")
+    return now
 
 
 def graph_as_of(nodes: DataFrame, edges: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:

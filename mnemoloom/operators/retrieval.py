@@ -179,8 +179,8 @@ def random_append(hits: DataFrame, memories: DataFrame, m: int, seed: str) -> Da
     return rank_top(pool.select("query_id", "bank", "memory_id", "step"), ["query_id"], m, F.asc("step")).drop("step")
 
 
-def similarity_join(vectors: DataFrame, t: float, by: str) -> DataFrame:
-    """Pairs (a, b, score), a < b, with cosine >= t inside equal ``by`` blocks, as a blocked matrix product."""
+def similarity_join(vectors: DataFrame, t: float, by: str, keep_by: bool = False) -> DataFrame:
+    """Pairs (a, b, score), a < b, with cosine >= t inside equal ``by`` blocks, as a blocked matrix product; with ``keep_by`` also the block's ``by``."""
     n = vectors.count()
     parts = max(1, -(-n // BLOCK_ROWS))
     side = vectors.select(by, F.col("memory_id").alias("id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
@@ -202,7 +202,14 @@ def similarity_join(vectors: DataFrame, t: float, by: str) -> DataFrame:
             out.append(pd.DataFrame({"a": np.minimum(u, v)[keep], "b": np.maximum(u, v)[keep], "score": s[i, j][keep]}))
         return pd.concat(out)
 
-    return left.groupBy(by, "p", "q").cogroup(right.groupBy(by, "p", "q")).applyInPandas(pairs, "a long, b long, score double")
+    def named(keys: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = pairs(a, b)
+        return found.assign(**{by: pd.Series([keys[0]] * len(found), found.index, dtype=object)})
+
+    met = left.groupBy(by, "p", "q").cogroup(right.groupBy(by, "p", "q"))
+    if keep_by:
+        return met.applyInPandas(named, f"a long, b long, score double, {by} {vectors.schema[by].dataType.simpleString()}")
+    return met.applyInPandas(pairs, "a long, b long, score double")
 
 
 def multivector_topk(queries: DataFrame, vectors: DataFrame, k: int, mode: str = "max") -> DataFrame:

@@ -56,3 +56,15 @@ def test_pairs_are_not_shuffled(spark, sf_dir, name):
 def test_capped_graphs_make_no_pairs(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert 0 <= plan.find("FlatMapGroupsInArrow") < plan.find("Exchange")
+
+
+def test_redundant_neighbours_are_found_in_blocks(spark):
+    edges = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (1, 3, 9), (2, 2, 1), (2, 4, 3), (2, 5, 2)], "source long, target long, weight long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [3.0, 4.0]), (5, None)], "memory_id long, vector array<double>")
+    with_joins = []
+    plain, G.similarity_join = G.similarity_join, lambda *a, **k: with_joins.append(k) or plain(*a, **k)
+    try:
+        got = G.drop_redundant(edges, vectors, 0.6)  # the cosine of 2 and 4 is 0.6, which is not above
+    finally:
+        G.similarity_join = plain
+    assert sorted(tuple(r) for r in got.select("source", "target").collect()) == [(1, 1), (1, 3), (2, 2), (2, 4), (2, 5)] and with_joins

@@ -48,3 +48,15 @@ def test_fused_vectors_round_as_the_sql(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = against_sql(spark, tmp_path, "v27_fuse_vectors", "embeddings")
     assert got == want
+
+
+def test_answers_meet_only_where_the_next_text_is_gold(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["The cat and a dog", None, "one two", "", "an A. the", "x " * 30, "y z " * 9, "end"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from mnemoloom.plans.metrics import answers
+
+    plan = answers(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.find("Union") < plan.find("Join")
+    for name in ("m1_token_f1", "m2_exact_match", "m5_set_prf"):
+        got, want = against_sql(spark, tmp_path, name, "documents")
+        assert got == want

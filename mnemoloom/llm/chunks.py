@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mnemoloom.llm.common import arrays, bits, merged_spans, run_texts, slices, text_runs, unzipped, whole_buckets, without, zipped
+from mnemoloom.llm.common import arrays, bits, merged_spans, rows_of, run_texts, slices, text_runs, unzipped, whole_buckets, without, zipped
 
 GEAR = np.random.default_rng(20_24).integers(0, 1 << 32, 256, np.uint32)
 
@@ -135,7 +135,7 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
 
     def cast(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 _, owner, keys = _cut(row["ids"], run_texts(row), n)
                 keys, least, _ = _distinct(np.array([i or 0 for i in row["ids"]], np.int64)[owner], keys)
                 out: list[list] = [[] for _ in VOTES]
@@ -147,7 +147,7 @@ def dedup_substrings(docs: DataFrame, min_run: int = 128, id_col: str = "doc_id"
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slim = batch.select(["ids", "sizes", "size", "z", "answers"])
-            for number, row in enumerate(slim.to_pylist()):
+            for number, row in enumerate(rows_of(slim)):
                 texts = run_texts(row)
                 ends, owner, keys = _cut(row["ids"], texts, n)
                 own = np.array([i or 0 for i in row["ids"]], np.int64)[owner]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from mnemoloom.session import stage
+from mnemoloom.session import TEXT_BATCH, stage
 
 #: Texts are worked on in runs of about so many bytes, whatever the Arrow batch holds.
 RUN_BYTES = 4 << 20
@@ -114,7 +114,13 @@ def text_runs(docs: DataFrame, label: str, id_col: str, text_col: str, carried:
         if held:
             yield row()
 
-    return stage(rows.mapInArrow(gather, schema), label), buckets
+    return stage(rows.mapInArrow(gather, schema), label, TEXT_BATCH), buckets
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows one by one, for rows of megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
 
 def run_texts(row: dict) -> list[bytes]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from mnemoloom.llm.common import arrays, blobs, dealt, runs, whole_buckets
 from mnemoloom.operators.components import connected_components
-from mnemoloom.session import stage
+from mnemoloom.session import TEXT_BATCH, stage
 
 #: Cells of the frequency sketch that orders shingles; its size bounds what is collected and broadcast.
 CELLS = 1 << 20
@@ -285,13 +285,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     equi-joins that AQE can split. The only thing broadcast is the frequency sketch of CELLS bytes.
     """
     texts = _texts(docs, id_col, text_col)
-    survey = stage(_survey(texts, words), "jaccard-survey")
+    survey = stage(_survey(texts, words), "jaccard-survey", TEXT_BATCH)
     each = survey.where("cell is null").select("doc_id", "text_hash", "n", "digest")
     sets = each.where("doc_id is not null and n > 0")
     # A class is known by a number of its own (below it is the doc_id of nodes, members and pairs) and by one row, its least (doc_id, text_hash).
     classes = stage(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("digest", "r.*", F.monotonically_increasing_id().alias("class")), "jaccard-classes")
     row = ["doc_id", "text_hash"]
-    prefixes = stage(_prefixes(texts, words, percent, _levels(survey)), "jaccard-prefixes")
+    prefixes = stage(_prefixes(texts, words, percent, _levels(survey)), "jaccard-prefixes", TEXT_BATCH)
     made = prefixes.select(*row, "n", "key").join(classes.select(*row, "class"), row).dropDuplicates(row)
     groups = made.groupBy("n", "key").agg(F.min("class").alias("gid"))
     assigned = made.join(groups, ["n", "key"]).select("gid", "class", *row)
@@ -309,8 +309,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     nearest = star_pairs.unionByName(own).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
     in_reach = shared.select("gid").distinct().unionByName(members.where("gid <> doc_id").select("gid").distinct()).distinct()
     asked = classes.join(members.join(in_reach, "gid", "left_semi").select(F.col("doc_id").alias("class")), "class", "left_semi").select(*row, "class")
-    near = stage(_zipped(texts).join(asked, row).dropDuplicates(row).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-texts")
-    links = stage(_verified(stage(nearest, "jaccard-candidates"), near, words, percent), "jaccard-stars")
+    near = stage(_zipped(texts).join(asked, row).dropDuplicates(row).drop(*row).withColumnRenamed("class", "doc_id"), "jaccard-texts", TEXT_BATCH)
+    links = stage(_verified(stage(nearest, "jaccard-candidates"), near, words, percent), "jaccard-stars", TEXT_BATCH)
     labels = connected_components(links)
 
     # What the stars left apart: pairs of groups not yet in one component, then of their members.
@@ -327,7 +327,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     p, q = known.alias("p"), known.alias("q")
     differ = (F.col("p.component") != F.col("q.component")) & _maps_agree("p", "q", percent)
     rest = pairs.unionByName(inner).alias("r").join(p, F.col("r.g") == F.col("p.gid")).join(q, (F.col("r.h") == F.col("q.gid")) & differ).select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b")).distinct()
-    links = links.unionByName(stage(_verified(stage(rest, "jaccard-candidates"), near, words, percent), "jaccard-rest"))
+    links = links.unionByName(stage(_verified(stage(rest, "jaccard-candidates"), near, words, percent), "jaccard-rest", TEXT_BATCH))
     # A doc_id with several sets is one document: its classes are linked too.
     several = sets.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     own_sets = sets.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "class"), "digest")

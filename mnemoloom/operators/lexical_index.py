@@ -110,7 +110,7 @@ def _renorm(spark: SparkSession, path: str, to: str) -> None:
             out.append((block, np.sqrt(np.bincount(places, w * w, len(lengths)))))
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "norms": pa.array([x.tolist() for _, x in out], pa.list_(pa.float64()))})
 
-    lists = _postings(spark, path).join(_terms(spark, path), "token")
+    lists = _postings(spark, path).join(_terms(spark, path).hint("shuffle_hash"), "token")  # the lists need not be sorted by token
     docs = _documents(spark, path).select("block", "lengths")
     made = lists.groupBy("block").cogroup(docs.groupBy("block")).applyInArrow(norms, "block long, norms array<double>")
     made.write.parquet(f"{to}.tmp")
@@ -124,7 +124,7 @@ def _asked(spark: SparkSession, path: str, queries: DataFrame, tokens) -> DataFr
 
 
 def _search(spark: SparkSession, path: str, asked: DataFrame, k: int, digits: int, impact, combine, normed: bool) -> DataFrame:
-    """``impact(tf, length, token's row)`` is what a list adds to its documents; ``combine(sum, shared, norms, query's row)`` the score."""
+    """``impact(tf, length, token's columns)`` is what postings add to their documents; ``combine(sum, shared, norms, query's row)`` the score."""
     docs = _documents(spark, path)
     docs = docs.join(norms_of(spark, path), "block") if normed else docs.withColumn("norms", F.lit(None).cast("array<double>"))
     lists = _postings(spark, path).join(asked.select("token").distinct(), "token", "left_semi")
@@ -142,31 +142,31 @@ def _search(spark: SparkSession, path: str, asked: DataFrame, k: int, digits: in
         if len(own) and len(b):
             ids, lengths, norms = (own.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "lengths", "norms"))
             norms = norms if len(norms) else lengths  # not asked for
-            said = a.filter(pc.is_valid(a.column("token")))
-            at = {t: i for i, t in enumerate(said.column("token").to_pylist())}
+            said = a.filter(pc.is_in(a.column("token"), b.column("token")))
+            b = b.sort_by([("query_id", "ascending"), ("token", "ascending")])
+            at = pc.fill_null(pc.index_in(b.column("token"), said.column("token").combine_chunks()), -1).to_numpy()
+            columns = {c: b.column(c).to_numpy() for c in b.column_names if c != "token"}
             places, tfs = (said.column(c).combine_chunks() for c in ("places", "tfs"))
-            rows = sorted(b.to_pylist(), key=lambda r: (r["query_id"], r["token"]))
-            start, kept = 0, {}
-            while start < len(rows):
-                stop = start
-                sums, shared = np.zeros(len(ids)), np.zeros(len(ids))
-                while stop < len(rows) and rows[stop]["query_id"] == rows[start]["query_id"]:
-                    r = rows[stop]
-                    i = at.get(r["token"])
-                    if i is not None:
-                        if i not in kept:
-                            p = places[i].values.to_numpy()
-                            kept[i] = p, impact(tfs[i].values.to_numpy(), lengths[p], r)
-                        p, adds = kept[i]
-                        sums[p] += r["qw"] * adds
-                        shared[p] += 1
-                    stop += 1
+            sizes = pc.list_value_length(places).to_numpy()
+            starts, places = np.cumsum(sizes) - sizes, places.flatten().to_numpy()
+            asks = np.zeros(len(said), np.int64)  # a row that asks for the token
+            asks[at[at >= 0]] = np.flatnonzero(at >= 0)
+            adds = impact(tfs.flatten().to_numpy(), lengths[places], {c: np.repeat(v[asks], sizes) for c, v in columns.items() if v.dtype == float})
+            heads = np.flatnonzero(np.append(True, np.diff(columns["query_id"]) != 0))
+            for start, stop in zip(heads, np.append(heads[1:], len(b)), strict=True):
+                known = start + np.flatnonzero(at[start:stop] >= 0)
+                if not len(known):
+                    continue
+                n, first = sizes[at[known]], starts[at[known]]
+                of = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())  # its tokens' postings, list by list
+                sums = np.bincount(places[of], np.repeat(columns["qw"][known], n) * adds[of], len(ids))
+                shared = np.bincount(places[of], minlength=len(ids))
                 hit = np.flatnonzero(shared)
-                score = np.round(combine(sums[hit], shared[hit], norms[hit], rows[start]), digits)
+                q = {c: v[start] for c, v in columns.items()}
+                score = np.round(combine(sums[hit], shared[hit], norms[hit], q), digits)
                 score[score <= 0] = -np.inf
                 best = _best(ids[hit], score, k)
-                out.append((np.full(len(best), rows[start]["query_id"], np.int64), ids[hit][best], score[best]))
-                start = stop
+                out.append((np.full(len(best), q["query_id"], np.int64), ids[hit][best], score[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "memory_id", "score"), columns, strict=True)))
 

@@ -68,3 +68,28 @@ def test_redundant_neighbours_are_found_in_blocks(spark):
     finally:
         G.similarity_join = plain
     assert sorted(tuple(r) for r in got.select("source", "target").collect()) == [(1, 1), (1, 3), (2, 2), (2, 4), (2, 5)] and with_joins
+
+
+@pytest.mark.parametrize(("name", "value"), [("g2_candidate_edges", "weight")])
+def test_values_are_rounded_once_a_list(spark, sf_dir, name, value):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Generate explode(ys") < plan.find(f"round({value}") < plan.find("MapInArrow")
+
+
+def test_equal_sets_go_through_the_shuffle_once(spark):
+    sets = [["a", "b"], ["a"], ["b", "c", "d"]]
+    rows = spark.createDataFrame([(1, i, sets[i % 3]) for i in range(3000)], "bank long, id long, items array<string>")
+    assert P._classes(rows, ["bank"], 4096).count() == 3 * -(-1000 // P.PIECE)
+    index = lambda items: (seen.add(len(items)), P.by_item(items))[1]
+    seen = spark.sparkContext.accumulator(0)
+    found = P.pairs_in_blocks(rows, ["bank"], index, lambda own, theirs: (*np.nonzero(k := P.counts(own, theirs)), [k[k > 0].astype(np.int64)]), "k long", [F.col("k")])
+    assert {r.k: r["count"] for r in found.groupBy("k").count().collect()} == {1: 1000 * 1000 * 2 + 999 * 500, 2: 999 * 500, 3: 999 * 500}
+    assert seen.value < 600  # item lists made ready: 12 of the block, and a few for each tile of 174 ids; not 6,000
+
+
+def test_counts_by_product_and_item_by_item():
+    rng = np.random.default_rng(4)
+    for most, n in ((70, 40), (4000, 3)):  # common items, rare ones
+        a, b = ([[f"i{x}" for x in set(rng.integers(0, most, n).tolist())] for _ in range(30)] for _ in range(2))
+        got = P.counts(P.by_item(a), P.by_item(b))
+        assert got.tolist() == [[len({*x} & {*y}) for x in a] for y in b]

@@ -216,7 +216,7 @@ def g23_succession_edges(spark, d):
 
 @query(f"WITH {CONCEPTS}, s AS (SELECT bank, node, count(*) AS n FROM c GROUP BY 1, 2) SELECT a.bank, b.node AS source, a.node AS target, round(count(*) / greatest(max(sa.n), max(sb.n)), 6)::DOUBLE AS weight FROM c a JOIN c b ON a.bank = b.bank AND a.concept = b.concept AND a.node < b.node JOIN s sa ON sa.bank = a.bank AND sa.node = a.node JOIN s sb ON sb.bank = b.bank AND sb.node = b.node GROUP BY 1, 2, 3 HAVING count(*) >= 8")
 def g24_concept_edges(spark, d):
-    return G.concept_edges(concepts(spark, d), 8).withColumn("weight", r6("weight"))
+    return G.concept_edges(concepts(spark, d), 8, weight=r6)
 
 
 # Sessions of a bank: its documents in order, ten a session. Checkpoints: after the first, the third and the last of six sessions.

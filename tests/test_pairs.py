@@ -70,7 +70,7 @@ def test_redundant_neighbours_are_found_in_blocks(spark):
     assert sorted(tuple(r) for r in got.select("source", "target").collect()) == [(1, 1), (1, 3), (2, 2), (2, 4), (2, 5)] and with_joins
 
 
-@pytest.mark.parametrize(("name", "value"), [("g2_candidate_edges", "weight"), ("v29_prefix_edges", "weight"), ("g5_rare_pairs", "df")])
+@pytest.mark.parametrize(("name", "value"), [("g2_candidate_edges", "weight"), ("v29_prefix_edges", "weight"), ("g5_rare_pairs", "df"), ("g24_concept_edges", "weight")])
 def test_values_are_rounded_once_a_list(spark, sf_dir, name, value):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert 0 <= plan.find("Generate explode(ys") < plan.find(f"round({value}") < plan.find("MapInArrow")
@@ -87,6 +87,22 @@ def test_equal_sets_go_through_the_shuffle_once(spark):
     assert seen.value < 600  # item lists made ready: 12 of the block, and a few for each tile of 174 ids; not 6,000
 
 
+@pytest.mark.parametrize("block", [5, 4096])
+@pytest.mark.parametrize("name", [str, int])
+def test_concepts_by_blocks(spark, monkeypatch, block, name):
+    monkeypatch.setattr(G, "pairs_in_blocks", lambda *a, **k: P.pairs_in_blocks(*a, **{**k, "block": block}))
+    rng = np.random.default_rng(9)
+    held = {name(i + 100): {f"c{x}" for x in rng.integers(0, 8 if i % 2 else 2, 6)} for i in range(40)}
+    kind = "string" if name is str else "long"
+    c = spark.createDataFrame([(1, i, x) for i, s in held.items() for x in sorted(s)], f"bank long, node {kind}, concept string")
+    asked = c.where("node % 4 = 0").select(F.col("node").alias("query_id"), "concept")
+    got = {tuple(r) for r in G.concept_match(asked, c.select("node", "concept"), 0.4, symmetric=True, overlap=lambda x: F.round(x, 6)).collect()}
+    share = lambda a, b: len(held[a] & held[b]) / max(len(held[a]), len(held[b]))
+    assert got == {(a, b, round(share(a, b), 6)) for a in held if int(a) % 4 == 0 for b in held if share(a, b) > 0.4}
+    edges = [tuple(r) for r in G.concept_edges(c, 2).collect()]
+    assert sorted(edges) == sorted((1, max(a, b), min(a, b), share(a, b)) for a, b in itertools.combinations(held, 2) if len(held[a] & held[b]) >= 2)
+
+
 def test_counts_by_product_and_item_by_item():
     rng = np.random.default_rng(4)
     for most, n in ((70, 40), (4000, 3)):  # common items, rare ones

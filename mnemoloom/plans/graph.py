@@ -198,7 +198,7 @@ def concepts(spark, d):
 @query(f"WITH {CONCEPTS}, q AS (SELECT node AS query_id, concept FROM c WHERE node % 10 = 0), nq AS (SELECT query_id, count(*) AS nq FROM q GROUP BY 1), nn AS (SELECT node, count(*) AS nn FROM c GROUP BY 1) SELECT query_id, node, round(count(*) / greatest(max(nq), max(nn)), 6)::DOUBLE AS overlap FROM q JOIN c USING (concept) JOIN nq USING (query_id) JOIN nn USING (node) GROUP BY 1, 2 HAVING count(*) / greatest(max(nq), max(nn)) > 0.5")
 def g21_concept_match(spark, d):
     c = concepts(spark, d)
-    return G.concept_match(c.where("node % 10 = 0").select(F.col("node").alias("query_id"), "concept"), c.select("node", "concept"), 0.5, symmetric=True).withColumn("overlap", r6("overlap"))
+    return G.concept_match(c.where("node % 10 = 0").select(F.col("node").alias("query_id"), "concept"), c.select("node", "concept"), 0.5, symmetric=True, overlap=r6)
 
 
 @query("""WITH x AS (SELECT a.vec_id AS source, b.vec_id AS target, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c, 'item ' || a.vec_id AS ta, 'item ' || b.vec_id AS tb FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),

@@ -70,7 +70,7 @@ def test_redundant_neighbours_are_found_in_blocks(spark):
     assert sorted(tuple(r) for r in got.select("source", "target").collect()) == [(1, 1), (1, 3), (2, 2), (2, 4), (2, 5)] and with_joins
 
 
-@pytest.mark.parametrize(("name", "value"), [("g2_candidate_edges", "weight"), ("v29_prefix_edges", "weight"), ("g5_rare_pairs", "df"), ("g24_concept_edges", "weight")])
+@pytest.mark.parametrize(("name", "value"), [("g2_candidate_edges", "weight"), ("v29_prefix_edges", "weight"), ("g5_rare_pairs", "df"), ("g24_concept_edges", "weight"), ("g21_concept_match", "overlap")])
 def test_values_are_rounded_once_a_list(spark, sf_dir, name, value):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert 0 <= plan.find("Generate explode(ys") < plan.find(f"round({value}") < plan.find("MapInArrow")
